@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import blocks, curriculum, decontaminate, neardup, quality
+from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.positions(_table(spark, sf_dir, "documents"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op9_near_duplicates, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op6_curriculum_mix": curriculum.DEFAULT_SQL}
