@@ -32,8 +32,8 @@ from kerf.plans.session import checkpoint
 BITS, SEGMENTS, SEGMENT_BITS = 192, 4, 23
 #: Differing bits of near-duplicates, of 192; 28 is a cosine of about 0.9 of weighted word sets.
 MAX_DISTANCE = 28
-#: Differing bits of the last 64, a test that the join itself makes.
-MAX_CHECK = 16
+#: Differing bits of the last 32, a test that the join itself makes.
+MAX_CHECK = 9
 PAIRS = list(itertools.combinations(range(SEGMENTS), 2))
 
 _GENERATOR = 0xC75
@@ -137,11 +137,12 @@ def _key_batches(batches):
         for a in range(0, batch.num_rows, 4096):
             ids, f0, f1, f2 = (c.to_numpy(zero_copy_only=False) for c in batch.slice(a, 4096).columns)
             seg = segments(f0.view(np.uint64), f1.view(np.uint64))
+            check = f2 & 0xFFFFFFFF
             keys, used = zip(*(fuzzy_keys(seg[:, k]) for k in range(SEGMENTS)))
             for c, (i, j) in enumerate(PAIRS):
                 row, x, y = np.nonzero(used[i][:, :, None] & used[j][:, None, :])
-                key = (c << 24) | (keys[i][row, x] << 12) | keys[j][row, y]
-                yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(ids[row]), pa.array(f2[row])], names=["key", "id", "f2"])
+                key = (c << 24) | (keys[i][row, x].astype(np.int64) << 12) | keys[j][row, y]
+                yield pa.record_batch([pa.array((key << 32) | check[row]), pa.array(ids[row])], names=["k", "id"])
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -152,9 +153,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def similar_pairs(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_check: int = MAX_CHECK) -> DataFrame:
     """(a, b, distance), a < b, of the near-duplicates among (id, f0, f1, f2)."""
-    keys = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "key int, id bigint, f2 bigint").repartition("key")
-    left, right = keys.toDF("key", "a", "fa"), keys.toDF("key", "b", "fb")
-    near = left.join(right, "key").where(F.expr(f"a < b and bit_count(fa ^ fb) <= {max_check}")).select("a", "b").distinct()
+    # A row is as short as can be: the key, and below it the bits that the join tests.
+    keys = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "k bigint, id bigint").repartition(F.shiftright("k", 32))
+    left, right = keys.toDF("ka", "a"), keys.toDF("kb", "b")
+    same = F.shiftright("ka", 32) == F.shiftright("kb", 32)
+    near = left.join(right, same).where(F.expr(f"a < b and bit_count(ka ^ kb) <= {max_check}")).select("a", "b").distinct()
     f = distinct.select("id", "f0", "f1", "f2")
     near = near.join(f.toDF("a", "a0", "a1", "a2"), "a").join(f.toDF("b", "b0", "b1", "b2"), "b")
     return near.select("a", "b", F.expr("bit_count(a0 ^ b0) + bit_count(a1 ^ b1) + bit_count(a2 ^ b2)").alias("distance")).where(f"distance <= {max_distance}")
