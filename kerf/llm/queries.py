@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, quality
+from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, pitmanyor, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
@@ -28,6 +33,11 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(_table(spark, sf_dir, "documents"))
 
 
+def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pitmanyor.score(docs, pitmanyor.learn(docs))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,5 +46,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op8_perplexity, op9_near_duplicates, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op6_curriculum_mix": curriculum.DEFAULT_SQL}
