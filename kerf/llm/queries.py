@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, pitmanyor, quality, toxicity
+from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, pitmanyor, quality, toxicity, transcripts, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return transcripts.parse_transcripts(transcripts.transcripts_of(conversations), transcripts.learn(conversations))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
@@ -46,5 +55,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op8_perplexity, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_wrappers, op3_transcripts, op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op8_perplexity, op9_near_duplicates, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op6_curriculum_mix": curriculum.DEFAULT_SQL}
