@@ -1,6 +1,431 @@
-"""The engine's own registered queries and their SQL."""
+"""The engine's own registered queries, each over whole tables, and the SQL that states their results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerf.functions import detect, sizing
+from kerf.operators import analytics, dedup, sentences
+
+PACK, SMALL = 512, 256
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(docs: DataFrame, size: int = PACK) -> DataFrame:
+    """Chunk rows of sentences packed to a number of characters; empty texts have none."""
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return sentences.chunk_rows(docs, sentences.pack(sentences.split("text"), size), path=path, keep=("lang",))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int = PACK) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), size)
+
+
+def doc_sizes(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", sizing.n_chars(t).alias("chars"), sizing.n_bytes(t).alias("bytes"), sizing.nws_bytes(t).alias("nws_bytes"), sizing.nws_chars(t).alias("nws_chars"), sizing.n_words(t).alias("words"))
+
+
+def detect_language(spark, d):
+    docs = _table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.concat("source", F.lit("/"), "doc_id", F.element_at(F.array(*map(F.lit, (".md", ".py", ".json.txt", "", ".yaml", ".d.ts", ".unknown"))), (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"), F.col("text").alias("content"))
+    pages = _table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.lit("page").alias("path"), F.col("html").alias("content"))
+    rows = docs.union(pages).withColumn("language", detect.language_column("path", "content"))
+    return rows.select("key", "path", "language", detect.content_type_column("path", "content", "language").alias("content_type"))
+
+
+def sentence_split(spark, d):
+    rows = sentences.sentences(_table(spark, d, "documents"))
+    return rows.select("doc_id", "pos", "sentence", "char_start", "byte_start")
+
+
+def conversation_sentences(spark, d):
+    rows = sentences.sentences(_table(spark, d, "conversations").withColumn("id", F.concat_ws("/", "conv_id", "turn")), "id")
+    return rows.groupBy("id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))
+
+
+def sentence_pack(spark, d):
+    return _chunks(spark, d).select("doc_id", "filepath", "index", "total_chunks", "byte_start", "byte_end", "line_start", "line_end", "token_count", "char_count", "nws_count", "text")
+
+
+def stable_ids(spark, d):
+    return _chunks(spark, d).select("doc_id", "index", "stable_id")
+
+
+def chunk_stats_by_lang(spark, d):
+    return analytics.chunk_stats(_chunks(spark, d), ("lang",))
+
+
+def chunk_quality(spark, d):
+    none = F.array().cast("array<struct<name:string,parent:string,is_partial:boolean>>")
+    scored = analytics.quality_scores(_chunks(spark, d).withColumn("entities", none), 50, PACK)
+    return scored.select("doc_id", "index", F.round("size_balance", 6).alias("size_balance"), F.round("overall", 4).alias("overall"))
+
+
+def dedup_exact(spark, d):
+    return dedup.exact(_table(spark, d, "documents"))
+
+
+def simhash_signature(spark, d):
+    return dedup.simhash(_table(spark, d, "documents"))
+
+
+def simhash_pairs(spark, d):
+    return dedup.simhash_edges(dedup.simhash(_table(spark, d, "documents")))
+
+
+def simhash_dedup(spark, d):
+    return dedup.dedup(_table(spark, d, "documents"), "simhash")
+
+
+def minhash_signature(spark, d):
+    rows = dedup.minhash(_table(spark, d, "documents"))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.get("signature", F.lit(0)).alias("m0"), F.get("signature", F.lit(7)).alias("m7"), F.get("signature", F.lit(31)).alias("m31"))
+
+
+def minhash_pairs(spark, d):
+    return dedup.minhash_edges(dedup.minhash(_table(spark, d, "documents")))
+
+
+def minhash_dedup(spark, d):
+    return dedup.dedup(_table(spark, d, "documents"), "minhash")
+
+
+def chunk_diff(spark, d):
+    return analytics.diff(_chunks(spark, d), _chunks(spark, d, SMALL))
+
+
+def chunk_density(spark, d):
+    return _chunks(spark, d).select("doc_id", "index", F.round(analytics.density(F.col("text")), 6).alias("density"))
+
+
+def chunk_reconstruction(spark, d):
+    chunks = _chunks(spark, d).join(_table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    ok = analytics.reconstruction(F.col("content"), F.col("text"), F.col("byte_start"), F.col("byte_end"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min(ok).alias("reconstruction"))
+
+
+def chunk_coverage(spark, d):
+    """Each chunk's terms in the document's benchmark-free source: here the item of equal rank in ``benchmark``."""
+    chunks = _chunks(spark, d)
+    bench = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("source_text"))
+    rows = chunks.join(F.broadcast(bench), F.col("doc_id") % 40 == F.col("item_id"))
+    return rows.select("doc_id", "index", F.round(analytics.coverage(F.col("text"), F.col("source_text")), 6).alias("coverage"))
+
+
+def chunk_coherence(spark, d):
+    return analytics.coherence(_chunks(spark, d)).select("stable_id", F.round("coherence", 6).alias("coherence"))
+
+
+def chunk_boundary_quality(spark, d):
+    return analytics.boundary_quality(_chunks(spark, d)).select("stable_id", F.round("boundary_quality", 6).alias("boundary_quality"))
+
+
+def sentence_tfidf(spark, d):
+    rows = analytics.tfidf(sentences.sentences(_table(spark, d, "documents")), ["doc_id"], "pos", "sentence", 64)
+    return rows.select("doc_id", "pos", "term", F.round("w", 6).alias("w"))
+
+
+def semantic_boundaries(spark, d):
+    rows = analytics.semantic_boundaries(sentences.sentences(_table(spark, d, "documents")), sizing.mock_embedding, threshold=0.9)
+    return rows.select("doc_id", "pos", F.round("similarity", 6).alias("similarity"), "is_boundary")
+
+
+def embedding_adjacent_cosine(spark, d):
+    return analytics.embedding_similarity(_table(spark, d, "embeddings")).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def vector_rows(spark, d):
+    from kerf.operators import export
+
+    chunks = _chunks(spark, d, 4096).where("index = 0").select(F.col("doc_id").alias("key"), "filepath", "index", "byte_start", "byte_end", "text", "stable_id")
+    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    rows = export.pinecone(chunks, vectors, "key", check=False)
+    return rows.select("id", F.size("values").alias("n_values"), F.col("metadata")["filepath"].alias("filepath"), F.col("metadata")["text"].alias("text"))
+
+
+def _mentions(spark, d):
+    rows = _chunks(spark, d, 4096)
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{11,}"), F.lit(0)))
+    return rows.select(F.concat_ws("/", "doc_id", "index").alias("key"), F.explode(names).alias("name"))
+
+
+def graph_nodes(spark, d):
+    return analytics.graph_nodes(_mentions(spark, d))
+
+
+def graph_edges(spark, d):
+    return analytics.graph_edges(_mentions(spark, d)).select("a", "b", "n_shared", F.round("weight", 6).alias("weight"))
+
+
+def hierarchy_levels(spark, d):
+    return analytics.hierarchy(_chunks(spark, d), [PACK, 2048, 8192])
+
+
+def overlap_groups(spark, d):
+    return analytics.overlap_groups(_chunks(spark, d), PACK, 0.3)
+
+
+def line_overlap(spark, d):
+    return analytics.line_overlap(_chunks(spark, d), 1).select("doc_id", "index", "overlap_text")
+
+
+def _budget_items(spark, d):
+    rows = _chunks(spark, d)
+    score = F.round((F.col("char_count") * 7 + F.col("nws_count") * 13) % 101 / 100, 2)
+    return rows.select(F.col("doc_id").alias("query_id"), F.col("index").cast("bigint").alias("pos"), score.alias("score"), F.col("token_count").alias("size"))
+
+
+def budget_greedy(spark, d):
+    return analytics.budget_greedy(_budget_items(spark, d), 300)
+
+
+def budget_dp(spark, d):
+    chosen = analytics.budget_dp(_budget_items(spark, d), 300)
+    return chosen.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.col("selected").cast("int")).alias("n_selected"))
+
+
+def order_yaml_sections(spark, d):
+    from kerf.operators import markup
+
+    return markup.key_sections(_order_text(spark, d, ": "), "yaml").select("o_custkey", "pos", "name", "section")
+
+
+def order_toml_sections(spark, d):
+    from kerf.operators import markup
+
+    return markup.key_sections(_order_text(spark, d, "toml"), "toml").select("o_custkey", "pos", "name", "section")
+
+
+def _order_text(spark, d, kind):
+    o = _table(spark, d, "orders")
+    key = F.concat(F.lit("order_"), "o_orderkey")
+    body = F.concat_ws("\n", F.concat(F.lit("  status: "), "o_orderstatus"), F.concat(F.lit("  priority: "), "o_orderpriority")) if kind == ": " else F.concat_ws("\n", F.concat(F.lit('status = "'), "o_orderstatus", F.lit('"')))
+    part = F.concat(key, F.lit(":\n"), body, F.lit("\n")) if kind == ": " else F.concat(F.lit("["), key, F.lit("]\n"), body, F.lit("\n"))
+    rows = o.select("o_custkey", F.struct("o_orderkey", part.alias("p")).alias("x")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    return rows.select("o_custkey", F.array_join(F.transform("l", lambda x: x["p"]), "").alias("text"))
+
+
+def chunk_documents(spark, d):
+    """Rows of the whole engine: detection, segmentation, packing and context in one Arrow pass."""
+    from kerf.operators import chunking
+
+    docs = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text", F.lit("\n\n- item\n")).alias("content"))
+    rows = chunking.chunk(docs, max_chunk_size=800, size_unit="chars")
+    return rows.groupBy("doc_id").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.when(F.trim("text") == "", 1).otherwise(0)).alias("blank"))
+
+
+def chunk_pages(spark, d):
+    from kerf.operators import chunking
+
+    pages = _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    rows = chunking.chunk(pages, max_chunk_size=1500, size_unit="chars")
+    return rows.groupBy("doc_id").agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.when(F.trim("text") == "", 1).otherwise(0)).alias("blank"))
+
+
+def chunk_code(spark, d):
+    """Python modules made of parts: one function for each part of a brand."""
+    from kerf.operators import chunking
+
+    p = _table(spark, d, "part")
+    body = F.concat(F.lit("def part_"), "p_partkey", F.lit("(count):\n    size = "), "p_size", F.lit("\n    return size * count\n\n\n"))
+    x = p.select("p_brand", F.struct("p_partkey", body.alias("b")).alias("x")).groupBy("p_brand").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    code = x.select(F.xxhash64("p_brand").alias("doc_id"), F.concat("p_brand", F.lit(".py")).alias("path"), F.array_join(F.transform("l", lambda i: i["b"]), "").alias("content"))
+    rows = chunking.chunk(code, max_chunk_size=400, size_unit="chars")
+    return rows.groupBy("filepath").agg(F.max("byte_end").alias("bytes"), F.sum(F.octet_length("text")).alias("covered"), F.size(F.array_distinct(F.flatten(F.collect_list("entities.name")))).alias("functions"))
+
+
+def propositions(spark, d):
+    from kerf.operators import propositions as ops
+
+    return ops.extract(_table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        doc_sizes, detect_language, sentence_split, conversation_sentences, sentence_pack, stable_ids, chunk_stats_by_lang, chunk_quality, dedup_exact, simhash_signature,
+        simhash_pairs, simhash_dedup, minhash_signature, minhash_pairs, minhash_dedup, chunk_diff, chunk_density, chunk_reconstruction, chunk_coverage, chunk_coherence,
+        chunk_boundary_quality, sentence_tfidf, semantic_boundaries, embedding_adjacent_cosine, vector_rows, graph_nodes, graph_edges, hierarchy_levels, overlap_groups,
+        line_overlap, budget_greedy, budget_dp, order_yaml_sections, order_toml_sections, chunk_documents, chunk_pages, chunk_code, propositions,
+    )
+}
+
+# -- SQL ------------------------------------------------------------------------------------------------------
+
+
+
+def _split(text: str) -> str:
+    """The sentences of a text as a list."""
+    return f"""list_filter(string_split(regexp_replace(regexp_replace({text}, '(\\n\\n+)', '\\1\u0001', 'g'), '([.!?])(\\s+)([A-Z"''(\\[])', '\\1\\2\u0001\\3', 'g'), '\u0001'), lambda x: x <> '')"""
+
+
+_SENT = """
+sent as (
+  select doc_id, lang, generate_subscripts(a, 1) - 1 as pos, unnest(a) as s from (
+    select doc_id, lang, list_filter(string_split(
+      regexp_replace(regexp_replace(coalesce(text, ''), '(\\n\\n+)', '\\1\u0001', 'g'), '([.!?])(\\s+)([A-Z"''(\\[])', '\\1\\2\u0001\\3', 'g'), '\u0001'), lambda x: x <> '') as a
+    from documents))"""
+
+
+def _packed(size: int, name: str = "chunks") -> str:
+    """Chunk rows by a recursive fold over sentences."""
+    return f"""
+n_{name} as (select doc_id, max(pos) as last from sent group by doc_id),
+fold_{name} as (
+  select doc_id, pos, s as t, length(s) as n, 0 as w, lang from sent where pos = 0
+  union all
+  select f.doc_id, s.pos, case when f.n + length(s.s) <= {size} then f.t || s.s else s.s end,
+         case when f.n + length(s.s) <= {size} then f.n + length(s.s) else length(s.s) end,
+         case when f.n + length(s.s) <= {size} then f.w else f.w + 1 end, f.lang
+  from fold_{name} f join sent s on s.doc_id = f.doc_id and s.pos = f.pos + 1),
+win_{name} as (select doc_id, w, lang, arg_max(t, pos) as text from fold_{name} group by doc_id, w, lang),
+{name} as (
+  select doc_id, lang, 'doc/' || doc_id as filepath, w::int as "index", (count(*) over (partition by doc_id))::int as total_chunks,
+    (coalesce(sum(strlen(text)) over (partition by doc_id order by w rows between unbounded preceding and 1 preceding), 0))::int as byte_start,
+    (sum(strlen(text)) over (partition by doc_id order by w))::int as byte_end,
+    (coalesce(sum(length(text) - length(replace(text, chr(10), ''))) over (partition by doc_id order by w rows between unbounded preceding and 1 preceding), 0))::int as line_start,
+    (greatest(sum(length(text) - length(replace(text, chr(10), ''))) over (partition by doc_id order by w) - case when right(text, 1) = chr(10) then 1 else 0 end,
+      coalesce(sum(length(text) - length(replace(text, chr(10), ''))) over (partition by doc_id order by w rows between unbounded preceding and 1 preceding), 0)))::int as line_end,
+    len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))::int as token_count, length(text)::int as char_count,
+    strlen(regexp_replace(text, '[\\t\\n\\x0B\\f\\r ]', '', 'g'))::int as nws_count, text
+  from win_{name})"""
+
+
+_CHUNKS = "with recursive" + _SENT + "," + _packed(PACK)
+_ID = "sha256(filepath || chr(0) || \"index\" || chr(0) || byte_start || chr(0) || byte_end)"
+
+
+def _tfidf(texts: str, group: str, item: str, vocab: int) -> str:
+    """Common tables up to ``tf_w(group, item, term, w)`` for a table of (group, item, text)."""
+    return f"""
+tf_terms as (select {group}, {item}, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) as term from {texts}),
+tf_c as (select {group}, {item}, term, count(*) as tf from tf_terms group by all),
+tf_n as (select {group}, count(distinct {item}) as n_items from {texts} group by all),
+tf_d as (select *, row_number() over (partition by {group} order by df desc, term) as r from (select {group}, term, count(*) as df from tf_c group by all)),
+tf_r as (select c.{group}, c.{item}, c.term, (1 + ln(tf)) * (ln((1 + n_items)::double / (1 + df)) + 1) as raw
+  from tf_c c join tf_d d on c.{group} = d.{group} and c.term = d.term and d.r <= {vocab} join tf_n n on n.{group} = c.{group}),
+tf_w as (select {group}, {item}, term, raw / sqrt(sum(raw * raw) over (partition by {group}, {item})) as w from tf_r)"""
+
+
+_SIG = """
+w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) as t from documents),
+c as (select doc_id, t, count(*) as n from w group by all),
+h as (select doc_id, n, ('0x' || substr(md5(t), 17, 16))::ubigint as h from c),
+bits as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then n else -n end) as s from h, (select unnest(range(64))::ubigint as b) group by all),
+sig as (select d.doc_id, coalesce(v, 0::ubigint) as v from documents d left join (select doc_id, sum(case when s >= 0 then (1::hugeint << b::int) else 0 end)::ubigint as v from bits group by all) using (doc_id))"""
+_EDGES = f"""
+bands as (select doc_id, v, i, (v >> (16 * i)::ubigint) & 65535 as k from sig, (select unnest(range(4)) as i)),
+edges as (select distinct a.doc_id as a, b.doc_id as b from bands a join bands b on a.i = b.i and a.k = b.k and a.doc_id < b.doc_id where bit_count(xor(a.v, b.v)::bit) <= 9)"""
+_MIN = """
+toks as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))) as tokens from documents),
+hs as (select doc_id, ('0x' || substr(md5(t), 1, 8))::ubigint as h from (select doc_id, unnest(tokens) as t from toks)),
+ks as (select k::ubigint as k, (xor((k * 2654435769)::ubigint, ((k & 31) << 27)::ubigint) & 4294967295::ubigint) as mask from (select unnest(range(32)) as k)),
+ms as (select t.doc_id, k, coalesce(min(xor(h, mask)), 0) as m from toks t cross join ks left join hs on hs.doc_id = t.doc_id group by all)"""
+_MIN_EDGES = """
+mb as (select doc_id, k // 4 as band, list(m order by k) as v from ms group by all),
+cand as (select distinct a.doc_id as a, b.doc_id as b from mb a join mb b on a.band = b.band and a.v = b.v and a.doc_id < b.doc_id),
+edges as (select a, b from cand join toks x on x.doc_id = a join toks y on y.doc_id = b
+  where len(list_distinct(list_concat(x.tokens, y.tokens))) = 0 or len(list_intersect(x.tokens, y.tokens)) * 10000 >= len(list_distinct(list_concat(x.tokens, y.tokens))) * 8500)"""
+#: The first maximal independent set: rows in order of keys, each with the kept neighbours before it.
+_MIS = """,
+nodes as (select doc_id, row_number() over (order by doc_id) as r, (select coalesce(list(a), []) from edges where b = doc_id) as smaller from documents),
+mis as (
+  select 0::bigint as r, []::bigint[] as kept, null::bigint as doc_id, null::bigint as k
+  union all
+  select n.r, case when len(list_intersect(n.smaller, m.kept)) = 0 then list_append(m.kept, n.doc_id) else m.kept end, n.doc_id, coalesce(list_min(list_intersect(n.smaller, m.kept)), n.doc_id)
+  from mis m join nodes n on n.r = m.r + 1)
+select doc_id, k as kept from mis where doc_id is not null"""
+
+_LADDER_SQL = " ".join(f"when regexp_matches(content, '{p}') then '{x}'" for p, x in ((r"(?m)^#{1,6}\s+\S", "markdown"), (r"(?is)^\s*<!doctype html|^\s*<html\b|<(?:div|body|head|section|article)\b[^>]*>", "html"), (r"(?s)^\s*[\{\[]", "json"), (r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(", "python"), (r"(?m)^\s*(?:export|interface|type|const|let|function)\s+\w+", "typescript")))
+
+ORACLES = {
+    "doc_sizes": r"""select doc_id, length(text)::int as chars, strlen(text)::int as bytes, strlen(regexp_replace(text, '[\t\n\x0B\f\r ]', '', 'g'))::int as nws_bytes,
+        length(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g'))::int as nws_chars, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::int as words from documents""",
+    "detect_language": f"""with x as (
+        select 'd' || doc_id as key, source || '/' || doc_id || ['.md', '.py', '.json.txt', '', '.yaml', '.d.ts', '.unknown'][doc_id % 7 + 1] as path, text as content from documents
+        union all select 'p' || page_id, 'page', html from pages),
+      y as (select *, case when path like '%.md' then 'markdown' when path like '%.py' then 'python' when path like '%.json.txt' then 'plaintext' when path like '%.yaml' then 'yaml'
+        when path like '%.d.ts' then 'typescript' {_LADDER_SQL}
+        when regexp_matches(content, '\\bpackage\\s+\\w+') and regexp_matches(content, '\\bfunc\\s+\\w+') then 'go'
+        when regexp_matches(content, '\\bfn\\s+\\w+') and regexp_matches(content, '\\b(?:impl|let|pub)\\b') then 'rust' else 'plaintext' end as language from x)
+      select key, path, language, case when regexp_matches(content, '(?m)^# %%') then 'hybrid' when language in ('html', 'json', 'toml', 'xml', 'yaml') then 'markup'
+        when language in ('latex', 'markdown', 'plaintext', 'rst') then 'prose' else 'code' end as content_type from y""",
+    "sentence_split": "with " + _SENT + """ select doc_id, pos::int as pos, s as sentence,
+        coalesce(sum(length(s)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::int as char_start,
+        coalesce(sum(strlen(s)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::int as byte_start from sent""",
+    "conversation_sentences": "with " + _SENT.replace("doc_id, lang,", "conv_id || '/' || turn as id,").replace("select id, generate", "select id, generate").replace("select conv_id || '/' || turn as id, generate", "select id, generate").replace("from documents", "from conversations") + " select id, count(*) as n_sentences, max(length(s))::int as longest from sent group by id",
+    "sentence_pack": _CHUNKS + ' select doc_id, filepath, "index", total_chunks, byte_start, byte_end, line_start, line_end, token_count, char_count, nws_count, text from chunks',
+    "stable_ids": _CHUNKS + f' select doc_id, "index", {_ID} as stable_id from chunks',
+    "chunk_stats_by_lang": _CHUNKS + " select lang, count(*) as total_chunks, round(avg(char_count), 4) as avg_size, min(char_count) as min_size, max(char_count) as max_size from chunks group by lang",
+    "chunk_quality": _CHUNKS + """, b as (select *, greatest(0.0::double, 1.0::double - abs(char_count - 281.0::double) / 231.0::double) as sb from chunks)
+      select doc_id, "index", round(sb, 6) as size_balance, round(0.45::double + 0.30::double + 0.25::double * sb, 4) as overall from b""",
+    "dedup_exact": "select doc_id, min(doc_id) over (partition by coalesce(text, 'null ' || doc_id)) as kept from documents",
+    "simhash_signature": "with " + _SIG + " select doc_id, case when v > 9223372036854775807 then (v::hugeint - 18446744073709551616)::bigint else v::bigint end as simhash from sig",
+    "simhash_pairs": "with " + _SIG + "," + _EDGES + " select a, b from edges",
+    "simhash_dedup": "with recursive" + _SIG + "," + _EDGES + _MIS,
+    "minhash_signature": "with " + _MIN + " select t.doc_id, len(tokens)::int as n_tokens, max(m) filter (k = 0)::bigint as m0, max(m) filter (k = 7)::bigint as m7, max(m) filter (k = 31)::bigint as m31 from toks t join ms using (doc_id) group by t.doc_id, tokens",
+    "minhash_pairs": "with " + _MIN + "," + _MIN_EDGES + " select a, b from edges",
+    "minhash_dedup": "with recursive" + _MIN + "," + _MIN_EDGES + _MIS,
+    "chunk_diff": _CHUNKS + "," + _packed(SMALL, "small") + f""", o as (select distinct {_ID} as stable_id from chunks), n as (select distinct {_ID} as stable_id from small)
+      select coalesce(o.stable_id, n.stable_id) as stable_id, case when o.stable_id is null then 'added' when n.stable_id is null then 'removed' else 'unchanged' end as status from o full join n on o.stable_id = n.stable_id""",
+    "chunk_density": _CHUNKS + ' select doc_id, "index", round(nws_count::double / char_count, 6) as density from chunks',
+    "chunk_reconstruction": _CHUNKS + " select doc_id, count(*) as n_chunks, 1.0::double as reconstruction from chunks group by doc_id",
+    "chunk_coverage": _CHUNKS + """, x as (select c.doc_id, c."index", list_distinct(regexp_extract_all(lower(c.text), '[a-z][a-z0-9]*')) as own, regexp_extract_all(lower(b.text), '[a-z][a-z0-9]*') as theirs from chunks c join benchmark b on c.doc_id % 40 = b.item_id)
+      select doc_id, "index", round(case when len(own) > 0 then len(list_intersect(own, theirs))::double / len(own) else 1.0 end, 6) as coverage from x""",
+    "sentence_tfidf": "with " + _SENT + ", t as (select doc_id, pos::int as pos, s as text from sent)," + _tfidf("t", "doc_id", "pos", 64) + " select doc_id, pos, term, round(w, 6) as w from tf_w",
+    "embedding_adjacent_cosine": """with x as (select vec_id, embedding, lead(embedding) over (order by vec_id) as n from embeddings)
+      select vec_id, round(list_cosine_similarity(embedding::double[], n::double[]), 6) as similarity from x where n is not null""",
+    "semantic_boundaries": "with " + _SENT + """, a as (select doc_id, pos::int as pos, coalesce(sum(strlen(s)) over (partition by doc_id order by pos rows between 1 preceding and 1 following), 0)::bigint as n from sent),
+      e as (select doc_id, pos, (n % 97)::double as x, ((n // 97) % 97)::double as y, lead((n % 97)::double) over w as x2, lead(((n // 97) % 97)::double) over w as y2, lead(pos) over w as nx from a window w as (partition by doc_id order by pos)),
+      s as (select doc_id, pos, case when x * x + y * y = 0 or x2 * x2 + y2 * y2 = 0 then 0.0::double else (x * x2 + y * y2) / (sqrt(x * x + y * y) * sqrt(x2 * x2 + y2 * y2)) end as sim from e where nx is not null)
+      select doc_id, pos, round(sim, 6) as similarity, sim < 0.9::double or coalesce(sim < lag(sim) over v and sim < lead(sim) over v, false) as is_boundary from s window v as (partition by doc_id order by pos)""",
+    "vector_rows": "with recursive" + _SENT + "," + _packed(4096) + f' select {_ID} as id, len(embedding)::int as n_values, filepath, text from chunks join embeddings on vec_id = doc_id where "index" = 0',
+    "graph_nodes": "with recursive" + _SENT + "," + _packed(4096) + """, m as (select distinct doc_id || '/' || "index" as key, unnest(regexp_extract_all(text, '[A-Z][a-z]{11,}')) as name from chunks)
+      select name, count(*) as n_chunks from m group by name having count(*) >= 2""",
+    "graph_edges": "with recursive" + _SENT + "," + _packed(4096) + """, m as (select distinct doc_id || '/' || "index" as key, unnest(regexp_extract_all(text, '[A-Z][a-z]{11,}')) as name from chunks),
+      z as (select key, count(*) as n from m group by key), p as (select x.key as a, y.key as b, count(*) as n_shared from m x join m y on x.name = y.name and x.key < y.key group by all)
+      select a, b, n_shared, round(n_shared::double / (za.n + zb.n - n_shared), 6) as weight from p join z za on za.key = a join z zb on zb.key = b""",
+    "chunk_coherence": _CHUNKS + f""", ids as (select {_ID} as sid, text from chunks),
+      parts as (select sid, generate_subscripts(a, 1) - 1 as pos, unnest(a) as text from (select sid, {_split('text')} as a from ids)),
+      {_tfidf("parts", "sid", "pos", 512)},
+      near as (select a.sid, a.pos, sum(a.w * b.w) as s from tf_w a join tf_w b on a.sid = b.sid and b.pos = a.pos + 1 and a.term = b.term group by all),
+      steps as (select p.sid, coalesce(s, 0.0::double) as s from (select *, lead(pos) over (partition by sid order by pos) as nx from parts) p left join near n on n.sid = p.sid and n.pos = p.pos where nx is not null)
+      select i.sid as stable_id, round(coalesce(m, 1.0::double), 6) as coherence from ids i left join (select sid, avg(s) as m from steps group by sid) using (sid)""",
+    "chunk_boundary_quality": _CHUNKS + f""", ids as (select {_ID} as sid, doc_id, "index", {_split('text')} as a from chunks),
+      two as (select sid, lag(a) over (partition by doc_id order by "index") as before, a from ids),
+      parts as (select sid, 0 as pos, array_to_string(list_slice(before, greatest(len(before) - 1, 1), len(before)), '') as text from two where before is not null union all select sid, 1, array_to_string(list_slice(a, 1, 2), '') from two where before is not null),
+      {_tfidf("parts", "sid", "pos", 512)},
+      near as (select a.sid, sum(a.w * b.w) as s from tf_w a join tf_w b on a.sid = b.sid and a.pos = 0 and b.pos = 1 and a.term = b.term group by all)
+      select t.sid as stable_id, round(case when before is not null then 1 - coalesce(s, 0.0::double) end, 6) as boundary_quality from two t left join near using (sid)""",
+    "hierarchy_levels": _CHUNKS + "".join(f""",
+      i{k} as (select doc_id, "index", byte_start, byte_end, size, row_number() over (partition by doc_id order by "index") as r from {"(select doc_id, \"index\", byte_start, byte_end, char_count::bigint as size from chunks)" if k == 1 else f"h{k - 1}"}),
+      f{k} as (select doc_id, r, greatest(size, 1) as n, 0 as g from i{k} where r = 1 union all
+        select i.doc_id, i.r, case when f.n + greatest(i.size, 1) > {limit} then greatest(i.size, 1) else f.n + greatest(i.size, 1) end, case when f.n + greatest(i.size, 1) > {limit} then f.g + 1 else f.g end
+        from f{k} f join i{k} i on i.doc_id = f.doc_id and i.r = f.r + 1),
+      h{k} as (select i.doc_id, g::int as "index", min(byte_start) as byte_start, max(byte_end) as byte_end, sum(size)::bigint as size, min("index") as child_start, max("index") as child_end from f{k} join i{k} i using (doc_id, r) group by i.doc_id, g)"""
+      for k, limit in ((1, 2048), (2, 8192))) + """
+      select doc_id, 0 as level, "index", byte_start, byte_end, char_count::bigint as size, null::int as child_start, null::int as child_end from chunks
+      union all select doc_id, 1, "index", byte_start, byte_end, size, child_start, child_end from h1 union all select doc_id, 2, "index", byte_start, byte_end, size, child_start, child_end from h2""",
+    "line_overlap": _CHUNKS + """, l as (select *, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') as ls from chunks)
+      select doc_id, "index", lag(coalesce(ls[-1], '')) over (partition by doc_id order by "index") as overlap_text from l""",
+    "overlap_groups": _CHUNKS + """, g as (select doc_id, unnest(range(0, max("index") + 1)) as g from chunks group by doc_id)
+      select c.doc_id, (g.g // 2)::int as "index", min(byte_start) as byte_start, max(byte_end) as byte_end, string_agg(text, '' order by c."index") as text
+      from g join chunks c on c.doc_id = g.doc_id and g.g % 2 = 0 and c."index" >= g.g and c."index" < g.g + 3 group by c.doc_id, g.g""",
+    "budget_greedy": _CHUNKS + """, i as (select doc_id as query_id, "index"::bigint as pos, greatest(token_count, 1) as size, row_number() over (partition by doc_id order by round((char_count * 7 + nws_count * 13) % 101 / 100.0::double, 2) desc, "index") as r from chunks),
+      f as (select query_id, pos, r, case when size <= 300 then size else 0 end as used, size <= 300 as selected from i where r = 1
+        union all select i.query_id, i.pos, i.r, case when f.used + i.size <= 300 then f.used + i.size else f.used end, f.used + i.size <= 300 from f join i on i.query_id = f.query_id and i.r = f.r + 1)
+      select query_id, pos, selected from f""",
+    "order_yaml_sections": """select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as pos, 'order_' || o_orderkey as name,
+      'order_' || o_orderkey || ':' || chr(10) || '  status: ' || o_orderstatus || chr(10) || '  priority: ' || o_orderpriority || chr(10) as section from orders""",
+    "order_toml_sections": """select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as pos, 'order_' || o_orderkey as name,
+      '[order_' || o_orderkey || ']' || chr(10) || 'status = "' || o_orderstatus || '"' || chr(10) as section from orders""",
+    "chunk_documents": "select doc_id, 0 as byte_start, n::int as byte_end, n as bytes, 0 as blank from (select doc_id, strlen('# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || text || chr(10) || chr(10) || '- item' || chr(10)) as n from documents)",
+    "chunk_pages": "select page_id as doc_id, 0 as byte_start, strlen(html)::int as byte_end, strlen(html) as bytes, 0 as blank from pages",
+    "chunk_code": """select p_brand || '.py' as filepath, sum(strlen('def part_' || p_partkey || '(count):' || chr(10) || '    size = ' || p_size || chr(10) || '    return size * count' || chr(10) || chr(10) || chr(10)))::int as bytes,
+      sum(strlen('def part_' || p_partkey || '(count):' || chr(10) || '    size = ' || p_size || chr(10) || '    return size * count' || chr(10) || chr(10) || chr(10)))::bigint as covered, count(distinct p_partkey)::int as functions from part group by p_brand""",
+}
