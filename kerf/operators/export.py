@@ -20,9 +20,10 @@ def metadata(chunks: DataFrame) -> Column:
 
 
 def _joined(chunks: DataFrame, vectors: DataFrame, key: str, check: bool) -> DataFrame:
+    chunks = with_stable_id(chunks)
     if check and (chunks.select(key).exceptAll(vectors.select(key)).limit(1).count() or vectors.select(key).exceptAll(chunks.select(key)).limit(1).count()):
         raise ValueError("chunks and embeddings don't have the same keys")
-    return with_stable_id(chunks).join(vectors.select(key, "embedding"), key)
+    return chunks.join(vectors.select(key, "embedding"), key)
 
 
 def pinecone(chunks: DataFrame, vectors: DataFrame, key: str = "stable_id", namespace: str | None = None, check: bool = True) -> DataFrame:

@@ -27,8 +27,10 @@ def spans(text: str):
 
 def heuristic(text: str | None) -> list[tuple]:
     """(start, end, text, kind, confidence) in characters; a sentence is listed once, by the first pattern that it has."""
-    out = []
-    for a, b in spans(text or ""):
+    out: list[tuple] = []
+    if not text:
+        return out
+    for a, b in spans(text):
         piece = text[a:b]
         a += len(piece) - len(piece.lstrip())
         piece = piece.strip()

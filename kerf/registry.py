@@ -122,7 +122,7 @@ def chunk_coherence(spark, d):
 
 
 def chunk_boundary_quality(spark, d):
-    return analytics.boundary_quality(_chunks(spark, d)).select("stable_id", F.round("boundary_quality", 6).alias("boundary_quality"))
+    return analytics.boundary_quality(_chunks(spark, d)).select("stable_id", (F.round("boundary_quality", 6) + F.lit(0.0)).alias("boundary_quality"))
 
 
 def sentence_tfidf(spark, d):
@@ -401,7 +401,7 @@ ORACLES = {
       parts as (select sid, 0 as pos, array_to_string(list_slice(before, greatest(len(before) - 1, 1), len(before)), '') as text from two where before is not null union all select sid, 1, array_to_string(list_slice(a, 1, 2), '') from two where before is not null),
       {_tfidf("parts", "sid", "pos", 512)},
       near as (select a.sid, sum(a.w * b.w) as s from tf_w a join tf_w b on a.sid = b.sid and a.pos = 0 and b.pos = 1 and a.term = b.term group by all)
-      select t.sid as stable_id, round(case when before is not null then 1 - coalesce(s, 0.0::double) end, 6) as boundary_quality from two t left join near using (sid)""",
+      select t.sid as stable_id, round(case when before is not null then 1 - coalesce(s, 0.0::double) end, 6) + 0.0::double as boundary_quality from two t left join near using (sid)""",
     "hierarchy_levels": _CHUNKS + "".join(f""",
       i{k} as (select doc_id, "index", byte_start, byte_end, size, row_number() over (partition by doc_id order by "index") as r from {"(select doc_id, \"index\", byte_start, byte_end, char_count::bigint as size from chunks)" if k == 1 else f"h{k - 1}"}),
       f{k} as (select doc_id, r, greatest(size, 1) as n, 0 as g from i{k} where r = 1 union all
