@@ -102,7 +102,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         run, c = m.group(), m.group(1)
         n = len(run)
         if c in LEET:
-            options = [("", _DROP_LEET), (run if n < 3 else c, _LITERAL)]
+            # At the end of a token an exclamation mark is most often just that.
+            options = [("", _DROP if m.end() == len(token) and c in "!|+" else _DROP_LEET), (run if n < 3 else c, _LITERAL)]
             for letter in LEET[c]:
                 options += [(letter, _SUBSTITUTE)] if n == 1 else [(letter, _SUBSTITUTE + _ONCE), (letter * 2, _SUBSTITUTE + _TWICE)]
         elif c in NOISE or c.isspace():
