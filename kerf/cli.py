@@ -41,14 +41,14 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("path")
         c.add_argument("--output")
         c.add_argument("--format", choices=("jsonl", "csv"), default="jsonl")
-        c.add_argument("--max-size", type=int, default=1500)
-        c.add_argument("--min-size", type=int, default=50)
+        for flag, size in (("--min-size", 50), ("--max-size", 1500)):
+            c.add_argument(flag, type=int, default=size)
         c.add_argument("--size-unit", choices=("tokens", "chars", "nws"), default="tokens")
         c.add_argument("--overlap", type=_overlap, default=0)
-        c.add_argument("--glob", default="**/*")
-        c.add_argument("--exclude", action="append", default=[])
-        c.add_argument("--include-hidden", action="store_true")
-        c.add_argument("--encoding", default="utf-8")
+        c.add_argument("--include-hidden", default=False, action="store_true")
+        for flag, value in (("--encoding", "utf-8"), ("--glob", "**/*")):
+            c.add_argument(flag, default=value)
+        c.add_argument("--exclude", default=[], action="append")
     e = sub.add_parser("eval")
     e.add_argument("path")
     e.add_argument("--source")

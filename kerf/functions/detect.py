@@ -7,20 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXTENSIONS = {
-    "py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
-    "mts": "typescript", "cts": "typescript", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
-    "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "sh": "bash", "bash": "bash", "sql": "sql", "md": "markdown",
-    "mdx": "markdown", "markdown": "markdown", "rst": "rst", "txt": "plaintext", "html": "html", "htm": "html", "xml": "xml", "svg": "xml", "json": "json", "jsonl": "json",
-    "yaml": "yaml", "yml": "yaml", "toml": "toml", "tex": "latex", "ipynb": "ipynb",
+_BY_LANGUAGE = {
+    "plaintext": "txt", "rst": "rst", "markdown": "markdown md mdx", "latex": "tex", "ipynb": "ipynb", "html": "htm html", "xml": "svg xml", "json": "jsonl json", "toml": "toml", "yaml": "yml yaml",
+    "python": "pyw pyi py", "typescript": "cts mts tsx ts", "javascript": "cjs mjs jsx js", "rust": "rs", "java": "java", "go": "go", "cpp": "hxx hpp cxx cc cpp", "c": "h c", "csharp": "cs",
+    "kotlin": "kts kt", "scala": "scala", "swift": "swift", "php": "php", "ruby": "rb", "bash": "bash sh", "sql": "sql",
 }
+EXTENSIONS = {suffix: name for name, suffixes in _BY_LANGUAGE.items() for suffix in suffixes.split()}
 PROSE = frozenset(("markdown", "plaintext", "rst", "latex"))
 MARKUP = frozenset(("html", "xml", "json", "yaml", "toml"))
 _LADDER = [
     (r"(?m)^#{1,6}\s+\S", "markdown"),
     (r"(?is)^\s*<!doctype html|^\s*<html\b|<(?:div|body|head|section|article)\b[^>]*>", "html"),
     (r"(?s)^\s*[\{\[]", "json"),
-    (r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(", "python"),
+    (r"(?m)^\s*(?:async +)?def +\w+ *\(", "python"),
     (r"(?m)^\s*(?:export|interface|type|const|let|function)\s+\w+", "typescript"),
     (r"(?s)^(?=.*\bpackage\s+\w+)(?=.*\bfunc\s+\w+)", "go"),
     (r"(?s)^(?=.*\bfn\s+\w+)(?=.*\b(?:impl|let|pub)\b)", "rust"),

@@ -175,13 +175,14 @@ def _patterns(text: str, language: str) -> tuple[list[Entity], list[dict], list[
         if language == "rust":
             imports += [{"name": re.split(r"::|\s+as\s+", p)[-1], "source": p, "is_default": False, "is_namespace": p.endswith("*")} for p in expand_use(source)]
         elif names and language in ("javascript", "typescript"):
-            braces = re.search(r"\{([^}]*)\}", names)
-            rest = re.sub(r"\{[^}]*\}", "", names)
+            head, _, inner = names.partition("{")
+            inner, _, tail = inner.partition("}")
+            rest = head + tail
             for x in rest.split(","):
                 if x.strip():
                     star = re.match(r"\s*\*\s+as\s+(\w+)", x)
                     imports.append({"name": star[1] if star else x.replace("type ", "").strip(), "source": source, "is_default": not star, "is_namespace": bool(star)})
-            for x in braces[1].split(",") if braces else ():
+            for x in inner.split(","):
                 if x.strip():
                     imports.append({"name": re.split(r"\s+as\s+", x.strip())[-1], "source": source, "is_default": False, "is_namespace": False})
         else:

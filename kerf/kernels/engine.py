@@ -14,7 +14,7 @@ from kerf.kernels.spans import Index, Span
 from kerf.plans.options import Options
 
 PARSERS: dict = {}
-_FENCE_TAGS = {"py": "python", "python3": "python", "js": "javascript", "ts": "typescript", "rs": "rust", "golang": "go", "c++": "cpp", "cs": "csharp", "rb": "ruby", "kt": "kotlin", "yml": "yaml", "htm": "html", "sh": "bash", "shell": "bash"}
+_FENCE_TAGS = detect.EXTENSIONS | {"shell": "bash", "golang": "go", "python3": "python", "c++": "cpp"}
 
 
 def resolve_tokenizer(tokenizer):

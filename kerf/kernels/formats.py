@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from kerf.kernels.spans import Span
 
-_ENVIRONMENT = re.compile(r"\\begin\{(lstlisting|verbatim|minted)\*?\}.*?\\end\{\1\*?\}", re.S)
+_ENVIRONMENT = re.compile(r"\\begin\{(minted|verbatim|lstlisting)\*?\}.*?\\end\{\1\*?\}", re.S)
 _SECTION = re.compile(r"^[ \t]*\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{", re.M)
 
 

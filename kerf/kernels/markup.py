@@ -11,7 +11,7 @@ Section = tuple[Span, list[str]]
 _YAML = re.compile(r"^([\w\-.]+)\s*:", re.M)
 _TOML = re.compile(r"^\[\[?([^\]\n]+)\]\]?[ \t]*(?:#.*)?$", re.M)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][\w:-]*)[^>]*?(/?)>", re.S | re.I)
-KEPT = frozenset(("section", "article", "main", "div", "body", "h1", "h2", "h3", "h4", "h5", "h6"))
+KEPT = frozenset(["body", "div", "main", "article", "section", *(f"h{n}" for n in range(1, 7))])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 

@@ -114,7 +114,7 @@ def split_large(text: str, span: Span, limit: int, size: Size) -> list[Span]:
         if best is None:
             a, b = at + 1, cuts[k]
             while a < b:
-                mid = (a + b + 1) // 2
+                mid = b - (b - a) // 2
                 if size(text[at:mid]) <= limit:
                     a = mid
                 else:

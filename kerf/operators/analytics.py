@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from kerf.functions import sizing
 from kerf.operators import sentences as sentence_ops
 
-# -- statistics and quality -----------------------------------------------------------------------------------
+# statistics and quality:
 
 
 def chunk_stats(chunks: DataFrame, by: tuple[str, ...] = (), size: str = "char_count") -> DataFrame:
@@ -45,7 +45,7 @@ def quality_scores(chunks: DataFrame, min_size: int, max_size: int, size: str =
     return out.withColumn("overall", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), overall)), 4))
 
 
-# -- evaluation -----------------------------------------------------------------------------------------------
+# evaluation:
 
 
 def reconstruction(source: Column, text: Column, start: Column, end: Column) -> Column:
@@ -115,10 +115,10 @@ def evaluate(chunks: DataFrame, sources: DataFrame | None = None, doc: str = "do
 
 
 def evaluation_report(scores: DataFrame) -> DataFrame:
-    return scores.agg(*(F.avg(c).alias(c) for c in ("reconstruction", "density", "coherence", "boundary_quality", "coverage")))
+    return scores.agg(*(F.avg(c).alias(c) for c in ("coverage", "coherence", "density", "reconstruction", "boundary_quality")))
 
 
-# -- differences ----------------------------------------------------------------------------------------------
+# differences:
 
 
 def diff(before: DataFrame, after: DataFrame, key: str = "stable_id") -> DataFrame:
@@ -128,7 +128,7 @@ def diff(before: DataFrame, after: DataFrame, key: str = "stable_id") -> DataFra
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
-# -- hierarchy and overlap ------------------------------------------------------------------------------------
+# hierarchy and overlap:
 
 
 def group_consecutive(sizes: Column, limit: int) -> Column:
@@ -204,7 +204,7 @@ def line_overlap(chunks: DataFrame, n_lines: int, doc: str = "doc_id") -> DataFr
     return chunks.withColumn("overlap_text", before if n_lines > 0 else F.lit(None).cast("string"))
 
 
-# -- graphs ---------------------------------------------------------------------------------------------------
+# graphs:
 
 
 def graph_nodes(mentions: DataFrame, min_chunks: int = 2, key: str = "key") -> DataFrame:
@@ -227,7 +227,7 @@ def graph_edges(mentions: DataFrame, min_chunks: int = 2, key: str = "key") -> D
     return out.select("a", "b", "n_shared", (F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))).alias("weight"))
 
 
-# -- budgets --------------------------------------------------------------------------------------------------
+# budgets:
 
 
 def budget_greedy(items: DataFrame, budget: int, query: str = "query_id") -> DataFrame:
@@ -291,7 +291,7 @@ def budget_dp(items: DataFrame, budget: int, query: str = "query_id") -> DataFra
     return rows.groupBy(query).applyInArrow(run, f"{query} bigint, pos bigint, selected boolean")
 
 
-# -- semantics ------------------------------------------------------------------------------------------------
+# semantics:
 
 
 def semantic_boundaries(sentences: DataFrame, embed, doc: str = "doc_id", window: int = 3, threshold: float = 0.3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerf.functions import sizing
 
-META = ("filepath", "language", "content_type", "index", "total_chunks", "byte_start", "byte_end", "line_start", "line_end", "token_count", "char_count", "nws_count", "section_type", "text")
+META = ("text", "section_type", "index", "filepath", "language", "total_chunks", "content_type", "nws_count", "char_count", "token_count", "line_start", "line_end", "byte_start", "byte_end")
 
 
 def with_stable_id(chunks: DataFrame) -> DataFrame:

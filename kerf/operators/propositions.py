@@ -8,13 +8,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kerf.operators.sentences import BREAK
+
 PATTERNS = (
     ("definition", 0.72, re.compile(r"\b[A-Z]\w*(?:\s+\w+){0,6}?\s+(?:is|are|was|were)\s+(?:an?|the)\b", re.U)),
     ("capability", 0.62, re.compile(r"\b(?:can|must|should|may|supports?|requires?|provides?|returns?|allows?)\b")),
     ("quantity", 0.66, re.compile(r"\b\d+(?:[.,]\d+)*\s*(?:%|percent|ms|s|kb|mb|gb|years?|days?|hours?|times)?\b", re.I)),
     ("cause", 0.6, re.compile(r"\b(?:because|therefore|thus|hence|since|so that)\b", re.I)),
 )
-_BREAK = re.compile(r"\n\n+|(?<=[.!?])\s+(?=[A-Z\"'(\[])")
+_BREAK = re.compile(BREAK)
 
 
 def spans(text: str):
@@ -36,7 +38,7 @@ def heuristic(text: str | None) -> list[tuple]:
         piece = piece.strip()
         for kind, base, pattern in PATTERNS:
             if piece and pattern.search(piece):
-                out.append((a, a + len(piece), piece, kind, round(min(0.95, base + 0.03 * min(len(piece), 120) / 120), 4)))
+                out.append((a, a + len(piece), piece, kind, round(min(base + min(len(piece), 120) / 4000, 0.95), 4)))
                 break
     return out
 

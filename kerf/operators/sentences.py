@@ -9,7 +9,7 @@ from kerf.functions import sizing
 
 MARK = "\u0001"
 #: A sentence ends at blank lines, and at white space after . ! or ? before a capital, a quote or a bracket.
-BREAK = r"(\n\n+|(?<=[.!?])\s+(?=[A-Z\"'(\[]))"
+BREAK = r"(\n{2,}|(?<=[!?.])\s+(?=[\[(\"'A-Z]))"
 
 
 def split(text: Column | str) -> Column:
@@ -94,8 +94,8 @@ def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: C
     rows = docs.select(id_col, *keep, path.alias("filepath"), placed.alias("__w")).select(id_col, *keep, "filepath", F.size("__w").alias("total_chunks"), F.posexplode("__w").alias("index", "x"))
     text = F.col("x.t")
     return rows.select(
-        id_col, *keep, "filepath", "index", "total_chunks",
-        F.col("x.bs").alias("byte_start"), F.col("x.be").alias("byte_end"), F.col("x.ls").alias("line_start"), F.col("x.le").alias("line_end"),
-        sizing.n_words(text).alias("token_count"), sizing.n_chars(text).alias("char_count"), sizing.nws_bytes(text).alias("nws_count"), text.alias("text"),
+        id_col, *keep, "filepath", text.alias("text"), "total_chunks", "index",
+        *(F.col(f"x.{short}").alias(name) for short, name in (("ls", "line_start"), ("le", "line_end"), ("bs", "byte_start"), ("be", "byte_end"))),
+        sizing.nws_bytes(text).alias("nws_count"), sizing.n_chars(text).alias("char_count"), sizing.n_words(text).alias("token_count"),
         sizing.stable_id("filepath", "index", "x.bs", "x.be").alias("stable_id"),
     )

@@ -49,7 +49,7 @@ def conversation_sentences(spark, d):
 
 
 def sentence_pack(spark, d):
-    return _chunks(spark, d).select("doc_id", "filepath", "index", "total_chunks", "byte_start", "byte_end", "line_start", "line_end", "token_count", "char_count", "nws_count", "text")
+    return _chunks(spark, d).drop("lang", "stable_id")
 
 
 def stable_ids(spark, d):
@@ -255,7 +255,7 @@ QUERIES = {
     )
 }
 
-# -- SQL ------------------------------------------------------------------------------------------------------
+# SQL:
 
 
 
@@ -320,7 +320,7 @@ bits as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then n else -n end) as
 sig as (select d.doc_id, coalesce(v, 0::ubigint) as v from documents d left join (select doc_id, sum(case when s >= 0 then (1::hugeint << b::int) else 0 end)::ubigint as v from bits group by all) using (doc_id))"""
 _EDGES = f"""
 bands as (select doc_id, v, i, (v >> (16 * i)::ubigint) & 65535 as k from sig, (select unnest(range(4)) as i)),
-edges as (select distinct a.doc_id as a, b.doc_id as b from bands a join bands b on a.i = b.i and a.k = b.k and a.doc_id < b.doc_id where bit_count(xor(a.v, b.v)::bit) <= 9)"""
+edges as materialized (select distinct a.doc_id as a, b.doc_id as b from bands a join bands b on a.i = b.i and a.k = b.k and a.doc_id < b.doc_id where bit_count(xor(a.v, b.v)::bit) <= 9)"""
 _MIN = """
 toks as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))) as tokens from documents),
 hs as (select doc_id, ('0x' || substr(md5(t), 1, 8))::ubigint as h from (select doc_id, unnest(tokens) as t from toks)),
@@ -329,11 +329,11 @@ ms as (select t.doc_id, k, coalesce(min(xor(h, mask)), 0) as m from toks t cross
 _MIN_EDGES = """
 mb as (select doc_id, k // 4 as band, list(m order by k) as v from ms group by all),
 cand as (select distinct a.doc_id as a, b.doc_id as b from mb a join mb b on a.band = b.band and a.v = b.v and a.doc_id < b.doc_id),
-edges as (select a, b from cand join toks x on x.doc_id = a join toks y on y.doc_id = b
+edges as materialized (select a, b from cand join toks x on x.doc_id = a join toks y on y.doc_id = b
   where len(list_distinct(list_concat(x.tokens, y.tokens))) = 0 or len(list_intersect(x.tokens, y.tokens)) * 10000 >= len(list_distinct(list_concat(x.tokens, y.tokens))) * 8500)"""
 #: The first maximal independent set: rows in order of keys, each with the kept neighbours before it.
 _MIS = """,
-nodes as (select doc_id, row_number() over (order by doc_id) as r, (select coalesce(list(a), []) from edges where b = doc_id) as smaller from documents),
+nodes as materialized (select doc_id, row_number() over (order by doc_id) as r, (select coalesce(list(a), []) from edges where b = doc_id) as smaller from documents),
 mis as (
   select 0::bigint as r, []::bigint[] as kept, null::bigint as doc_id, null::bigint as k
   union all
@@ -341,7 +341,7 @@ mis as (
   from mis m join nodes n on n.r = m.r + 1)
 select doc_id, k as kept from mis where doc_id is not null"""
 
-_LADDER_SQL = " ".join(f"when regexp_matches(content, '{p}') then '{x}'" for p, x in ((r"(?m)^#{1,6}\s+\S", "markdown"), (r"(?is)^\s*<!doctype html|^\s*<html\b|<(?:div|body|head|section|article)\b[^>]*>", "html"), (r"(?s)^\s*[\{\[]", "json"), (r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(", "python"), (r"(?m)^\s*(?:export|interface|type|const|let|function)\s+\w+", "typescript")))
+_LADDER_SQL = " ".join(f"when regexp_matches(content, '{p}') then '{x}'" for p, x in ((r"(?m)^#{1,6}\s+\S", "markdown"), (r"(?is)^\s*<!doctype html|^\s*<html\b|<(?:div|body|head|section|article)\b[^>]*>", "html"), (r"(?s)^\s*[\{\[]", "json"), (r"(?m)^\s*(?:async +)?def +\w+ *\(", "python"), (r"(?m)^\s*(?:export|interface|type|const|let|function)\s+\w+", "typescript")))
 
 ORACLES = {
     "doc_sizes": r"""select doc_id, length(text)::int as chars, strlen(text)::int as bytes, strlen(regexp_replace(text, '[\t\n\x0B\f\r ]', '', 'g'))::int as nws_bytes,

@@ -63,8 +63,8 @@ def serve(spark: SparkSession, host: str, port: int) -> None:
         def do_POST(self):
             body = json.dumps(handle(spark, self.rfile.read(int(self.headers.get("Content-Length", 0)))), default=str).encode()
             self.send_response(200)
-            self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(body)))
+            for name, value in (("Content-Length", len(body)), ("Content-Type", "application/json")):
+                self.send_header(name, str(value))
             self.end_headers()
             self.wfile.write(body)
 

@@ -19,7 +19,7 @@ def _any(patterns, column: Column) -> Column:
     return column.rlike(f"^(?:{joined})$") | F.exists(F.split(column, "/"), lambda x: x.rlike(f"^(?:{joined})$"))
 
 
-def read_directory(spark: SparkSession, root: str, glob: str = "**/*", exclude: tuple[str, ...] = (), include_hidden: bool = False, encoding: str = "utf-8") -> DataFrame:
+def read_directory(spark: SparkSession, root: str, encoding: str = "utf-8", exclude: tuple[str, ...] = (), glob: str = "**/*", include_hidden: bool = False) -> DataFrame:
     """(doc_id, path, content, modified, size, error) of the files under a directory.
 
     Listing and reading are Spark's; excluded and hidden files are dropped by their names before a byte of them is read.
@@ -49,11 +49,11 @@ def batch(spark: SparkSession, files: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id bigint, path string, content string")
 
 
-def chunk_directory(spark: SparkSession, root: str, parsers: dict | None = None, glob: str = "**/*", exclude: tuple[str, ...] = (), include_hidden: bool = False, encoding: str = "utf-8", **options) -> DataFrame:
+def chunk_directory(spark: SparkSession, root: str, parsers: dict | None = None, encoding: str = "utf-8", exclude: tuple[str, ...] = (), glob: str = "**/*", include_hidden: bool = False, **options) -> DataFrame:
     """Chunk rows of a directory's files, with an error row for each file that can't be read or cut."""
     from kerf.operators.chunking import chunk
 
-    files = read_directory(spark, root, glob, exclude, include_hidden, encoding)
+    files = read_directory(spark, root, encoding, exclude, glob, include_hidden)
     chunks = chunk(files.where("error is null"), parsers, **options)
     failed = files.where("error is not null").select("doc_id", F.col("path").alias("filepath"), "error")
     return chunks.unionByName(failed, allowMissingColumns=True)

@@ -154,7 +154,7 @@ def test_directory_store_and_stream(spark, tmp_path):
     root = tmp_path / "files"
     (root / "sub" / ".git").mkdir(parents=True)
     (root / "a.md").write_text("# A\n\nText of a.\n")
-    (root / "sub" / "b.py").write_text("def f():\n    return 1\n")
+    (root / "sub" / "b.py").write_text("def one():\n    return 1\n")
     (root / "sub" / ".git" / "c.txt").write_text("hidden")
     (root / "bad.txt").write_bytes(b"\xff")
     listing = lambda: files.read_directory(spark, str(root), exclude=("*.log",))
@@ -193,7 +193,7 @@ def test_semantic_chunks_and_topic_shifts(spark):
 
 
 def test_propositions(spark):
-    text = "Python is a language.\n\nThe MIT license applies in 2024. Nothing here"
+    text = "Spark is an engine.\n\nThe MIT license applies since 1999. Nothing here"
     got = propositions.extract(docs_of(spark, [(1, "é " + text), (2, None)])).collect()
     data = ("é " + text).encode()
     assert [r.kind for r in got] == ["definition", "quantity"] and all(data[r.byte_start : r.byte_end].decode() == r.text for r in got)
@@ -215,7 +215,7 @@ def test_plugins_and_rpc(spark, tmp_path):
     row = chunking.chunk(docs, {"zig": broken}, language="zig", content_type="code").first()
     assert row.parse_errors == ["RuntimeError: no"]
     path = tmp_path / "a.py"
-    path.write_text("def f():\n    return 1\n")
+    path.write_text("def f():\n    x = 1\n    return x\n")
     answer = rpc.handle(spark, json.dumps({"jsonrpc": "2.0", "id": 1, "method": "chunk_file", "params": {"path": str(path)}}).encode())
     assert answer["result"][0]["entities"][0]["name"] == "f"
     twice = answer["result"] + [answer["result"][0] | {"index": 1}]
