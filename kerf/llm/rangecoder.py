@@ -52,6 +52,24 @@ class _Encoder:
         self.low[lanes] = low
         self.range[lanes] = r
 
+    def put_all(self, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> None:
+        """``put`` for several intervals, one after another, of the same lanes."""
+        rng, low, used = self.range[lanes], self.low[lanes], self.used[lanes]
+        if len(used) and used.max() + 8 >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+        for start, size, total in zip(starts, sizes, totals):
+            r = rng // total
+            low += r * start
+            rng = r * size
+            short = np.flatnonzero(rng < (1 << 32))
+            if len(short):
+                shifted = low[short]
+                self.words[lanes[short], used[short]] = shifted >> np.uint64(32)
+                used[short] += 1
+                low[short] = (shifted & np.uint64(0xFFFFFFFF)) << np.uint64(16)
+                rng[short] <<= np.uint64(16)
+        self.range[lanes], self.low[lanes], self.used[lanes] = rng, low, used
+
     def finish(self) -> list[bytes]:
         """The streams: words of 16 bits with all carries done."""
         every = np.arange(len(self.low))
@@ -95,114 +113,131 @@ class _Decoder:
         self.range[lanes] = r
 
 
+#: What coding a group of four bits adds to its cumulative counts.
+_ADD = np.triu(np.full((16, 17), 24, np.uint16), 1)
+_LEVELS = (1, 16, 256, 4096)
+#: Where the statistics of a lane are: own record, joint record, recent successes.
+_OWN, _JOINT, _RECENT, _STATS = 0, 8, 136, 152
+
+
+def _halve(counts: np.ndarray, rows: np.ndarray) -> None:
+    steps = np.diff(counts[rows].astype(np.int32), axis=1)
+    counts[rows, 1:] = np.cumsum((steps >> 1) | 1, axis=1).astype(np.uint16)
+
+
 def _run(coder, tokens: np.ndarray, lengths: np.ndarray, reading: bool) -> None:
     """Codes ``tokens`` (lanes x steps), or fills them; lanes are sorted by length, longest first."""
     lanes, steps = tokens.shape
-    every = np.arange(lanes)
     slots = 1 << _SLOTS
-    # predictions[o]: ids + 1 of the order's contexts, 0 for none; trust[o]: right answers in a row.
-    predictions = np.zeros((2, lanes * slots), np.int32)
-    trust = np.zeros((2, lanes * slots), np.int32)
-    own = np.full((2, lanes * 8), 1 << 15, np.int32)
-    joint = np.full((2, lanes * 128), 1 << 15, np.int32)
-    recent = np.full((2, lanes * 16), 1 << 15, np.int32)
-    past = np.zeros((2, lanes), np.int32)
+    # What followed a context last, as (id + 1) * 8 + right answers in a row; 0 for nothing.
+    memo = np.zeros(2 * lanes * slots, np.int32)
+    stats = np.full(2 * lanes * _STATS, 1 << 15, np.int32)
     weight = np.full((3, 2, lanes), 26000, np.int32)
-    counts = [np.ones((lanes * (16**k), 16), np.uint16) for k in range(4)]
-    sums = [np.full(lanes * (16**k), 16, np.int32) for k in range(4)]
-    nibbles = np.arange(16, dtype=np.int32)
-    w2 = w1 = np.zeros(lanes, np.int64)
-    two = np.arange(2)[:, None]
+    past = np.zeros((2, lanes), np.int32)
+    # Cumulative counts of order 0, by lane and the bits before.
+    begins = np.concatenate(([0], np.cumsum([lanes * n for n in _LEVELS])))
+    counts = np.tile(np.arange(17, dtype=np.uint16), (int(begins[-1]), 1))
+    flat = counts.reshape(-1)
+    level = np.array(_LEVELS)[:, None]
+    shifts = np.array([16, 12, 8, 4])[:, None]
+    lane = np.arange(lanes)
+    lane_memo = (lane + np.array([[0], [lanes]])) * slots
+    lane_stats = (lane + np.array([[0], [lanes]])) * _STATS
+    before = np.zeros((2, lanes), np.int64)
     active = lanes
+    columns = np.ascontiguousarray(tokens.T)
     for t in range(steps):
         while active and lengths[active - 1] <= t:
             active -= 1
         if not active:
             break
         a = slice(0, active)
-        who = every[a]
-        place = np.empty((2, active), np.int64)
-        p1, p2 = w1[a], w2[a]
-        place[0] = ((p2 * 0x2F0B4C47 + p1 * 0x9E3779B1) >> 13) & (slots - 1)
-        place[1] = ((p1 * 0x9E3779B1) >> 15) & (slots - 1)
-        place += who * slots
-        guess = predictions[two, place]
-        sure = trust[two, place]
+        spread = before[1, a] * 0x9E3779B1
+        place = lane_memo[:, a].copy()
+        place[0] += ((before[0, a] * 0x2F0B4C47 + spread) >> 13) & (slots - 1)
+        place[1] += (spread >> 15) & (slots - 1)
+        known = memo[place]
+        guess, sure = known >> 3, known & 7
+        equal = guess[0] == guess[1]
         there = guess > 0
-        there[1] &= guess[1] != guess[0]
-        i_own = who * 8 + np.minimum(sure, 7)
-        both = np.minimum(sure, 7)
-        i_joint = np.broadcast_to(who * 128 + both[0] * 16 + both[1] * 2 + (guess[0] == guess[1]), (2, active))
-        i_past = who * 16 + past[:, a]
-        s = (_STRETCH[own[two, i_own] >> 4], _STRETCH[joint[two, i_joint] >> 4], _STRETCH[recent[two, i_past] >> 4])
+        there[1] &= ~equal
+        at = np.empty((3, 2, active), np.int64)
+        at[:] = lane_stats[:, a]
+        at[0] += sure
+        at[1] += _JOINT + sure[0] * 16 + sure[1] * 2 + equal
+        at[2] += _RECENT + past[:, a]
+        q = stats[at]
+        s = _STRETCH[q >> 4]
         w = weight[:, :, a]
-        dot = (w[0] * s[0] + w[1] * s[1] + w[2] * s[2]) >> 16
-        p = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
-        right2 = np.where(there[0], p[0], 0).astype(np.uint64)
-        right1 = np.where(there[1], ((_TOTAL - right2.astype(np.int64)) * p[1]) >> 16, 0).astype(np.uint64)
+        dot = (w * s).sum(0, dtype=np.int32) >> 16
+        np.clip(dot, -2047, 2047, out=dot)
+        p = _SQUASH[dot + 2048]
+        right2 = p[0] * there[0]
+        right1 = (((_TOTAL - right2).astype(np.int64) * p[1]) >> 16) * there[1]
         if reading:
-            v = coder.peek(a, np.uint64(_TOTAL))
-            kind = np.where(v < right2, 0, np.where(v < right2 + right1, 1, 2))
+            v = coder.peek(a, np.uint64(_TOTAL)).astype(np.int64)
+            kind = (v >= right2).astype(np.int8) + (v >= right2 + right1)
         else:
-            token = tokens[a, t].astype(np.int32)
+            token = columns[t, a].astype(np.int32)
             hit = there & (guess == token + 1)
             kind = np.where(hit[0], 0, np.where(hit[1], 1, 2))
-        start = np.where(kind == 0, 0, np.where(kind == 1, right2, right2 + right1)).astype(np.uint64)
-        size = np.where(kind == 0, right2, np.where(kind == 1, right1, _TOTAL - right2 - right1)).astype(np.uint64)
+        edges = np.stack([np.zeros_like(right1), right2, right2 + right1, np.full_like(right1, _TOTAL)])
+        who = lane[a]
+        start = edges[kind, who]
+        size = (edges[kind + 1, who] - start).astype(np.uint64)
+        start = start.astype(np.uint64)
         if reading:
             coder.take(a, start, size)
             token = np.where(kind == 0, guess[0], guess[1]) - 1
         else:
             coder.put(a, start, size, np.uint64(_TOTAL))
         plain = np.flatnonzero(kind == 2)
-        if len(plain):
-            base, prefix = plain.copy(), np.zeros(len(plain), np.int64)
-            value = None if reading else token[plain]
+        if len(plain) and not reading:
+            value = token[plain]
+            rows = begins[:4, None] + plain * level + (value >> shifts)
+            nib = (value >> (shifts - 4)) & 15
+            cell = rows * 17 + nib
+            low, high, total = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64), flat[rows * 17 + 16]
+            coder.put_all(plain, low, high - low, total.astype(np.uint64))
+            every = rows.reshape(-1)
+            counts[every] += _ADD[nib.reshape(-1)]
+            big = np.flatnonzero(total.reshape(-1) > _LIMIT - 64)
+            if len(big):
+                _halve(counts, every[big])
+        elif len(plain):
+            prefix = np.zeros(len(plain), np.int64)
             for k in range(4):
-                row = base * (16**k) + prefix
-                c = counts[k][row]
-                total = sums[k][row]
-                ends = np.cumsum(c, 1, dtype=np.int32)
-                if reading:
-                    v = coder.peek(plain, total.astype(np.uint64)).astype(np.int32)
-                    nib = (ends <= v[:, None]).sum(1)
-                else:
-                    nib = (value >> (12 - 4 * k)) & 15
-                local = np.arange(len(plain))
-                f = c[local, nib]
-                begin = (ends[local, nib] - f).astype(np.uint64)
-                if reading:
-                    coder.take(plain, begin, f.astype(np.uint64))
-                else:
-                    coder.put(plain, begin, f.astype(np.uint64), total.astype(np.uint64))
-                counts[k].reshape(-1)[row * 16 + nib] += 24
-                sums[k][row] = total + 24
-                if t & 255 == 255 or total.max() > _LIMIT - 64:
-                    big = row[sums[k][row] > _LIMIT - 64]
-                    if len(big):
-                        counts[k][big] = (counts[k][big] >> 1) | 1
-                        sums[k][big] = counts[k][big].sum(1)
+                row = begins[k] + plain * _LEVELS[k] + prefix
+                c = counts[row].astype(np.int64)
+                v = coder.peek(plain, c[:, 16].astype(np.uint64)).astype(np.int64)
+                nib = (c[:, 1:] <= v[:, None]).sum(1)
+                here = np.arange(len(plain))
+                low = c[here, nib]
+                coder.take(plain, low.astype(np.uint64), (c[here, nib + 1] - low).astype(np.uint64))
+                counts[row] += _ADD[nib]
+                big = np.flatnonzero(c[:, 16] > _LIMIT - 64)
+                if len(big):
+                    _halve(counts, row[big])
                 prefix = prefix * 16 + nib
-            if reading:
-                token[plain] = prefix
+            token[plain] = prefix
+        same = guess == token + 1
         if reading:
-            tokens[a, t] = token
-            hit = there & (guess == token + 1)
+            columns[t, a] = token
+            hit = there & same
         judged = there.copy()
         judged[1] &= kind != 0
-        target = np.where(hit, _TOTAL - 1, 0)
-        error = np.where(judged, target - p, 0) >> 4
-        for k in range(3):
-            weight[k][:, a] = np.clip(w[k] + ((s[k] * error) >> 12), -200_000, 200_000)
-        for table, i in ((own, i_own), (joint, i_joint), (recent, i_past)):
-            q = table[two, i]
-            table[two, i] = q + np.where(judged, (target - q) >> 5, 0)
-        past[:, a] = np.where(judged, ((past[:, a] << 1) | hit) & 15, past[:, a])
-        same = guess == token + 1
-        predictions[two, place] = token + 1
-        trust[two, place] = np.where(same, np.minimum(sure + 1, 7), 0)
-        w2, w1 = w1.copy(), w1.copy()
-        w2[a], w1[a] = p1, token
+        target = hit * (_TOTAL - 1)
+        error = ((target - p) * judged) >> 4
+        w += (s * error) >> 12
+        np.clip(w, -200_000, 200_000, out=w)
+        stats[at] = q + (((target - q) >> 5) * judged)
+        moved = ((past[:, a] << 1) | hit) & 15
+        past[:, a] = np.where(judged, moved, past[:, a])
+        memo[place] = ((token + 1) << 3) | np.where(same, np.minimum(sure + 1, 7), 0)
+        before[0, a] = before[1, a]
+        before[1, a] = token
+    if reading:
+        tokens[:] = columns.T
 
 
 def _matrix(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

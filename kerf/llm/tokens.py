@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
+#: Ids of the stretches that a worker has met, by tokenizer and hash; emptied when there are too many.
+_SEEN: dict[str, dict[int, list[int]]] = {}
+_MOST_SEEN = 400_000
+
+
 @functools.cache
 def encoding(path: str = TOKENIZER, pattern: str = PATTERN) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -54,12 +60,20 @@ def encode(col: pa.Array, path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, len(raw)))
     h = vec.hash_runs(raw, lengths)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    pieces = [data[s : s + k].decode() for s, k in zip(starts[first].tolist(), lengths[first].tolist())]
-    lists = [enc.encode_ordinary(p) for p in pieces]
+    different, first, which = np.unique(h, return_index=True, return_inverse=True)
+    seen = _SEEN.setdefault(path, {})
+    if len(seen) > _MOST_SEEN:
+        seen.clear()
+    keys = different.tolist()
+    lists = [seen.get(k) for k in keys]
+    fresh = [i for i, x in enumerate(lists) if x is None]
+    if fresh:
+        data = raw.tobytes()
+        at = first[fresh]
+        for i, s, k in zip(fresh, starts[at].tolist(), lengths[at].tolist()):
+            lists[i] = seen[keys[i]] = enc.encode_ordinary(data[s : s + k].decode())
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.uint16, int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint16, int(sizes.sum()))
     at = np.cumsum(sizes) - sizes
     n_ids = sizes[which]
     rows = np.searchsorted(starts, offsets)
