@@ -20,6 +20,7 @@ repeated rows get equal scores; extra columns are ignored; empty tables give non
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from dataclasses import dataclass
@@ -35,9 +36,10 @@ from kerf.llm import chars, vec
 #: Labelled rows that stems are learned from at most, those of least hash; half of them toxic where there are as many.
 MAX_LABELLED = 20_000
 MIN_RATIO, MIN_STEM, MAX_STEM = 8.0, 3, 16
-#: Nats by which a stem's toxic share must be surprising (chance at most e**-20 for one prefix, of millions tried), and the
-#: part of a stem's evidence that a longer stem may lose in its place.
-MIN_EVIDENCE, MAX_LOST = 20.0, 0.02
+#: Nats by which a stem's toxic share must be surprising: chance at most e**-20 for one prefix, of millions tried.
+MIN_EVIDENCE = 20.0
+#: Words by which a toxic document is explained.
+ENOUGH = 3
 MIN_THRESHOLD = 3.0
 LEXICON_SHARE = 0.3
 
@@ -247,25 +249,46 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     found = found.where("t > 0").withColumn("evidence", evidence).withColumn("ratio", ratio)
     kept = found.where((F.col("evidence") >= MIN_EVIDENCE) & (F.col("ratio") >= MIN_RATIO)).collect()
     by_word.unpersist()
-    by = {r.stem: r for r in kept}
+    if not kept:
+        return {}
+    # Copies of a toxic document make all their words look toxic, so stems are chosen by what they explain: the one with most
+    # evidence first, and a document no longer counts once ENOUGH of its words are explained.
+    names = F.broadcast(rows.sparkSession.createDataFrame([(r.stem,) for r in kept], "stem string"))
+    pairs = rows.where("toxic").select("doc_id", word).select("doc_id", prefix).join(names, "stem").groupBy("stem", "doc_id").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "n"))).alias("docs"))
+    docs = {r.stem: r.docs for r in pairs.collect()}
+    holders: dict[int, list[str]] = {}
+    for stem, held in docs.items():
+        for d in held:
+            holders.setdefault(d, []).append(stem)
+    missing = dict.fromkeys(holders, ENOUGH)
+    clean = {r.stem: r.c for r in kept}
+    ratios = {r.stem: r.ratio for r in kept}
+
+    def gain(stem: str) -> float:
+        t, c = sum(docs[stem].values()), clean[stem]
+        return t * math.log(t / (t + c) / prior) + (c * math.log(c / (t + c) / max(1 - prior, 1e-9)) if c else 0.0) if t else 0.0
+
+    # Gains only fall, so a stem whose gain is still the greatest bound of all is the best one.
+    heap = [(-gain(x), -len(x), x) for x in docs]
+    heapq.heapify(heap)
     stems: dict[str, float] = {}
-    for stem in sorted(by, key=lambda x: (len(x), x)):
-        if any(stem[:k] in stems for k in range(MIN_STEM, len(stem))):
+    while heap:
+        bound, _, stem = heapq.heappop(heap)
+        now = gain(stem)
+        if now < MIN_EVIDENCE or sum(docs[stem].values()) < MIN_RATIO * clean[stem] * total_t / max(total_c, 1):
+            continue
+        if now < -bound - 1e-9:
+            heapq.heappush(heap, (-now, -len(stem), stem))
+            continue
+        if any(x.startswith(stem) or stem.startswith(x) for x in stems):
             continue
-        # The prefix with most evidence says it best; of equal ones the longest.
-        best, grown = stem, True
-        while grown:
-            grown = False
-            for r in sorted((x for x in by.values() if len(x.stem) == len(best) + 1 and x.stem.startswith(best)), key=lambda x: (-x.t, x.stem)):
-                if r.evidence >= (1 - MAX_LOST) * by[best].evidence:
-                    best, grown = r.stem, True
-                    break
-        stems[best] = math.log(by[best].ratio)
-        if best != stem:
-            # What the longer stem loses may have stems of its own.
-            for r in by.values():
-                if r.stem.startswith(stem) and not r.stem.startswith(best) and not best.startswith(r.stem) and not any(r.stem[:k] in stems for k in range(MIN_STEM, len(r.stem))):
-                    stems[r.stem] = math.log(r.ratio)
+        stems[stem] = math.log(ratios[stem])
+        for d, n in list(docs[stem].items()):
+            missing[d] -= n
+            if missing[d] <= 0:
+                for other in holders[d]:
+                    docs[other].pop(d, None)
     return stems
 
 
