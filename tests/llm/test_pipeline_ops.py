@@ -23,7 +23,7 @@ def words(rng, n, size=400):
     return [f"w{int(i)}x" for i in rng.integers(0, size, n)]
 
 
-# -- 4 ---------------------------------------------------------------------------------------------------------
+# 4:
 
 
 def test_decision_list_is_right_on_held_out_rows(spark):
@@ -67,7 +67,7 @@ def test_covering_finds_planted_conjunction():
     assert (found == ~good).mean() > 0.97
 
 
-# -- 9 ---------------------------------------------------------------------------------------------------------
+# 9:
 
 
 def test_golay_decoding_is_perfect_and_keys_meet_within_two_bits():
@@ -151,7 +151,7 @@ def test_components_of_chains_and_cliques(spark):
     assert got == expected
 
 
-# -- 10 --------------------------------------------------------------------------------------------------------
+# 10:
 
 
 def test_every_accepted_overlap_that_a_mask_can_hit_is_found(spark):
@@ -190,7 +190,7 @@ def test_no_benchmark_and_no_documents(spark):
     assert decontaminate.decontaminate(table(spark, []), bench).count() == 0
 
 
-# -- 6 ---------------------------------------------------------------------------------------------------------
+# 6:
 
 
 def test_positions_match_sql_on_odd_rows(spark):
@@ -219,7 +219,7 @@ def test_schedules_are_inverted(spark):
         curriculum.positions(table(spark, rows), {"a": [(0, -1)]})
 
 
-# -- 5 ---------------------------------------------------------------------------------------------------------
+# 5:
 
 
 def test_ids_are_the_tokenizers_own():
@@ -258,7 +258,7 @@ def test_documents_come_back_from_blocks(spark):
     assert blocks.write_blocks(table(spark, [])).count() == 0
 
 
-# -- the pipeline ----------------------------------------------------------------------------------------------
+# the pipeline:
 
 
 def test_stages_follow_their_operators(spark, sf_dir):
