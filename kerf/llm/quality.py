@@ -53,7 +53,7 @@ Rule = tuple[Condition, ...]
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds a struct ``__stats`` of FEATURES as doubles."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__t", t).withColumn("__w", F.expr("filter(split(__t, '\\\\s+'), w -> w <> '')")).withColumn("__l", F.expr("filter(split(__t, '\\n'), l -> trim(l) <> '')"))
+    df = df.withColumn("__t", t).withColumn("__w", F.array_remove(F.split("__t", r"\s+"), "")).withColumn("__l", F.array_remove(F.split("__t", r"\s*\n\s*"), ""))
     chars, words, lines = F.length("__t"), F.size("__w"), F.size("__l")
 
     def share(n: Column, of: Column) -> Column:
@@ -122,6 +122,16 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
 
 
+def _tightest(rule: Rule) -> Rule:
+    """One condition for each feature and direction: the one that the others follow from."""
+    kept: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        k = (c.feature, c.above)
+        if k not in kept or (c.threshold > kept[k].threshold) == c.above:
+            kept[k] = c
+    return tuple(kept.values())
+
+
 def fit(x: np.ndarray, quality: np.ndarray) -> list[Rule]:
     """The decision list for rows of FEATURES and their quality, 0 or 1; every third row, in the order given, is for pruning."""
     bad = np.asarray(quality) == 0
@@ -136,7 +146,7 @@ def fit(x: np.ndarray, quality: np.ndarray) -> list[Rule]:
         p_all = bad[m].sum()
         if not rule or p_all < MIN_COVERED or (n and p / n < MIN_PRECISION) or p_all / m.sum() < MIN_PRECISION:
             break
-        rules.append(rule)
+        rules.append(_tightest(rule))
         left &= ~m
     return rules
 
