@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, pitmanyor, quality, toxicity, transcripts, wrappers
+from kerf.llm import blocks, curriculum, decontaminate, neardup, pii, quality, restaurants, toxicity, transcripts, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,7 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return pitmanyor.score(docs, pitmanyor.learn(docs))
+    return restaurants.perplexities(_table(spark, sf_dir, "documents"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

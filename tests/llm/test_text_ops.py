@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kerf.llm import chars, pii, pitmanyor, toxicity, transcripts, vec, wrappers
+from kerf.llm import chars, pii, pitmanyor, restaurants, toxicity, transcripts, vec, wrappers
 
 SF = "/root/testdata/sf0.01"
 
@@ -326,3 +326,24 @@ def test_perplexities_of_odd_rows(spark):
     assert got[3].perplexity is None and got[4].perplexity is None and got[5].n_symbols == 160000 and got[None].perplexity > got[5].perplexity
     flat = pitmanyor.learn(df.limit(0), sweeps=2, burn_in=1)
     assert np.allclose(flat, -math.log(chars.SIZE), atol=1e-5) and pitmanyor.score(df.limit(0), flat).count() == 0
+
+
+def test_perplexities_tell_scripts_and_word_order_apart(spark):
+    rows = [(1, "мама мыла раму"), (2, "мама мыла раму"), (3, "папа бил вазу"), (4, None), (5, ""), (None, "the cat sat on the mat"), (6, "mat the on sat cat the")]
+    rows += [(100 + i, "the cat sat on the mat") for i in range(30)] + [(200 + i, f"мама мыла {i}") for i in range(30)]
+    df = table(spark, rows).withColumn("log_prob", F.lit("clash"))
+    for bucket in (restaurants.BUCKET, 100):
+        got = {r.doc_id: r for r in restaurants.perplexities(df, bucket).collect()}
+        assert len(got) == len(rows) and got[1].perplexity == pytest.approx(got[2].perplexity) and got[1].n_symbols == got[2].n_symbols
+        assert got[4].perplexity is None and got[5].perplexity is None and got[5].n_symbols == 0
+        assert got[3].perplexity != pytest.approx(got[1].perplexity, rel=0.05) and got[6].perplexity > 2 * got[None].perplexity
+        assert got[None].perplexity == pytest.approx(math.exp(-got[None].log_prob / got[None].n_symbols))
+
+
+def test_cells_have_the_probabilities_of_their_restaurants():
+    root = np.full(restaurants.SIZE, 1 / restaurants.SIZE)
+    cells = np.arange(restaurants.SIZE, dtype=np.int64) | 7 << 32 | 9 << 16
+    counts = np.zeros(restaurants.SIZE, np.int64) + 1
+    counts[5] = 1000
+    p = restaurants.probabilities(cells, counts, root)
+    assert p.sum() == pytest.approx(1) and p[5] > 0.01 and p.argmax() == 5
