@@ -3,15 +3,15 @@
 A page is a stream of tags and texts.  Stretches that follow one another equally become repeated groups, so
 pages with more or fewer items have one form.  The different forms of a host, the most frequent first, are aligned
 with its wrapper one after another; where they differ, what only one has becomes an optional group, and a group that
-one repeats is repeated in the wrapper.  Texts are slots of the wrapper.  A slot that says the same on most of its pages
-belongs to the template, as do slots in navigation and links; the others, in order, are a page's text.
+one repeats is repeated in the wrapper.  Texts are slots of the wrapper.  A slot that says the same on most of its host's different
+pages belongs to the template, as do slots in navigation and links; the others, in order, are a page's text.
 
 Only the forms of pages, with their counts, are brought together by host, never the pages; wrappers are
 sent to all executors behind a check of their size and joined by shuffle beyond it.
 
 Defined cases: a null html gives a null text, an empty one or one without texts an empty text; a null or odd url has the host '';
 unclosed and unknown tags are tokens like any other; of a host's single form no slot is told apart by repetition unless
-it has several pages; repeated rows count as pages; extra columns are ignored; empty tables give none.
+it has several pages; repeated rows count as one page in that; extra columns are ignored; empty tables give none.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ _ASIDE = frozenset("nav a footer aside button select option title form label hea
 _IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot colgroup option".split())
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""", re.I)
 MAX_PERIOD = 24
-#: A slot with fewer different texts than this part of its occurrences belongs to the template.
-MIN_VARIETY = 0.5
+#: A slot that says the same on more than this part of its host's different pages belongs to the template.
+MOST = 0.5
 BROADCAST_FORMS = 100_000
 TEXT = "#"
 
@@ -291,9 +291,13 @@ def extract(pages: DataFrame) -> DataFrame:
     # A form has its slots in the same order whether the wrapper repeats a stretch of it or not.
     slot = "transform(slots, s -> named_struct('to', coalesce(get(to, s), -1), 'aside', coalesce(get(aside, s), false)))"
     rows = joined.select("page_id", "host", "wrapper", "n_slots", F.col("form").isNull().alias("missing"), "texts", F.expr(slot).alias("at"))
-    said = rows.select("host", F.explode(F.expr("arrays_zip(at.to, texts)")).alias("x")).select("host", F.col("x")["to"].alias("slot"), F.xxhash64(F.col("x")["texts"]).alias("t")).where("slot >= 0")
-    variety = said.groupBy("host", "slot").agg(F.count("*").alias("n"), F.approx_count_distinct("t", 0.02).alias("d"))
-    fixed = variety.where((F.col("n") > 1) & (F.col("d") < F.col("n") * F.lit(MIN_VARIETY))).groupBy(F.col("host").alias("h")).agg(F.collect_set("slot").alias("fixed"))
+    # Copies of a page are one page.
+    different = rows.where("not missing").withColumn("page", F.xxhash64("at.to", "texts")).dropDuplicates(["host", "page"])
+    n_pages = different.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_pages"))
+    said = different.select("host", "page", F.explode(F.expr("arrays_zip(at.to, texts)")).alias("x")).select("host", "page", F.col("x")["to"].alias("slot"), F.xxhash64(F.col("x")["texts"]).alias("t")).where("slot >= 0")
+    said = said.groupBy("host", "page", "slot").agg(F.sort_array(F.collect_set("t")).alias("t"))
+    most = said.groupBy("host", "slot", "t").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.max("n").alias("n"))
+    fixed = most.join(n_pages, F.col("host") == F.col("h")).where((F.col("n") > 1) & (F.col("n") > F.col("n_pages") * F.lit(MOST))).groupBy("h").agg(F.collect_set("slot").alias("fixed"))
     fixed = checkpoint(fixed)
     rows = rows.join(F.broadcast(fixed) if fixed.count() <= BROADCAST_FORMS else fixed, F.col("host") == F.col("h"), "left")
     keep = "filter(arrays_zip(at.to, at.aside, texts), x -> not x.aside and not array_contains(coalesce(fixed, cast(array() as array<int>)), x.to))"

@@ -160,6 +160,15 @@ def test_template_texts_go_and_odd_pages_stay(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_pages_and_fields_of_few_values_stay(spark):
+    def body(i):
+        return f"<html><body><div class=ad>buy now</div><h1>Article {i}</h1><p>by author {i % 3}</p></body></html>"
+
+    rows = [(100 * copy + i, "http://a.example/x", body(i)) for i in range(12) for copy in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {100 * copy + i: f"Article {i}\nby author {i % 3}" for i in range(12) for copy in range(4)}
+
+
 # 3:
 
 
