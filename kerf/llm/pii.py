@@ -9,8 +9,8 @@ and different ones stay different; with the key it can be inverted.  Separators
 check digits are computed anew.  Access keys and passwords are permuted character by character class.
 
 Defined cases: null texts stay null, empty ones empty; values that fail validation stay as they are, but for long
-digit runs of card length, which are permuted as plain digits; overlapping candidates are
-taken from the left; repeated rows get equal results; extra columns are ignored by ``redact``; empty tables
+digit runs of card length, which are permuted as plain digits; what begins within a candidate that failed is searched again,
+and an IBAN may end before its candidate does; overlapping candidates are taken from the left; repeated rows get equal results; extra columns are ignored by ``redact``; empty tables
 give none; very long texts are processed whole.
 """
 
@@ -44,7 +44,7 @@ FINDERS = {
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FINDERS.items()))
 #: A text without any of these holds no candidate.
-SIGN = "[0-9@]|(?i)(password|passwd|secret|token|api_?key)"
+SIGN = "[0-9@]|AKIA|ASIA|gh[opsu]_|sk-|(?i)(password|passwd|secret|token|api_?key)"
 
 
 @functools.lru_cache(1 << 18)
@@ -214,19 +214,52 @@ def redact_text(text: str | None, key: bytes = KEY, inverse: bool = False) -> tu
     """(text with pseudonyms, number of values); ``inverse`` undoes it."""
     if not text:
         return text, 0
-    n = 0
+    out, done, at, inside, n = [], 0, 0, 0, 0
+    while m := PATTERN.search(text, at):
+        start, end = m.span()
+        if m.lastgroup == "card" and start < inside and not _valid_card(m.group()):
+            # Within what failed, digits that only look like a card stay, but not a card among them.
+            new, start, end = _inner_card(text, start, end, key, inverse)
+        else:
+            new = _swap(m, key, inverse)
+            if new is None and m.lastgroup == "iban":
+                new, end = _shorter_iban(text, start, end, key, inverse)
+        if new is None:
+            at, inside = m.start() + 1, max(inside, m.end())
+            continue
+        out += text[done:start], new[1]
+        done = at = end
+        n += 1
+    return "".join(out) + text[done:], n
+
+
+def _valid_card(v: str) -> bool:
+    d = _digits(v)
+    return luhn(d[:-1]) == int(d[-1])
+
+
+def _inner_card(text: str, start: int, end: int, key: bytes, inverse: bool) -> tuple[tuple[str, str] | None, int, int]:
+    """The longest run of whole groups of digits that is a card, and its range."""
+    groups = [x.span() for x in re.finditer(r"\d+", text[start:end])]
+    runs = sorted(((a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:]), key=lambda r: (r[0] - r[1], r[0]))
+    for a, b in runs:
+        v = text[start + a : start + b]
+        if 13 <= len(_digits(v)) <= 19 and _valid_card(v):
+            return ("card", _card(v, key, inverse)), start + a, start + b
+    return None, start, end
 
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        new = _swap(m, key, inverse)
-        n += new is not None
-        return m.group() if new is None else new[1]
 
-    return PATTERN.sub(swap, text), n
+def _shorter_iban(text: str, start: int, end: int, key: bytes, inverse: bool) -> tuple[tuple[str, str] | None, int]:
+    """The longest valid IBAN of whole words of an invalid match, and its end."""
+    while (end := text.rfind(" ", start, end)) > start:
+        new = _iban(text[start:end], key, inverse)
+        if new is not None:
+            return ("iban", new), end
+    return None, end
 
 
 def redact(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> DataFrame:
-    """(doc_id, text, n_values) of every row. Texts without a digit, an @ or a secret's name never leave the JVM's rows unread by Python's patterns."""
+    """(doc_id, text, n_values) of every row. Texts without a digit, an @, a key's prefix or a secret's name never leave the JVM's rows unread by Python's patterns."""
     if not key:
         raise ValueError("a key is needed")
 
