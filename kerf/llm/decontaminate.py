@@ -148,8 +148,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int =
     The benchmark's size is measured first: up to ``broadcast_hashes`` placed hashes the index goes to every
     executor and the corpus is read once, without a shuffle; beyond it, hashes are joined by shuffle.
     """
+    return _find(docs.select("doc_id", "text"), benchmark, broadcast_hashes)
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int) -> DataFrame:
     spark = docs.sparkSession
-    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
+    benchmark = benchmark.select("item_id", "text").where("text is not null")
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     if size * len(MASKS) // 2 <= broadcast_hashes:
         rows = benchmark.collect()
@@ -178,7 +182,7 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
                     s = seeds(h, mask)
                     row = np.searchsorted(rows, np.arange(len(s)), "right") - 1
                     whole = np.arange(len(s)) + len(mask) <= rows[row + 1] if len(s) else np.zeros(0, bool)
-                    if len(s) and set(mask) == {"1"} and batch.schema.names[0] == "item_id":
+                    if len(s) and set(mask) == {"1"} and batch.schema.names[0] == "item_key":
                         whole &= (rows[row + 1] - rows[row]) == len(mask)
                     keep = np.flatnonzero(whole)
                     yield pa.record_batch([pa.array(s[keep].view(np.int64)), ids.take(pa.array(row[keep])), pa.array((keep - rows[row[keep]]).astype(np.int32))], names=["h", "id", "at"])
@@ -187,10 +191,12 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
     key = F.xxhash64("text", "doc_id")
     numbered = docs.where("text is not null").withColumn("copy", key)
     train = numbered.select("copy", "text").distinct().mapInArrow(place, placed).withColumnRenamed("id", "copy")
-    test = benchmark.mapInArrow(place, placed).withColumnsRenamed({"id": "item_id", "at": "item_at"})
-    hits = train.join(test, "h").select("copy", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = hits.groupBy("copy", "item_id").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
-    wide = hits.join(numbered, "copy").join(benchmark.select("item_id", F.col("text").alias("item")), "item_id")
+    # Items are known by their rows' hash, as ids may be null; equal rows each join and give a row.
+    named = benchmark.withColumn("item_key", F.xxhash64("text", "item_id"))
+    test = named.select("item_key", "text").distinct().mapInArrow(place, placed).withColumnsRenamed({"id": "item_key", "at": "item_at"})
+    hits = train.join(test, "h").select("copy", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    hits = hits.groupBy("copy", "item_key").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
+    wide = hits.join(numbered, "copy").join(named.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
 
     def verify(batches):
         for batch in batches:
@@ -205,7 +211,8 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
     return wide.select("doc_id", "item_id", "text", "item", "diagonals").mapInArrow(verify, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without an accepted overlap, all columns kept; rows without doc_id are judged together with each other."""
-    bad = find_overlaps(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "__leak")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__leak"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """The rows of ``docs`` without an accepted overlap, all columns kept; each row is judged by its own text."""
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null")
+    bad = _find(keyed, benchmark, broadcast_hashes).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["__leak"], "left_anti")

@@ -190,6 +190,17 @@ def test_no_benchmark_and_no_documents(spark):
     assert decontaminate.decontaminate(table(spark, []), bench).count() == 0
 
 
+def test_rows_are_judged_each_and_null_items_on_both_paths(spark):
+    leak = " ".join(f"secret{i}" for i in range(20))
+    rows = [(None, leak, "en", "s", 0), (None, "a clean text", "en", "s", 0), (7, leak + " more", "en", "s", 0), (7, "another clean text", "en", "s", 0), (8, None, "en", "s", 0)]
+    docs, bench = table(spark, rows), spark.createDataFrame([(None, leak), (1, leak)], "item_id bigint, text string")
+    for limit in (decontaminate.BROADCAST_HASHES, 0):
+        kept = sorted((r.doc_id or 0, r.text) for r in decontaminate.decontaminate(docs, bench, limit).collect())
+        assert kept == [(0, "a clean text"), (7, "another clean text"), (8, None)]
+        found = sorted((r.doc_id or 0, r.item_id or 0) for r in decontaminate.find_overlaps(docs, bench, limit).collect())
+        assert found == [(0, 0), (0, 1), (7, 0), (7, 1)]
+
+
 # 6:
 
 
