@@ -7,13 +7,15 @@ each hit the two texts are aligned without gaps and the best-scoring overlap is
 kept (a match scores 1, a substitution ``-penalty``).
 
 Tokens are lower-case runs of letters and digits.  Defined cases: null or empty
-texts and items have no tokens and never hit; items shorter than the masks are
-searched with a mask of their own length; repeated rows give their hits once each;
+texts and items have no tokens and never hit; items shorter than the longest mask are
+searched with all masks that an accepted overlap of theirs can need; repeated rows give their hits once each;
 equal items each give a row; extra columns are ignored; empty tables give none.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,12 @@ def _positions(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def short_masks(n: int) -> set[str]:
+    """Masks for an item of ``n`` tokens: all with as many positions left out as an accepted overlap may miss, without ignored ends."""
+    missed = n - math.ceil(MIN_SHARE * n) if n >= SMALL_ITEM else 0
+    return {"".join("0" if i in out else "1" for i in range(n)).strip("0") for out in itertools.combinations(range(n), missed)}
+
+
 def _multiplier(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
 
@@ -79,10 +87,11 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [(k, h) for k, h in items if len(h)]
         short = {len(h) for _, h in self.items if len(h) < max(map(len, MASKS))}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        by_length = {n: short_masks(n) for n in short}
+        self.masks = [*MASKS, *sorted(set().union(*by_length.values()))]
         self.placed = []
         for mask in self.masks:
-            rows = [(i, s) for i, (_, h) in enumerate(self.items) if set(mask) != {"1"} or len(h) == len(mask) for s in [seeds(h, mask)] if len(s)]
+            rows = [(i, s) for i, (_, h) in enumerate(self.items) if mask in MASKS or mask in by_length.get(len(h), ()) for s in [seeds(h, mask)] if len(s)]
             if not rows:
                 self.placed.append(None)
                 continue
@@ -173,7 +182,8 @@ def _find(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int) -> DataF
 def _by_shuffle(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Hits by an equi-join of placed hashes; the texts join only the hits."""
     short = benchmark.select(F.size(F.expr("regexp_extract_all(lower(text), '[0-9a-z\\\\x{80}-\\\\x{10FFFF}]+', 0)")).alias("n")).where(f"n > 0 and n < {max(map(len, MASKS))}")
-    masks = [*MASKS, *("1" * r.n for r in short.distinct().orderBy("n").collect())]
+    by_length = {r.n: short_masks(r.n) for r in short.distinct().collect()}
+    masks = [*MASKS, *sorted(set().union(*by_length.values()))]
 
     def place(batches):
         for batch in batches:
@@ -182,8 +192,8 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
                     s = seeds(h, mask)
                     row = np.searchsorted(rows, np.arange(len(s)), "right") - 1
                     whole = np.arange(len(s)) + len(mask) <= rows[row + 1] if len(s) else np.zeros(0, bool)
-                    if len(s) and set(mask) == {"1"} and batch.schema.names[0] == "item_key":
-                        whole &= (rows[row + 1] - rows[row]) == len(mask)
+                    if len(s) and mask not in MASKS and batch.schema.names[0] == "item_key":
+                        whole &= np.isin(rows[row + 1] - rows[row], [n for n, some in by_length.items() if mask in some])
                     keep = np.flatnonzero(whole)
                     yield pa.record_batch([pa.array(s[keep].view(np.int64)), ids.take(pa.array(row[keep])), pa.array((keep - rows[row[keep]]).astype(np.int32))], names=["h", "id", "at"])
 

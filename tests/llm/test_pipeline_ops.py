@@ -201,6 +201,25 @@ def test_rows_are_judged_each_and_null_items_on_both_paths(spark):
         assert found == [(0, 0), (0, 1), (7, 0), (7, 1)]
 
 
+def test_altered_copies_of_short_items_are_found_as_on_all_diagonals(spark):
+    items, rows = [], []
+    for n in range(4, 11):
+        own = [f"i{n}t{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for size in (0, 1, 2, 3):
+            for out in itertools.combinations(range(n), size):
+                altered = " ".join("other" if k in out else w for k, w in enumerate(own))
+                rows.append((len(rows), f"before {altered} after", "en", "s", 0))
+                rows.append((len(rows), " ".join(w for k, w in enumerate(own) if not (k in out and k in (0, 1, n - 2, n - 1))), "en", "s", 0))
+    h = dict(zip([i for i, _ in items], vec.word_hashes([t for _, t in items])))
+    true = set()
+    for (d, *_), x in zip(rows, vec.word_hashes([r[1] for r in rows])):
+        true |= {(d, i) for i, y in h.items() for g in range(-len(y), len(x)) if (f := decontaminate.overlap(x, y, g)) and decontaminate.accepted(f, len(y))}
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (decontaminate.BROADCAST_HASHES, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(docs, bench, limit).collect()} == true
+
+
 # 6:
 
 
