@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 
 from kerf.llm import rangecoder, tokens, vec
 
-#: Blocks that are coded side by side; with BLOCK ids each this bounds a task's memory to about 150 MB.
+#: Blocks that are coded side by side; with BLOCK ids each this bounds a task's memory to about 200 MB.
 LANES = 512
 SCHEMA = "doc_ids array<bigint>, part_starts array<bigint>, part_sizes array<int>, n_ids int, crc bigint, payload binary"
 _NAMES = ["doc_ids", "part_starts", "part_sizes", "n_ids", "crc", "payload"]
 
 
 class _Writer:
-    def __init__(self, path: str, block: int):
-        self.path, self.block = path, block
+    def __init__(self, block: int):
+        self.block = block
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[pa.Array, np.ndarray]] = []
         self.held = 0
@@ -67,14 +67,15 @@ class _Writer:
 
 
 def write_blocks(docs: DataFrame, tokenizer: str = tokens.TOKENIZER, block: int = rangecoder.BLOCK, lanes: int = LANES) -> DataFrame:
-    """One row for each block of the ids of ``docs`` (doc_id, text), in the order of rows."""
+    """One row for each block of the ids of ``docs`` (doc_id, text), in the order of rows; ``tokenizer`` is read on the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokens.codec(tokenizer))
 
     def run(batches):
-        writer = _Writer(tokenizer, block)
+        codec, writer = shared.value, _Writer(block)
         for batch in batches:
             for a, b in vec.slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                writer.add(part.column(0), *tokens.encode(part.column(1), tokenizer))
+                writer.add(part.column(0), *codec.encode(part.column(1)))
                 if writer.held >= lanes * block:
                     yield writer.flush(False)
         if (rest := writer.flush(True)) is not None:

@@ -1,14 +1,15 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-A block starts with an empty model, so blocks are coded and read independently; the blocks of a
-batch are coded in lockstep, one token of each at a time, with array operations over the blocks.
-
-A token is one three-way decision and perhaps four more.  The order-2 and the order-1 context
-each predict the id that followed them last; whether a prediction holds is a probability mixed
-by adaptive weights from three adaptive statistics (the prediction's own record, the records of both orders
-together, recent successes).  The decision is: order 2 is right, order 1 is right, or neither;
-then the id follows in four groups of four bits from the adaptive counts of order 0.  All arithmetic is on
-integers, so any machine reads what any other wrote.
+A block starts with an empty model, so blocks are coded and read independently.  For each id the contexts of
+order 2 (hashed to 16 bits) and order 1 predict the id that followed them last.  Whether a prediction
+holds is a probability mixed by adaptive weights, in the logistic domain, from two adaptive statistics: the records of
+both orders together, and the prediction's frequency in the block (order 0) with its own record.  A three-way decision says that order 2 is right, order 1 is right, or neither; then the id follows
+in two bytes from the adaptive counts of order 0.  Weights move by their gradient every STEP ids.
+
+A writer knows all ids of a block, so what the model has seen before each of them is computed for whole blocks by
+sorting and running sums; only the arithmetic of the coder goes from id to id, with array operations over the
+blocks of a batch.  A reader goes from id to id with tables.  All arithmetic is on integers (or on quotients in double precision whose
+floor is exact), so any machine reads what any other wrote.
 """
 
 from __future__ import annotations
@@ -19,234 +20,274 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-_SLOTS = 12
-_TOTAL = 1 << 16
-_LIMIT = 1 << 15
-_STRETCH = np.array([max(-2047, min(2047, round(math.log((i + 0.5) / (4095.5 - i)) * 256))) for i in range(4096)], np.int32)
+#: Ids between two moves of the weights; blocks of which the statistics are computed together, and that are read together.
+STEP, TOGETHER, READ = 256, 16, 128
+_BITS = 16
+#: Decisions are of 16 bits, bytes of 15; an id takes at most 46 bits of the range, which has 62 and is kept above 46.
+_TOTAL, _BYTES = 1 << 16, 1 << 15
+#: What an occurrence adds to a count of order 0, whose counts begin with 1.
+_GAIN = 40
+#: Ids that are compared with each other to count what is below them.
+_PIECE = 64
+_RATE = 14
+_WEIGHT, _MOST = 40_000, 200_000
 _SQUASH = np.array([max(64, min(_TOTAL - 64, round(_TOTAL / (1 + math.exp(-i / 256))))) for i in range(-2048, 2048)], np.int32)
+#: 256 ln i.
+_LOG = np.array([0, *(round(256 * math.log(i)) for i in range(1, 2 * _TOTAL + 2))], np.int32)
+_STATES = (128, 32)
+_BUCKET = np.array([min(7, i.bit_length()) for i in range(1 << 16)], np.uint8)
 
 
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 1 << 48, np.uint64)
-        self.words = np.zeros((lanes, 1024), np.uint32)
-        self.used = np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start, size, total) -> None:
-        """Codes the interval [start, start + size) of ``total`` in each of ``lanes`` (slice or indices)."""
-        r = self.range[lanes] // total
-        low = self.low[lanes] + r * start
-        r = r * size
-        short = np.flatnonzero(r < (1 << 32))
-        if len(short):
-            who = short if isinstance(lanes, slice) else lanes[short]
-            at = self.used[who]
-            if at.max() + 4 >= self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-            shifted = low[short]
-            self.words[who, at] = shifted >> np.uint64(32)
-            self.used[who] = at + 1
-            low[short] = (shifted & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-            r[short] <<= np.uint64(16)
-        self.low[lanes] = low
-        self.range[lanes] = r
-
-    def put_all(self, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> None:
-        """``put`` for several intervals, one after another, of the same lanes."""
-        rng, low, used = self.range[lanes], self.low[lanes], self.used[lanes]
-        if len(used) and used.max() + 8 >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-        for start, size, total in zip(starts, sizes, totals):
-            r = rng // total
-            low += r * start
-            rng = r * size
-            short = np.flatnonzero(rng < (1 << 32))
-            if len(short):
-                shifted = low[short]
-                self.words[lanes[short], used[short]] = shifted >> np.uint64(32)
-                used[short] += 1
-                low[short] = (shifted & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-                rng[short] <<= np.uint64(16)
-        self.range[lanes], self.low[lanes], self.used[lanes] = rng, low, used
-
-    def finish(self) -> list[bytes]:
-        """The streams: words of 16 bits with all carries done."""
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self.words[every, self.used] = self.low >> np.uint64(32)
-            self.low = (self.low & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-            self.used += 1
-        w = self.words
-        for k in range(int(self.used.max()) - 1, 0, -1):
-            w[:, k - 1] += w[:, k] >> 16
-        out = (w & 0xFFFF).astype(">u2")
-        return [out[i, :n].tobytes() for i, n in enumerate(self.used.tolist())]
-
-
-class _Decoder:
-    def __init__(self, streams: list[bytes]):
-        n = max(len(s) // 2 for s in streams) + 4
-        self.words = np.zeros((len(streams), n), np.uint64)
-        for i, s in enumerate(streams):
-            self.words[i, : len(s) // 2] = np.frombuffer(s, ">u2")
-        # The first word is above the 48 bits of the range: it holds the carry out of them.
-        self.offset = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << np.uint64(16)) | self.words[:, 2]
-        self.range = np.full(len(streams), 1 << 48, np.uint64)
-        self.used = np.full(len(streams), 3, np.int64)
-
-    def peek(self, lanes, total) -> np.ndarray:
-        self.unit = self.range[lanes] // total
-        return np.minimum(self.offset[lanes] // self.unit, total - 1)
-
-    def take(self, lanes, start, size) -> None:
-        off = self.offset[lanes] - self.unit * start
-        r = self.unit * size
-        short = np.flatnonzero(r < (1 << 32))
-        if len(short):
-            who = short if isinstance(lanes, slice) else lanes[short]
-            at = np.minimum(self.used[who], self.words.shape[1] - 1)
-            off[short] = (off[short] << np.uint64(16)) | self.words[who, at]
-            self.used[who] += 1
-            r[short] <<= np.uint64(16)
-        self.offset[lanes] = off
-        self.range[lanes] = r
-
-
-#: What coding a group of four bits adds to its cumulative counts.
-_ADD = np.triu(np.full((16, 17), 24, np.uint16), 1)
-_LEVELS = (1, 16, 256, 4096)
-#: Where the statistics of a lane are: own record, joint record, recent successes.
-_OWN, _JOINT, _RECENT, _STATS = 0, 8, 136, 152
-
-
-def _halve(counts: np.ndarray, rows: np.ndarray) -> None:
-    steps = np.diff(counts[rows].astype(np.int32), axis=1)
-    counts[rows, 1:] = np.cumsum((steps >> 1) | 1, axis=1).astype(np.uint16)
-
-
-def _run(coder, tokens: np.ndarray, lengths: np.ndarray, reading: bool) -> None:
-    """Codes ``tokens`` (lanes x steps), or fills them; lanes are sorted by length, longest first."""
-    lanes, steps = tokens.shape
-    slots = 1 << _SLOTS
-    # What followed a context last, as (id + 1) * 8 + right answers in a row; 0 for nothing.
-    memo = np.zeros(2 * lanes * slots, np.int32)
-    stats = np.full(2 * lanes * _STATS, 1 << 15, np.int32)
-    weight = np.full((3, 2, lanes), 26000, np.int32)
-    past = np.zeros((2, lanes), np.int32)
-    # Cumulative counts of order 0, by lane and the bits before.
-    begins = np.concatenate(([0], np.cumsum([lanes * n for n in _LEVELS])))
-    counts = np.tile(np.arange(17, dtype=np.uint16), (int(begins[-1]), 1))
-    flat = counts.reshape(-1)
-    level = np.array(_LEVELS)[:, None]
-    shifts = np.array([16, 12, 8, 4])[:, None]
-    lane = np.arange(lanes)
-    lane_memo = (lane + np.array([[0], [lanes]])) * slots
-    lane_stats = (lane + np.array([[0], [lanes]])) * _STATS
-    before = np.zeros((2, lanes), np.int64)
-    active = lanes
-    columns = np.ascontiguousarray(tokens.T)
-    for t in range(steps):
-        while active and lengths[active - 1] <= t:
-            active -= 1
-        if not active:
-            break
-        a = slice(0, active)
-        spread = before[1, a] * 0x9E3779B1
-        place = lane_memo[:, a].copy()
-        place[0] += ((before[0, a] * 0x2F0B4C47 + spread) >> 13) & (slots - 1)
-        place[1] += (spread >> 15) & (slots - 1)
-        known = memo[place]
-        guess, sure = known >> 3, known & 7
-        equal = guess[0] == guess[1]
-        there = guess > 0
-        there[1] &= ~equal
-        at = np.empty((3, 2, active), np.int64)
-        at[:] = lane_stats[:, a]
-        at[0] += sure
-        at[1] += _JOINT + sure[0] * 16 + sure[1] * 2 + equal
-        at[2] += _RECENT + past[:, a]
-        q = stats[at]
-        s = _STRETCH[q >> 4]
-        w = weight[:, :, a]
-        dot = (w * s).sum(0, dtype=np.int32) >> 16
-        np.clip(dot, -2047, 2047, out=dot)
-        p = _SQUASH[dot + 2048]
-        right2 = p[0] * there[0]
-        right1 = (((_TOTAL - right2).astype(np.int64) * p[1]) >> 16) * there[1]
-        if reading:
-            v = coder.peek(a, np.uint64(_TOTAL)).astype(np.int64)
-            kind = (v >= right2).astype(np.int8) + (v >= right2 + right1)
-        else:
-            token = columns[t, a].astype(np.int32)
-            hit = there & (guess == token + 1)
-            kind = np.where(hit[0], 0, np.where(hit[1], 1, 2))
-        edges = np.stack([np.zeros_like(right1), right2, right2 + right1, np.full_like(right1, _TOTAL)])
-        who = lane[a]
-        start = edges[kind, who]
-        size = (edges[kind + 1, who] - start).astype(np.uint64)
-        start = start.astype(np.uint64)
-        if reading:
-            coder.take(a, start, size)
-            token = np.where(kind == 0, guess[0], guess[1]) - 1
-        else:
-            coder.put(a, start, size, np.uint64(_TOTAL))
-        plain = np.flatnonzero(kind == 2)
-        if len(plain) and not reading:
-            value = token[plain]
-            rows = begins[:4, None] + plain * level + (value >> shifts)
-            nib = (value >> (shifts - 4)) & 15
-            cell = rows * 17 + nib
-            low, high, total = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64), flat[rows * 17 + 16]
-            coder.put_all(plain, low, high - low, total.astype(np.uint64))
-            every = rows.reshape(-1)
-            counts[every] += _ADD[nib.reshape(-1)]
-            big = np.flatnonzero(total.reshape(-1) > _LIMIT - 64)
-            if len(big):
-                _halve(counts, every[big])
-        elif len(plain):
-            prefix = np.zeros(len(plain), np.int64)
-            for k in range(4):
-                row = begins[k] + plain * _LEVELS[k] + prefix
-                c = counts[row].astype(np.int64)
-                v = coder.peek(plain, c[:, 16].astype(np.uint64)).astype(np.int64)
-                nib = (c[:, 1:] <= v[:, None]).sum(1)
-                here = np.arange(len(plain))
-                low = c[here, nib]
-                coder.take(plain, low.astype(np.uint64), (c[here, nib + 1] - low).astype(np.uint64))
-                counts[row] += _ADD[nib]
-                big = np.flatnonzero(c[:, 16] > _LIMIT - 64)
-                if len(big):
-                    _halve(counts, row[big])
-                prefix = prefix * 16 + nib
-            token[plain] = prefix
-        same = guess == token + 1
-        if reading:
-            columns[t, a] = token
-            hit = there & same
-        judged = there.copy()
-        judged[1] &= kind != 0
-        target = hit * (_TOTAL - 1)
-        error = ((target - p) * judged) >> 4
-        w += (s * error) >> 12
-        np.clip(w, -200_000, 200_000, out=w)
-        stats[at] = q + (((target - q) >> 5) * judged)
-        moved = ((past[:, a] << 1) | hit) & 15
-        past[:, a] = np.where(judged, moved, past[:, a])
-        memo[place] = ((token + 1) << 3) | np.where(same, np.minimum(sure + 1, 7), 0)
-        before[0, a] = before[1, a]
-        before[1, a] = token
-    if reading:
-        tokens[:] = columns.T
-
-
-def _matrix(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slot(older: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The context of order 2 of two ids (uint32)."""
+    return (older * np.uint32(0x9E3779B1) + last * np.uint32(0x85EBCA6B)) >> np.uint32(_BITS)
+
+
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of keys above positions (16 bits each): (sorted rows, begin of its key's run for each, whether it begins one)."""
+    s = np.sort(key, axis=1)
+    new = np.empty(s.shape, bool)
+    new[:, 0] = True
+    np.not_equal(s[:, 1:] >> np.uint32(16), s[:, :-1] >> np.uint32(16), out=new[:, 1:])
+    at = np.arange(s.shape[1], dtype=np.int32)
+    return s, np.maximum.accumulate(np.where(new, at, 0), axis=1), new
+
+
+def _seen(key: np.ndarray) -> np.ndarray:
+    """How many equal keys are before each in its row; keys have 16 bits."""
+    at = np.arange(key.shape[1], dtype=np.uint32)
+    s, begin, _ = _ranks(key << np.uint32(16) | at)
+    out = np.empty(key.shape, np.int32)
+    flat = (s & np.uint32(0xFFFF)).astype(np.int32) + (np.arange(len(key), dtype=np.int32) * key.shape[1])[:, None]
+    out.reshape(-1)[flat] = at.astype(np.int32) - begin
+    return out
+
+
+def _predictions(context: np.ndarray, ids: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each context of a row predicts: (id that followed it last or -1, right answers in a row, bucket of that id's frequency then)."""
+    rows, steps = ids.shape
+    at = np.arange(steps, dtype=np.uint32)
+    s, begin, new = _ranks(context << np.uint32(16) | at)
+    flat = (s & np.uint32(0xFFFF)).astype(np.int32) + (np.arange(rows, dtype=np.int32) * steps)[:, None]
+    follower = ids.reshape(-1)[flat].astype(np.int32)
+    seen = frequency.reshape(-1)[flat]
+    guess = np.empty_like(follower)
+    guess[:, 0] = -1
+    guess[:, 1:] = follower[:, :-1]
+    guess[new] = -1
+    bucket = np.empty_like(seen)
+    bucket[:, 0] = 0
+    bucket[:, 1:] = seen[:, :-1]
+    # Right answers in a row: steps since the last wrong one or the begin.
+    here = at.astype(np.int32)
+    wrong = np.maximum.accumulate(np.where(guess == follower, 0, here), axis=1)
+    sure = np.empty_like(wrong)
+    sure[:, 0] = 0
+    sure[:, 1:] = here[:-1] - wrong[:, :-1]
+    np.minimum(sure, 7, out=sure)
+    sure[new] = 0
+    bucket[new] = 0
+    out = np.empty((3, rows * steps), np.int32)
+    out[0][flat.reshape(-1)] = guess.reshape(-1)
+    out[1][flat.reshape(-1)] = sure.reshape(-1)
+    out[2][flat.reshape(-1)] = bucket.reshape(-1)
+    return tuple(out.reshape(3, rows, steps))
+
+
+def _evidence(at: np.ndarray, row: np.ndarray, state: np.ndarray, hit: np.ndarray, states: int, out: np.ndarray) -> None:
+    """Writes to ``out[at]`` the log odds of the hits among what came before in the same state and row."""
+    key = (row * np.uint16(states) + state).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    n_key = np.bincount(key, minlength=int(key.max(initial=0)) + 1)
+    start = np.cumsum(n_key) - n_key
+    before = np.zeros(len(key) + 1, np.int32)
+    np.cumsum(hit[order], out=before[1:])
+    k = np.repeat(np.arange(len(n_key)), n_key)
+    n = np.arange(len(key)) - start[k]
+    hits = before[:-1] - before[start][k]
+    out[at[order]] = np.clip(_LOG[2 * hits + 1] - _LOG[2 * (n - hits) + 1], -2047, 2047)
+
+
+def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, width of order 2's interval, width of order 1's) of each id of rows of ids."""
+    rows, steps = ids.shape
+    u = ids.astype(np.uint32)
+    last = np.zeros_like(u)
+    last[:, 1:] = u[:, :-1]
+    older = np.zeros_like(u)
+    older[:, 2:] = u[:, :-2]
+    frequency = _BUCKET[_seen(u)]
+    guess2, sure2, bucket2 = _predictions(_slot(older, last), ids, frequency)
+    guess1, sure1, bucket1 = _predictions(last, ids, frequency)
+    inside = np.arange(steps) < lengths[:, None]
+    equal = guess1 == guess2
+    there = (inside & (guess2 >= 0), inside & (guess1 >= 0) & ~equal)
+    hit2 = guess2 == ids
+    hit1 = there[1] & (guess1 == ids)
+    kind = np.where(hit2, 0, np.where(hit1, 1, 2)).astype(np.int8)
+    joint = sure2 * 16 + sure1 * 2 + equal
+    row = np.repeat(np.arange(rows, dtype=np.uint16), steps)
+    widths = []
+    for sure, bucket, seen, hit, judged in ((sure2, bucket2, there[0], hit2, there[0]), (sure1, bucket1, there[1], hit1, there[1] & (kind != 0))):
+        # Statistics are needed wherever there is a prediction, and gathered where it was judged.
+        at = np.flatnonzero(judged)
+        h = hit.reshape(-1)[at].astype(np.int32)
+        r = row[at]
+        s = np.zeros((2, rows * steps), np.int32)
+        for k, state in enumerate((joint, bucket * 4 + np.minimum(sure, 3))):
+            _evidence(at, r, state.reshape(-1)[at].astype(np.uint16), h, _STATES[k], s[k])
+        s = s.reshape(2, rows, steps)
+        weight = np.full((2, rows), _WEIGHT, np.int32)
+        width = np.zeros((rows, steps), np.int32)
+        for lo in range(0, steps, STEP):
+            part = slice(lo, lo + STEP)
+            x = s[:, :, part]
+            p = _SQUASH[np.clip((weight[:, :, None] * x).sum(0, dtype=np.int32) >> 16, -2047, 2047) + 2048]
+            width[:, part] = np.where(seen[:, part], p, 0)
+            error = np.where(judged[:, part], hit[:, part] * (_TOTAL - 1) - p, 0) >> 4
+            move = (x * error).sum(2, dtype=np.int64) >> _RATE
+            weight = np.clip(weight + move, -_MOST, _MOST).astype(np.int32)
+        widths.append(width)
+    return kind, widths[0], _second(widths[0], widths[1])
+
+
+def _second(width2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Order 1's interval within what order 2 leaves."""
+    w = ((_TOTAL - width2).astype(np.int64) * p1) >> 16
+    return np.where(p1 > 0, np.maximum(w, 1), 0).astype(np.int32)
+
+
+def _scaled(below: np.ndarray, total: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Where a byte's interval begins, of _BYTES; the floor is exact as totals are far below 2 ** 30."""
+    return (below * float(_BYTES - 256) / total).astype(np.int32) + byte
+
+
+def _below(byte: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many smaller bytes are before each in its group; groups of the given sizes follow one another."""
+    pieces = -(-sizes // _PIECE)
+    begin = np.cumsum(sizes) - sizes
+    shift = (np.cumsum(pieces) - pieces) * _PIECE - begin
+    at = np.arange(len(byte)) + np.repeat(shift, sizes)
+    n = int(pieces.sum())
+    # Place in a piece by piece; what pads a group comes after all of it.
+    x = np.zeros((_PIECE, n), np.uint8)
+    to = (at % _PIECE) * n + at // _PIECE
+    x.reshape(-1)[to] = byte
+    count = np.zeros((_PIECE, n), np.uint8)
+    for d in range(1, _PIECE):
+        count[d:] += x[:-d] < x[d:]
+    out = count.reshape(-1)[to].astype(np.int32)
+    if (pieces > 1).any():
+        many = np.repeat(pieces > 1, sizes)
+        number = np.cumsum(np.where(pieces > 1, pieces, 0)) - np.where(pieces > 1, pieces, 0)
+        piece = (at // _PIECE - np.repeat(np.cumsum(pieces) - pieces - number, sizes))[many]
+        b = byte[many]
+        k = int(pieces[pieces > 1].sum())
+        held = np.bincount(piece * 256 + b, minlength=k * 256).astype(np.int32).reshape(k, 256)
+        # Counts of smaller bytes in the pieces before, of the group alone.
+        held = np.cumsum(held, axis=1, dtype=np.int32) - held
+        before = np.cumsum(held, axis=0, dtype=np.int32) - held
+        first = np.repeat(number[pieces > 1], pieces[pieces > 1])
+        out[many] += before[piece, b] - before[first[piece], b]
+    return out
+
+
+def _spelled(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(start, size) of both bytes of the ids that order 0 codes, which follow one another block by block."""
+    n = len(ids)
+    out = np.zeros((4, n), np.int32)
+    if not n:
+        return out
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    high, low = (ids >> 8).astype(np.uint8), (ids & 255).astype(np.uint8)
+    total = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    under = _below(high, lengths)
+    # In the order of blocks, high bytes and places.
+    key = (row * 256 + high).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    groups = np.bincount(key)
+    groups = groups[groups > 0]
+    seen = np.empty(n, np.int64)
+    seen[order] = np.arange(n) - np.repeat(np.cumsum(groups) - groups, groups)
+    under_low = np.empty(n, np.int32)
+    under_low[order] = _below(low[order], groups)
+    by_low = np.argsort(low, kind="stable")
+    by_id = by_low[np.argsort(key[by_low], kind="stable")]
+    whole = key[by_id].astype(np.int64) << 8 | low[by_id]
+    new = np.flatnonzero(np.diff(whole, prepend=-1))
+    same = np.empty(n, np.int64)
+    same[by_id] = np.arange(n) - np.repeat(new, np.diff(new, append=n))
+    for k, (byte, less, equal, all_) in enumerate(((high, under, seen, total), (low, under_low, same, seen))):
+        byte = byte.astype(np.int32)
+        of = (256 + _GAIN * all_).astype(np.float64)
+        begin = _scaled(byte + _GAIN * less, of, byte)
+        out[2 * k] = begin
+        out[2 * k + 1] = _scaled(byte + 1 + _GAIN * (less + equal), of, byte + 1) - begin
+    return out
+
+
+def _intervals(blocks: list[np.ndarray], out: list[np.ndarray], lane: int) -> None:
+    """Writes the three intervals of each id of each block to ``out``: starts and sizes, ids x blocks."""
     lengths = np.array([len(b) for b in blocks])
-    order = np.argsort(-lengths, kind="stable")
-    out = np.zeros((len(blocks), int(lengths.max(initial=0))), np.uint16)
-    for k, i in enumerate(order):
-        out[k, : lengths[i]] = blocks[i]
-    return out, lengths[order], order
+    ids = np.zeros((len(blocks), max(1, int(lengths.max()))), np.uint16)
+    for r, b in zip(ids, blocks):
+        r[: len(b)] = b
+    kind, width2, width1 = _chances(ids, lengths)
+    edge = width2 + width1
+    start = np.where(kind == 0, 0, np.where(kind == 1, width2, edge))
+    size = np.where(kind == 0, width2, np.where(kind == 1, width1, _TOTAL - edge))
+    plain = (kind == 2) & (np.arange(ids.shape[1]) < lengths[:, None])
+    spelled = _spelled(ids[plain], plain.sum(1))
+    for k, x in enumerate((start, size - 1)):
+        out[k][: ids.shape[1], lane : lane + len(blocks)] = x.T
+    for k in range(4):
+        x = np.full(ids.shape, 0 if k % 2 == 0 else _BYTES, np.uint16)
+        x[plain] = spelled[k]
+        out[2 + k][: ids.shape[1], lane : lane + len(blocks)] = x.T
+
+
+def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
+    """The streams of blocks, all in lockstep, longest first; ``table`` has starts and sizes, ids x blocks."""
+    steps, lanes = table[0].shape
+    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 62, np.uint64)
+    words, used = np.zeros((lanes, 4096), np.uint32), np.zeros(lanes, np.int64)
+    top, under, word = np.uint64(46), np.uint64((1 << 46) - 1), np.uint64(16)
+    least, bits = np.uint64(1 << 46), (np.uint64(16), np.uint64(15), np.uint64(15))
+    active = lanes
+    for t0 in range(0, steps, 32):
+        if int(used.max()) + 3 * 32 + 4 >= words.shape[1]:
+            words = np.concatenate([words, np.zeros_like(words)], 1)
+        some = [x[t0 : t0 + 32].astype(np.uint64) for x in table]
+        some[1] += np.uint64(1)
+        for t in range(len(some[0])):
+            while active and lengths[active - 1] <= t0 + t:
+                active -= 1
+            if not active:
+                break
+            lo, ra = low[:active], rng[:active]
+            for k in range(3):
+                ra >>= bits[k]
+                lo += ra * some[2 * k][t, :active]
+                ra *= some[2 * k + 1][t, :active]
+            short = np.flatnonzero(ra < least)
+            while len(short):
+                at, shifted, r = used[short], lo[short], ra[short] << word
+                words[short, at] = shifted >> top
+                used[short] = at + 1
+                lo[short] = (shifted & under) << word
+                ra[short] = r
+                short = short[r < least]
+    words = np.concatenate([words, np.zeros((lanes, 5), np.uint32)], 1)
+    every = np.arange(lanes)
+    for _ in range(4):
+        words[every, used] = low >> top
+        low = (low & under) << word
+        used += 1
+    # Words of 16 bits with all carries done.
+    for k in range(int(used.max()) - 1, 0, -1):
+        words[:, k - 1] += words[:, k] >> 16
+    out = (words & 0xFFFF).astype(">u2")
+    return [out[i, :n].tobytes() for i, n in enumerate(used.tolist())]
 
 
 def checksum(ids: np.ndarray, payload: bytes) -> int:
@@ -254,29 +295,149 @@ def checksum(ids: np.ndarray, payload: bytes) -> int:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One stream for each block of ids (uint16)."""
+    """One stream for each block of ids (uint16), of at most 65535 ids."""
     if not blocks:
         return []
-    tokens, lengths, order = _matrix(blocks)
-    coder = _Encoder(len(blocks))
-    _run(coder, tokens, lengths, False)
+    if max(map(len, blocks)) >= 1 << 16:
+        raise ValueError("a block has at most 65535 ids")
+    order = np.argsort([-len(x) for x in blocks], kind="stable")
+    lengths = np.array([len(blocks[i]) for i in order])
+    table = [np.zeros((int(lengths[0]), len(blocks)), np.uint16) for _ in range(6)]
+    for lo in range(0, len(blocks), TOGETHER):
+        _intervals([blocks[i] for i in order[lo : lo + TOGETHER]], table, lo)
     out: list[bytes] = [b""] * len(blocks)
-    for i, s in zip(order, coder.finish()):
+    for i, s in zip(order, _code(table, lengths)):
         out[i] = s
     return out
 
 
+class _Reader:
+    def __init__(self, streams: list[bytes]):
+        w = np.zeros((len(streams), max(len(s) // 2 for s in streams) + 5), np.uint64)
+        for i, s in enumerate(streams):
+            w[i, : len(s) // 2] = np.frombuffer(s[: len(s) // 2 * 2], ">u2")
+        shift = [np.uint64(k) for k in (46, 30, 14)]
+        self.offset = (w[:, 0] << shift[0]) | (w[:, 1] << shift[1]) | (w[:, 2] << shift[2]) | (w[:, 3] >> np.uint64(2))
+        # What follows is two bits off the words.
+        self.words = ((w[:, 3:-1] & np.uint64(3)) << np.uint64(14)) | (w[:, 4:] >> np.uint64(2))
+        self.range = np.full(len(streams), 1 << 62, np.uint64)
+        self.used = np.zeros(len(streams), np.int64)
+
+    def peek(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+        self.unit = self.range[lanes] >> np.uint64(bits)
+        return np.minimum(self.offset[lanes] // np.maximum(self.unit, np.uint64(1)), np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.offset[lanes] -= self.unit * start.astype(np.uint64)
+        self.range[lanes] = self.unit * size.astype(np.uint64)
+
+    def skip(self, lanes: np.ndarray) -> None:
+        """Both bytes of ids that were predicted."""
+        for _ in range(2):
+            self.range[lanes] = (self.range[lanes] >> np.uint64(15)) << np.uint64(15)
+
+    def refill(self, active: int) -> None:
+        """Words until the range is above 46 bits again; a damaged stream ends its words early."""
+        short = np.flatnonzero(self.range[:active] < (1 << 46))
+        for _ in range(4):
+            if not len(short):
+                break
+            at = np.minimum(self.used[short], self.words.shape[1] - 1)
+            self.offset[short] = (self.offset[short] << np.uint64(16)) | self.words[short, at]
+            self.used[short] += 1
+            self.range[short] <<= np.uint64(16)
+            short = short[self.range[short] < (1 << 46)]
+
+
+def _read(streams: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    """The ids of blocks of the given lengths, longest first."""
+    lanes, steps = len(streams), int(lengths.max())
+    reader = _Reader(streams)
+    ids = np.zeros((steps, lanes), np.uint16)
+    # By order and lane: what a context predicts, as id + 1, and its record; hits and judgements of each state.
+    memo = np.zeros((2, lanes, 1 << _BITS), np.int32)
+    record = np.zeros((2, lanes, 1 << _BITS), np.uint8)
+    tried = np.zeros((2, 2, lanes, 128), np.int32)
+    hits = np.zeros((2, 2, lanes, 128), np.int32)
+    weight = np.full((2, 2, lanes), _WEIGHT, np.int32)
+    slope = np.zeros((2, 2, lanes), np.int64)
+    frequency = np.zeros((lanes, 1 << 16), np.uint16)
+    counts = [np.zeros((lanes * 256**k, 256), np.uint16) for k in range(2)]
+    last, older = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    both = np.arange(2)[:, None]
+    active = lanes
+    for t in range(steps):
+        while active and lengths[active - 1] <= t:
+            active -= 1
+        a = np.arange(active)
+        if t and t % STEP == 0:
+            weight = np.clip(weight + (slope >> _RATE), -_MOST, _MOST).astype(np.int32)
+            slope[:] = 0
+        context = np.stack([_slot(older[a], last[a]), last[a]]).astype(np.int64)
+        guess, rec = memo[both, a, context] - 1, record[both, a, context]
+        sure, bucket = (rec & 7).astype(np.int64), (rec >> 3).astype(np.int64)
+        equal = guess[0] == guess[1]
+        there = guess >= 0
+        there[1] &= ~equal
+        joint = sure[0] * 16 + sure[1] * 2 + equal
+        s, states, p = [], [], np.zeros((2, active), np.int32)
+        for o in range(2):
+            state = np.stack([joint, bucket[o] * 4 + np.minimum(sure[o], 3)])
+            h, n = hits[o, both, a, state], tried[o, both, a, state]
+            x = np.clip(_LOG[2 * h + 1] - _LOG[2 * (n - h) + 1], -2047, 2047)
+            p[o] = _SQUASH[np.clip((weight[o, :, :active] * x).sum(0, dtype=np.int32) >> 16, -2047, 2047) + 2048]
+            s.append(x)
+            states.append(state)
+        width2 = np.where(there[0], p[0], 0)
+        width1 = _second(width2, np.where(there[1], p[1], 0))
+        edge = width2 + width1
+        v = reader.peek(a, 16)
+        kind = (v >= width2).astype(np.int64) + (v >= edge)
+        start = np.where(kind == 0, 0, np.where(kind == 1, width2, edge))
+        reader.take(a, start, np.where(kind == 0, width2, np.where(kind == 1, width1, _TOTAL - edge)))
+        token = np.where(kind == 0, guess[0], guess[1]).astype(np.int64)
+        reader.skip(np.flatnonzero(kind != 2))
+        plain = np.flatnonzero(kind == 2)
+        if len(plain):
+            prefix = np.zeros(len(plain), np.int64)
+            here = np.arange(len(plain))
+            for k in range(2):
+                row = plain * 256**k + prefix
+                below = np.zeros((len(plain), 257), np.int64)
+                np.cumsum(1 + _GAIN * counts[k][row].astype(np.int64), axis=1, out=below[:, 1:])
+                begin = _scaled(below, below[:, 256:].astype(np.float64), np.arange(257))
+                v = reader.peek(plain, 15)
+                byte = (begin[:, 1:] <= v[:, None]).sum(1)
+                reader.take(plain, begin[here, byte], begin[here, byte + 1] - begin[here, byte])
+                counts[k][row, byte] += 1
+                prefix = prefix * 256 + byte
+            token[plain] = prefix
+        reader.refill(active)
+        ids[t, :active] = token
+        seen = _BUCKET[frequency[a, token]]
+        frequency[a, token] += 1
+        for o in range(2):
+            hit = there[o] & (guess[o] == token)
+            judged = there[o] if o == 0 else there[1] & (kind != 0)
+            error = np.where(judged, hit * (_TOTAL - 1) - p[o], 0) >> 4
+            slope[o, :, :active] += s[o].astype(np.int64) * error
+            tried[o, both, a, states[o]] += judged
+            hits[o, both, a, states[o]] += judged & hit
+            memo[o, a, context[o]] = token + 1
+            record[o, a, context[o]] = np.where(guess[o] == token, np.minimum(sure[o] + 1, 7), 0) | seen.astype(np.int64) << 3
+        older[a] = last[a]
+        last[a] = token
+    return [ids[:n, i] for i, n in enumerate(lengths)]
+
+
 def decode_blocks(payloads: list[bytes], lengths: list[int], checksums: list[int] | None = None) -> list[np.ndarray]:
     """The ids of each block; with checksums, ValueError where a block isn't what was written."""
-    if not payloads:
-        return []
-    n = np.array(lengths)
-    order = np.argsort(-n, kind="stable")
-    tokens = np.zeros((len(payloads), int(n.max())), np.uint16)
-    _run(_Decoder([payloads[i] for i in order]), tokens, n[order], True)
-    out: list[np.ndarray] = [None] * len(payloads)
-    for k, i in enumerate(order):
-        out[i] = tokens[k, : n[i]]
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
+    order = np.argsort(-np.array(lengths, np.int64), kind="stable")
+    for lo in range(0, len(order), READ):
+        some = order[lo : lo + READ]
+        for i, ids in zip(some, _read([payloads[i] for i in some], np.array([lengths[i] for i in some]))):
+            out[i] = ids
     for i, c in enumerate(checksums or []):
         if checksum(out[i], payloads[i]) != c:
             raise ValueError(f"block {i} is damaged")

@@ -79,7 +79,7 @@ def unigrams(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SIZE, np.int64)
         for batch in batches:
             for a, b in vec.slices(batch.column(0)):
-                total += np.bincount(tokens.encode(batch.column(0).slice(a, b - a))[0], minlength=SIZE)
+                total += np.bincount(tokens.codec().encode(batch.column(0).slice(a, b - a))[0], minlength=SIZE)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
@@ -98,7 +98,7 @@ def perplexities(docs: DataFrame, bucket: int = BUCKET, sweeps: int = SWEEPS, bu
     """(doc_id, n_symbols, log_prob, perplexity) of every row over its whole text, under the model of all rows."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     counts = unigrams(docs)
-    eot = tokens.end_of_text()
+    eot = tokens.codec().eot
     # Every id of the tokenizer has a share, so any text has a probability.
     root = np.zeros(SIZE)
     root[: eot + 1] = (counts[: eot + 1] + 0.5) / (counts.sum() + 0.5 * (eot + 1))
@@ -111,7 +111,7 @@ def perplexities(docs: DataFrame, bucket: int = BUCKET, sweeps: int = SWEEPS, bu
         for batch in batches:
             for x, y in vec.slices(batch.column(1)):
                 part = batch.slice(x, y - x)
-                ids, ends = tokens.encode(part.column(1))
+                ids, ends = tokens.codec().encode(part.column(1))
                 a = _previous(ids, ends, eot)
                 b = _previous(a, ends, eot)
                 row = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(ends))

@@ -1,15 +1,16 @@
 """Token ids of texts, by byte-level BPE.
 
-Equal stretches between single white-space characters are encoded once in a slice of
-texts: the pre-tokenizer always cuts before a white-space character that stands alone, so ids of the
-stretches in order are the ids of the text.
+Equal stretches between single white-space characters are encoded once in a worker: the pre-tokenizer
+always cuts before a white-space character that stands alone, so ids of the stretches in order are the
+ids of the text.  A stretch that was met before is found by its hash and taken only if its bytes are the same.
+
+The ranks are read on the driver; a ``Codec`` that is broadcast carries them to the executors.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -22,73 +23,166 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
+#: Slots of the table of stretches that were met, which are at most half as many; bytes of the longest that is kept.
+_SLOTS, _LONGEST = 1 << 21, 1 << 12
+
+
+class _Met:
+    """Stretches that were met: where their bytes and ids are. The first is the end of a text."""
+
+    def __init__(self, eot: int):
+        self.slot = np.full(_SLOTS, -1, np.int32)
+        self.hash = np.zeros(1024, np.uint64)
+        self.at = np.zeros((1024, 4), np.int64)
+        self.bytes, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint16)
+        self.n = self.n_bytes = self.n_ids = 0
+        self.add([0], [b""], np.array([eot], np.uint16), np.ones(1, np.int64))
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros((max(len(a), n - len(a)), *a.shape[1:]), a.dtype)])
+
+    def add(self, hashes: list[int], parts: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keeps the parts with ``counts`` of ``ids`` each; returns their numbers."""
+        data, k, lengths = b"".join(parts), self.n + np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+        self.hash, self.at = self._room(self.hash, self.n + len(k)), self._room(self.at, self.n + len(k))
+        self.bytes, self.ids = self._room(self.bytes, self.n_bytes + len(data)), self._room(self.ids, self.n_ids + len(ids))
+        self.hash[k] = hashes
+        self.at[k] = np.stack([self.n_bytes + np.cumsum(lengths) - lengths, lengths, self.n_ids + np.cumsum(counts) - counts, counts], 1)
+        self.bytes[self.n_bytes : self.n_bytes + len(data)] = np.frombuffer(data, np.uint8)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n, self.n_bytes, self.n_ids = self.n + len(k), self.n_bytes + len(data), self.n_ids + len(ids)
+        return k
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the stretch of each hash, or -1."""
+        place = (h & np.uint64(_SLOTS - 1)).astype(np.int32)
+        found = self.slot[place]
+        open_ = np.flatnonzero((found >= 0) & (self.hash[found] != h))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (_SLOTS - 1)
+            found[open_] = self.slot[place[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.hash[found[open_]] != h[open_])]
+        return found
+
+    def enter(self, h: np.ndarray, k: np.ndarray) -> None:
+        """Puts numbers under different hashes that have no number yet."""
+        place = (h & np.uint64(_SLOTS - 1)).astype(np.int32)
+        while len(k):
+            free = self.slot[place] < 0
+            # Of several for one slot the last one gets it; the others and those before taken slots move on.
+            self.slot[place[free]] = k[free]
+            rest = self.slot[place] != k
+            place, k = (place[rest] + 1) & (_SLOTS - 1), k[rest]
+
+
+class Codec:
+    """Ranks and what a worker has met; pickled as the ranks alone."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.made = ranks, pattern
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        #: The first free id ends each text.
+        self.eot = self.encoding.max_token_value + 1
+        if self.eot >= 1 << 16:
+            raise ValueError("ids do not fit in 16 bits")
+        self.met = _Met(self.eot)
+        self.size = np.zeros(self.eot + 1, np.int64)
+        for token, i in table.items():
+            self.size[i] = len(token)
+
+    def __reduce__(self):
+        return _codec, self.made
+
+    def _look(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of stretches in ``met``; what wasn't there is encoded."""
+        if self.met.n > _SLOTS // 2:
+            self.met = _Met(self.eot)
+        met = self.met
+        h = vec.hash_runs(raw, lengths)
+        found = met.find(h)
+        # A hit counts if it has the same bytes; a stretch that shares its hash with another isn't entered.
+        size = met.at[:, 1][found]
+        same = (found >= 0) & (size == lengths)
+        hit = np.flatnonzero(same)
+        if len(hit):
+            n = lengths[hit]
+            begin = np.cumsum(n) - n
+            run = np.arange(int(n.sum()), dtype=np.int32)
+            equal = raw[run + np.repeat((starts[hit] - begin).astype(np.int32), n)] == met.bytes[run + np.repeat((met.at[:, 0][found[hit]] - begin).astype(np.int32), n)]
+            if not equal.all():
+                same[hit[~np.logical_and.reduceat(equal, begin)]] = False
+        fresh = np.flatnonzero(~same)
+        if len(fresh):
+            data, own, which, first = raw.tobytes(), {}, [], []
+            for i, s, n in zip(fresh.tolist(), starts[fresh].tolist(), lengths[fresh].tolist()):
+                which.append(own.setdefault(data[s : s + n], len(own)))
+                if len(own) > len(first):
+                    first.append(i)
+            k = met.add(h[first], list(own), *self._encode(list(own)))
+            free, at = np.unique(h[first], return_index=True)
+            fit = (met.find(free) < 0) & (lengths[np.array(first)[at]] <= _LONGEST)
+            met.enter(free[fit], k[at[fit]])
+            found[fresh] = k[which]
+        return found
+
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, their number in each); those between which the pre-tokenizer always cuts are encoded as one text."""
+        sound = [len(x) > 1 and _SPACE[x[0]] and not _SPACE[x[1]] and not _SPACE[x[-1]] for x in parts]
+        joined = [x for x, ok in zip(parts, sound) if ok]
+        ids = np.array(self.encoding.encode_ordinary(b"".join(joined).decode()), np.uint16)
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1
+        counts, begin = np.zeros(len(parts), np.int64), 0
+        counts[np.flatnonzero(sound)] = np.diff(ends, prepend=0)
+        if all(sound):
+            return ids, counts
+        out = []
+        for i in np.flatnonzero(~np.array(sound)).tolist():
+            other = self.encoding.encode_ordinary(parts[i].decode())
+            to = int(counts[:i].sum()) if not out else to + int(counts[last + 1 : i].sum())
+            out += [ids[begin:to], np.array(other, np.uint16)]
+            begin, last = to, i
+            counts[i] = -len(other)
+        counts = np.abs(counts)
+        return np.concatenate([*out, ids[begin:]]), counts
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids as uint16, row offsets into them) of texts, each followed by the end-of-text id; nulls are empty texts."""
+        raw, offsets = vec.buffers(col)
+        n = len(offsets) - 1
+        if not len(raw):
+            return np.full(n, self.eot, np.uint16), np.arange(n + 1)
+        space = _SPACE[raw]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[:-1] &= ~space[1:]
+        cut[0] = cut[-1] = False
+        inner = offsets[:-1][offsets[:-1] < len(raw)]
+        cut[inner[inner > 0] - 1] = False
+        cut[inner] = True
+        starts = np.flatnonzero(cut)
+        found = self._look(raw, starts, np.diff(np.append(starts, len(raw))))
+        # Each row's stretches and, behind them, its end.
+        ends = np.searchsorted(starts, offsets[1:])
+        which = np.insert(found, ends, 0)
+        at = self.met.at
+        sizes = at[:, 3][which]
+        to = np.cumsum(sizes)
+        total = int(to[-1])
+        out = self.met.ids[np.arange(total, dtype=np.int32) + np.repeat((at[:, 2][which] - to + sizes).astype(np.int32), sizes)]
+        return out, np.concatenate(([0], to[ends + np.arange(n)]))
+
+    def decode(self, ids) -> str:
+        return self.encoding.decode_bytes([int(i) for i in ids if i != self.eot]).decode("utf-8", errors="replace")
+
 
-#: Ids of the stretches that a worker has met, by tokenizer and hash; emptied when there are too many.
-_SEEN: dict[str, dict[int, list[int]]] = {}
-_MOST_SEEN = 400_000
+@functools.cache
+def _codec(ranks: bytes, pattern: str) -> Codec:
+    return Codec(ranks, pattern)
 
 
 @functools.cache
-def encoding(path: str = TOKENIZER, pattern: str = PATTERN) -> tiktoken.Encoding:
+def codec(path: str = TOKENIZER, pattern: str = PATTERN) -> Codec:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if len(ranks) >= 1 << 16:
-        raise ValueError(f"ids of {path} do not fit in 16 bits")
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def end_of_text(path: str = TOKENIZER) -> int:
-    """The first free id."""
-    return encoding(path).max_token_value + 1
-
-
-def encode(col: pa.Array, path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
-    """(ids as uint16, row offsets into them) of texts, each followed by the end-of-text id; nulls are empty texts."""
-    raw, offsets = vec.buffers(col)
-    enc, eot = encoding(path), end_of_text(path)
-    n = len(offsets) - 1
-    if not len(raw):
-        return np.full(n, eot, np.uint16), np.arange(n + 1)
-    space = _SPACE[raw]
-    cut = space.copy()
-    cut[1:] &= ~space[:-1]
-    cut[:-1] &= ~space[1:]
-    cut[0] = cut[-1] = False
-    inner = offsets[:-1][offsets[:-1] < len(raw)]
-    cut[inner[inner > 0] - 1] = False
-    cut[inner] = True
-    starts = np.flatnonzero(cut)
-    lengths = np.diff(np.append(starts, len(raw)))
-    h = vec.hash_runs(raw, lengths)
-    different, first, which = np.unique(h, return_index=True, return_inverse=True)
-    seen = _SEEN.setdefault(path, {})
-    if len(seen) > _MOST_SEEN:
-        seen.clear()
-    keys = different.tolist()
-    lists = [seen.get(k) for k in keys]
-    fresh = [i for i, x in enumerate(lists) if x is None]
-    if fresh:
-        data = raw.tobytes()
-        at = first[fresh]
-        for i, s, k in zip(fresh, starts[at].tolist(), lengths[at].tolist()):
-            lists[i] = seen[keys[i]] = enc.encode_ordinary(data[s : s + k].decode())
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint16, int(sizes.sum()))
-    at = np.cumsum(sizes) - sizes
-    n_ids = sizes[which]
-    rows = np.searchsorted(starts, offsets)
-    ends = np.concatenate(([0], np.cumsum(n_ids)))[rows]
-    out = np.empty(int(n_ids.sum()) + n, np.uint16)
-    # Each row's ids move on by the end-of-text ids before it.
-    row_of = np.repeat(np.arange(n), np.diff(rows))
-    to = np.cumsum(n_ids) - n_ids + row_of
-    step = np.arange(int(n_ids.sum())) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
-    out[np.repeat(to, n_ids) + step] = flat[np.repeat(at[which], n_ids) + step]
-    ends = ends + np.arange(n + 1)
-    out[ends[1:] - 1] = eot
-    return out, ends
-
-
-def decode(ids, path: str = TOKENIZER) -> str:
-    eot = end_of_text(path)
-    return encoding(path).decode_bytes([int(i) for i in ids if i != eot]).decode("utf-8", errors="replace")
+        return _codec(f.read(), pattern)

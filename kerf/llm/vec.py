@@ -92,9 +92,12 @@ def hash_runs(packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     begin = np.cumsum(lengths) - lengths
     at = np.arange(len(packed), dtype=np.int32)
     at -= np.repeat(begin.astype(np.int32), lengths)
-    at &= 4095
     value = _BYTE[packed]
-    value *= _POWERS[at]
+    if len(lengths) and lengths.max() > len(_POWERS):
+        # Beyond the table a multiplier is changed by how often the table was used up, so none comes again.
+        value *= _POWERS[at % len(_POWERS)] + (at // len(_POWERS)).astype(np.uint64) * _M2
+    else:
+        value *= _POWERS[at]
     h = np.add.reduceat(value, begin)
     h += lengths.astype(np.uint64)
     return mix(h)

@@ -254,9 +254,93 @@ def test_schedules_are_inverted(spark):
 
 def test_ids_are_the_tokenizers_own():
     texts = ["Hello  world\n\nfoo\tbar's", "", None, "  lead", "a  b  c", "x\ny z  \n w", "né à 12,5 €", "trail ", "\n", "it's 3 o'clock\r\nnow"]
-    ids, ends = tokens.encode(pa.array(texts))
-    for t, a, b in zip(texts, ends, ends[1:]):
-        assert ids[a:b].tolist() == [*tokens.encoding().encode_ordinary(t or ""), tokens.end_of_text()]
+    codec = tokens.codec()
+    for _ in range(2):
+        ids, ends = codec.encode(pa.array(texts))
+        for t, a, b in zip(texts, ends, ends[1:]):
+            assert ids[a:b].tolist() == [*codec.encoding.encode_ordinary(t or ""), codec.eot]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    # Two stretches that differ in bytes 4096 apart, as such and with a hash that knows lengths only.
+    texts = ["p" + "x" * 4095 + "q" + "yz", "q" + "x" * 4095 + "p" + "yz", "one two", "six two", "two one"]
+    plain = vec.hash_runs(*[np.frombuffer("".join(texts[:2]).encode(), np.uint8), np.array([4099, 4099])])
+    assert plain[0] != plain[1]
+    for hashes in (vec.hash_runs, lambda raw, lengths: lengths.astype(np.uint64)):
+        monkeypatch.setattr(vec, "hash_runs", hashes)
+        codec = tokens.Codec(*tokens.codec().made)
+        for _ in range(2):
+            ids, ends = codec.encode(pa.array(texts))
+            assert [codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])] == texts
+
+
+def _scalar_stream(ids):
+    """The coder again, one id at a time, with dictionaries and one long integer."""
+    import collections
+    import math
+
+    log = [0] + [round(256 * math.log(i)) for i in range(1, 2 * len(ids) + 3)]
+    squash = [max(64, min(65472, round(65536 / (1 + math.exp(-i / 256))))) for i in range(-2048, 2048)]
+    memo, tried, hits = ({}, {}), collections.Counter(), collections.Counter()
+    weight, slope = {(o, k): 40000 for o in (0, 1) for k in (0, 1)}, collections.Counter()
+    frequency, first, second = collections.Counter(), [0] * 256, collections.defaultdict(lambda: [0] * 256)
+    low, width, shifted, older, last = 0, 1 << 62, 0, 0, 0
+
+    def narrow(start, size, bits):
+        nonlocal low, width
+        width >>= bits
+        low += width * start
+        width *= size
+
+    def byte(counts, b):
+        total = 256 + 40 * sum(counts)
+        edges = [(n + 40 * sum(counts[:n])) * (32768 - 256) // total + n for n in (b, b + 1)]
+        counts[b] += 1
+        return edges[0], edges[1] - edges[0]
+
+    for t, x in enumerate(ids):
+        if t and t % 256 == 0:
+            for k in weight:
+                weight[k] = max(-200_000, min(200_000, weight[k] + (slope[k] >> 14)))
+            slope.clear()
+        slots = ((older * 0x9E3779B1 + last * 0x85EBCA6B) % (1 << 32) >> 16, last)
+        (g2, s2, b2), (g1, s1, b1) = (memo[o].get(slots[o], (-1, 0, 0)) for o in (0, 1))
+        there = (g2 >= 0, g1 >= 0 and g1 != g2)
+        states = [(s2 * 16 + s1 * 2 + (g1 == g2), b2 * 4 + min(s2, 3)), (s2 * 16 + s1 * 2 + (g1 == g2), b1 * 4 + min(s1, 3))]
+        odds, p = {}, [0, 0]
+        for o in (0, 1):
+            for k in (0, 1):
+                h, n = hits[o, k, states[o][k]], tried[o, k, states[o][k]]
+                odds[o, k] = max(-2047, min(2047, log[2 * h + 1] - log[2 * (n - h) + 1]))
+            p[o] = squash[max(-2047, min(2047, sum(weight[o, k] * odds[o, k] for k in (0, 1)) >> 16)) + 2048]
+        w2 = p[0] if there[0] else 0
+        w1 = max(1, (65536 - w2) * p[1] >> 16) if there[1] else 0
+        kind = 0 if there[0] and g2 == x else 1 if there[1] and g1 == x else 2
+        narrow(*((0, w2), (w2, w1), (w2 + w1, 65536 - w2 - w1))[kind], 16)
+        high = x >> 8
+        for start, size in ((0, 32768), (0, 32768)) if kind < 2 else (byte(first, high), byte(second[high], x & 255)):
+            narrow(start, size, 15)
+        while width < 1 << 46:
+            low, width, shifted = low << 16, width << 16, shifted + 1
+        for o, judged in ((0, there[0]), (1, there[1] and kind != 0)):
+            for k in (0, 1) if judged else ():
+                right = (g2, g1)[o] == x
+                slope[o, k] += odds[o, k] * ((right * 65535 - p[o]) >> 4)
+                tried[o, k, states[o][k]] += 1
+                hits[o, k, states[o][k]] += right
+        for o, (g, s) in enumerate(((g2, s2), (g1, s1))):
+            memo[o][slots[o]] = (x, min(s + 1, 7) if g == x else 0, min(7, frequency[x].bit_length()))
+        frequency[x] += 1
+        older, last = last, x
+    return (low << 2).to_bytes(2 * (shifted + 4), "big")
+
+
+def test_streams_are_those_of_a_scalar_coder():
+    rng = np.random.default_rng(11)
+    made = [rng.integers(0, 50257, 200), np.zeros(700), rng.integers(0, 3, 900), rng.zipf(1.3, 1500) % 50000, np.tile(rng.integers(0, 65536, 60), 12), np.array([65535, 0])]
+    made = [m.astype(np.uint16) for m in made]
+    for ids, stream in zip(made, rangecoder.encode_blocks(made)):
+        assert _scalar_stream(ids.tolist()) == stream
 
 
 def test_streams_round_trip():
@@ -284,7 +368,7 @@ def test_documents_come_back_from_blocks(spark):
     for i, text, *_ in rows:
         parts = sorted(got[i])
         assert [p for p, _ in parts] == np.cumsum([0, *(len(x) for _, x in parts)])[:-1].tolist()
-        assert tokens.decode([k for _, x in parts for k in x]) == (text or "")
+        assert tokens.codec().decode([k for _, x in parts for k in x]) == (text or "")
     assert blocks.write_blocks(table(spark, [])).count() == 0
 
 
@@ -313,4 +397,4 @@ def test_stages_follow_their_operators(spark, sf_dir):
     parts = {}
     for r in blocks.read_blocks(seen[5]).collect():
         parts.setdefault(r.doc_id, []).append((r.part_start, r.ids))
-    assert {d: tokens.decode([k for _, x in sorted(p) for k in x]) for d, p in parts.items()} == text
+    assert {d: tokens.codec().decode([k for _, x in sorted(p) for k in x]) for d, p in parts.items()} == text
