@@ -3,14 +3,15 @@
 Values are found by pattern and then validated: card numbers by Luhn's check, IPv4 octets,
 calendar dates, IBANs by their check digits, phone and social security numbers by their ranges.
 A valid value is permuted within its format: the number that its free characters stand for is put
-through a balanced Feistel network of keyed SHA-256 rounds, walking the cycle until it is a valid value
-again.  The permutation depends on the key and the format only, so equal values stay equal in all documents
+through a balanced Feistel network of keyed BLAKE2b rounds, walking the cycle until it is a value that is valid in the same
+way again.  The permutation depends on the key and the format only, so equal values stay equal in all documents
 and different ones stay different; with the key it can be inverted.  Separators and letter case stay,
-check digits are computed anew.  Access keys and passwords are permuted character by character class.
+check digits are computed anew.  Access keys and passwords are permuted within their classes of characters, and so
+are the local part and, apart, the domain of an e-mail address, whose last label stays.
 
-Defined cases: null texts stay null, empty ones empty; values that fail validation stay as they are, but for long
-digit runs of card length, which are permuted as plain digits; what begins within a candidate that failed is searched again,
-and an IBAN may end before its candidate does; overlapping candidates are taken from the left; repeated rows get equal results; extra columns are ignored by ``redact``; empty tables
+Defined cases: null texts stay null, empty ones empty; values that fail validation stay as they are, digits of card length
+without a valid check digit too; digits are ASCII digits, others are no part of any value; what begins within a candidate that failed is searched again,
+a card may be some of its candidate's groups and an IBAN may end before its candidate does; overlapping candidates are taken from the left; repeated rows get equal results; extra columns are ignored by ``redact``; empty tables
 give none; very long texts are processed whole.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerf.llm import vec
+
 #: An example; production passes its own.
 KEY = b"kerf pseudonyms"
 ROUNDS = 8
@@ -35,12 +38,12 @@ FINDERS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[opsu]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b",
     "secret": r"(?i:\b(?:password|passwd|secret|token|api_?key)\s?[=:]\s?\"?)(?P<secret_value>[A-Za-z0-9]{8,})",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "date": r"\b(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./\-]\d{2}[./\-]\d{4})\b",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d\w])(?:\+\d{1,3}[ .\-]?)?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])|(?<![\d\w])\+\d(?:[ .\-]?\d){7,14}(?!\d)",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./\-][0-9]{2}[./\-][0-9]{4})\b",
+    "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "card": r"(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-])",
+    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "phone": r"(?<![0-9\w])(?:\+[0-9]{1,3}[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9\-])|(?<![0-9\w])\+[0-9](?:[ .\-]?[0-9]){7,14}(?![0-9])",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FINDERS.items()))
 #: A text without any of these holds no candidate.
@@ -72,7 +75,7 @@ def _round(x: int, r: int, half: int, domain: str, key: bytes) -> int:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+    return "".join(c for c in s if c in "0123456789")
 
 
 def _refill(shape: str, chars: str) -> str:
@@ -91,12 +94,12 @@ def luhn(s: str) -> int:
     return -total % 10
 
 
-def _card(v: str, key: bytes, inverse: bool) -> str:
+def _card(v: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(v)
-    if luhn(d[:-1]) == int(d[-1]):
-        body = d[0] + _number(d[1:-1], "card" + d[0], key, inverse)
-        return _refill(v, body + str(luhn(body)))
-    return _refill(v, _number(d, "digits", key, inverse))
+    if luhn(d[:-1]) != int(d[-1]):
+        return None
+    body = d[0] + _number(d[1:-1], "card" + d[0], key, inverse)
+    return _refill(v, body + str(luhn(body)))
 
 
 def _ip(v: str, key: bytes, inverse: bool) -> str | None:
@@ -161,7 +164,10 @@ def _classes(v: str, domain: str, key: bytes, inverse: bool) -> str:
 def _hex(v: str, domain: str, key: bytes, inverse: bool) -> str:
     if re.fullmatch("[0-9a-f]+", v):
         return f"{permute(int(v, 16), 16 ** len(v), f'{domain}hex{len(v)}', key, inverse):0{len(v)}x}"
-    return _classes(v, domain, key, inverse)
+    while True:
+        v = _classes(v, domain, key, inverse)
+        if not re.fullmatch("[0-9a-f]+", v):
+            return v
 
 
 def _ssn(v: str, key: bytes, inverse: bool) -> str | None:
@@ -178,23 +184,27 @@ def _ssn(v: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _phone(v: str, key: bytes, inverse: bool) -> str | None:
-    """The country code stays; North American area codes and exchanges stay within 2 to 9 in front."""
-    head = re.match(r"\+\d{1,3}(?=[ .\-(])", v)
+    """A country code that is set apart stays; North American area codes and exchanges stay within 2 to 9 in front, and other numbers stay others."""
+    head = re.match(r"\+[0-9]{1,3}(?=[ .\-(])", v)
     lead = head.group() if head else ""
     rest = v[len(lead) :]
     d = _digits(rest)
     if not 7 <= len(d) <= 15:
         return None
-    north = len(d) == 10 and d[0] > "1" and d[3] > "1"
+    def north(d: str) -> bool:
+        return len(d) == 10 and d[0] > "1" and d[3] > "1"
+
+    kind = north(d)
     while True:
         d = _number(d, "phone" + lead, key, inverse)
-        if not north or (d[0] > "1" and d[3] > "1"):
+        if north(d) == kind:
             return lead + _refill(rest, d)
 
 
 def _email(v: str, key: bytes, inverse: bool) -> str:
     local, _, domain = v.rpartition("@")
-    return _classes(local, "email", key, inverse) + "@" + domain
+    name, _, last = domain.rpartition(".")
+    return _classes(local, "email", key, inverse) + "@" + _classes(name, "domain", key, inverse) + "." + last
 
 
 def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str] | None:
@@ -214,18 +224,18 @@ def redact_text(text: str | None, key: bytes = KEY, inverse: bool = False) -> tu
     """(text with pseudonyms, number of values); ``inverse`` undoes it."""
     if not text:
         return text, 0
-    out, done, at, inside, n = [], 0, 0, 0, 0
+    out, done, at, n = [], 0, 0, 0
     while m := PATTERN.search(text, at):
         start, end = m.span()
-        if m.lastgroup == "card" and start < inside and not _valid_card(m.group()):
-            # Within what failed, digits that only look like a card stay, but not a card among them.
+        if m.lastgroup == "card" and not _valid_card(m.group()):
+            # Digits that only look like a card stay, but not a card among them.
             new, start, end = _inner_card(text, start, end, key, inverse)
         else:
             new = _swap(m, key, inverse)
             if new is None and m.lastgroup == "iban":
                 new, end = _shorter_iban(text, start, end, key, inverse)
         if new is None:
-            at, inside = m.start() + 1, max(inside, m.end())
+            at = m.start() + 1
             continue
         out += text[done:start], new[1]
         done = at = end
@@ -240,7 +250,7 @@ def _valid_card(v: str) -> bool:
 
 def _inner_card(text: str, start: int, end: int, key: bytes, inverse: bool) -> tuple[tuple[str, str] | None, int, int]:
     """The longest run of whole groups of digits that is a card, and its range."""
-    groups = [x.span() for x in re.finditer(r"\d+", text[start:end])]
+    groups = [x.span() for x in re.finditer("[0-9]+", text[start:end])]
     runs = sorted(((a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:]), key=lambda r: (r[0] - r[1], r[0]))
     for a, b in runs:
         v = text[start + a : start + b]
@@ -265,12 +275,14 @@ def redact(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> DataFram
 
     def run(batches):
         for batch in batches:
-            texts, counts = [], []
-            for t, maybe in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                new, n = redact_text(t, key, inverse) if maybe else (t, 0)
-                texts.append(new)
-                counts.append(n)
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_values"])
+            for a, b in vec.slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                texts, counts = [], []
+                for t, maybe in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    new, n = redact_text(t, key, inverse) if maybe else (t, 0)
+                    texts.append(new)
+                    counts.append(n)
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_values"])
 
     marked = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(SIGN), F.lit(False)).alias("maybe"))
     return marked.mapInArrow(run, "doc_id bigint, text string, n_values int")
