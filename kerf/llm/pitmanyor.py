@@ -74,13 +74,22 @@ def seat(n: np.ndarray, base: np.ndarray, step: np.ndarray, d: float, rng: np.ra
         def survived(at):
             return lgamma(at - shift) - lgamma(at - shift + a) - origin
 
-        # The first customer at a new table is the least for which survival is at most the goal.
+        # The first customer at a new table is the least for which survival is at most the goal. For small a and many
+        # customers survival is close to a power; from where that says, the search steps outwards and then halves.
         lo, hi = now.copy(), end.copy()
         never = survived(end) > goal
-        while (hi - lo > 1).any():
-            mid = np.floor((lo + hi) / 2)
-            more = survived(mid) > goal
-            lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+        with np.errstate(over="ignore"):
+            at = np.exp(np.minimum(-(goal + origin) / a, 700)) - (a - 1) / 2 + shift
+        rest = np.flatnonzero(~never & (hi - lo > 1))
+        step_ = 1.0
+        while len(rest):
+            x = np.clip(np.floor(at[rest]), lo[rest] + 1, hi[rest] - 1)
+            s, a_ = shift[rest], a[rest]
+            more = lgamma(x - s) - lgamma(x - s + a_) - origin[rest] > goal[rest]
+            lo[rest], hi[rest] = np.where(more, x, lo[rest]), np.where(more, hi[rest], x)
+            at[rest] = np.where(more, x + step_, x - step_) if step_ < 64 else (lo[rest] + hi[rest]) / 2
+            step_ = step_ * 4 if step_ < 64 else step_
+            rest = rest[hi[rest] - lo[rest] > 1]
         stop = np.where(never, end, np.maximum(hi, now + 1))
         stretches.append((active, tables, now, stop))
         t[active] += ~never
@@ -165,14 +174,16 @@ class Model:
 
     def _discount(self, k: int) -> float:
         """A discount drawn from the grid by the likelihood of the level's table counts (Ewens-Pitman, tables of each room)."""
-        n = np.bincount(self.room[k], self.n[k], len(self.rooms[k])).astype(float)
-        t = np.bincount(self.room[k], self.t[k], len(self.rooms[k])).astype(float)
+        n, n_rooms = np.unique(np.bincount(self.room[k], self.n[k], len(self.rooms[k])), return_counts=True)
+        t, t_rooms = np.unique(np.bincount(self.room[k], self.t[k], len(self.rooms[k])), return_counts=True)
+        # Cells whose tables have one customer each add nothing.
+        some = self.n[k] > self.t[k]
+        tables = self.t[k][some]
+        mean = self.n[k][some] / tables
         logs = []
         for d in DISCOUNTS:
-            rooms = (t * math.log(d) + lgamma(STRENGTH / d + t) - lgamma(np.full(1, STRENGTH / d)) - lgamma(STRENGTH + n) + lgamma(np.full(1, STRENGTH))).sum()
-            mean = self.n[k] / np.maximum(self.t[k], 1)
-            tables = (self.t[k] * (lgamma(np.maximum(mean, 1) - d) - lgamma(np.full(1, 1 - d)))).sum()
-            logs.append(rooms + tables)
+            rooms = ((t * math.log(d) + lgamma(STRENGTH / d + t) - lgamma(np.full(1, STRENGTH / d))) * t_rooms).sum() - ((lgamma(STRENGTH + n) - lgamma(np.full(1, STRENGTH))) * n_rooms).sum()
+            logs.append(rooms + (tables * (lgamma(mean - d) - lgamma(np.full(1, 1 - d)))).sum())
         p = np.exp(np.array(logs) - max(logs))
         return float(self.rng.choice(DISCOUNTS, p=p / p.sum()))
 
