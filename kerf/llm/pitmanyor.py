@@ -6,9 +6,7 @@ corpus, above it the tables of its children), and its tables are sampled by Gibb
 of one dish in one restaurant leave and are seated again, one after the other, by the Chinese-restaurant rule
 given the other dishes and the parent's probabilities.  The new seating is accepted by the Metropolis-Hastings
 ratio of that block; where the number of customers has changed since, because children were seated anew, it is taken as it is.
-Levels are swept from the deepest up, all dishes of a level at once.  Seating n customers of a dish takes
-steps for its tables only, not for its customers: the wait for the next new table is drawn from its
-distribution.  Discounts are drawn from a grid by an approximate likelihood and predictive probabilities are
+Levels are swept from the deepest up, all dishes of a level at once.  Discounts are drawn from a grid by an approximate likelihood and predictive probabilities are
 averaged over the sweeps after burn-in.
 
 Counts are gathered from every character of every text by a distributed aggregation; the model that comes out of it
@@ -54,50 +52,61 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 Seating = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+#: Cells that are fewer are seated one by one, as array operations would cost more.
+_FEW = 12
+
+
 def seat(n: np.ndarray, base: np.ndarray, step: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, Seating]:
     """Seats n customers of a dish in each restaurant: (tables, stretches of customers between new tables).
 
     With t tables of the dish, a new one has weight ``base + step * t`` and the old ones i - d t together after
-    i customers.  A stretch is (restaurant, tables, customers before, customers after).
+    i customers.  A stretch is (restaurant, tables, customers before, customers after).  The next customers of all cells that have
+    more are seated together.
     """
-    t = np.ones(len(n), np.int64)
-    i = np.ones(len(n), np.float64)
-    stretches = []
-    active = np.flatnonzero(n > 1)
-    while len(active):
-        now, tables, end = i[active], t[active], n[active].astype(float)
-        shift = d * tables
-        a = base[active] + step[active] * tables
-        goal = np.log(rng.random(len(active)))
-        origin = lgamma(now - shift) - lgamma(now - shift + a)
-
-        def survived(at):
-            return lgamma(at - shift) - lgamma(at - shift + a) - origin
-
-        # The first customer at a new table is the least for which survival is at most the goal. For small a and many
-        # customers survival is close to a power; from where that says, the search steps outwards and then halves.
-        lo, hi = now.copy(), end.copy()
-        never = survived(end) > goal
-        with np.errstate(over="ignore"):
-            at = np.exp(np.minimum(-(goal + origin) / a, 700)) - (a - 1) / 2 + shift
-        rest = np.flatnonzero(~never & (hi - lo > 1))
-        step_ = 1.0
-        while len(rest):
-            x = np.clip(np.floor(at[rest]), lo[rest] + 1, hi[rest] - 1)
-            s, a_ = shift[rest], a[rest]
-            more = lgamma(x - s) - lgamma(x - s + a_) - origin[rest] > goal[rest]
-            lo[rest], hi[rest] = np.where(more, x, lo[rest]), np.where(more, hi[rest], x)
-            at[rest] = np.where(more, x + step_, x - step_) if step_ < 64 else (lo[rest] + hi[rest]) / 2
-            step_ = step_ * 4 if step_ < 64 else step_
-            rest = rest[hi[rest] - lo[rest] > 1]
-        stop = np.where(never, end, np.maximum(hi, now + 1))
-        stretches.append((active, tables, now, stop))
-        t[active] += ~never
-        i[active] = stop
-        active = active[stop < end]
-    if not stretches:
-        return t, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    return t, tuple(np.concatenate(x) for x in zip(*stretches))
+    order = np.argsort(-n, kind="stable")
+    left = np.asarray(n)[order]
+    tables = np.ones(len(n), np.int64)
+    weight, by, taken = (base + step)[order], step[order], np.full(len(n), float(d))
+    cells, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, most = 1, int(left[0]) if len(left) else 0
+    while i < most:
+        # Cells with more than i customers come first.
+        m = len(left) - int(np.searchsorted(left[::-1], i, "right"))
+        if m < _FEW:
+            break
+        w = weight[:m]
+        new = np.flatnonzero(rng.random(m) * (w + (i - taken[:m])) < w)
+        if len(new):
+            tables[new] += 1
+            weight[new] += by[new]
+            taken[new] += d
+            cells.append(new)
+            at.append(np.full(len(new), i))
+        i += 1
+    for c in range(len(left) - int(np.searchsorted(left[::-1], i, "right")) if i < most else 0):
+        w, s, k, opened = float(weight[c]), float(by[c]), float(taken[c]), []
+        for j, u in enumerate(rng.random(int(left[c]) - i).tolist(), i):
+            if u * (w + j - k) < w:
+                w, k = w + s, k + d
+                opened.append(j)
+        tables[c] += len(opened)
+        cells.append(np.full(len(opened), c))
+        at.append(np.array(opened, np.int64))
+    cell, at = np.concatenate(cells), np.concatenate(at) + 1
+    # A stretch ends where a table opens; the last one ends with the customers.
+    by_cell = np.argsort(cell, kind="stable")
+    cell, stop = cell[by_cell], at[by_cell]
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    begin = np.where(first, 1, np.concatenate(([1], stop[:-1])))
+    starts = np.flatnonzero(first)
+    rank = np.arange(len(cell)) - np.repeat(starts, np.diff(np.append(starts, len(cell)))) + 1
+    last = np.ones(len(n), np.int64)
+    last[cell] = stop
+    rest = np.flatnonzero(left > last)
+    t = np.empty(len(n), np.int64)
+    t[order] = tables
+    return t, (order[np.concatenate((cell, rest))], np.concatenate((rank, tables[rest])), np.concatenate((begin, last[rest])).astype(float), np.concatenate((stop, left[rest])).astype(float))
 
 
 def log_weight(seating: Seating, n_cells: int, base: np.ndarray, step: np.ndarray, d: float) -> np.ndarray:
