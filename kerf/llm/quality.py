@@ -9,7 +9,7 @@ statistics and decisions stay in the JVM.
 Defined cases: a null text counts as an empty one; an empty text has 0 for all statistics;
 labels that are null or of unknown documents are ignored, and of several labels of a document the
 lowest counts; without labelled rows of both kinds the list is empty and everything is kept;
-repeated rows are judged alike; extra columns are ignored by ``judge`` and kept by ``keep``;
+repeated rows are judged alike; extra columns are ignored by ``judge`` and kept by ``keep``, whatever their names;
 empty tables give empty results.
 """
 
@@ -22,10 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerf.llm import vec
+
 FEATURES = ("n_chars", "n_words", "word_chars", "upper_share", "symbol_share", "digit_share", "distinct_share", "repeated_lines", "longest_word")
 #: Labelled rows that a list is fitted on at most: those of least hash.
 MAX_LABELLED = 20_000
-#: A rule must be right on this share of the pruning rows that it covers, and cover so many rows.
+#: A rule must be right on this share of the pruning rows that it covers, and cover so many rows. Limits of a fitted list: rules,
+#: conditions of a rule, thresholds that are tried for a statistic.
 MIN_PRECISION, MIN_COVERED, MAX_RULES, MAX_CONDITIONS, CUTS = 0.9, 5, 16, 4, 64
 
 
@@ -50,11 +53,12 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a struct ``__stats`` of FEATURES as doubles."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__t", t).withColumn("__w", F.array_remove(F.split("__t", r"\s+"), "")).withColumn("__l", F.array_remove(F.split("__t", r"\s*\n\s*"), ""))
-    chars, words, lines = F.length("__t"), F.size("__w"), F.size("__l")
+def with_statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """(``df`` with a struct of FEATURES as doubles, the struct's name, which is none of ``df``'s)."""
+    stats_name, t, w, l = vec.unused(df.columns, "__stats", "__t", "__w", "__l")
+    df = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn(w, F.array_remove(F.split(t, r"\s+"), "")).withColumn(l, F.array_remove(F.split(t, r"\s*\n\s*"), ""))
+    chars, words, lines = F.length(t), F.size(w), F.size(l)
 
     def share(n: Column, of: Column) -> Column:
         return F.when(of > 0, n / of).otherwise(F.lit(0.0)).cast("double")
@@ -63,14 +67,14 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_chars": chars.cast("double"),
         "n_words": words.cast("double"),
         "word_chars": share(chars - words + 1, words),
-        "upper_share": share(F.length(F.regexp_replace("__t", r"[^\p{Lu}]+", "")), chars),
-        "symbol_share": share(F.length(F.regexp_replace("__t", r"[^#$%&*|!<>{}=~^_\\@+]+", "")), chars),
-        "digit_share": share(F.length(F.regexp_replace("__t", r"[^0-9]+", "")), chars),
-        "distinct_share": share(F.size(F.array_distinct("__w")), words),
-        "repeated_lines": share(lines - F.size(F.array_distinct("__l")), lines),
-        "longest_word": F.coalesce(F.array_max(F.expr("transform(__w, w -> length(w))")), F.lit(0)).cast("double"),
+        "upper_share": share(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), chars),
+        "symbol_share": share(F.length(F.regexp_replace(t, r"[^#$%&*|!<>{}=~^_\\@+]+", "")), chars),
+        "digit_share": share(F.length(F.regexp_replace(t, r"[^0-9]+", "")), chars),
+        "distinct_share": share(F.size(F.array_distinct(w)), words),
+        "repeated_lines": share(lines - F.size(F.array_distinct(l)), lines),
+        "longest_word": F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("double"),
     }
-    return df.withColumn("__stats", F.struct(*(c.alias(k) for k, c in stats.items()))).drop("__t", "__w", "__l")
+    return df.withColumn(stats_name, F.struct(*(c.alias(k) for k, c in stats.items()))).drop(t, w, l), stats_name
 
 
 def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
@@ -78,10 +82,10 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
         return np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - math.log2(p0 / (p0 + n0))), -np.inf)
 
 
-def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
+def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int, max_cuts: int) -> Rule:
     rule: list[Condition] = []
     inside = np.ones(len(x), bool)
-    while len(rule) < MAX_CONDITIONS:
+    while len(rule) < max_conditions:
         p0, n0 = int(bad[inside].sum()), int((~bad[inside]).sum())
         if not p0 or not n0:
             break
@@ -92,8 +96,8 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
             if len(values) < 2:
                 continue
             cuts = (values[1:] + values[:-1]) / 2
-            if len(cuts) > CUTS:
-                cuts = np.unique(np.quantile(cuts, np.linspace(0, 1, CUTS), method="nearest"))
+            if len(cuts) > max_cuts:
+                cuts = np.unique(np.quantile(cuts, np.linspace(0, 1, max_cuts), method="nearest"))
             order = np.argsort(v, kind="stable")
             under = np.searchsorted(v[order], cuts, "left")
             cum = np.concatenate(([0], np.cumsum(b[order])))
@@ -132,14 +136,14 @@ def _tightest(rule: Rule) -> Rule:
     return tuple(kept.values())
 
 
-def fit(x: np.ndarray, quality: np.ndarray) -> list[Rule]:
+def fit(x: np.ndarray, quality: np.ndarray, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, cuts: int = CUTS) -> list[Rule]:
     """The decision list for rows of FEATURES and their quality, 0 or 1; every third row, in the order given, is for pruning."""
     bad = np.asarray(quality) == 0
     held = np.arange(len(bad)) % 3 == 2
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < MAX_RULES and bad[left & ~held].sum() >= MIN_COVERED and (~bad[left & ~held]).any():
-        rule = _grow(x[left & ~held], bad[left & ~held])
+    while len(rules) < max_rules and bad[left & ~held].sum() >= MIN_COVERED and (~bad[left & ~held]).any():
+        rule = _grow(x[left & ~held], bad[left & ~held], max_conditions, cuts)
         rule = _prune(rule, x[left & held], bad[left & held])
         m = covers(rule, x) & left
         p, n = bad[m & held].sum(), m[held].sum()
@@ -152,11 +156,13 @@ def fit(x: np.ndarray, quality: np.ndarray) -> list[Rule]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and quality of a bounded sample of labelled documents, in hash order."""
+    """Statistics and quality of a bounded sample of labels of known documents, in hash order."""
     sample = labels.select(F.col("doc_id").alias("__id"), "quality").where("__id is not null and quality is not null").groupBy("__id").agg(F.min("quality").alias("quality"))
+    sample = sample.join(docs.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    rows = with_statistics(rows).select("doc_id", "quality", "__stats.*").distinct().toPandas()
+    rows, stats = with_statistics(rows)
+    rows = rows.select("doc_id", "quality", f"{stats}.*").distinct().toPandas()
     rows = rows.iloc[np.lexsort([rows[f] for f in FEATURES] + [rows.doc_id, [_spread(i) for i in rows.doc_id]])]
     return rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy()
 
@@ -165,8 +171,8 @@ def _spread(i: int) -> int:
     return (int(i) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % 2**64 >> 11
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    return fit(*labelled(docs, labels, max_labelled))
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **limits: int) -> list[Rule]:
+    return fit(*labelled(docs, labels, max_labelled), **limits)
 
 
 def expression(rules: list[Rule], prefix: str = "") -> Column:
@@ -185,10 +191,12 @@ def expression(rules: list[Rule], prefix: str = "") -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, rule, keep) of every row; rule is null where none rejects it."""
-    marked = with_statistics(docs.select("doc_id", "text")).select("doc_id", expression(rules, "__stats.").alias("rule"))
+    marked, stats = with_statistics(docs.select("doc_id", "text"))
+    marked = marked.select("doc_id", expression(rules, f"{stats}.").alias("rule"))
     return marked.select("doc_id", "rule", F.col("rule").isNull().alias("keep"))
 
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows that no rule rejects, with their columns."""
-    return with_statistics(docs).where(expression(rules, "__stats.").isNull()).select(*(docs[c] for c in docs.columns))
+    marked, stats = with_statistics(docs)
+    return marked.where(expression(rules, f"{stats}.").isNull()).drop(stats)

@@ -51,6 +51,17 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are none of ``names``, whatever their case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text each, or of one row."""
     _, offsets = buffers(col) if not isinstance(col, np.ndarray) else (None, col)
