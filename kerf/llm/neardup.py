@@ -7,8 +7,9 @@ a segment's keys are the codewords that decoding gives for the segment and for i
 neighbours (one or six of them), so segments that differ in two bits or less always
 share a key.  By the pigeonhole principle fingerprints that differ in eight bits or
 less over the four segments agree so in two segments at least; hence the keys that are
-joined are pairs of codewords, one for each pair of segments.  Candidates are verified
-on the whole fingerprint.  Beyond eight bits the search is approximate; its recall is
+joined are pairs of codewords, one for each pair of segments.  The join itself tests most of
+what lies outside the segments by the bound on the whole fingerprint, so it passes over no near-duplicate, and
+what it lets through is verified on the whole fingerprint.  Beyond eight bits the search is approximate; its recall is
 measured by the tests.
 
 Defined cases: texts that are equal byte for byte are copies, whatever they hold, but for
@@ -32,8 +33,6 @@ from kerf.plans.session import checkpoint
 BITS, SEGMENTS, SEGMENT_BITS = 192, 4, 23
 #: Differing bits of near-duplicates, of 192; 28 is a cosine of about 0.9 of weighted word sets.
 MAX_DISTANCE = 28
-#: Differing bits of the last 32, a test that the join itself makes.
-MAX_CHECK = 9
 PAIRS = list(itertools.combinations(range(SEGMENTS), 2))
 
 _GENERATOR = 0xC75
@@ -137,12 +136,12 @@ def _key_batches(batches):
         for a in range(0, batch.num_rows, 4096):
             ids, f0, f1, f2 = (c.to_numpy(zero_copy_only=False) for c in batch.slice(a, 4096).columns)
             seg = segments(f0.view(np.uint64), f1.view(np.uint64))
-            check = f2 & 0xFFFFFFFF
+            check = f1 >> 32 & 0xFFFFFFFF
             keys, used = zip(*(fuzzy_keys(seg[:, k]) for k in range(SEGMENTS)))
             for c, (i, j) in enumerate(PAIRS):
                 row, x, y = np.nonzero(used[i][:, :, None] & used[j][:, None, :])
                 key = (c << 24) | (keys[i][row, x].astype(np.int64) << 12) | keys[j][row, y]
-                yield pa.record_batch([pa.array((key << 32) | check[row]), pa.array(ids[row])], names=["k", "id"])
+                yield pa.record_batch([pa.array((key << 32) | check[row]), pa.array(f2[row]), pa.array(ids[row])], names=["k", "c", "id"])
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -151,13 +150,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprint_batches, "doc_id bigint, t0 bigint, t1 bigint, f0 bigint, f1 bigint, f2 bigint")
 
 
-def similar_pairs(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_check: int = MAX_CHECK) -> DataFrame:
+def similar_pairs(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance), a < b, of the near-duplicates among (id, f0, f1, f2)."""
-    # A row is as short as can be: the key, and below it the bits that the join tests.
-    keys = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "k bigint, id bigint").repartition(F.shiftright("k", 32))
-    left, right = keys.toDF("ka", "a"), keys.toDF("kb", "b")
+    # A row is the key, and below and beside it 96 bits of the fingerprint that are in no segment.
+    keys = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "k bigint, c bigint, id bigint").repartition(F.shiftright("k", 32))
+    left, right = keys.toDF("ka", "ca", "a"), keys.toDF("kb", "cb", "b")
     same = F.shiftright("ka", 32) == F.shiftright("kb", 32)
-    near = left.join(right, same).where(F.expr(f"a < b and bit_count(ka ^ kb) <= {max_check}")).select("a", "b").distinct()
+    near = left.join(right, same).where(F.expr(f"a < b and bit_count(ka ^ kb) + bit_count(ca ^ cb) <= {max_distance}")).select("a", "b").distinct()
     f = distinct.select("id", "f0", "f1", "f2")
     near = near.join(f.toDF("a", "a0", "a1", "a2"), "a").join(f.toDF("b", "b0", "b1", "b2"), "b")
     return near.select("a", "b", F.expr("bit_count(a0 ^ b0) + bit_count(a1 ^ b1) + bit_count(a2 ^ b2)").alias("distance")).where(f"distance <= {max_distance}")
