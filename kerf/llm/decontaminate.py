@@ -7,8 +7,8 @@ each hit the two texts are aligned without gaps and the best-scoring overlap is
 kept (a match scores 1, a substitution ``-penalty``).
 
 Tokens are lower-case runs of letters and digits.  Defined cases: null or empty
-texts and items have no tokens and never hit; items shorter than the longest mask are
-searched with all masks that an accepted overlap of theirs can need; repeated rows give their hits once each;
+texts and items have no tokens and never hit; items of fewer than four tokens are common phrases by which no leak is told, and
+never hit; items shorter than the longest mask are searched with all masks that an accepted overlap of theirs can need; repeated rows give their hits once each;
 equal items each give a row; extra columns are ignored; empty tables give none.
 """
 
@@ -40,7 +40,9 @@ def _positions(mask: str) -> list[int]:
 
 def short_masks(n: int) -> set[str]:
     """Masks for an item of ``n`` tokens: all with as many positions left out as an accepted overlap may miss, without ignored ends."""
-    missed = n - math.ceil(MIN_SHARE * n) if n >= SMALL_ITEM else 0
+    if n < SMALL_ITEM:
+        return set()
+    missed = n - math.ceil(MIN_SHARE * n)
     return {"".join("0" if i in out else "1" for i in range(n)).strip("0") for out in itertools.combinations(range(n), missed)}
 
 
