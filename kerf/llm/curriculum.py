@@ -7,17 +7,19 @@ are range-sorted by that time.  A document's order within its source is that of
 id, so that it depends neither on files nor on partitions.
 
 Cumulative tokens are exact and never take one task for a source: a source is cut into buckets by the
-first digits of the MD5, buckets are summed first, and sums before a bucket are joined to its rows.
+first digits of the MD5, buckets are summed first, and sums before a bucket are joined to its rows.  Texts are read once, for
+their numbers of tokens, which are written to the shared folder.
 
-Without schedules a source's weight is its share of tokens, tilted by up to half over time in a
-direction that its name fixes, and the budget is all tokens: every document has a position and each source
-ends at t = 1.  With schedules, sources that aren't listed have weight 0, and the budget is the largest
-for which no source must repeat, or what the caller gives.
+TARGETS are the schedules of the registered query and of the pipeline: a source of web pages, which is a third of all
+rows, gives way to the others during training.  With schedules, sources that aren't listed have weight 0, and the
+budget is the largest for which no source must repeat, or what the caller gives; what is left over comes last.  Without
+schedules (None) a source's weight is its share of tokens, tilted by up to half over time in a direction that its name
+fixes, and the budget is all tokens: every document has a position and each source ends at t = 1.
 
-Defined cases: documents of a source without demand for them have a null position and come last; null sources
+Defined cases: documents of a source without demand for them have a null position and come last, by source, MD5 and id; null sources
 are one source; null texts and empty texts have 0 tokens and still a position; ties of MD5 (repeated rows) are
 ordered by doc_id and then share positions if equal; null doc_ids come first in their source; extra columns are kept
-by ``mix``, unless they have the name ``position``, which is replaced in ``positions``; empty tables give none.
+by ``mix``, whatever their names, and ignored by ``positions``; a null doc_id gets the first position of all null ones in ``mix``; empty tables give none.
 """
 
 from __future__ import annotations
@@ -26,10 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerf.llm import vec
+from kerf.plans.session import checkpoint
+
 #: Hexadecimal digits of the MD5 that number a bucket: 4096 buckets a source.
 BUCKET_DIGITS = 3
 #: The largest tilt of a default schedule: weights run from 1 - TILT to 1 + TILT times the share, or back.
 TILT = 0.5
+#: Weights at the begin and the end of training, of sources by name.
+TARGETS: dict[str | None, list[tuple[float, float]]] = {"src0": [(0.0, 0.43), (0.6, 0.24), (1.0, 0.05)], **{f"src{k}": [(0.0, 0.03), (0.6, 0.04), (1.0, 0.05)] for k in range(1, 20)}}
 
 
 def n_tokens(text: Column) -> Column:
@@ -46,8 +53,8 @@ def default_tilt(source: Column) -> Column:
 
 def _ordered(docs: DataFrame) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), key.alias("k"))
-    return rows.withColumn("b", F.substring("k", 1, BUCKET_DIGITS))
+    rows = checkpoint(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+    return rows.withColumn("k", key).withColumn("b", F.substring("k", 1, BUCKET_DIGITS))
 
 
 def cumulative(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +67,7 @@ def cumulative(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb"))).withColumn("before", F.col("start") + F.col("inner"))
     totals = sums.groupBy("source").agg(F.sum("in_bucket").alias("supply"))
-    return rows.select("doc_id", "source", "n_tokens", "before"), totals
+    return rows.select("doc_id", "source", "n_tokens", "k", "before"), totals
 
 
 def _pieces(schedules: dict[str | None, list[tuple[float, float]]]) -> list[tuple]:
@@ -81,7 +88,12 @@ def _pieces(schedules: dict[str | None, list[tuple[float, float]]]) -> list[tupl
 
 
 def positions(docs: DataFrame, schedules: dict[str | None, list[tuple[float, float]]] | None = None, budget_tokens: float | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, position) of every row, range-sorted by position, nulls last."""
+    """(doc_id, source, n_tokens, position) of every row, range-sorted by position before it is rounded to nine digits, nulls last."""
+    rows = _placed(docs, schedules, budget_tokens).orderBy(F.col("exact").asc_nulls_last(), "source", "k", "doc_id")
+    return rows.select("doc_id", "source", "n_tokens", F.round("exact", 9).alias("position"))
+
+
+def _placed(docs: DataFrame, schedules: dict[str | None, list[tuple[float, float]]] | None, budget_tokens: float | None) -> DataFrame:
     rows, totals = cumulative(docs)
     middle = F.col("before") + F.col("n_tokens") / F.lit(2.0)
     if schedules is None:
@@ -90,21 +102,22 @@ def positions(docs: DataFrame, schedules: dict[str | None, list[tuple[float, flo
         rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")))
         y = F.when(F.col("supply") > 0, middle / F.col("supply")).otherwise(F.lit(0.0))
         low, slope = F.lit(1.0) - F.col("tilt"), F.lit(2.0) * F.col("tilt")
-        position = F.round(_invert(y, low, slope), 9)
+        exact = _invert(y, low, slope)
     else:
         spark = docs.sparkSession
         pieces = _pieces(schedules)
         table = spark.createDataFrame(pieces, "s string, t0 double, t1 double, w0 double, slope double, a0 double, a1 double")
         if budget_tokens is None:
-            supply = {r.source: r.supply for r in totals.collect()}
+            listed = F.col("source").isin([s for s in schedules if s is not None])
+            supply = {r.source: r.supply for r in totals.where(listed | F.col("source").isNull() if None in schedules else listed).collect()}
             area = {p[0]: p[6] for p in pieces}
             budget_tokens = min((supply[s] / a for s, a in area.items() if s in supply and a > 0), default=0.0)
         demand = middle / F.lit(float(budget_tokens)) if budget_tokens else F.lit(float("inf"))
         rows = rows.withColumn("y", demand)
         match = F.col("source").eqNullSafe(F.col("s")) & (F.col("y") >= F.col("a0")) & (F.col("y") < F.col("a1"))
         rows = rows.join(F.broadcast(table) if len(pieces) <= 100_000 else table, match, "left")
-        position = F.round(F.col("t0") + _invert(F.col("y") - F.col("a0"), F.col("w0"), F.col("slope")), 9)
-    return rows.select("doc_id", "source", "n_tokens", position.alias("position")).orderBy(F.col("position").asc_nulls_last(), "source", "doc_id")
+        exact = F.col("t0") + _invert(F.col("y") - F.col("a0"), F.col("w0"), F.col("slope"))
+    return rows.select("doc_id", "source", "n_tokens", "k", exact.alias("exact"))
 
 
 def _invert(area: Column, w0: Column, slope: Column) -> Column:
@@ -113,14 +126,14 @@ def _invert(area: Column, w0: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, schedules=None, budget_tokens: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that have a position, with their columns, range-sorted by position."""
-    at = positions(docs, schedules, budget_tokens).where("position is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__at"))
-    mixed = docs.join(at, docs["doc_id"].eqNullSafe(at["__id"]))
-    return mixed.orderBy("__at", docs["doc_id"]).select(*(docs[c] for c in docs.columns))
+    """All rows of ``docs`` with their columns, range-sorted by position; those without one come last, by source, MD5 and id."""
+    own, at, key, of = vec.unused(docs.columns, "__id", "__at", "__key", "__of")
+    placed = _placed(docs, schedules, budget_tokens).groupBy(F.col("doc_id").alias(own)).agg(F.min("exact").alias(at), F.min("k").alias(key), F.min("source").alias(of))
+    mixed = docs.join(placed, docs["doc_id"].eqNullSafe(placed[own]))
+    return mixed.orderBy(F.col(at).asc_nulls_last(), of, key, docs["doc_id"]).drop(own, at, key, of)
 
 
-#: What ``positions`` returns without schedules, for DuckDB.
-DEFAULT_SQL = """
+_SQL_ROWS = """
 with d as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as k,
          len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+'))::bigint as n_tokens
@@ -130,6 +143,11 @@ c as (
          sum(n_tokens) over (partition by source)::double as supply,
          (('0x' || substr(md5(coalesce(source, '')), 1, 2))::int::double / 255.0::double * 2.0::double - 1.0::double) * 0.5::double as tilt
   from d),
+"""
+#: What ``positions`` returns without schedules, for DuckDB.
+DEFAULT_SQL = (
+    _SQL_ROWS
+    + """
 y as (
   select *, case when supply > 0 then (before::double + n_tokens::double / 2.0::double) / supply else 0.0::double end as y from c)
 select doc_id, source, n_tokens,
@@ -137,3 +155,30 @@ select doc_id, source, n_tokens,
              else 2.0::double * y / ((1.0::double - tilt) + sqrt(greatest((1.0::double - tilt) * (1.0::double - tilt) + 2.0::double * (2.0::double * tilt) * y, 0.0::double))) end, 9) as position
 from y
 """
+)
+
+
+def sql(schedules: dict[str | None, list[tuple[float, float]]]) -> str:
+    """What ``positions`` returns with schedules, for DuckDB."""
+
+    def value(x) -> str:
+        return "null::varchar" if x is None else f"{x!r}::double" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
+
+    rows = ",\n  ".join("(" + ", ".join(map(value, p)) + ")" for p in _pieces(schedules))
+    return (
+        _SQL_ROWS
+        + f"""
+p(s, t0, t1, w0, slope, a0, a1) as (values
+  {rows}),
+b as (
+  select min(supply / area) as budget
+  from (select source, max(supply) as supply from c group by source) t join (select s, max(a1) as area from p group by s) q on source is not distinct from s
+  where area > 0),
+y as (
+  select c.*, (before::double + n_tokens::double / 2.0::double) / nullif(budget, 0.0::double) as y from c cross join b)
+select doc_id, source, n_tokens,
+       round(t0 + case when y - a0 <= 0 then 0.0::double
+             else 2.0::double * (y - a0) / (w0 + sqrt(greatest(w0 * w0 + 2.0::double * slope * (y - a0), 0.0::double))) end, 9) as position
+from y left join p on source is not distinct from s and y >= a0 and y < a1
+"""
+    )

@@ -35,7 +35,7 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.positions(_table(spark, sf_dir, "documents"))
+    return curriculum.positions(_table(spark, sf_dir, "documents"), curriculum.TARGETS)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_wrappers, op3_transcripts, op4_quality_rules, op5_token_blocks, op6_curriculum_mix, op7_pseudonyms, op8_perplexity, op9_near_duplicates, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op6_curriculum_mix": curriculum.DEFAULT_SQL}
+ORACLES: dict[str, str] = {"op6_curriculum_mix": curriculum.sql(curriculum.TARGETS)}
