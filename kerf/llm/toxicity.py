@@ -10,8 +10,10 @@ as frequent in toxic documents as in others.  A document's score is the sum over
 their stem's rates in toxic and other documents; the threshold is the one that errs least on the labelled documents.
 A word counts once in a document, so that repeated lines say no more than one.
 
-Lattices are decoded only where some path through them begins with a stem, which one pattern decides; no
-other path can change a score.
+A word may begin at any place in a token that no letter is before, and a spaced word is a row of short pieces (three
+different neighbours at most), whose gaps are part of the lattice.  Lattices are decoded only where some path through them begins with a
+stem: a trie of the stems is walked over all options of each run at once, in time linear in the token's length, and what is decoded
+is that stretch and up to CONTEXT runs behind it.  No other path can change a score.
 
 Defined cases: null and empty texts score 0 and aren't toxic; without toxic labels there are no stems and all scores are 0;
 labels that are null or of unknown documents are ignored, and of several labels of a document the highest counts;
@@ -36,6 +38,8 @@ from kerf.llm import chars, vec
 #: Labelled rows that stems are learned from at most, those of least hash; half of them toxic where there are as many.
 MAX_LABELLED = 20_000
 MIN_RATIO, MIN_STEM, MAX_STEM = 8.0, 3, 16
+#: Runs behind a stem that its decoding looks at, and letters of a piece of a spaced word.
+CONTEXT, PIECE = 32, 3
 #: Nats by which a stem's toxic share must be surprising: chance at most e**-20 for one prefix, of millions tried.
 MIN_EVIDENCE = 20.0
 #: Words by which a toxic document is explained.
@@ -51,12 +55,16 @@ LEET = {
 NOISE = ".,-_*~'`^#%&/\\:;=\"?)[]{}<>"
 #: Logs of the channel. Leaving out a sign that may be a letter costs about what the letter would in the language model.
 _SUBSTITUTE, _DROP, _DROP_LEET, _LITERAL, _ONCE_OF_2, _ONCE, _TWICE = -0.7, -0.8, -6.0, -2.5, -1.5, -0.4, -1.0
+#: A gap between pieces that isn't one, beside a piece of several letters.
+_JOIN = -4.0
 _EDGE = NOISE + "!|"
 _BY_LETTER: dict[str, str] = {}
 for _s, _letters in LEET.items():
     for _l in _letters:
         _BY_LETTER[_l] = _BY_LETTER.get(_l, "") + _s
+_STRIP = _EDGE + "0123456789@$+ "
 _RUNS = re.compile(r"(.)\1*", re.S)
+_DOUBLE = re.compile(r"(.)\1", re.S)
 _LONG_RUN = re.compile(r"(.)\1\1", re.S)
 
 
@@ -120,12 +128,16 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, logs: np.ndarray) -> tuple[str, float]:
-    """The most probable text of a lattice, and its log probability; the state is the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, text) in states.items():
+Lattice = list[list[tuple[str, float]]]
+
+
+def decode(steps: str | Lattice, logs: np.ndarray) -> tuple[str, float]:
+    """The most probable text of a token or lattice, and its log probability; the state is the last two characters."""
+    # A path is its last piece of text and the path before it.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in lattice(steps) if isinstance(steps, str) else steps:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (p, path) in states.items():
             for emit, cost in options:
                 x, y, q = a, b, p + cost
                 for c in emit:
@@ -133,10 +145,14 @@ def decode(token: str, logs: np.ndarray) -> tuple[str, float]:
                     q += float(logs[x, y, k])
                     x, y = y, k
                 if (x, y) not in after or q > after[x, y][0]:
-                    after[x, y] = (q, text + emit)
+                    after[x, y] = (q, (emit, path) if emit else path)
         states = after
-    best = max(((p + float(logs[a, b, 0]), text) for (a, b), (p, text) in states.items()), default=(0.0, ""))
-    return best[1], best[0]
+    best, path = max(((p + float(logs[a, b, 0]), path) for (a, b), (p, path) in states.items()), key=lambda x: x[0], default=(0.0, None))
+    text = []
+    while path is not None:
+        text.append(path[0])
+        path = path[1]
+    return "".join(reversed(text)), best
 
 
 @dataclass
@@ -149,13 +165,20 @@ class Scorer:
 
     def __post_init__(self):
         self.lengths = sorted({len(s) for s in self.stems})
-        drop = f"[{re.escape(NOISE + ''.join(LEET))}\\s]*"
-        body = []
-        for stem in sorted(self.stems):
-            runs = [m.group(1) for m in _RUNS.finditer(stem.rstrip())]
-            body.append(drop.join(f"[{re.escape(c + _BY_LETTER.get(c, ''))}]+" for c in runs))
-        self.pattern = re.compile(drop + "(?:" + "|".join(body) + ")") if body else None
-        self.cache = _Cache(self)
+        self.trie: dict = {}
+        for stem in self.stems:
+            node = self.trie
+            for c in stem:
+                node = node.setdefault(c, {})
+            node["end"] = True
+        # A stem's letters or their signs must occur in order. Each step of a pattern stops at the first sign that fits and
+        # never goes back, so a pattern takes one pass.
+        parts = []
+        for stem in sorted({_RUNS.sub(r"\1", x.rstrip()) for x in self.stems}):
+            fit = [re.escape(c + _BY_LETTER.get(c, "")) for c in stem]
+            parts.append("".join(f"[^{x}]*+[{x}]" for x in fit))
+        self.patterns = [re.compile(p, re.S) for p in parts]
+        self.cache, self.spaced = _Cache(self.known), _Cache(self.joined)
 
     def stem(self, word: str) -> str | None:
         word += " "
@@ -164,63 +187,125 @@ class Scorer:
                 return word[:n]
         return None
 
-    def look(self, token: str) -> tuple[str, str] | None:
-        """(stem, restored token) where the token, restored, begins with a stem."""
-        if token.isalpha() and (found := self.stem(token)) and not _LONG_RUN.search(token):
-            return found, token
-        if self.pattern is None or not self.pattern.match(token):
-            return None
-        restored = decode(token, self.logs)[0].strip(_EDGE + "0123456789@$+")
-        found = self.stem(restored)
-        return (found, restored) if found else None
+    def possible(self, text: str) -> bool:
+        return any(p.match(text) for p in self.patterns)
+
+    def scan(self, steps: Lattice, begins: list[bool], gaps: list[int] | None = None) -> list[tuple[str, str]]:
+        """(stem, restored text) of each stretch that, decoded, begins with a stem; stretches don't overlap.
+
+        ``begins`` says where words may begin. With ``gaps``, the number of gaps before each run, only stretches over a gap count.
+        """
+        hits: list[tuple[str, str]] = []
+        failed: set[int] = set()
+        # Places in the trie, by the node's identity: (node, where its word begins, the latest of several).
+        active: dict[int, tuple[dict, int]] = {}
+        n = len(steps)
+        for i in range(n + 1):
+            options = steps[i] if i < n else [(" ", 0.0)]
+            if i < n and begins[i]:
+                active[id(self.trie)] = (self.trie, i)
+            after: dict[int, tuple[dict, int]] = {}
+            found = -1
+            for node, start in active.values():
+                if start in failed:
+                    continue
+                for emit, _ in options:
+                    to = node
+                    for c in emit if emit.isalnum() or not emit else " ":
+                        to = to.get(c)
+                        if to is None:
+                            break
+                        if "end" in to and (gaps is None or gaps[min(i, n - 1)] > gaps[start]):
+                            found = max(found, start)
+                    if to is not None and to is not self.trie and (id(to) not in after or after[id(to)][1] < start):
+                        after[id(to)] = (to, start)
+            active = after
+            if found >= 0:
+                restored = decode(steps[found : i + 1 + CONTEXT], self.logs)[0].strip(_STRIP)
+                stem = self.stem(restored)
+                if stem:
+                    hits.append((stem, restored))
+                    active = {}
+                else:
+                    failed.add(found)
+        return hits
+
+    def known(self, token: str) -> tuple[tuple[str, str], ...] | None:
+        """The hits of a token; for a short piece without any, _SHORT; else None."""
+        if token.isalpha() and not _LONG_RUN.search(token) and (found := self.stem(token)):
+            return ((found, token),)
+        hits = self.look(token)
+        if hits:
+            return tuple(hits)
+        return _SHORT if len(_RUNS.sub(r"\1", "".join(c for c in token if c not in NOISE))) <= PIECE else None
+
+    def look(self, token: str) -> list[tuple[str, str]]:
+        """(stem, restored text) of what a token holds."""
+        if (token.isalpha() and not _DOUBLE.search(token)) or not self.possible(token):
+            return []
+        begins = [m.start() == 0 or not token[m.start() - 1].isalpha() for m in _RUNS.finditer(token)]
+        return self.scan(lattice(token), begins)
+
+    def joined(self, text: str) -> tuple[tuple[str, str], ...]:
+        """(stem, restored text) of words that are spread over pieces, which spaces are between."""
+        if not self.possible(text.replace(" ", "")):
+            return ()
+        steps: Lattice = []
+        begins: list[bool] = []
+        gaps: list[int] = []
+        single = False
+        for k, piece in enumerate(text.split(" ")):
+            own = lattice(piece)
+            alone = len(_RUNS.sub(r"\1", piece.strip(NOISE))) <= 1
+            if k:
+                steps.append([("", _DROP if single and alone else _JOIN), (" ", 0.0)])
+                begins.append(False)
+                gaps.append(k - 1)
+            single = alone
+            steps += own
+            begins += [True] + [False] * (len(own) - 1)
+            gaps += [k] * len(own)
+        return tuple(self.scan(steps, begins, gaps))
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
-        """(score, restored words that have a stem, in order of occurrence)."""
+        """(score, restored words that have a stem: those of single tokens in order, then those that are spread over several)."""
         if not text or not self.stems:
             return 0.0, []
         words = text.lower().split()
         found = list(map(self.cache.__getitem__, words))
-        at = [i for i, x in enumerate(found) if x]
-        if not at:
-            return 0.0, []
-        hits = [found[i] for i in at if found[i] is not _SINGLE]
-        singles = [i for i in at if found[i] is _SINGLE]
-        if len(singles) >= MIN_STEM:
-            # Characters that stand alone, one after another, are the lattice of one spaced word or several.
-            start = 0
-            for k in range(1, len(singles) + 1):
-                if k == len(singles) or singles[k] != singles[k - 1] + 1:
-                    if k - start >= MIN_STEM:
-                        run = [words[i] for i in singles[start:k]]
-                        j = 0
-                        while j <= len(run) - MIN_STEM:
-                            hit = self.look("".join(run[j:]))
-                            hits += [hit] if hit else []
-                            j += max(1, len(hit[0])) if hit else 1
-                    start = k
+        hits = [h for x in found if x for h in x]
+        short = [i for i, x in enumerate(found) if x is _SHORT]
+        start = 0
+        for k in range(1, len(short) + 1):
+            if k == len(short) or short[k] != short[k - 1] + 1:
+                if k - start > 1:
+                    hits += self.spaced[" ".join(words[short[start] : short[k - 1] + 1])]
+                start = k
         return sum(self.stems[stem] for stem, _ in set(hits)), [w for _, w in hits]
 
 
-_SINGLE = ("", "")
+_SHORT: tuple = ()
 
 
 class _Cache(dict):
-    """What is known of tokens; emptied when it is full."""
+    """Results by text, of texts that aren't long; emptied when it is full."""
 
-    def __init__(self, scorer: Scorer):
-        self.scorer = scorer
+    def __init__(self, make):
+        self.make = make
 
-    def __missing__(self, token: str):
-        if len(self) > 400_000:
-            self.clear()
-        found = _SINGLE if len(token) == 1 else self.scorer.look(token)
-        self[token] = found
+    def __missing__(self, text: str):
+        found = self.make(text)
+        if len(text) <= 200:
+            if len(self) > 400_000:
+                self.clear()
+            self[text] = found
         return found
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, int, int]:
-    """((doc_id, text, toxic) of a bounded sample, toxic and other documents among all labels)."""
+    """((doc_id, text, toxic) of a bounded sample, toxic and other documents among all labels of known documents)."""
     marked = labels.select(F.col("doc_id").alias("__id"), "toxic").where("__id is not null and toxic is not null").groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.join(docs.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
     half = max_labelled // 2
     toxic = marked.where("toxic = 1").orderBy(F.xxhash64("__id"), "__id").limit(half)
     clean = marked.where("toxic <> 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled - half)
@@ -230,11 +315,11 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return rows.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic")), counts[0], counts[1] - counts[0]
 
 
-def learn_stems(rows: DataFrame) -> dict[str, float]:
+def learn_stems(rows: DataFrame, max_stem: int = MAX_STEM, enough: int = ENOUGH) -> dict[str, float]:
     """Word prefixes with the log ratio of their rates in toxic and in other documents."""
     word = F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}]+', 0)"))).alias("word")
     by_word = rows.select("toxic", word).groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("t"), F.sum((~F.col("toxic")).cast("int")).alias("c"))
-    prefix = F.explode(F.expr(f"transform(sequence({MIN_STEM}, {MAX_STEM}), n -> if(length(word) >= n - 1, substring(concat(word, ' '), 1, n), null))")).alias("stem")
+    prefix = F.explode(F.expr(f"transform(sequence({MIN_STEM}, {max_stem}), n -> if(length(word) >= n - 1, substring(concat(word, ' '), 1, n), null))")).alias("stem")
     by_word = by_word.persist(StorageLevel.DISK_ONLY)
     total_t, total_c = (x or 0 for x in by_word.agg(F.sum("t"), F.sum("c")).first())
     if not total_t:
@@ -252,7 +337,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     if not kept:
         return {}
     # Copies of a toxic document make all their words look toxic, so stems are chosen by what they explain: the one with most
-    # evidence first, and a document no longer counts once ENOUGH of its words are explained.
+    # evidence first, and a document no longer counts once ``enough`` of its words are explained.
     names = F.broadcast(rows.sparkSession.createDataFrame([(r.stem,) for r in kept], "stem string"))
     pairs = rows.where("toxic").select("doc_id", word).select("doc_id", prefix).join(names, "stem").groupBy("stem", "doc_id").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "n"))).alias("docs"))
@@ -261,7 +346,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     for stem, held in docs.items():
         for d in held:
             holders.setdefault(d, []).append(stem)
-    missing = dict.fromkeys(holders, ENOUGH)
+    missing = dict.fromkeys(holders, enough)
     clean = {r.stem: r.c for r in kept}
     ratios = {r.stem: r.ratio for r in kept}
 
@@ -305,9 +390,9 @@ def threshold(scores: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int)
     return max(MIN_THRESHOLD, float(cuts[int(np.argmin(cost))]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_stem: int = MAX_STEM, enough: int = ENOUGH) -> Scorer:
     rows, n_toxic, n_clean = labelled(docs, labels, max_labelled)
-    stems = learn_stems(rows)
+    stems = learn_stems(rows, max_stem, enough)
     counts = chars.count(docs, 3).toPandas()
     scorer = Scorer(stems, language_model(counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), dict.fromkeys(stems, 200.0)))
     if stems:
