@@ -5,12 +5,17 @@ the observations of a line are its speaker marker, its length, how it ends and w
 Probabilities are counted over conversations whose roles are known, Viterbi finds the most probable states, and turns are
 rendered without their markers as ``<|role|>`` blocks.
 
-``transcribe`` writes conversations as such transcripts, in styles and with markers left out as the MD5 of their ids says,
-for training and for tests.
+``transcribe`` writes conversations as such transcripts, in styles and with markers left out as the MD5 of their ids and of a
+word says, for training and for tests.  What a model learns from and what the registered query scores are different transcripts: each
+conversation is written anew, in another style and with other markers left out.
+
+A marker is taken away only where Viterbi says that a turn begins; a line that goes on with a turn stays as it is, and so do blank lines
+within a turn.
 
 Defined cases: null turns sort first and equal ones by role and text; null texts are empty; null or unknown roles count as
 user; a conversation without a line that isn't blank gives no turns and an empty rendering; null conv_ids are one
-conversation; repeated rows are repeated turns; extra columns are ignored; empty tables give none.
+conversation; repeated rows are repeated turns; extra columns are ignored; empty tables give none; transcripts of many lines
+are decoded whole, in slices of bounded text.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerf.llm import vec
+
 ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in range(3) for begins in (1, 0)]
 STYLES = (
@@ -76,14 +83,14 @@ def _pick(key: str, n: int) -> int:
     return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % n
 
 
-def transcribe(conv_id, turns: list[tuple[str | None, str | None]]) -> tuple[str, list[int]]:
+def transcribe(conv_id, turns: list[tuple[str | None, str | None]], styles: tuple = STYLES, word: str = "") -> tuple[str, list[int]]:
     """(transcript, the state of each line that isn't blank) of a conversation's (role, text) turns."""
-    style = STYLES[_pick(f"style {conv_id}", len(STYLES))]
-    apart = "\n\n" if _pick(f"apart {conv_id}", 2) else "\n"
+    style = styles[_pick(f"style {conv_id}{word}", len(styles))]
+    apart = "\n\n" if _pick(f"apart {conv_id}{word}", 2) else "\n"
     parts, states = [], []
     for k, (role, text) in enumerate(turns):
         r = ROLES.index(role) if role in ROLES else 1
-        head = "" if k and not _pick(f"mark {conv_id} {k}", UNMARKED) else style[r]
+        head = "" if k and not _pick(f"mark {conv_id} {k}{word}", UNMARKED) else style[r]
         part = head + (text or "")
         n = sum(bool(x.strip()) for x in part.split("\n"))
         states += [2 * r, *[2 * r + 1] * (n - 1)][:n]
@@ -138,15 +145,19 @@ class Model:
 
     def parse(self, transcript: str) -> list[tuple[str, str]]:
         """(role, text) of the turns of a transcript."""
-        rows = lines(transcript)
+        states = iter(self.viterbi([f for _, f in lines(transcript)]))
         turns: list[tuple[str, list[str]]] = []
-        for (line, f), s in zip(rows, self.viterbi([f for _, f in rows])):
-            text = line[marker(line)[1] :] if f[0] else line
+        for line in transcript.split("\n"):
+            if not line.strip():
+                if turns:
+                    turns[-1][1].append("")
+                continue
+            s = next(states)
             if s % 2 == 0 or not turns:
                 turns.append((ROLES[s // 2], []))
-            if text.strip():
-                turns[-1][1].append(text.rstrip())
-        return [(r, "\n".join(t)) for r, t in turns]
+                line = line[marker(line)[1] :]
+            turns[-1][1].append(line)
+        return [(r, "\n".join(t).strip("\n")) for r, t in turns]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -170,19 +181,19 @@ def _conversations(df: DataFrame) -> DataFrame:
     return df.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
-def _each(batches):
+def _each(batches, styles: tuple, word: str):
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            yield [(c, *transcribe(c, [(t["role"], t["text"]) for t in turns])) for c, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+        for a in range(0, batch.num_rows, 100):
+            part = batch.slice(a, 100)
+            yield [(c, *transcribe(c, [(t["role"], t["text"]) for t in turns], styles, word)) for c, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
 
 
-def learn(conversations: DataFrame) -> Model:
+def learn(conversations: DataFrame, styles: tuple = STYLES, word: str = " learn") -> Model:
     """The model counted over all conversations, by partial counts of each partition."""
 
     def run(batches):
         total: Counter = Counter()
-        for rows in _each(batches):
+        for rows in _each(batches, styles, word):
             for _, text, states in rows:
                 total.update(count(text, states))
         keys = list(total)
@@ -197,19 +208,19 @@ def parse_transcripts(transcripts: DataFrame, model: Model) -> DataFrame:
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            parsed = [shared.value.parse(t or "") for t in batch.column(1).to_pylist()]
+        for part in (batch.slice(a, b - a) for batch in batches for a, b in vec.slices(batch.column(1))):
+            parsed = [shared.value.parse(t or "") for t in part.column(1).to_pylist()]
             columns = [[len(p) for p in parsed], [[r for r, _ in p] for p in parsed], [render(p) for p in parsed]]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.list_(pa.string()), pa.string())))], names=["conv_id", "n_turns", "roles", "rendered"])
+            yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.list_(pa.string()), pa.string())))], names=["conv_id", "n_turns", "roles", "rendered"])
 
     return transcripts.select("conv_id", "transcript").mapInArrow(run, "conv_id bigint, n_turns int, roles array<string>, rendered string")
 
 
-def transcripts_of(conversations: DataFrame) -> DataFrame:
+def transcripts_of(conversations: DataFrame, styles: tuple = STYLES, word: str = "") -> DataFrame:
     """(conv_id, transcript) of every conversation."""
 
     def run(batches):
-        for rows in _each(batches):
+        for rows in _each(batches, styles, word):
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["conv_id", "transcript"])
 
     return _conversations(conversations).mapInArrow(run, "conv_id bigint, transcript string")
