@@ -1,7 +1,10 @@
 """The operators of the pipeline against brute force, round trips and held-out rows."""
 
 import difflib
+import hashlib
 import itertools
+import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -108,6 +111,22 @@ def test_search_has_the_recall_it_claims(spark):
     assert got <= true and len(got) >= 0.9 * len(true) and len(true) > 200
 
 
+def test_pairs_within_eight_bits_over_segments_are_found_whatever_the_rest(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for k in range(300):
+        f = rng.integers(0, 1 << 63, 3).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 3).astype(np.uint64)
+        g = f.copy()
+        inner = rng.choice(92, 8, replace=False)
+        outer = 92 + (100 - 1 - np.arange(20)) if k % 2 else 92 + rng.choice(100, 20, replace=False)
+        for b in [*inner, *outer]:
+            g[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows += [(2 * k, *f.view(np.int64).tolist()), (2 * k + 1, *g.view(np.int64).tolist())]
+        want.add((2 * k, 2 * k + 1))
+    found = {(r.a, r.b): r.distance for r in neardup.similar_pairs(spark.createDataFrame(rows, "id bigint, f0 bigint, f1 bigint, f2 bigint")).collect()}
+    assert want <= set(found) and all(found[p] == 28 for p in want)
+
+
 def test_fingerprint_is_the_weighted_sign_sum():
     col = pa.array(["Alpha beta beta gammadelta", "", None, "x " * 50000 + "y"])
     got, n = neardup.fingerprints(col)
@@ -237,6 +256,18 @@ def test_positions_match_sql_on_odd_rows(spark):
     assert curriculum.mix(docs.withColumn("before", F.lit(1))).columns == [*docs.columns, "before"]
 
 
+def test_target_positions_match_sql(spark):
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), "en", f"src{i % 4}" if i % 11 else None, 0) for i in range(300)] + [(None, "a b", None, "src1", 0), (7, "again", None, "src1", 0), (301, None, None, "lonely", 0)]
+    docs = table(spark, rows)
+    for schedules in (curriculum.TARGETS, {None: [(0, 1)], "src2": [(0.25, 0), (0.5, 3)], "it's": [(0, 1)]}):
+        con = duckdb.connect()
+        pdf = docs.toPandas()
+        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+        con.register("documents", pa.Table.from_pandas(pdf))
+        expected = sorted(con.execute(curriculum.sql(schedules)).fetchall(), key=repr)
+        assert sorted((tuple(r) for r in curriculum.positions(docs, schedules).collect()), key=repr) == expected
+
+
 def test_schedules_are_inverted(spark):
     rows = [(i, "t " * 10, "en", "ab"[i % 2], 0) for i in range(2000)]
     got = curriculum.positions(table(spark, rows), {"a": [(0, 2), (1, 0)], "b": [(0, 0), (1, 2)]}).toPandas()
@@ -375,26 +406,125 @@ def test_documents_come_back_from_blocks(spark):
 # the pipeline:
 
 
-def test_stages_follow_their_operators(spark, sf_dir):
+def _statistics(text):
+    """The statistics of quality rules, sign by sign."""
+    t = text or ""
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+    lines = [x for x in re.split(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", t) if x]
+    n = len(t)
+    return {
+        "n_chars": n, "n_words": len(w), "word_chars": (n - len(w) + 1) / len(w) if w else 0, "upper_share": sum(unicodedata.category(c) == "Lu" for c in t) / n if n else 0,
+        "symbol_share": sum(c in "#$%&*|!<>{}=~^_\\@+" for c in t) / n if n else 0, "digit_share": sum(c in "0123456789" for c in t) / n if n else 0, "distinct_share": len(set(w)) / len(w) if w else 0,
+        "repeated_lines": (len(lines) - len(set(lines))) / len(lines) if lines else 0, "longest_word": max(map(len, w), default=0),
+    }
+
+
+def _rejecting(rules, text):
+    x = _statistics(text)
+    return next((k for k, rule in enumerate(rules, 1) if all(x[c.feature] >= c.threshold if c.above else x[c.feature] < c.threshold for c in rule)), None)
+
+
+def test_rules_are_those_of_plain_statistics(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality.learn(docs, labels)
+    odd = table(spark, [(-1, None, "", "", 0), (-2, "", "", "", 0), (-3, "ÄÖ ###\n\nx\nx\n" * 3, "", "", 0), (-4, "word " * 30000, "", "", 0)])
+    every = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    text = {r.doc_id: r.text for r in every.collect()}
+    assert {r.doc_id: r.rule for r in quality.judge(every, rules).collect()} == {d: _rejecting(rules, t) for d, t in text.items()}
+
+
+def _demand(schedule, t):
+    """The integral of a schedule from 0 to t, piece by piece."""
+    knots = [(0.0, schedule[0][1]), *[k for k in schedule if 0 < k[0] < 1], (1.0, schedule[-1][1])]
+    total = 0.0
+    for (a, u), (b, v) in zip(knots, knots[1:]):
+        e = min(max(t, a), b)
+        w = u + (v - u) * (e - a) / (b - a)
+        total += (u + w) / 2 * (e - a)
+    return total
+
+
+def _plain_positions(rows):
+    """doc_id -> position by halving intervals, for documents of different ids."""
+    by_source = {}
+    for d, text, source in rows:
+        by_source.setdefault(source, []).append((hashlib.md5(str(d).encode()).hexdigest(), d, len((text or "").split())))
+    budget = min(sum(n for *_, n in x) / _demand(curriculum.TARGETS[s], 1) for s, x in by_source.items() if s in curriculum.TARGETS)
+    out = {}
+    for s, x in by_source.items():
+        before = 0
+        for _, d, n in sorted(x):
+            goal, before = (before + n / 2) / budget, before + n
+            if s not in curriculum.TARGETS or goal >= _demand(curriculum.TARGETS[s], 1):
+                out[d] = None
+                continue
+            lo, hi = 0.0, 1.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if _demand(curriculum.TARGETS[s], mid) < goal else (lo, mid)
+            out[d] = hi
+    return out
+
+
+def test_stages_are_their_brute_force_versions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stage(spark, seen[-1], sf_dir).cache())
-    for df in seen[1:-1]:
-        assert df.columns == docs.columns
-    ids = [{r.doc_id for r in df.select("doc_id").collect()} for df in seen[:-1]]
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.judge(docs, quality.learn(docs, labels))
-    assert ids[1] == {r.doc_id for r in judged.where("keep").collect()}
-    assert ids[1] - ids[2] == {r.doc_id for r in neardup.near_duplicates(seen[1]).collect()}
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    assert ids[2] - ids[3] == {r.doc_id for r in decontaminate.find_overlaps(seen[2], bench).collect()}
-    assert ids[3] == ids[4]
-    order = {r.doc_id: r.position for r in curriculum.positions(seen[3]).collect()}
-    at = [order[r.doc_id] for r in seen[4].select("doc_id").collect()]
-    assert at == sorted(at)
-    text = {r.doc_id: r.text for r in seen[4].select("doc_id", "text").collect()}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, sf_dir).cache()
+        assert seen.columns == docs.columns
+        got = [r.doc_id for r in seen.select("doc_id").collect()]
+        if name == "quality rules":
+            assert sorted(got) == sorted(d for d, t, _ in rows if _rejecting(rules, t) is None)
+        elif name == "SimHash near-dedup":
+            f, n = neardup.fingerprints(pa.array([t for _, t, _ in rows], pa.string()))
+            bits = np.unpackbits(f.view(np.uint8), axis=1).astype(np.int32)
+            parent = list(range(len(rows)))
+
+            def find(i):
+                while parent[i] != i:
+                    i = parent[i]
+                return i
+
+            for i, j in itertools.combinations(range(len(rows)), 2):
+                if rows[i][1] and (rows[i][1] == rows[j][1] or (n[i] and n[j] and (bits[i] != bits[j]).sum() <= neardup.MAX_DISTANCE)):
+                    a, b = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                    parent[b] = a
+            kept = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+            assert kept <= set(got) and len(set(got) - kept) <= 0.05 * (len(rows) - len(kept))
+        elif name == "benchmark decontamination":
+            items = vec.word_hashes([t for _, t in bench])
+            # Diagonals without an equal token have no overlap.
+            diagonals = lambda h, x: {int(i - j) for j, y in enumerate(x) for i in np.flatnonzero(h == y)}
+            clean = [d for (d, _, _), h in zip(rows, vec.word_hashes([t for _, t, _ in rows])) if not any((o := decontaminate.overlap(h, x, g)) and decontaminate.accepted(o, len(x)) for x in items if np.isin(x, h).sum() > 3 for g in diagonals(h, x))]
+            assert set(clean) <= set(got) and len(got) - len(clean) <= 0.05 * (len(rows) - len(clean) + 1)
+        else:
+            place = _plain_positions(rows)
+            assert sorted(got) == sorted(place)
+            at = [place[d] for d in got]
+            with_place = [x for x in at if x is not None]
+            assert at[: len(with_place)] == with_place and all(b >= a - 1e-9 for a, b in zip(with_place, with_place[1:])) and len(with_place) < len(at)
+        rows = [x for x in rows if x[0] in set(got)]
+    text = {d: t for d, t, _ in rows}
     parts = {}
-    for r in blocks.read_blocks(seen[5]).collect():
+    for r in blocks.read_blocks(corpus_pipeline.STAGES[-1][1](spark, seen, sf_dir)).collect():
         parts.setdefault(r.doc_id, []).append((r.part_start, r.ids))
     assert {d: tokens.codec().decode([k for _, x in sorted(p) for k in x]) for d, p in parts.items()} == text
+
+
+def test_stages_take_odd_tables(spark, sf_dir):
+    names = ("__stats", "__t", "__w", "__l", "__at", "__id", "__copy", "__leak", "position", "n_tokens")
+    long = " ".join(f"word{i}" for i in range(4000))
+    rows = [(None, None, None, None, None), (None, "text without an id, of which there is one only", "en", "src1", 9), (1, "", "en", "src0", 0), (2, long, "en", "src0", 1), (2, long, "en", "src0", 1), (3, long, "en", None, 1), (4, "one more text, unlike the others here", None, "elsewhere", 5)]
+    docs = table(spark, rows)
+    for k in names:
+        docs = docs.withColumn(k, F.lit("clash"))
+    for df, n in ((docs, 5), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            df = stage(spark, df, sf_dir).cache()
+            assert df.columns == docs.columns and df.count() == (6 if n and name != "quality rules" else n), name
+        assert (corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() > 0) == bool(n)
+        assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns == docs.columns
+    assert {r.doc_id for r in quality.judge(docs, []).collect()} == {None, 1, 2, 3, 4}

@@ -47,7 +47,7 @@ def test_ngram_counts_are_those_of_a_loop(spark):
 def scorer():
     rng = np.random.default_rng(0)
     syllables = ["th", "er", "on", "an", "re", "ti", "en", "at", "ou", "ing"]
-    words = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(4000)] + ["idiot", "scum", "loser"] * 20
+    words = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(4000)] + ["idiot", "scum", "loser"] * 20 + ["is", "here"] * 200
     total = np.zeros(chars.SIZE**3, np.int64)
     for w in words:
         c = [0, 0, *toxicity.letter_codes(w + " ")]
@@ -58,12 +58,12 @@ def scorer():
     return toxicity.Scorer(stems, toxicity.language_model(grams, total[grams], dict.fromkeys(stems, 200.0)))
 
 
-@pytest.mark.parametrize("said", ["idiot", "1d10t", "i.d.i.o.t", "IDIOT!!", "i d i o t", "idiiiiot", "l0ser,", "$cum", "s-c-u-m", "scuuuum", "an 1d!ot here"])
+@pytest.mark.parametrize("said", ["idiot", "1d10t", "i.d.i.o.t", "IDIOT!!", "i d i o t", "idiiiiot", "l0ser,", "$cum", "s-c-u-m", "scuuuum", "an 1d!ot here", "you-idiot", "fool/idiot", "well,1d10t", "ii dd ii oo tt", "i. d. i. o. t.", "id iot", "i d i o t i s h e r e", "(idiot)", "42idiot", "s c u m"])
 def test_obfuscated_words_are_restored(scorer, said):
     assert scorer.score(said)[0] == 5.0
 
 
-@pytest.mark.parametrize("said", ["the", "thering and on", "a b c d e", "10 20 1000", "", None, "$$$ the&&& on***", "losers' list", "at 5 on 7"])
+@pytest.mark.parametrize("said", ["the", "thering and on", "a b c d e", "10 20 1000", "", None, "$$$ the&&& on***", "losers' list", "at 5 on 7", "is it at an on", "re an on at", "discuss cum", "a b c d e f g"])
 def test_clean_words_stay(scorer, said):
     assert scorer.score(said) == (0.0, [])
 
@@ -84,12 +84,26 @@ def test_prefilter_loses_no_hit(scorer):
     rng = np.random.default_rng(3)
     signs = list("idots1!0$5lcumre.-7+")
     for _ in range(3000):
-        token = "".join(rng.choice(signs, int(rng.integers(2, 7))))
+        token = "".join(rng.choice(signs, int(rng.integers(2, 13))))
         restored = toxicity.decode(token, scorer.logs)[0].strip(toxicity._EDGE + "0123456789@$+")
         if scorer.stem(restored):
             assert scorer.look(token), token
 
 
+def test_long_tokens_take_linear_time(scorer):
+    import time
+
+    rng = np.random.default_rng(6)
+    hard = toxicity.Scorer({"bitch": 5.0, "idiot ": 5.0, "scum": 5.0}, scorer.logs)
+    for signs in ("0123456789", "0123456789!1|.-i", "1l.-", "i1.d0", "i1.d0ts7cum"):
+        for n in (80, 100_000):
+            token = "".join(rng.choice(list(signs), n))
+            began = time.process_time()
+            hard.score(token)
+            assert time.process_time() - began < (1 if signs[0] == "0" else 6), (signs, n)
+    assert hard.score("x" * 100_000 + "-idiot")[0] == 5.0 and hard.score("9." * 20_000 + "1d10t")[0] == 5.0
+
+
 def test_held_out_documents_and_odd_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -183,6 +197,51 @@ def test_roles_are_recovered_on_held_out_conversations(spark):
     assert sum(got[k] == v for k, v in true.items()) >= 0.85 * len(true)
 
 
+def test_roles_are_recovered_in_styles_that_were_not_learned(spark):
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    held = F.expr("conv_id % 3 = 0")
+    for k in (1, 4):
+        some, others = transcripts.STYLES[:k] + transcripts.STYLES[k + 2 :], transcripts.STYLES[k : k + 2]
+        model = transcripts.learn(c.where(~held), some)
+        got = {r.conv_id: r.roles for r in transcripts.parse_transcripts(transcripts.transcripts_of(c.where(held), others), model).collect()}
+        true = {}
+        for r in c.where(held).orderBy("conv_id", "turn").collect():
+            true.setdefault(r.conv_id, []).append(r.role)
+        assert sum(got[x] == v for x, v in true.items()) >= 0.8 * len(true)
+
+
+def test_lines_of_a_turn_stay_as_they_are():
+    counts = {("first", -1, 2): 10, ("move", 2, 4): 10, ("move", 4, 5): 30, ("move", 5, 5): 30, ("move", 5, 2): 5, ("move", 4, 2): 5, ("0", 2, 2): 10, ("0", 4, 3): 10, ("0", 5, 0): 50, ("0", 5, 3): 20}
+    model = transcripts.Model(counts)
+    text = "User: run it?\n\nAssistant: it says\nOutput: 42\n\nand   no more"
+    states = model.viterbi([f for _, f in transcripts.lines(text)])
+    assert [s % 2 for s in states][:3] == [0, 0, 1]
+    assert model.parse(text) == [("user", "run it?"), ("assistant", "it says\nOutput: 42\n\nand   no more")]
+    many = "User: a?\n" + "\n".join(f"line {i}" for i in range(20_000))
+    ((role, said), *more) = model.parse(many)
+    assert role == "user" and "".join([said, *(t for _, t in more)]).count("line") == 20_000
+
+
+def _plain_parse(model, transcript):
+    """Roles by trying, line by line, all ways to reach a state, with paths kept whole."""
+    rows = [x for x in transcript.split("\n") if x.strip()]
+    seen = [f for _, f in transcripts.lines(transcript)]
+    paths = {s: (model.first[s] + model.emission(seen[0])[s], [s]) for s in range(6)} if rows else {}
+    for f in seen[1:]:
+        e = model.emission(f)
+        paths = {b: max(((p + model.move[a, b] + e[b], [*path, b]) for a, (p, path) in paths.items()), key=lambda x: (x[0], [-y for y in x[1][-2:]])) for b in range(6)}
+    best = max(paths.values(), key=lambda x: x[0])[1] if paths else []
+    return [transcripts.ROLES[s // 2] for k, s in enumerate(best) if s % 2 == 0 or k == 0]
+
+
+def test_query_is_the_brute_force_version_on_a_table(spark):
+    c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    model = transcripts.learn(c)
+    raw = {r.conv_id: r.transcript for r in transcripts.transcripts_of(c).collect()}
+    for r in transcripts.parse_transcripts(transcripts.transcripts_of(c), model).collect():
+        assert r.roles == _plain_parse(model, raw[r.conv_id])
+
+
 def test_viterbi_is_the_best_path_of_all(spark):
     model = transcripts.learn(spark.read.parquet(f"{SF}/conversations.parquet"))
     text = "User: hi?\nmore of it.\nAssistant: yes\nAnd so on"
