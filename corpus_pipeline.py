@@ -28,8 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings all documents into training order."""
-    return curriculum.mix(docs)
+    """Brings all documents into training order by the target weights of their sources; what these leave over comes last."""
+    return curriculum.mix(docs, curriculum.TARGETS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
