@@ -6,6 +6,7 @@ equal chunks.  A document of white space only, an empty or a null one has no chu
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from kerf.functions import detect
@@ -14,6 +15,7 @@ from kerf.kernels.spans import Index, Span
 from kerf.plans.options import Options
 
 PARSERS: dict = {}
+_SENTENCE = re.compile(r"\n{2,}|(?<=[!?.])\s+(?=[\[(\"'A-Z])")
 _FENCE_TAGS = detect.EXTENSIONS | {"shell": "bash", "golang": "go", "python3": "python", "c++": "cpp"}
 
 
@@ -38,7 +40,69 @@ class _Draft:
         self.span, self.language, self.kind, self.context = span, language, kind, context
 
 
+def sentence_spans(text: str, splitter=None) -> list[Span]:
+    """Where sentences are, which together cover the text; those of a caller's splitter are looked for in order."""
+    if splitter is None:
+        cuts = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)]
+        return [(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
+    starts, at = [], 0
+    for said in splitter(text):
+        k = text.find(said, at) if said else -1
+        if k >= 0:
+            starts.append(k)
+            at = k + len(said)
+    cuts = [0, *starts[1:], len(text)]
+    return [(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
+
+
+def boundaries(sentences: list[str], embed, window: int, threshold: float, least: int) -> list[int]:
+    """The sentences behind which a part ends: where the surroundings of neighbours are unlike, or less alike than on both sides."""
+    import numpy as np
+
+    half = window // 2
+    vectors = np.asarray(embed(["".join(sentences[max(0, i - half) : i + half + 1]) for i in range(len(sentences))]), float)
+    if vectors.ndim != 2 or len(vectors) != len(sentences):
+        raise ValueError("semantic_embed_fn gives one vector for each text")
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(norm == 0, 1, norm)
+    near = (unit[:-1] * unit[1:]).sum(1)
+    out, last = [], -1
+    for k, s in enumerate(near):
+        valley = 0 < k < len(near) - 1 and s < near[k - 1] and s < near[k + 1]
+        if (s < threshold or valley) and k - last >= least:
+            out.append(k)
+            last = k
+    return out
+
+
+def _semantic(text: str, span: Span, language: str, o: Options, size) -> list[_Draft]:
+    """Parts between semantic boundaries; one that is too large is halved by sentences, and a sentence that is cut."""
+    a, b = span
+    body = text[a:b]
+    found = sentence_spans(body, o.semantic_sentence_splitter)
+    ends = boundaries([body[x:y] for x, y in found], o.semantic_embed_fn, o.semantic_window, o.semantic_threshold, max(1, o.semantic_min_sentences)) if len(found) > 1 else []
+    pieces: list[Span] = []
+
+    def halve(i: int, j: int) -> None:
+        whole = found[i][0], found[j - 1][1]
+        if size(body[whole[0] : whole[1]]) <= o.max_chunk_size:
+            pieces.append(whole)
+        elif j - i > 1:
+            middle = (i + j) // 2
+            halve(i, middle)
+            halve(middle, j)
+        else:
+            pieces.extend(prose.split_large(body, whole, o.max_chunk_size, size))
+
+    cuts = [0, *(k + 1 for k in ends), len(found)]
+    for i, j in zip(cuts, cuts[1:]):
+        halve(i, j)
+    return [_Draft((a + x, a + y), language, "prose", section_type="semantic") for x, y in spans.join_blank(body, pieces)]
+
+
 def _prose(text: str, span: Span, language: str, o: Options, size, flat: bool, path: str = "") -> list[_Draft]:
+    if o.semantic:
+        return _semantic(text, span, language, o, size)
     a, b = span
     body = text[a:b]
     blocks = prose.markdown(body, flat) if language == "markdown" else prose.paragraphs(body)
@@ -57,8 +121,9 @@ def _prose(text: str, span: Span, language: str, o: Options, size, flat: bool, p
     covered = spans.merge_small(body, covered, o.min_chunk_size, size, fixed)
     covered = spans.join_blank(body, covered)
     out = []
+    marks = sorted(by_end)
     for x, y in covered:
-        inside = [k for e, k in sorted(by_end.items()) if x < e <= y]
+        inside = [by_end[e] for e in marks[bisect.bisect_right(marks, x) : bisect.bisect_right(marks, y)]]
         headings = next((k.headings for k in inside if k.headings), [])
         kind = inside[0].kind if inside else "paragraph"
         if kind == "code_block" and inside[0].language:

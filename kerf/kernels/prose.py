@@ -67,9 +67,13 @@ def markdown(text: str, flat: bool = False) -> list[Block]:
     at_front = front.end() if front else 0
     if front:
         marks.append(Block(0, at_front, "frontmatter"))
-    inside = [m.span for m in marks]
+    inside = sorted(m.span for m in marks)
+    k = reach = 0
     for m in _HEADING.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside):
+        while k < len(inside) and inside[k][0] <= m.start():
+            reach = max(reach, inside[k][1])
+            k += 1
+        if m.start() >= reach:
             marks.append(Block(m.start(), m.end(), "heading"))
     out: list[Block] = []
     at, stack = 0, []

@@ -66,7 +66,16 @@ def coverage(text: Column, source: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, sizing.terms(source))) / F.size(own)).otherwise(F.lit(1.0))
 
 
-def tfidf(texts: DataFrame, group: list[str], item: str, text: str = "text", max_vocab: int = 512) -> DataFrame:
+def coverage_by(chunks: DataFrame, sources: DataFrame, keys: list[str], text: str = "text", source: str = "text") -> DataFrame:
+    """(keys, coverage) of chunks by the terms of all ``sources`` together: terms are joined, so sources of any size will do."""
+    rows = chunks.select(*keys, F.array_distinct(sizing.terms(text)).alias("own"))
+    theirs = sources.select(F.explode(sizing.terms(source)).alias("term")).distinct().withColumn("known", F.lit(1))
+    single = rows.select(*keys, F.explode_outer("own").alias("term")).join(theirs, "term", "left")
+    part = F.when(F.count("term") > 0, F.count("known") / F.count("term")).otherwise(F.lit(1.0))
+    return single.groupBy(*keys).agg(part.alias("coverage"))
+
+
+def tfidf(texts: DataFrame, group: list[str], item: str, text: str = "text", max_vocab: int = 4096) -> DataFrame:
     """(group, item, term, w): L2-normalised TF-IDF within each group of texts, on its most frequent terms."""
     counted = texts.select(*group, item, F.explode(sizing.terms(text)).alias("term")).groupBy(*group, item, "term").agg(F.count("*").alias("tf"))
     sizes = texts.groupBy(*group).agg(F.countDistinct(item).alias("n_items"))
@@ -121,8 +130,16 @@ def evaluation_report(scores: DataFrame) -> DataFrame:
 # differences:
 
 
-def diff(before: DataFrame, after: DataFrame, key: str = "stable_id") -> DataFrame:
-    """(key, status): added, removed or unchanged, by one full outer join of different keys."""
+def diff(before: DataFrame, after: DataFrame, key: str = "stable_id", mode: str = "range") -> DataFrame:
+    """(key, status): added, removed or unchanged, by one full outer join of different keys.
+
+    ``mode`` content compares what chunks say instead of where they are: the key is then ``content_sha``, the SHA-256 of path and text.
+    """
+    if mode == "content":
+        sha = F.sha2(F.concat_ws("\0", "filepath", "text").cast("binary"), 256)
+        key, before, after = "content_sha", before.withColumn("content_sha", sha), after.withColumn("content_sha", sha)
+    elif mode != "range":
+        raise ValueError("a mode is range or content")
     a, b = before.select(key).distinct().withColumn("old", F.lit(True)), after.select(key).distinct().withColumn("new", F.lit(True))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("unchanged")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
@@ -174,7 +191,39 @@ def hierarchy(chunks: DataFrame, levels: list[int], doc: str = "doc_id", size: s
         return F.transform(f"l{k}", lambda x: F.struct(F.lit(k).alias("level"), x.alias("n")))
 
     every = F.concat(*map(at_level, range(len(levels))))
-    return docs.select(doc, F.explode(every).alias("x")).select(doc, "x.level", "x.n.*")
+    return sentence_ops.rows_of(docs.select(doc, every.alias("__l")), F.col("__l"), "__i", "x").select(doc, "x.level", "x.n.*")
+
+
+def parents(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, level, index, parent) of the nodes of ``hierarchy``; a root's parent is null."""
+    above = nodes.where("child_start is not null").select(doc, (F.col("level") - 1).alias("level"), F.col("index").alias("parent"), F.explode(F.sequence("child_start", "child_end")).alias("index"))
+    return nodes.select(doc, "level", "index").join(above, [doc, "level", "index"], "left").select(doc, "level", "index", "parent")
+
+
+def children(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, level, index, children): the indices, in order, of the nodes below each that has some."""
+    return nodes.where("child_start is not null").select(doc, "level", "index", F.sequence("child_start", "child_end").alias("children"))
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    return nodes.where("level = 0")
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """The nodes of the coarsest level."""
+    return nodes.join(F.broadcast(nodes.agg(F.max("level").alias("level"))), "level").select(*nodes.columns)
+
+
+def merged_context(nodes: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, level, index, breadcrumb, entities): what the leaves of each node have, in order; of entities of one name and type the last."""
+    inside = nodes.select(doc, "level", F.col("index").alias("node"), "byte_start", "byte_end")
+    leaf = chunks.select(F.col(doc).alias("__d"), F.col("index").alias("__i"), F.col("byte_start").alias("__a"), F.col("byte_end").alias("__b"), "breadcrumb", "entities")
+    rows = inside.join(leaf, (F.col(doc) == F.col("__d")) & (F.col("__a") >= F.col("byte_start")) & (F.col("__b") <= F.col("byte_end")))
+    packed = rows.groupBy(doc, "level", "node").agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("breadcrumb").alias("c"), F.col("entities").alias("e")))).alias("l"))
+    crumbs, every = F.flatten(F.transform("l", lambda x: x["c"])), F.flatten(F.transform("l", lambda x: x["e"]))
+    out = packed.select(doc, "level", F.col("node").alias("index"), crumbs.alias("breadcrumb"), every.alias("e"))
+    last = F.filter("e", lambda x, i: ~F.exists(F.slice("e", i + 2, F.size("e")), lambda y: (y["name"] == x["name"]) & (y["type"] == x["type"])))
+    return out.select(doc, "level", "index", "breadcrumb", last.alias("entities"))
 
 
 def overlap_size(overlap: float | int, limit: int) -> int:
@@ -207,24 +256,41 @@ def line_overlap(chunks: DataFrame, n_lines: int, doc: str = "doc_id") -> DataFr
 # graphs:
 
 
-def graph_nodes(mentions: DataFrame, min_chunks: int = 2, key: str = "key") -> DataFrame:
-    """(name, n_chunks) of entities that so many chunks mention; ``mentions`` has (key, name)."""
-    return mentions.select(key, "name").distinct().groupBy("name").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= min_chunks)
+def graph_nodes(mentions: DataFrame, min_chunks: int = 2, key: str = "key", graph: tuple[str, ...] = ()) -> DataFrame:
+    """(graph, name, n_chunks) of entities that so many chunks mention; ``mentions`` has (key, name) and the columns of ``graph``.
 
+    There is one graph for each value of ``graph``, most often a document, or a single one.
+    """
+    return mentions.select(*graph, key, "name").distinct().groupBy(*graph, "name").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= min_chunks)
 
-def graph_edges(mentions: DataFrame, min_chunks: int = 2, key: str = "key") -> DataFrame:
-    """(a, b, n_shared, weight), a < b: chunks that share a node, with the Jaccard index of all their names.
+
+def graph_edges(mentions: DataFrame, min_chunks: int = 2, key: str = "key", graph: tuple[str, ...] = ()) -> DataFrame:
+    """(graph, a, b, shared, n_shared, weight), a < b: chunks of a graph that share nodes, with the Jaccard index of all their names.
 
     Overlaps are counted by the join itself: pairs of chunks meet once for each shared name, and set sizes come from
-    two small aggregates, so no array of names is carried through the shuffle.
+    two small aggregates, so no array of names is carried through that shuffle.  A name in n chunks of one graph gives n²/2 pairs,
+    so corpora are graphs of documents (``graph``), whose chunks are few.
     """
-    rows = mentions.select(F.col(key).alias("k"), "name").distinct()
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
-    common = rows.join(graph_nodes(rows, min_chunks, "k").select("name"), "name")
-    linked = common.toDF("name", "a").join(common.toDF("name", "b"), "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    out = linked.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    rows = mentions.select(*graph, F.col(key).alias("k"), "name").distinct()
+    sizes = rows.groupBy(*graph, "k").agg(F.count("*").alias("n"))
+    common = rows.join(graph_nodes(rows, min_chunks, "k", graph).drop("n_chunks"), [*graph, "name"]).select(*graph, "name", "k")
+    linked = common.withColumnRenamed("k", "a").join(common.withColumnRenamed("k", "b"), [*graph, "name"]).where("a < b")
+    linked = linked.groupBy(*graph, "a", "b").agg(F.array_sort(F.collect_list("name")).alias("shared"))
+    out = linked.join(sizes.select(*graph, F.col("k").alias("a"), F.col("n").alias("na")), [*graph, "a"]).join(sizes.select(*graph, F.col("k").alias("b"), F.col("n").alias("nb")), [*graph, "b"])
     # Names of one chunk only can't be shared, so shared nodes are all that chunks share if two chunks make a node.
-    return out.select("a", "b", "n_shared", (F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))).alias("weight"))
+    n = F.size("shared").cast("bigint")
+    return out.select(*graph, "a", "b", "shared", n.alias("n_shared"), (n / (F.col("na") + F.col("nb") - n)).alias("weight"))
+
+
+def entity_chunks(mentions: DataFrame, key: str = "key", graph: tuple[str, ...] = ()) -> DataFrame:
+    """(graph, name, chunks): the sorted keys of the chunks that mention a name."""
+    return mentions.groupBy(*graph, "name").agg(F.array_sort(F.collect_set(key)).alias("chunks"))
+
+
+def chunk_neighbours(edges: DataFrame, graph: tuple[str, ...] = ()) -> DataFrame:
+    """(graph, chunk, neighbours): the sorted keys of the chunks that an edge joins with each chunk that has one."""
+    ends = edges.select(*graph, F.col("a").alias("chunk"), F.col("b").alias("other")).union(edges.select(*graph, F.col("b"), F.col("a")))
+    return ends.groupBy(*graph, "chunk").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
 # budgets:
@@ -243,7 +309,8 @@ def budget_greedy(items: DataFrame, budget: int, query: str = "query_id") -> Dat
         return F.struct((acc["used"] + F.when(fits, x["size"]).otherwise(F.lit(0).cast("bigint"))).alias("used"), F.array_append(acc["out"], row).alias("out"))
 
     packed = items.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("l"))
-    return packed.select(query, F.explode(F.aggregate("l", start, step, lambda acc: acc["out"])).alias("x")).select(query, "x.pos", "x.selected")
+    chosen = packed.select(query, F.aggregate("l", start, step, lambda acc: acc["out"]).alias("__l"))
+    return sentence_ops.rows_of(chosen, F.col("__l"), "__i", "x").select(query, "x.pos", "x.selected")
 
 
 def knapsack(scores: np.ndarray, sizes: np.ndarray, budget: int) -> np.ndarray:
@@ -269,15 +336,16 @@ def knapsack(scores: np.ndarray, sizes: np.ndarray, budget: int) -> np.ndarray:
 MAX_CELLS = 50_000_000
 
 
-def budget_dp(items: DataFrame, budget: int, query: str = "query_id") -> DataFrame:
-    """Adds ``selected`` by an exact knapsack for each query; beyond MAX_CELLS cells greedily."""
+def budget_dp(items: DataFrame, budget: int, query: str = "query_id", max_cells: int = MAX_CELLS) -> DataFrame:
+    """Adds ``selected`` by an exact knapsack for each query, and ``strategy``: dp, or greedy where items times budget are over ``max_cells``."""
     if budget <= 0:
         raise ValueError("a budget is positive")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         scores, sizes = table["score"].to_numpy(), table["size"].to_numpy()
-        if len(scores) * budget <= MAX_CELLS:
+        exact = len(scores) * budget <= max_cells
+        if exact:
             chosen = knapsack(scores, sizes, budget)
         else:
             chosen, used = np.zeros(len(scores), bool), 0
@@ -285,10 +353,52 @@ def budget_dp(items: DataFrame, budget: int, query: str = "query_id") -> DataFra
                 n = max(1, int(sizes[i]))
                 if used + n <= budget:
                     chosen[i], used = True, used + n
-        return pa.table({query: table[query], "pos": table["pos"], "selected": chosen})
+        return pa.table({query: table[query], "pos": table["pos"], "selected": chosen, "strategy": ["dp" if exact else "greedy"] * len(chosen)})
 
     rows = items.select(F.col(query).cast("bigint").alias(query), F.col("pos").cast("bigint").alias("pos"), F.col("score").cast("double").alias("score"), F.col("size").cast("bigint").alias("size"))
-    return rows.groupBy(query).applyInArrow(run, f"{query} bigint, pos bigint, selected boolean")
+    return rows.groupBy(query).applyInArrow(run, f"{query} bigint, pos bigint, selected boolean, strategy string")
+
+
+def without_overlap(items: DataFrame, threshold: float = 0.85, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(query, pos) of the items whose words aren't those of a better one that stays: by falling score, ties by ``pos``.
+
+    Words are stretches without white space; two texts overlap from a Jaccard index of ``threshold``, two without words do.  A query's
+    candidates are folded within one row, as they are what a search returned.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is over 0 and 1 at most")
+    own = F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    item = F.struct((-F.col("score")).alias("neg"), F.col("pos").cast("bigint").alias("pos"), own.alias("w"))
+    packed = items.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    start = F.array().cast("array<struct<pos:bigint,w:array<string>>>")
+
+    def overlaps(a, b):
+        both, any_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+        return (any_ == 0) | (both * 10_000 >= any_ * round(threshold * 10_000))
+
+    def step(acc, x):
+        return F.when(F.exists(acc, lambda k: overlaps(k["w"], x["w"])), acc).otherwise(F.array_append(acc, F.struct(x["pos"].alias("pos"), x["w"].alias("w"))))
+
+    return packed.select(query, F.explode(F.aggregate("l", start, step)).alias("x")).select(query, "x.pos")
+
+
+def budget_select(items: DataFrame, budget: int, strategy: str = "greedy", preserve_order: bool = True, deduplicate: bool = False, threshold: float = 0.85, query: str = "query_id") -> DataFrame:
+    """(query, selected, dropped, total, budget, strategy) of (query, pos, score, size, and text to remove overlaps).
+
+    ``selected`` has the positions in their order, or by falling score; ``dropped`` all others in order; ``total`` the selected sizes.
+    """
+    if strategy not in ("greedy", "dp"):
+        raise ValueError("a strategy is greedy or dp")
+    key = F.col("pos").cast("bigint")
+    candidates = items.join(without_overlap(items, threshold, query).withColumnsRenamed({query: "__q", "pos": "__p"}), (F.col(query) == F.col("__q")) & (key == F.col("__p")), "left_semi") if deduplicate else items
+    chosen = (budget_greedy if strategy == "greedy" else budget_dp)(candidates, budget, query).where("selected").select(F.col(query).alias("__q"), F.col("pos").alias("__p"), F.lit(True).alias("taken"))
+    rows = items.join(chosen, (F.col(query) == F.col("__q")) & (key == F.col("__p")), "left")
+    item = F.struct((F.lit(0.0) if preserve_order else -F.col("score")).alias("neg"), key.alias("pos"), F.coalesce("taken", F.lit(False)).alias("taken"), F.greatest(F.col("size"), F.lit(1)).cast("bigint").alias("size"))
+    packed = rows.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    mine = F.filter("l", lambda x: x["taken"])
+    total = F.aggregate(mine, F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
+    others = F.array_sort(F.transform(F.filter("l", lambda x: ~x["taken"]), lambda x: x["pos"]))
+    return packed.select(query, F.transform(mine, lambda x: x["pos"]).alias("selected"), others.alias("dropped"), total.alias("total"), F.lit(budget).alias("budget"), F.lit(strategy).alias("strategy"))
 
 
 # semantics:
@@ -322,12 +432,29 @@ def embedding_similarity(embeddings: DataFrame, key: str = "vec_id", vector: str
     return ranked.join(after, "r").select(key, sizing.cosine(vector, "v").alias("similarity"))
 
 
+def window_similarity(sentences: DataFrame, doc: str = "doc_id", window: int = 5, text: str = "sentence") -> DataFrame:
+    """(doc, pos, similarity): TF-IDF cosine of the ``window`` sentences that end with ``pos`` and the ``window`` behind it.
+
+    With two texts a term's weight is known from its counts alone: its inverse frequency is 1 in both and ln(3/2) + 1 in one.
+    """
+    order = Window.partitionBy(doc).orderBy("pos")
+    before, after = order.rowsBetween(1 - window, 0), order.rowsBetween(1, window)
+    rows = sentences.select(doc, "pos", F.count("*").over(before).alias("n"), F.count("*").over(after).alias("m"), F.array_join(F.collect_list(text).over(before), "").alias("a"), F.array_join(F.collect_list(text).over(after), "").alias("b"))
+    rows = rows.where((F.col("n") == window) & (F.col("m") == window)).select(doc, "pos", sizing.terms("a").alias("a"), sizing.terms("b").alias("b"))
+    terms = rows.select(doc, "pos", F.explode_outer(F.concat(F.transform("a", lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"))), F.transform("b", lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"))))).alias("i"))
+    counted = terms.groupBy(doc, "pos", F.col("i.t").alias("t")).agg(F.coalesce(F.sum("i.x"), F.lit(0)).alias("a"), F.coalesce(F.sum(1 - F.col("i.x")), F.lit(0)).alias("b"))
+    idf = F.when((F.col("a") > 0) & (F.col("b") > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1)
+    u, v = (F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(F.lit(0.0)) for c in ("a", "b"))
+    sums = counted.groupBy(doc, "pos").agg(F.sum(u * v).alias("uv"), F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"))
+    return sums.select(doc, "pos", F.when((F.col("uu") > 0) & (F.col("vv") > 0), F.col("uv") / F.sqrt(F.col("uu") * F.col("vv"))).otherwise(F.lit(0.0)).alias("similarity"))
+
+
 def topic_shifts(similarity: DataFrame, doc: str = "doc_id", threshold: float = 0.5, gap: int = 3) -> DataFrame:
-    """(doc, pos): positions of low similarity, each at least ``gap`` after the one before."""
+    """(doc, pos): positions of low similarity (of ``window_similarity``), each at least ``gap`` after the one before."""
     low = similarity.where(F.col("similarity") < threshold).groupBy(doc).agg(F.array_sort(F.collect_list("pos")).alias("l"))
     start = F.struct(F.lit(-(10**9)).alias("last"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, p):
         return F.when(p - acc["last"] >= gap, F.struct(p.alias("last"), F.array_append(acc["out"], p).alias("out"))).otherwise(acc)
 
-    return low.select(doc, F.explode(F.aggregate("l", start, step, lambda acc: acc["out"])).alias("pos"))
+    return sentence_ops.rows_of(low.select(doc, F.aggregate("l", start, step, lambda acc: acc["out"]).alias("__l")), F.col("__l"), "__i", "pos").select(doc, "pos")

@@ -7,15 +7,36 @@ from pyspark.sql import functions as F
 
 from kerf.functions import sizing
 
-MARK = "\u0001"
+MARK, HELD, END = "\u0001", "\u0001\u0002", "\u0001\u0003"
 #: A sentence ends at blank lines, and at white space after . ! or ? before a capital, a quote or a bracket.
 BREAK = r"(\n{2,}|(?<=[!?.])\s+(?=[\[(\"'A-Z]))"
 
 
+def cut(text: Column, pattern: str, kept: str) -> Column:
+    """A text cut behind ``kept`` of each match; the pieces that aren't empty, which joined give it back.
+
+    Cuts are marked by a control character.  A text that has it, which is rare, is cut with its own ones held apart.
+    """
+
+    def pieces(t: Column, mark: str) -> Column:
+        return F.filter(F.split(F.regexp_replace(t, pattern, kept + mark), mark), lambda s: s != "")
+
+    held = F.transform(pieces(F.replace(text, F.lit(MARK), F.lit(HELD)), END), lambda s: F.replace(s, F.lit(HELD), F.lit(MARK)))
+    return F.when(F.contains(text, F.lit(MARK)), held).otherwise(pieces(text, MARK))
+
+
 def split(text: Column | str) -> Column:
     """The sentences of a text, which joined give it back."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.regexp_replace(text, BREAK, "$1" + MARK), MARK), lambda s: s != "")
+    return cut(F.col(text) if isinstance(text, str) else text, BREAK, "$1")
+
+
+def rows_of(df: DataFrame, items: Column, *names: str) -> DataFrame:
+    """The rows of ``df`` with (position, item) of each item of an array.
+
+    The outer generator, whose rows without an item are passed over behind it, keeps the optimizer from copying the array's whole
+    expression into a filter on its size, where it would be computed again.
+    """
+    return df.select("*", F.posexplode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,7 +52,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         return F.struct((acc["c"] + F.length(s)).alias("c"), (acc["b"] + F.octet_length(s)).alias("b"), F.array_append(acc["out"], item).alias("out"))
 
     placed = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    rows = docs.select(id_col, F.posexplode(placed).alias("pos", "x"))
+    rows = rows_of(docs.select(id_col, placed.alias("__x")), F.col("__x"), "pos", "x")
     return rows.select(id_col, "pos", F.col("x.s").alias("sentence"), F.col("x.c").alias("char_start"), F.col("x.b").alias("byte_start"))
 
 
@@ -91,7 +112,8 @@ def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: C
 
     placed = F.aggregate(windows, start, step, lambda acc: acc["out"])
     path = F.col(id_col).cast("string") if path is None else path
-    rows = docs.select(id_col, *keep, path.alias("filepath"), placed.alias("__w")).select(id_col, *keep, "filepath", F.size("__w").alias("total_chunks"), F.posexplode("__w").alias("index", "x"))
+    rows = docs.select(id_col, *keep, path.alias("filepath"), placed.alias("__w"))
+    rows = rows_of(rows, F.col("__w"), "index", "x").withColumn("total_chunks", F.size("__w"))
     text = F.col("x.t")
     return rows.select(
         id_col, *keep, "filepath", text.alias("text"), "total_chunks", "index",

@@ -42,10 +42,12 @@ class Store:
         out = fs.create(temporary, True)
         out.write(bytearray(name.encode()))
         out.close()
-        pointer = path(f"{self.location}/CURRENT")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(temporary, pointer)
+        # One rename that replaces what is there, so there is a pointer at all times.
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(path(f"{self.location}/CURRENT")), options)
 
     def files(self) -> DataFrame:
         current = self._current()
@@ -62,14 +64,13 @@ class Store:
     def sync(self, documents: DataFrame, **options) -> dict:
         """Brings the store to ``documents`` (doc_id, path, content, modified, size); returns counts.
 
-        A file whose time and size are those of the snapshot is taken as unchanged; else its SHA-256 decides.
+        A file's SHA-256 decides whether it is the one of the snapshot, whatever its time and size.
         """
         old_files, old_chunks = self.files(), self.chunks()
         listing = documents.select("doc_id", "path", "content", "modified", "size")
-        known = old_files.where("error is null").select("path", F.col("modified").alias("m"), F.col("size").alias("s"), F.col("content_sha").alias("c"))
+        known = old_files.where("error is null").select("path", F.col("content_sha").alias("c"))
         rows = listing.join(known, "path", "left")
-        same_stat = F.col("m").eqNullSafe(F.col("modified")) & F.col("s").eqNullSafe(F.col("size")) & F.col("c").isNotNull()
-        sha = F.when(same_stat, F.col("c")).otherwise(F.sha2(F.col("content").cast("binary"), 256))
+        sha = F.sha2(F.col("content").cast("binary"), 256)
         rows = rows.withColumn("sha", sha).withColumn("unchanged", F.coalesce(F.col("sha") == F.col("c"), F.lit(False)))
         name = f"snapshot-{uuid.uuid4().hex}"
         at = f"{self.location}/{name}"

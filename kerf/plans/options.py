@@ -34,6 +34,12 @@ class Options:
     content_type: str | None = None
     flat_headings: bool = False
     split_oversize: bool = False
+    semantic: bool = False
+    semantic_embed_fn: Callable[[list[str]], object] | None = None
+    semantic_window: int = 3
+    semantic_threshold: float = 0.3
+    semantic_min_sentences: int = 1
+    semantic_sentence_splitter: Callable[[str], list[str]] | None = None
 
     def __post_init__(self):
         for name, allowed in (("size_unit", ("tokens", "chars", "nws")), ("context_mode", ("none", "minimal", "full")), ("sibling_detail", ("none", "names", "signatures"))):
@@ -41,6 +47,10 @@ class Options:
                 raise ValueError(f"{name} is one of {', '.join(allowed)}")
         if self.max_chunk_size <= 0 or self.min_chunk_size < 0:
             raise ValueError("sizes are positive")
+        if self.semantic and self.semantic_embed_fn is None:
+            raise ValueError("semantic chunks need semantic_embed_fn")
+        if self.semantic_window < 1:
+            raise ValueError("a window has a sentence at least")
 
     @classmethod
     def of(cls, base: Options | None = None, **changes) -> Options:

@@ -30,7 +30,7 @@ def call(spark: SparkSession, method: str, params: dict):
         chunks = spark.createDataFrame(params["chunks"], CHUNK_SCHEMA).withColumn("key", F.concat_ws("/", "filepath", "index"))
         mentions = chunks.select("key", F.explode("entities.name").alias("name"))
         least = int(params.get("min_chunks", 2))
-        return {"nodes": _rows(analytics.graph_nodes(mentions, least)), "edges": _rows(analytics.graph_edges(mentions, least))}
+        return {"nodes": _rows(analytics.graph_nodes(mentions, least)), "edges": _rows(analytics.graph_edges(mentions, least)), "chunk_count": len(params["chunks"])}
     if method == "semantic_chunk":
         docs = spark.createDataFrame([(0, params["content"])], "doc_id bigint, text string")
         return _rows(semantic.semantic_chunks(docs, sizing.mock_embedding, int(params.get("max_size", 1500))))

@@ -19,6 +19,14 @@ def _any(patterns, column: Column) -> Column:
     return column.rlike(f"^(?:{joined})$") | F.exists(F.split(column, "/"), lambda x: x.rlike(f"^(?:{joined})$"))
 
 
+def _shell(glob: str) -> str:
+    """A shell pattern for whole relative paths: ** stands for any folders, also none, * and ? for signs of one name."""
+    out = ""
+    for part in re.split(r"(\*\*/|\*\*|\*|\?|\[!?[^\]]+\])", glob.removeprefix("./")):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if part.startswith("[") and part.endswith("]") else re.escape(part))
+    return f"^{out}$"
+
+
 def read_directory(spark: SparkSession, root: str, encoding: str = "utf-8", exclude: tuple[str, ...] = (), glob: str = "**/*", include_hidden: bool = False) -> DataFrame:
     """(doc_id, path, content, modified, size, error) of the files under a directory.
 
@@ -29,7 +37,7 @@ def read_directory(spark: SparkSession, root: str, encoding: str = "utf-8", excl
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob.rsplit("/", 1)[-1] or "*").load(root)
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/{1,3}", "/"), f"^.*?{re.escape(base.strip('/'))}/", "")
-    rows = rows.withColumn("path", relative).where(~_any(exclude, F.col("path")))
+    rows = rows.withColumn("path", relative).where(~_any(exclude, F.col("path"))).where(F.col("path").rlike(_shell(glob)))
     if not include_hidden:
         rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
     binary = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*BYTES_ONLY)

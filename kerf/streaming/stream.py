@@ -44,8 +44,12 @@ def upsert(stream: DataFrame, embed_fn, write: Callable[[DataFrame, int], None],
     """Writes vector rows of each micro-batch; ``write`` gets the rows and the batch's number and should be idempotent in it."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = export.with_stable_id(batch.where("error is null"))
-        write(adapter(rows, embed(rows, embed_fn, batch_size), check=False), number)
+        # Rows and their vectors come of one pass over the batch.
+        rows = export.with_stable_id(batch.where("error is null")).persist()
+        try:
+            write(adapter(rows, embed(rows, embed_fn, batch_size), check=False), number)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
