@@ -1,178 +1,349 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of tags and texts.  Stretches that follow one another equally become repeated groups, so
-pages with more or fewer items have one form.  The different forms of a host, the most frequent first, are aligned
-with its wrapper one after another; where they differ, what only one has becomes an optional group, and a group that
-one repeats is repeated in the wrapper.  Texts are slots of the wrapper.  A slot that says the same on most of its host's different
-pages belongs to the template, as do slots in navigation and links; the others, in order, are a page's text.
+A page is a stream of tags and texts in which every tag that is opened is closed.  Siblings that are alike follow one another as
+a repeated group, whose inside covers each of them, so pages with more or fewer items have one form.  The different forms of a host
+are aligned with its wrapper, element by element: where they differ, what only one has becomes an optional group, and a
+stretch that the other repeats becomes a repeated group.  Groups never cut through an element.  Texts are slots of the
+wrapper.  What a slot says on most of its host's different pages belongs to the template, as do navigation, forms and
+texts that are nothing but links outside of headings; the other texts, in order, are a page's text.
 
-Only the forms of pages, with their counts, are brought together by host, never the pages; wrappers are
-sent to all executors behind a check of their size and joined by shuffle beyond it.
+Only the different forms of pages, with their counts, are brought together by host, never the pages: first those of a part of a
+host, by their digests, and then what these parts have in common, so no task gets all forms of a large host.  Wrappers are
+sent to all executors behind a check of their size in bytes and joined by shuffle beyond it.
 
 Defined cases: a null html gives a null text, an empty one or one without texts an empty text; a null or odd url has the host '';
-unclosed and unknown tags are tokens like any other; of a host's single form no slot is told apart by repetition unless
-it has several pages; repeated rows count as one page in that; extra columns are ignored; empty tables give none.
+tags that are never closed end with what they are in, and ends of tags that were never opened are passed over; of a host's single
+page all is text but navigation; repeated rows count as one page in that; tags of elements nested more than DEEPEST levels are passed
+over, their texts are kept, and elements beyond DEEP levels are aligned as they are; extra columns are ignored; empty tables give none.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as html_entities
 import json
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerf.llm import vec
+from kerf.plans.session import checkpoint
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][\w:-]*)([^>]*)>|<[^>]*>|([^<]+|<)", re.S | re.I)
-_INLINE = frozenset("b i em strong u br span font small sub sup mark code wbr abbr cite q s tt img".split())
-_ASIDE = frozenset("nav a footer aside button select option title form label header".split())
-#: Elements whose end tags may be left out: theirs are passed over, so that pages with and without have one form.
-_IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot colgroup option".split())
+#: Tags within a text; links are told apart by what they hold.
+_INLINE = frozenset("a b i em strong u br span font small sub sup mark code wbr abbr cite q s tt img label".split())
+_ASIDE = frozenset("nav footer aside button select option title form".split())
+_VOID = frozenset("area base col embed hr input link meta param source track".split())
+_HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+_BLOCKS = _HEADINGS | frozenset("address article aside blockquote div dl fieldset footer form header main nav ol p pre section table ul".split())
+#: What an opening tag ends if it is open: elements whose end tags may be left out.
+_ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {
+    k: {"thead", "tbody", "tfoot", "colgroup", "tr", "td", "th", "p"} for k in ("thead", "tbody", "tfoot")
+} | {k: {"p"} for k in _BLOCKS}
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""", re.I)
-MAX_PERIOD = 24
-#: A slot that says the same on more than this part of its host's different pages belongs to the template.
+#: What a slot says on more than this part of its host's different pages belongs to the template.
 MOST = 0.5
-BROADCAST_FORMS = 100_000
+#: Siblings with the same tag are alike if so much of them is the same.
+ALIKE = 0.5
+#: Bytes of wrappers and slots that are sent to every executor; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Parts into which the forms of a host are divided, and levels of elements that are aligned one by one.
+PARTS, DEEP = 16, 100
+#: Levels of elements that a stream has.
+DEEPEST = 256
 TEXT = "#"
 
 Form = tuple  # of tokens, TEXT, and groups: ("+", form) or ("?", form)
 
 
-def tokens(html: str) -> tuple[list[str], list[str]]:
-    """(tags and TEXT, the texts): comments, scripts, styles and inline tags are passed over, attributes dropped but for a class."""
+def tokens(html: str) -> tuple[list[str], list[str], list[bool]]:
+    """(tags and TEXT, the texts, whether each is nothing but links): every tag but void ones is closed; attributes are dropped but for a class."""
     out: list[str] = []
     texts: list[str] = []
-    joined = False
+    links: list[bool] = []
+    opened: list[str] = []
+    deeper: Counter = Counter()
+    joined, in_link = False, 0
+
+    def close(n: int) -> None:
+        for name in reversed(opened[n:]):
+            out.append(f"</{name}>")
+        del opened[n:]
+
     for m in _TOKEN.finditer(html):
         if m[5] is not None:
             text = " ".join(html_entities.unescape(m[5]).split())
             if text:
+                linked = in_link > 0 and not any(x in _HEADINGS for x in opened)
                 if joined:
                     texts[-1] += " " + text
+                    links[-1] &= linked
                 else:
                     out.append(TEXT)
                     texts.append(text)
+                    links.append(linked)
                 joined = True
         elif m[3] is not None:
             name = m[3].lower()
             if name in _INLINE:
+                if name == "a":
+                    in_link = 0 if m[2] else 1
                 continue
-            joined = False
-            if m[2] and name in _IMPLIED:
-                continue
+            joined, in_link = False, 0
             if m[2]:
-                out.append(f"</{name}>")
+                if deeper[name]:
+                    deeper[name] -= 1
+                elif name in opened:
+                    close(len(opened) - 1 - opened[::-1].index(name))
+                continue
+            ends = _ENDS.get(name, ())
+            while opened and opened[-1] in ends:
+                close(len(opened) - 1)
+            c = _CLASS.search(m[4])
+            sign = f"{name}.{c[1]}" if c else name
+            if name in _VOID:
+                out.append(f"<{sign}/>")
+            elif len(opened) < DEEPEST:
+                out.append(f"<{sign}>")
+                opened.append(name)
             else:
-                c = _CLASS.search(m[4])
-                out.append(f"<{name}.{c[1]}>" if c else f"<{name}>")
-        elif m[0][:2] != "<!" and m[1] is None:
-            continue
-    return out, texts
+                deeper[name] += 1
+    close(0)
+    return out, texts, links
+
+
+def _open(item) -> bool:
+    return isinstance(item, str) and item[0] == "<" and item[1] != "/" and item[-2] != "/"
+
+
+def _units(form) -> list[Form]:
+    """A form's elements, texts, void tags and groups, each as the items that it is made of."""
+    out, start, depth = [], 0, 0
+    for i, item in enumerate(form):
+        if _open(item):
+            depth += 1
+        elif isinstance(item, str) and item[:2] == "</":
+            depth -= 1
+        if depth == 0:
+            out.append(tuple(form[start : i + 1]))
+            start = i + 1
+    return out
 
 
-def fold(stream: list[str]) -> tuple[Form, list[int]]:
-    """(form, number of the form's slot of each text): equal neighbours become repeated groups, short ones first."""
-    items: list = list(stream)
-    n_texts = stream.count(TEXT)
-    # Each item carries the texts under it, by slot: a list of lists of text numbers.
-    held: list[list[list[int]]] = []
-    k = 0
-    for t in stream:
-        held.append([[k]] if t == TEXT else [])
-        k += t == TEXT
-    for period in range(1, MAX_PERIOD + 1):
-        out, own, i, n = [], [], 0, len(items)
-        while i < n:
-            if i + 2 * period <= n and items[i] == items[i + period] and items[i : i + period] == items[i + period : i + 2 * period]:
-                unit = items[i : i + period]
-                j = i + period
-                while items[j : j + period] == unit:
-                    j += period
-                slots = [s for h in held[i : i + period] for s in h]
-                for at in range(i + period, j, period):
-                    for a, b in zip(slots, (s for h in held[at : at + period] for s in h)):
-                        a.extend(b)
-                group = unit[0] if period == 1 and isinstance(unit[0], tuple) and unit[0][0] == "+" else ("+", tuple(unit))
-                out.append(group)
-                own.append(slots)
-                i = j
-            else:
-                out.append(items[i])
-                own.append(held[i])
-                i += 1
-        items, held = out, own
-    slot_of = [0] * n_texts
-    for s, texts in enumerate(x for h in held for x in h):
-        for t in texts:
-            slot_of[t] = s
-    return tuple(items), slot_of
+def _laid_open(unit: Form) -> tuple[Form, bool, bool]:
+    """(what is in a unit's groups, whether it repeats, whether it may be absent)."""
+    plus = optional = False
+    while len(unit) == 1 and isinstance(unit[0], tuple):
+        plus, optional = plus or unit[0][0] == "+", optional or unit[0][0] == "?"
+        unit = unit[0][1]
+    return unit, plus, optional
 
 
-def _absorb(form: Form, other: Form) -> Form:
-    """``form`` with each stretch that ``other`` repeats, and it doesn't, as a repeated group."""
-    items = list(form)
-    for group in [g for g in other if isinstance(g, tuple) and g[0] == "+"]:
-        if group in items:
-            continue
-        unit, n = list(group[1]), len(group[1])
-        i = 0
-        while i + n <= len(items):
-            if items[i : i + n] == unit:
-                items[i : i + n] = [group]
-            i += 1
-    return tuple(items)
+def _label(unit: Form):
+    """What units must share to be aligned: the tag, or the tags of a group of several units."""
+    inner, plus, _ = _laid_open(unit)
+    found = _units(inner) if len(inner) > 1 and not _open(inner[0]) or len(inner) == 1 and isinstance(inner[0], tuple) else [inner]
+    if len(found) > 1:
+        return tuple(map(_label, found))
+    if inner and _open(inner[0]) and len(_units(inner)) > 1:
+        return tuple(map(_label, _units(inner)))
+    return inner[0] if inner else ""
 
 
-def _bare(item):
-    return item[1] if isinstance(item, tuple) and item[0] == "?" else None
+def _wrapped(form: Form, plus: bool, optional: bool) -> Form:
+    if plus:
+        form = (("+", form),)
+    return (("?", form),) if optional else form
 
 
-def _spread(wrapper: Form) -> list:
-    """The wrapper's items with those of optional groups laid open, each as (item, number of its group or None)."""
-    out = []
-    for k, item in enumerate(wrapper):
-        inner = _bare(item)
-        out += [(x, k) for x in inner] if inner is not None else [(item, None)]
-    return out
+def _gathered(units: list[Form], others: list[Form]) -> list[Form]:
+    """``units`` with each stretch that is a repeated group of several units among ``others`` as one."""
+    for other in others:
+        inner, plus, _ = _laid_open(other)
+        labels = _label(other)
+        if not plus or not isinstance(labels, tuple) or any(_label(u) == labels for u in units):
+            continue
+        n, i, own = len(labels), 0, [_label(u) for u in units]
+        while i + n <= len(own):
+            if tuple(own[i : i + n]) == labels:
+                units = [*units[:i], (("+", tuple(x for u in units[i : i + n] for x in u)),), *units[i + n :]]
+                own[i : i + n] = [labels]
+            i += 1
+    return units
+
 
+def _pairs(left: list[Form], right: list[Form]):
+    """Stretches of units that are alike by label and those that aren't."""
+    return difflib.SequenceMatcher(None, [_label(u) for u in left], [_label(u) for u in right], autojunk=False).get_opcodes()
 
-def align(wrapper: Form, form: Form) -> Form:
+
+def align(wrapper: Form, form: Form, depth: int = 0) -> Form:
     """The least union-free expression, by this alignment, that covers ``wrapper`` and ``form``."""
-    wrapper, form = _absorb(wrapper, form), _absorb(form, wrapper)
-    open_ = _spread(wrapper)
-    blocks = difflib.SequenceMatcher(None, [x for x, _ in open_], list(form), autojunk=False).get_opcodes()
+    if wrapper == form:
+        return wrapper
+    left, right = _units(wrapper), _units(form)
+    left, right = _gathered(left, right), _gathered(right, left)
     out: list = []
+    for op, a, b, x, y in _pairs(left, right):
+        if op == "equal":
+            for u, v in zip(left[a:b], right[x:y]):
+                out += _merged(u, v, depth)
+        else:
+            for u in [*left[a:b], *right[x:y]]:
+                inner, plus, _ = _laid_open(u)
+                out += _wrapped(inner, plus, True)
+    return tuple(out)
+
+
+def _merged(u: Form, v: Form, depth: int) -> Form:
+    """Two units of one label as one."""
+    if u == v:
+        return u
+    (a, plus_a, optional_a), (b, plus_b, optional_b) = _laid_open(u), _laid_open(v)
+    if a == b:
+        body = a
+    elif depth >= DEEP:
+        return (("?", a), ("?", b))
+    elif len(a) > 1 and len(b) > 1 and len(_units(a)) == len(_units(b)) == 1:
+        body = (a[0], *align(a[1:-1], b[1:-1], depth + 1), a[-1])
+    else:
+        body = align(a, b, depth + 1)
+    return _wrapped(body, plus_a or plus_b, optional_a or optional_b)
+
+
+def _size(form: Form) -> int:
+    return sum(_size(x[1]) if isinstance(x, tuple) else 1 for x in form)
+
+
+def _common(a: Form, b: Form) -> float:
+    """How much of two units is the same: twice what their alignment needs of both, of all that they hold."""
+    if a == b:
+        return 1.0
+    shared = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return shared.ratio()
+
+
+def _slots(form: Form) -> int:
+    return sum(x == TEXT if isinstance(x, str) else _slots(x[1]) for x in form)
+
+
+def _alike(a: Form, b: Form) -> bool:
+    x, y = _laid_open(a)[0], _laid_open(b)[0]
+    return x == y or (len(x) > 1 and _common(x, y) >= ALIKE)
+
 
-    def add(item, optional: bool):
-        if not optional:
-            out.append(item)
-        elif out and _bare(out[-1]) is not None and fresh[0] == len(out):
-            out[-1] = ("?", (*out[-1][1], item))
+def _fold_siblings(units: list[tuple]) -> list[tuple]:
+    """Units with their texts by slot; neighbours that are alike, one by one or in stretches, are one repeated group."""
+    period, ids = 1, None
+    while 2 * period <= len(units):
+        if ids is None:
+            number = {x: i for i, x in enumerate(dict.fromkeys(u[0] for u in units))}
+            ids = np.array([number[u[0]] for u in units])
+        same = ids[:-period] == ids[period:]
+        if same.sum() < period:
+            period += 1
+            continue
+        out, i, n = [], 0, len(units)
+        while i < n:
+            j = i + period
+            if j + period <= n and same[i : i + period].all():
+                group = _together(units[i:j])
+                while j + period <= n and same[j - period : j].all() and (grown := _joined(group, _together(units[j : j + period]))):
+                    group = grown
+                    j += period
+                if j > i + period:
+                    out.append(group)
+                    i = j
+                    continue
+            out.append(units[i])
+            i += 1
+        if len(out) == len(units):
+            period += 1
+        else:
+            units, ids = out, None
+    return units
+
+
+def _together(units: list[tuple]) -> tuple:
+    if len(units) == 1:
+        return units[0]
+    return tuple(u[0] for u in units), tuple(x for u in units for x in u[1]), [s for u in units for s in u[2]]
+
+
+def _joined(group: tuple, other: tuple) -> tuple | None:
+    """A group that covers both, or None where they aren't alike."""
+    label, items, held = group
+    if label == TEXT or not _alike(items, other[1]):
+        return None
+    inner = _laid_open(items)[0]
+    body = _laid_open(_merged(items, other[1], 0))[0] if items != other[1] else inner
+    # Texts follow their slots into the new body.
+    new: list[list[int]] = [[] for _ in range(_slots(body))]
+    for old, texts in ((inner, held), (_laid_open(other[1])[0], other[2])):
+        to = place(body, old) if old != body else range(len(texts))
+        if any(t is None for t in to):
+            return None
+        for t, x in zip(to, texts):
+            new[t] += x
+    return label, (("+", body),), new
+
+
+def fold(stream: list[str]) -> tuple[Form, list[int]]:
+    """(form, number of the form's slot of each text)."""
+    frames: list[tuple[str, list[tuple]]] = [("", [])]
+    k = 0
+    for t in stream:
+        if t == TEXT:
+            frames[-1][1].append((TEXT, (TEXT,), [[k]]))
+            k += 1
+        elif t[:2] == "</":
+            name, units = frames.pop()
+            units = _fold_siblings(units)
+            frames[-1][1].append((name, (name, *(x for u in units for x in u[1]), t), [s for u in units for s in u[2]]))
+        elif t[-2] == "/":
+            frames[-1][1].append((t, (t,), []))
         else:
-            out.append(("?", (item,)))
-            fresh[0] = len(out)
+            frames.append((t, []))
+    units = _fold_siblings(frames[0][1])
+    slot_of = [0] * k
+    for s, texts in enumerate(s for u in units for s in u[2]):
+        for t in texts:
+            slot_of[t] = s
+    return tuple(x for u in units for x in u[1]), slot_of
 
-    fresh = [0]
-    last_group = None
-    for op, a, b, x, y in blocks:
+
+def place(wrapper: Form, form: Form, depth: int = 0) -> list[int | None]:
+    """For each slot of ``form`` that of the wrapper that it is an instance of."""
+    if wrapper == form:
+        return list(range(_slots(form)))
+    left, right = _units(wrapper), _units(form)
+    right = _gathered(right, left)
+    left = _gathered(left, right)
+    starts = np.cumsum([0, *map(_slots, left)]).tolist()
+    out: list[int | None] = []
+    for op, a, b, x, y in _pairs(left, right):
         if op != "equal":
-            fresh[0] = 0
-            last_group = None
-        for item, group in open_[a:b]:
-            if group != last_group:
-                fresh[0] = 0
-            last_group = group
-            add(item, op != "equal" or group is not None)
-        if op in ("insert", "replace"):
-            fresh[0] = 0
-            for item in form[x:y]:
-                add(item, True)
-            fresh[0] = 0
-            last_group = None
-    return tuple(out)
+            out += [None] * sum(map(_slots, right[x:y]))
+            continue
+        for i, v in zip(range(a, b), right[x:y]):
+            u, w = _laid_open(left[i])[0], _laid_open(v)[0]
+            if u == w:
+                inner = range(_slots(w))
+            elif depth >= DEEP:
+                inner = [None] * _slots(w)
+            elif len(u) > 1 and len(w) > 1 and len(_units(u)) == len(_units(w)) == 1:
+                inner = place(u[1:-1], w[1:-1], depth + 1)
+            else:
+                inner = place(u, w, depth + 1)
+            out += [None if k is None else starts[i] + k for k in inner]
+    return out
 
 
 def leaves(form: Form, path: tuple = ()) -> list[tuple]:
@@ -184,37 +355,13 @@ def leaves(form: Form, path: tuple = ()) -> list[tuple]:
             out.append(tuple(opened))
         elif isinstance(item, tuple):
             out += leaves(item[1], tuple(opened))
-        elif item.startswith("</"):
-            name = item[2:-1]
-            if name in opened:
-                del opened[len(opened) - 1 - opened[::-1].index(name) :]
-        else:
+        elif item[:2] == "</":
+            opened.pop()
+        elif _open(item):
             opened.append(re.split(r"[.>]", item[1:])[0])
     return out
 
 
-def _count(item) -> int:
-    return 1 if item == TEXT else sum(map(_count, item[1])) if isinstance(item, tuple) else 0
-
-
-def place(wrapper: Form, form: Form) -> list[int | None]:
-    """For each slot of ``form`` that of the wrapper that it is an instance of."""
-    form = _absorb(form, wrapper)
-    open_ = [x for x, _ in _spread(wrapper)]
-    starts, n = [], 0
-    for x in open_:
-        starts.append(n)
-        n += _count(x)
-    out: list[int | None] = []
-    for op, a, b, x, y in difflib.SequenceMatcher(None, open_, list(form), autojunk=False).get_opcodes():
-        if op == "equal":
-            for i in range(a, b):
-                out += range(starts[i], starts[i] + _count(open_[i]))
-        else:
-            out += [None] * sum(map(_count, form[x:y]))
-    return out
-
-
 def show(form: Form) -> str:
     """A form as a regular expression over tags and texts."""
     return "".join(x if isinstance(x, str) else f"({show(x[1])}){x[0]}" for x in form)
@@ -234,73 +381,95 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _tuples(x):
-    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+def _packed(form: Form) -> bytes:
+    return zlib.compress(json.dumps(form, ensure_ascii=False, separators=(",", ":")).encode(), 1)
+
+
+def _unpacked(data: bytes) -> Form:
+    def tuples(x):
+        return tuple(map(tuples, x)) if isinstance(x, list) else x
+
+    return tuples(json.loads(zlib.decompress(data)))
 
 
-_PARSED = "page_id bigint, host string, form string, slots array<int>, texts array<string>"
+_PARSED = "page_id bigint, host string, digest binary, form binary, slots array<int>, links array<boolean>, texts array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, host, form, slot of each text, texts) of every page."""
+    """(page_id, host, digest and form, slot of each text, whether it is a link, texts) of every page; a null html has no form."""
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b in vec.slices(batch.column(2)):
+                part = batch.slice(a, b - a)
                 rows = []
                 for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    stream, texts = tokens(html or "")
+                    stream, texts, links = tokens(html or "")
                     form, slots = fold(stream)
-                    rows.append((_host(url), json.dumps(form, ensure_ascii=False, separators=(",", ":")) if html is not None else None, slots, texts))
-                kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
-                yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["page_id", "host", "form", "slots", "texts"])
+                    packed = _packed(form) if html is not None else None
+                    rows.append((_host(url), packed and hashlib.md5(packed).digest(), packed, slots, links, texts))
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+                yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["page_id", "host", "digest", "form", "slots", "links", "texts"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, _PARSED)
 
 
-def learn(parsed: DataFrame) -> DataFrame:
-    """(host, form, wrapper, to, aside): a host's wrapper, where a form's slots are in it, and whether each is in navigation."""
+def learn(parsed: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(host, wrapper): each host's wrapper, of the wrappers of parts of its different forms."""
 
-    def of_host(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        forms = [_tuples(json.loads(f)) for f in pdf["form"]]
-        wrapper = infer(list(zip(forms, pdf["n"])))
-        where = leaves(wrapper)
-        text = show(wrapper)
-        rows = []
-        for raw, form in zip(pdf["form"], forms):
-            to = place(wrapper, form)
-            to = [-1 if t is None else t for t in to]
-            aside = [bool(_ASIDE & set(p)) for p in leaves(_absorb(form, wrapper))]
-            rows.append((key[0], raw, text, len(where), to, aside))
-        return pd.DataFrame(rows, columns=["host", "form", "wrapper", "n_slots", "to", "aside"])
+    def together(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        wrapper = infer([(_unpacked(f), n) for f, n in zip(pdf["form"], pdf["n"])])
+        return pd.DataFrame({"host": [key[0]], "form": [_packed(wrapper)], "n": [int(pdf["n"].sum())]})
 
-    counted = parsed.where("form is not null").groupBy("host", "form").agg(F.count("*").alias("n"))
-    return counted.groupBy("host").applyInPandas(of_host, "host string, form string, wrapper string, n_slots int, to array<int>, aside array<boolean>")
+    counted = parsed.where("form is not null").groupBy("host", "digest").agg(F.first("form").alias("form"), F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("digest"), F.lit(parts))
+    kind = "host string, form binary, n bigint"
+    return counted.groupBy("host", part).applyInPandas(together, kind).groupBy("host").applyInPandas(together, kind).select("host", F.col("form").alias("wrapper"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, host, wrapper, n_slots, n_texts, text) of every page."""
-    from kerf.plans.session import checkpoint
+def _bytes(df: DataFrame, *columns: str) -> int:
+    return df.agg(F.sum(sum((F.octet_length(c) for c in columns), F.lit(64)))).first()[0] or 0
 
-    parsed = parse(pages)
+
+def placed(parsed: DataFrame, learned: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, digest, wrapper, n_slots, to, aside): where a form's slots are in its host's wrapper, and whether each is in navigation."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for host, digest, form, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+                form, wrapper = _unpacked(form), _unpacked(wrapper)
+                to = [-1 if t is None else t for t in place(wrapper, form)]
+                rows.append((host, digest, show(wrapper), _slots(wrapper), to, [bool(_ASIDE & set(p)) for p in leaves(form)]))
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["host", "digest", "wrapper", "n_slots", "to", "aside"])
+
+    forms = parsed.where("form is not null").groupBy("host", "digest").agg(F.first("form").alias("form"))
+    small = _bytes(learned, "host", "wrapper") <= broadcast_bytes
+    rows = forms.join(F.broadcast(learned) if small else learned, "host").select("host", "digest", "form", "wrapper")
+    return rows.mapInArrow(run, "host string, digest binary, wrapper string, n_slots int, to array<int>, aside array<boolean>")
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(page_id, host, wrapper, n_slots, n_texts, text) of every page. Pages are parsed once, and written to the shared folder as texts and packed forms."""
+    parsed = checkpoint(parse(pages))
     learned = checkpoint(learn(parsed))
-    small = learned.count() <= BROADCAST_FORMS
-    forms = learned.withColumnsRenamed({"host": "h", "form": "f"})
-    joined = parsed.join(F.broadcast(forms) if small else forms, (F.col("host") == F.col("h")) & (F.col("form") == F.col("f")), "left")
-    # A form has its slots in the same order whether the wrapper repeats a stretch of it or not.
-    slot = "transform(slots, s -> named_struct('to', coalesce(get(to, s), -1), 'aside', coalesce(get(aside, s), false)))"
-    rows = joined.select("page_id", "host", "wrapper", "n_slots", F.col("form").isNull().alias("missing"), "texts", F.expr(slot).alias("at"))
+    forms = checkpoint(placed(parsed, learned, broadcast_bytes)).withColumnsRenamed({"host": "h", "digest": "f"})
+    small = forms.agg(F.sum(F.octet_length("wrapper") + 5 * F.size("to") + 64)).first()[0] or 0
+    joined = parsed.drop("form").join(F.broadcast(forms) if small <= broadcast_bytes else forms, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("f")), "left")
+    slot = "transform(arrays_zip(slots, links), x -> named_struct('to', coalesce(get(to, x.slots), -1), 'aside', x.links or coalesce(get(aside, x.slots), false)))"
+    rows = joined.select("page_id", "host", "wrapper", "n_slots", F.col("digest").isNull().alias("missing"), "texts", F.expr(slot).alias("at"))
     # Copies of a page are one page.
-    different = rows.where("not missing").withColumn("page", F.xxhash64("at.to", "texts")).dropDuplicates(["host", "page"])
+    different = rows.where("not missing").select("host", F.xxhash64("at.to", "texts").alias("page"), F.expr("arrays_zip(at.to, texts)").alias("said")).dropDuplicates(["host", "page"])
     n_pages = different.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_pages"))
-    said = different.select("host", "page", F.explode(F.expr("arrays_zip(at.to, texts)")).alias("x")).select("host", "page", F.col("x")["to"].alias("slot"), F.xxhash64(F.col("x")["texts"]).alias("t")).where("slot >= 0")
-    said = said.groupBy("host", "page", "slot").agg(F.sort_array(F.collect_set("t")).alias("t"))
-    most = said.groupBy("host", "slot", "t").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.max("n").alias("n"))
-    fixed = most.join(n_pages, F.col("host") == F.col("h")).where((F.col("n") > 1) & (F.col("n") > F.col("n_pages") * F.lit(MOST))).groupBy("h").agg(F.collect_set("slot").alias("fixed"))
+    said = different.select("host", "page", F.explode("said").alias("x")).select("host", "page", F.col("x.to").alias("slot"), F.xxhash64(F.col("x.texts")).alias("t")).where("slot >= 0").distinct()
+    often = said.groupBy("host", "slot", "t").agg(F.count("*").alias("n")).where("n > 1")
+    fixed = often.join(n_pages, F.col("host") == F.col("h")).where(F.col("n") > F.col("n_pages") * F.lit(MOST)).groupBy("h").agg(F.collect_set(F.struct("slot", "t")).alias("fixed"))
     fixed = checkpoint(fixed)
-    rows = rows.join(F.broadcast(fixed) if fixed.count() <= BROADCAST_FORMS else fixed, F.col("host") == F.col("h"), "left")
-    keep = "filter(arrays_zip(at.to, at.aside, texts), x -> not x.aside and not array_contains(coalesce(fixed, cast(array() as array<int>)), x.to))"
+    few = (fixed.agg(F.sum(16 * F.size("fixed") + 64)).first()[0] or 0) <= broadcast_bytes
+    rows = rows.join(F.broadcast(fixed) if few else fixed, F.col("host") == F.col("h"), "left")
+    none = "cast(array() as array<struct<slot:int,t:bigint>>)"
+    keep = f"filter(arrays_zip(at.to, at.aside, texts), x -> not x.aside and not array_contains(coalesce(fixed, {none}), named_struct('slot', x.to, 't', xxhash64(x.texts))))"
     kept = rows.withColumn("kept", F.expr(keep))
     text = F.when(F.col("missing"), F.lit(None)).otherwise(F.expr("array_join(transform(kept, x -> x.texts), '\\n')"))
     return kept.select("page_id", "host", "wrapper", "n_slots", F.size("texts").alias("n_texts"), text.alias("text"))
