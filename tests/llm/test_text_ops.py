@@ -154,23 +154,96 @@ def test_wrappers_cover_their_pages():
     assert wrappers.infer(list(reversed(forms.items()))) == wrapper
 
 
-def test_random_streams_are_covered():
+def _random_page(rng, depth=0):
+    out = ""
+    for _ in range(int(rng.integers(1, 5))):
+        kind = int(rng.integers(0, 6 if depth < 3 else 3))
+        name = ["p", "div", "li", "div class=x", "section", "ul"][kind]
+        out += f"text {rng.integers(9)}" if kind == 1 else f"<{name}>{_random_page(rng, depth + 1) if kind > 2 else 't'}</{name.split()[0]}>"
+    return out
+
+
+def _balanced(form) -> bool:
+    depth = 0
+    for x in form:
+        if isinstance(x, tuple):
+            if not _balanced(x[1]):
+                return False
+        elif x[:2] == "</":
+            depth -= 1
+            if depth < 0:
+                return False
+        elif x[0] == "<" and x[-2] != "/":
+            depth += 1
+    return depth == 0
+
+
+def test_random_pages_are_covered_by_balanced_wrappers():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        streams = [[str(x) for x in rng.choice(["<a>", "<b>", "#", "</a>"], int(rng.integers(1, 9)))] for _ in range(3)]
-        forms = [wrappers.fold(s)[0] for s in streams]
-        wrapper = wrappers.align(forms[0], forms[1])
-        assert covers(wrapper, streams[0]) and covers(wrapper, streams[1]), (forms, wrapper)
+    for _ in range(300):
+        streams = [wrappers.tokens(_random_page(rng))[0] for _ in range(4)]
+        forms = []
+        for stream in streams:
+            form, slots = wrappers.fold(stream)
+            assert covers(form, stream) and _balanced(form) and len(slots) == stream.count("#")
+            forms.append(form)
+        parts = [wrappers.infer([(f, 1) for f in forms[:2]]), wrappers.infer([(f, 1) for f in forms[2:]])]
+        wrapper = wrappers.infer([(p, 2) for p in parts])
+        assert _balanced(wrapper)
+        for stream, form in zip(streams, forms):
+            assert covers(wrapper, stream), (wrapper, stream)
+            assert len(wrappers.place(wrapper, form)) == len(wrappers.leaves(form))
+
+
+def test_mismatches_between_siblings_become_repeats_with_options():
+    def items(badges):
+        return "<ul>" + "".join(f"<li><div class=item>Name<div class=price>1</div>{'<div class=badge>new</div>' if b else ''}</div></li>" for b in badges) + "</ul>"
+
+    form, slots = wrappers.fold(wrappers.tokens(items([0, 0, 1, 0, 0]))[0])
+    assert wrappers.show(form) == "<ul>(<li><div.item>#<div.price>#</div>(<div.badge>#</div>)?</div></li>)+</ul>"
+    assert slots == [0, 1, 0, 1, 0, 1, 2, 0, 1, 0, 1]
+    one = wrappers.fold(wrappers.tokens(items([0]))[0])[0]
+    assert wrappers.align(one, form) == form and wrappers.align(form, one) == form
+    long = wrappers.tokens("<div>" + "".join(f"<h2>t</h2>{'<p>x</p><div>y</div>' * 12}<hr>" for _ in range(40)) + "</div>")[0]
+    form, _ = wrappers.fold(long)
+    assert covers(form, long) and wrappers._size(form) < 20
+    period = wrappers.tokens("<div>" + "".join(f"<p{' class=c' + str(k % 27)}>x</p>" for k in range(27 * 40)) + "</div>")[0]
+    form, _ = wrappers.fold(period)
+    assert covers(form, period) and wrappers._size(form) == 27 * 3 + 2
+
+
+def test_links_in_prose_and_titles_stay():
+    stream, texts, links = wrappers.tokens("<header><h1><a href=x>A title</a></h1></header><p>See <a href=x>this page</a> for more.</p><div><a href=x>Next</a> <a href=y>Last</a></div><p>One<p>Two</div></p><label>Name</label>")
+    assert texts == ["A title", "See this page for more.", "Next Last", "One", "Two", "Name"] and links == [False, False, True, False, False, False]
+    assert stream == ["<header>", "<h1>", "#", "</h1>", "</header>", "<p>", "#", "</p>", "<div>", "#", "</div>", "<p>", "#", "</p>", "<p>", "#", "</p>", "#"]
+
+
+@pytest.mark.parametrize("limit", [wrappers.BROADCAST_BYTES, 0])
+def test_texts_are_the_fields_that_made_the_pages(spark, limit):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(60):
+        host = "abc"[i % 3]
+        says = [f"Paragraph {i} {k} with <a href=/x>a link {k}</a> in it" for k in range(int(rng.integers(1, 5)))]
+        list_ = [f"item {i} {k}" for k in range(int(rng.integers(0, 4)))]
+        author = f"author {i % 7}"
+        html = f"<body><nav><a href=/>Home</a></nav><div class=ad>Buy at {host}</div><article><h1>Title {i}</h1><span>by</span> {author}{''.join(f'<p>{x}' for x in says)}"
+        html += f"<ul>{''.join(f'<li><div>{x}</div>' + ('<div class=badge>new!</div>' if rng.random() < 0.3 else '') for x in list_)}</ul>" if list_ else ""
+        html += f"</article><footer>All rights</footer></body>"
+        rows.append((i, f"http://{host}.example/{i}", html))
+        want[i] = [f"Title {i}", f"by {author}", *(re.sub("<[^>]*>", "", x) for x in says), *list_]
+    got = {r.page_id: r.text.split("\n") for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), limit).collect()}
+    assert {i: [x for x in t if x != "new!"] for i, t in got.items()} == want
 
 
 def test_template_texts_go_and_odd_pages_stay(spark):
     rows = [(i, "http://a.example/x", page(i % 3 + 1, "more" if i % 4 == 0 else "", key=i)) for i in range(12)]
-    rows += [(100, None, "<p>alone</p>"), (101, "odd", None), (102, "//b.example", ""), (103, "//b.example", "no tags at all <"), (104, "http://c.example", "<div>" * 3000 + "deep")]
+    rows += [(100, None, "<p>alone</p>"), (101, "odd", None), (102, "//b.example", ""), (103, "//b.example", "no tags at all <"), (104, "http://c.example", "<div>" * 100_000 + "deep" + "</div>" * 99_000 + "<p>less"), (105, "http://d.example", "".join(f"<x{k}>t{k}</x{k}>" for k in range(20_000)))]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("wrapper", F.lit("clash"))
     got = {r.page_id: r for r in wrappers.extract(pages).collect()}
-    assert len(got) == 17
+    assert len(got) == 18 and got[105].n_texts == 20_000
     assert "same" not in got[1].text and "one bold text 1 of 2" in got[1].text and "one bold text 4 of 2" in got[4].text and got[1].host == "a.example"
-    assert got[100].text == "alone" and got[101].text is None and got[102].text == "" and "no tags" in got[103].text and got[104].text == "deep"
+    assert got[100].text == "alone" and got[101].text is None and got[102].text == "" and "no tags" in got[103].text and got[104].text == "deep\nless"
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
