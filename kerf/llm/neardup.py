@@ -7,7 +7,8 @@ a segment's keys are the codewords that decoding gives for the segment and for i
 neighbours (one or six of them), so segments that differ in two bits or less always
 share a key.  By the pigeonhole principle fingerprints that differ in eight bits or
 less over the four segments agree so in two segments at least; hence the keys that are
-joined are pairs of codewords, one for each pair of segments.  The join itself tests most of
+joined are pairs of codewords, one for each pair of segments.  What is shuffled is one row for each first codeword with all
+second ones, which are laid out where they arrive.  The join itself tests most of
 what lies outside the segments by the bound on the whole fingerprint, so it passes over no near-duplicate, and
 what it lets through is verified on the whole fingerprint.  Beyond eight bits the search is approximate; its recall is
 measured by the tests.
@@ -139,9 +140,12 @@ def _key_batches(batches):
             check = f1 >> 32 & 0xFFFFFFFF
             keys, used = zip(*(fuzzy_keys(seg[:, k]) for k in range(SEGMENTS)))
             for c, (i, j) in enumerate(PAIRS):
-                row, x, y = np.nonzero(used[i][:, :, None] & used[j][:, None, :])
-                key = (c << 24) | (keys[i][row, x].astype(np.int64) << 12) | keys[j][row, y]
-                yield pa.record_batch([pa.array((key << 32) | check[row]), pa.array(f2[row]), pa.array(ids[row])], names=["k", "c", "id"])
+                row, x = np.nonzero(used[i])
+                # Codewords in use come first, so their number tells which.
+                second = keys[j].astype(np.int64)
+                five = sum(second[:, n] << (3 + 12 * n) for n in range(5)) | used[j].sum(1)
+                columns = (c << 12) | keys[i][row, x], (second[:, 5] << 32 | check)[row], five[row], f2[row], ids[row]
+                yield pa.record_batch([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=["g", "k", "s", "c", "id"])
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -152,11 +156,21 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def similar_pairs(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance), a < b, of the near-duplicates among (id, f0, f1, f2)."""
-    # A row is the key, and below and beside it 96 bits of the fingerprint that are in no segment.
-    keys = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "k bigint, c bigint, id bigint").repartition(F.shiftright("k", 32))
-    left, right = keys.toDF("ka", "ca", "a"), keys.toDF("kb", "cb", "b")
-    same = F.shiftright("ka", 32) == F.shiftright("kb", 32)
-    near = left.join(right, same).where(F.expr(f"a < b and bit_count(ka ^ kb) + bit_count(ca ^ cb) <= {max_distance}")).select("a", "b").distinct()
+    # A row is a first codeword with all second ones, and 96 bits of the fingerprint that are in no segment.
+    rows = distinct.where("f0 is not null").select("id", "f0", "f1", "f2").mapInArrow(_key_batches, "g int, k bigint, s bigint, c bigint, id bigint").repartition("g")
+    second = F.slice(F.array(*(F.shiftright("s", 3 + 12 * n).bitwiseAND(F.lit(4095)) for n in range(5)), F.shiftright("k", 32)), 1, F.col("s").bitwiseAND(F.lit(7)).cast("int"))
+    keys = rows.select("g", "k", "c", "id", F.explode(second).alias("y"))
+    left, right = keys.toDF("g", "ka", "ca", "a", "y"), keys.toDF("g", "kb", "cb", "b", "y")
+    bits = "bit_count((ka ^ kb) & 4294967295L) + bit_count(ca ^ cb)"
+    near = left.join(right.hint("merge"), ["g", "y"]).where(F.expr(f"a < b and {bits} <= {max_distance}")).select("a", "b").distinct()
+    # Rows are where their first codeword is, which is as good as by both; the join is run while the planner may know.
+    conf, name = distinct.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        near = checkpoint(near)
+    finally:
+        conf.set(name, before)
     f = distinct.select("id", "f0", "f1", "f2")
     near = near.join(f.toDF("a", "a0", "a1", "a2"), "a").join(f.toDF("b", "b0", "b1", "b2"), "b")
     return near.select("a", "b", F.expr("bit_count(a0 ^ b0) + bit_count(a1 ^ b1) + bit_count(a2 ^ b2)").alias("distance")).where(f"distance <= {max_distance}")
