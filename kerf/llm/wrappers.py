@@ -459,10 +459,11 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     joined = parsed.drop("form").join(F.broadcast(forms) if small <= broadcast_bytes else forms, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("f")), "left")
     slot = "transform(arrays_zip(slots, links), x -> named_struct('to', coalesce(get(to, x.slots), -1), 'aside', x.links or coalesce(get(aside, x.slots), false)))"
     rows = joined.select("page_id", "host", "wrapper", "n_slots", F.col("digest").isNull().alias("missing"), "texts", F.expr(slot).alias("at"))
-    # Copies of a page are one page.
-    different = rows.where("not missing").select("host", F.xxhash64("at.to", "texts").alias("page"), F.expr("arrays_zip(at.to, texts)").alias("said")).dropDuplicates(["host", "page"])
+    # Copies of a page are one page; only hashes of its texts are shuffled.
+    hashed = "transform(filter(arrays_zip(at.to, texts), x -> x.to >= 0), x -> named_struct('slot', x.to, 't', xxhash64(x.texts)))"
+    different = rows.where("not missing").select("host", F.xxhash64("at.to", "texts").alias("page"), F.expr(hashed).alias("said")).dropDuplicates(["host", "page"])
     n_pages = different.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_pages"))
-    said = different.select("host", "page", F.explode("said").alias("x")).select("host", "page", F.col("x.to").alias("slot"), F.xxhash64(F.col("x.texts")).alias("t")).where("slot >= 0").distinct()
+    said = different.select("host", "page", F.explode("said").alias("x")).select("host", "page", "x.slot", "x.t").distinct()
     often = said.groupBy("host", "slot", "t").agg(F.count("*").alias("n")).where("n > 1")
     fixed = often.join(n_pages, F.col("host") == F.col("h")).where(F.col("n") > F.col("n_pages") * F.lit(MOST)).groupBy("h").agg(F.collect_set(F.struct("slot", "t")).alias("fixed"))
     fixed = checkpoint(fixed)
