@@ -396,9 +396,12 @@ _PARSED = "page_id bigint, host string, digest binary, form binary, slots array<
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, host, digest and form, slot of each text, whether it is a link, texts) of every page; a null html has no form."""
+    """(page_id, host, digest and form, slot of each text, whether it is a link, texts) of every page; a null html has no digest.
+
+    A task writes a host's form with the first page that has it, and null with the others."""
 
     def run(batches):
+        written: set = set()
         for batch in batches:
             for a, b in vec.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
@@ -407,7 +410,9 @@ def parse(pages: DataFrame) -> DataFrame:
                     stream, texts, links = tokens(html or "")
                     form, slots = fold(stream)
                     packed = _packed(form) if html is not None else None
-                    rows.append((_host(url), packed and hashlib.md5(packed).digest(), packed, slots, links, texts))
+                    key = (_host(url), packed and hashlib.md5(packed).digest())
+                    rows.append((*key, None if key in written else packed, slots, links, texts))
+                    written.add(key)
                 kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()))
                 yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["page_id", "host", "digest", "form", "slots", "links", "texts"])
 
@@ -421,7 +426,7 @@ def learn(parsed: DataFrame, parts: int = PARTS) -> DataFrame:
         wrapper = infer([(_unpacked(f), n) for f, n in zip(pdf["form"], pdf["n"])])
         return pd.DataFrame({"host": [key[0]], "form": [_packed(wrapper)], "n": [int(pdf["n"].sum())]})
 
-    counted = parsed.where("form is not null").groupBy("host", "digest").agg(F.first("form").alias("form"), F.count("*").alias("n"))
+    counted = parsed.where("digest is not null").groupBy("host", "digest").agg(F.max("form").alias("form"), F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("digest"), F.lit(parts))
     kind = "host string, form binary, n bigint"
     return counted.groupBy("host", part).applyInPandas(together, kind).groupBy("host").applyInPandas(together, kind).select("host", F.col("form").alias("wrapper"))
@@ -444,7 +449,7 @@ def placed(parsed: DataFrame, learned: DataFrame, broadcast_bytes: int = BROADCA
             kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["host", "digest", "wrapper", "n_slots", "to", "aside"])
 
-    forms = parsed.where("form is not null").groupBy("host", "digest").agg(F.first("form").alias("form"))
+    forms = parsed.where("digest is not null").groupBy("host", "digest").agg(F.max("form").alias("form"))
     small = _bytes(learned, "host", "wrapper") <= broadcast_bytes
     rows = forms.join(F.broadcast(learned) if small else learned, "host").select("host", "digest", "form", "wrapper")
     return rows.mapInArrow(run, "host string, digest binary, wrapper string, n_slots int, to array<int>, aside array<boolean>")
