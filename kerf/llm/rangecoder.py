@@ -27,13 +27,18 @@ _BITS = 16
 _TOTAL, _BYTES = 1 << 16, 1 << 15
 #: What an occurrence adds to a count of order 0, whose counts begin with 1.
 _GAIN = 40
-#: Ids that are compared with each other to count what is below them.
-_PIECE = 64
+#: Ids that are compared with each other to count what is below them; at most 256.
+_PIECE = 128
+#: Ids that are coded before what they add is summed; bits by which a range is widened, by its exponent as a double; 16 bits.
+_SPAN = 64
+_WIDER = np.array([16 * sum(e - 1023 < k for k in (46, 30, 14)) for e in range(2048)], np.uint64)
+_WORD = np.uint64(0xFFFF)
 _RATE = 14
 _WEIGHT, _MOST = 40_000, 200_000
 _SQUASH = np.array([max(64, min(_TOTAL - 64, round(_TOTAL / (1 + math.exp(-i / 256))))) for i in range(-2048, 2048)], np.int32)
-#: 256 ln i.
+#: 256 ln i, and that of 2 i + 1.
 _LOG = np.array([0, *(round(256 * math.log(i)) for i in range(1, 2 * _TOTAL + 2))], np.int32)
+_ODD = _LOG[1::2].copy()
 _STATES = (128, 32)
 _BUCKET = np.array([min(7, i.bit_length()) for i in range(1 << 16)], np.uint8)
 
@@ -44,68 +49,66 @@ def _slot(older: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of keys above positions (16 bits each): (sorted rows, begin of its key's run for each, whether it begins one)."""
-    s = np.sort(key, axis=1)
+    """For rows of keys of 16 bits: (positions in the order of keys and places, the same within all rows, whether each begins its key's run)."""
+    rows, steps = key.shape
+    s = np.sort(key << np.uint32(16) | np.arange(steps, dtype=np.uint32), axis=1)
+    at = s & np.uint32(0xFFFF)
+    s >>= np.uint32(16)
     new = np.empty(s.shape, bool)
     new[:, 0] = True
-    np.not_equal(s[:, 1:] >> np.uint32(16), s[:, :-1] >> np.uint32(16), out=new[:, 1:])
-    at = np.arange(s.shape[1], dtype=np.int32)
-    return s, np.maximum.accumulate(np.where(new, at, 0), axis=1), new
+    np.not_equal(s[:, 1:], s[:, :-1], out=new[:, 1:])
+    return at, at + (np.arange(rows) * steps)[:, None], new
 
 
 def _seen(key: np.ndarray) -> np.ndarray:
     """How many equal keys are before each in its row; keys have 16 bits."""
-    at = np.arange(key.shape[1], dtype=np.uint32)
-    s, begin, _ = _ranks(key << np.uint32(16) | at)
+    _, flat, new = _ranks(key)
+    at = np.arange(key.shape[1], dtype=np.int32)
     out = np.empty(key.shape, np.int32)
-    flat = (s & np.uint32(0xFFFF)).astype(np.int32) + (np.arange(len(key), dtype=np.int32) * key.shape[1])[:, None]
-    out.reshape(-1)[flat] = at.astype(np.int32) - begin
+    out.reshape(-1)[flat] = at - np.maximum.accumulate(at * new, axis=1)
     return out
 
 
-def _predictions(context: np.ndarray, ids: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What each context of a row predicts: (id that followed it last or -1, right answers in a row, bucket of that id's frequency then)."""
-    rows, steps = ids.shape
-    at = np.arange(steps, dtype=np.uint32)
-    s, begin, new = _ranks(context << np.uint32(16) | at)
-    flat = (s & np.uint32(0xFFFF)).astype(np.int32) + (np.arange(rows, dtype=np.int32) * steps)[:, None]
-    follower = ids.reshape(-1)[flat].astype(np.int32)
-    seen = frequency.reshape(-1)[flat]
-    guess = np.empty_like(follower)
-    guess[:, 0] = -1
-    guess[:, 1:] = follower[:, :-1]
-    guess[new] = -1
-    bucket = np.empty_like(seen)
-    bucket[:, 0] = 0
-    bucket[:, 1:] = seen[:, :-1]
+def _predictions(context: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each context of a row predicts: (id that followed it last or -1, right answers in a row, bucket of that id's frequency then).
+
+    ``told`` has each id and, above its 16 bits, the bucket of its frequency; what is predicted is moved in one number likewise.
+    """
+    rows, steps = told.shape
+    _, flat, new = _ranks(context)
+    follower = told.reshape(-1)[flat]
+    before = np.zeros_like(follower)
+    before[:, 1:] = follower[:, :-1]
     # Right answers in a row: steps since the last wrong one or the begin.
-    here = at.astype(np.int32)
-    wrong = np.maximum.accumulate(np.where(guess == follower, 0, here), axis=1)
-    sure = np.empty_like(wrong)
-    sure[:, 0] = 0
-    sure[:, 1:] = here[:-1] - wrong[:, :-1]
-    np.minimum(sure, 7, out=sure)
-    sure[new] = 0
-    bucket[new] = 0
-    out = np.empty((3, rows * steps), np.int32)
-    out[0][flat.reshape(-1)] = guess.reshape(-1)
-    out[1][flat.reshape(-1)] = sure.reshape(-1)
-    out[2][flat.reshape(-1)] = bucket.reshape(-1)
-    return tuple(out.reshape(3, rows, steps))
+    here = np.arange(steps, dtype=np.int32)
+    wrong = np.maximum.accumulate(here * (new | ((before ^ follower) & 0xFFFF != 0)), axis=1)
+    sure = np.zeros_like(wrong)
+    np.minimum(here[:-1] - wrong[:, :-1], 7, out=sure[:, 1:])
+    sure <<= 19
+    sure |= before
+    sure |= 1 << 22
+    sure *= ~new
+    out = np.empty(rows * steps, np.int32)
+    out[flat.reshape(-1)] = sure.reshape(-1)
+    out = out.reshape(rows, steps)
+    return np.where(out != 0, out & 0xFFFF, -1), out >> 19 & 7, out >> 16 & 7
 
 
 def _evidence(at: np.ndarray, row: np.ndarray, state: np.ndarray, hit: np.ndarray, states: int, out: np.ndarray) -> None:
     """Writes to ``out[at]`` the log odds of the hits among what came before in the same state and row."""
-    key = (row * np.uint16(states) + state).astype(np.uint16)
+    key = row * np.uint16(states) + state
     order = np.argsort(key, kind="stable")
-    n_key = np.bincount(key, minlength=int(key.max(initial=0)) + 1)
+    n_key = np.bincount(key)
     start = np.cumsum(n_key) - n_key
-    before = np.zeros(len(key) + 1, np.int32)
+    before = np.zeros(len(key) + 1, np.int64)
     np.cumsum(hit[order], out=before[1:])
-    k = np.repeat(np.arange(len(n_key)), n_key)
-    n = np.arange(len(key)) - start[k]
-    hits = before[:-1] - before[start][k]
-    out[at[order]] = np.clip(_LOG[2 * hits + 1] - _LOG[2 * (n - hits) + 1], -2047, 2047)
+    hits = before[:-1] - np.repeat(before[start], n_key)
+    missed = np.arange(len(key)) - np.repeat(start, n_key)
+    missed -= hits
+    odds = _ODD[hits]
+    odds -= _ODD[missed]
+    np.maximum(odds, -2047, out=odds)
+    out[at[order]] = np.minimum(odds, 2047, out=odds)
 
 
 def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,37 +119,47 @@ def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[:, 1:] = u[:, :-1]
     older = np.zeros_like(u)
     older[:, 2:] = u[:, :-2]
-    frequency = _BUCKET[_seen(u)]
-    guess2, sure2, bucket2 = _predictions(_slot(older, last), ids, frequency)
-    guess1, sure1, bucket1 = _predictions(last, ids, frequency)
+    told = ids | _BUCKET[_seen(u)].astype(np.int32) << 16
+    guess2, sure2, bucket2 = _predictions(_slot(older, last), told)
+    guess1, sure1, bucket1 = _predictions(last, told)
     inside = np.arange(steps) < lengths[:, None]
     equal = guess1 == guess2
     there = (inside & (guess2 >= 0), inside & (guess1 >= 0) & ~equal)
     hit2 = guess2 == ids
     hit1 = there[1] & (guess1 == ids)
     kind = np.where(hit2, 0, np.where(hit1, 1, 2)).astype(np.int8)
-    joint = sure2 * 16 + sure1 * 2 + equal
+    joint = (sure2 * 16 + sure1 * 2 + equal).astype(np.uint16)
     row = np.repeat(np.arange(rows, dtype=np.uint16), steps)
     widths = []
     for sure, bucket, seen, hit, judged in ((sure2, bucket2, there[0], hit2, there[0]), (sure1, bucket1, there[1], hit1, there[1] & (kind != 0))):
         # Statistics are needed wherever there is a prediction, and gathered where it was judged.
         at = np.flatnonzero(judged)
-        h = hit.reshape(-1)[at].astype(np.int32)
+        h = hit.reshape(-1)[at]
         r = row[at]
         s = np.zeros((2, rows * steps), np.int32)
-        for k, state in enumerate((joint, bucket * 4 + np.minimum(sure, 3))):
-            _evidence(at, r, state.reshape(-1)[at].astype(np.uint16), h, _STATES[k], s[k])
+        for k, state in enumerate((joint, (bucket * 4 + np.minimum(sure, 3)).astype(np.uint16))):
+            _evidence(at, r, state.reshape(-1)[at], h, _STATES[k], s[k])
         s = s.reshape(2, rows, steps)
         weight = np.full((2, rows), _WEIGHT, np.int32)
-        width = np.zeros((rows, steps), np.int32)
+        width = np.empty((rows, steps), np.int32)
+        right, counts = (judged & hit) * np.int32(_TOTAL - 1), judged.astype(np.int32)
         for lo in range(0, steps, STEP):
             part = slice(lo, lo + STEP)
             x = s[:, :, part]
-            p = _SQUASH[np.clip((weight[:, :, None] * x).sum(0, dtype=np.int32) >> 16, -2047, 2047) + 2048]
-            width[:, part] = np.where(seen[:, part], p, 0)
-            error = np.where(judged[:, part], hit[:, part] * (_TOTAL - 1) - p, 0) >> 4
-            move = (x * error).sum(2, dtype=np.int64) >> _RATE
-            weight = np.clip(weight + move, -_MOST, _MOST).astype(np.int32)
+            mixed = x[0] * weight[0][:, None]
+            mixed += x[1] * weight[1][:, None]
+            mixed >>= 16
+            mixed += 2048
+            # Index 0 has the probability of index 1, which is the least that there is.
+            p = _SQUASH.take(mixed, mode="clip")
+            width[:, part] = p
+            p *= counts[:, part]
+            error = right[:, part] - p
+            error >>= 4
+            # Below 2 ** 31: log odds have 11 bits, errors 12, and STEP is 256.
+            move = np.einsum("krt,rt->kr", x, error) >> _RATE
+            weight = np.clip(weight + move, -_MOST, _MOST)
+        width *= seen
         widths.append(width)
     return kind, widths[0], _second(widths[0], widths[1])
 
@@ -163,32 +176,37 @@ def _scaled(below: np.ndarray, total: np.ndarray, byte: np.ndarray) -> np.ndarra
 
 
 def _below(byte: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many smaller bytes are before each in its group; groups of the given sizes follow one another."""
+    """How many smaller bytes are before each in its group; groups of the given sizes, below 65536, follow one another."""
     pieces = -(-sizes // _PIECE)
     begin = np.cumsum(sizes) - sizes
-    shift = (np.cumsum(pieces) - pieces) * _PIECE - begin
-    at = np.arange(len(byte)) + np.repeat(shift, sizes)
+    ahead = np.cumsum(pieces) - pieces
+    at = np.arange(len(byte)) + np.repeat(ahead * _PIECE - begin, sizes)
+    piece = at // _PIECE
     n = int(pieces.sum())
     # Place in a piece by piece; what pads a group comes after all of it.
     x = np.zeros((_PIECE, n), np.uint8)
-    to = (at % _PIECE) * n + at // _PIECE
+    to = at % _PIECE * n + piece
     x.reshape(-1)[to] = byte
     count = np.zeros((_PIECE, n), np.uint8)
-    for d in range(1, _PIECE):
-        count[d:] += x[:-d] < x[d:]
+    less = np.empty((_PIECE, n), bool)
+    for d in range(1, min(_PIECE, int(sizes.max(initial=1)))):
+        np.less(x[:-d], x[d:], out=less[d:])
+        count[d:] += less[d:].view(np.uint8)
     out = count.reshape(-1)[to].astype(np.int32)
-    if (pieces > 1).any():
-        many = np.repeat(pieces > 1, sizes)
-        number = np.cumsum(np.where(pieces > 1, pieces, 0)) - np.where(pieces > 1, pieces, 0)
-        piece = (at // _PIECE - np.repeat(np.cumsum(pieces) - pieces - number, sizes))[many]
-        b = byte[many]
-        k = int(pieces[pieces > 1].sum())
-        held = np.bincount(piece * 256 + b, minlength=k * 256).astype(np.int32).reshape(k, 256)
-        # Counts of smaller bytes in the pieces before, of the group alone.
-        held = np.cumsum(held, axis=1, dtype=np.int32) - held
-        before = np.cumsum(held, axis=0, dtype=np.int32) - held
-        first = np.repeat(number[pieces > 1], pieces[pieces > 1])
-        out[many] += before[piece, b] - before[first[piece], b]
+    wide = pieces > 1
+    if wide.any():
+        many = np.flatnonzero(np.repeat(wide, sizes))
+        k = int(pieces[wide].sum()) + 1
+        first = (np.cumsum(pieces * wide) - pieces * wide)[wide]
+        line = byte[many] * np.int64(k)
+        cell = line + piece[many] - np.repeat(ahead[wide] - first, sizes[wide])
+        # Smaller bytes in the pieces before, of all groups; sums go round at 16 bits, differences within a group don't.
+        held = np.bincount(cell + (k + 1), minlength=257 * k + 1)[: 257 * k].astype(np.uint16).reshape(257, k)
+        for v in range(1, 257):
+            held[v] += held[v - 1]
+        np.cumsum(held, axis=1, dtype=np.uint16, out=held)
+        held = held.reshape(-1)
+        out[many] += held[cell] - held[line + np.repeat(first, sizes[wide])]
     return out
 
 
@@ -247,42 +265,59 @@ def _intervals(blocks: list[np.ndarray], out: list[np.ndarray], lane: int) -> No
 
 
 def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
-    """The streams of blocks, all in lockstep, longest first; ``table`` has starts and sizes, ids x blocks."""
+    """The streams of blocks, all in lockstep, longest first; ``table`` has starts and sizes, ids x blocks.
+
+    Only the range goes from id to id. What an id adds to the stream is its start in units of the range, so many words behind
+    the begin as the range was widened before; such numbers are summed where they lie, and carries are done at the end.
+    """
     steps, lanes = table[0].shape
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 62, np.uint64)
-    words, used = np.zeros((lanes, 4096), np.uint32), np.zeros(lanes, np.int64)
-    top, under, word = np.uint64(46), np.uint64((1 << 46) - 1), np.uint64(16)
-    least, bits = np.uint64(1 << 46), (np.uint64(16), np.uint64(15), np.uint64(15))
-    active = lanes
-    for t0 in range(0, steps, 32):
-        if int(used.max()) + 3 * 32 + 4 >= words.shape[1]:
-            words = np.concatenate([words, np.zeros_like(words)], 1)
-        some = [x[t0 : t0 + 32].astype(np.uint64) for x in table]
+    rng, used = np.full(lanes, 1 << 62, np.uint64), np.zeros(lanes, np.int64)
+    words = np.zeros((lanes, 4096), np.uint32)
+    bits, active = (np.uint64(16), np.uint64(15), np.uint64(15)), lanes
+    unit, wider = np.zeros((3, _SPAN, lanes), np.uint64), np.zeros((_SPAN, lanes), np.uint64)
+    for t0 in range(0, steps, _SPAN):
+        some = [x[t0 : t0 + _SPAN].astype(np.uint64) for x in table]
         some[1] += np.uint64(1)
-        for t in range(len(some[0])):
+        n = len(some[0])
+        # Blocks that have ended add nothing.
+        unit[:, :, active:] = wider[:, active:] = 0
+        for t in range(n):
             while active and lengths[active - 1] <= t0 + t:
                 active -= 1
+                unit[:, t:, active] = wider[t:, active] = 0
             if not active:
                 break
-            lo, ra = low[:active], rng[:active]
+            ra = rng[:active]
             for k in range(3):
-                ra >>= bits[k]
-                lo += ra * some[2 * k][t, :active]
-                ra *= some[2 * k + 1][t, :active]
-            short = np.flatnonzero(ra < least)
-            while len(short):
-                at, shifted, r = used[short], lo[short], ra[short] << word
-                words[short, at] = shifted >> top
-                used[short] = at + 1
-                lo[short] = (shifted & under) << word
-                ra[short] = r
-                short = short[r < least]
-    words = np.concatenate([words, np.zeros((lanes, 5), np.uint32)], 1)
-    every = np.arange(lanes)
-    for _ in range(4):
-        words[every, used] = low >> top
-        low = (low & under) << word
-        used += 1
+                u = unit[k, t, :active]
+                np.right_shift(ra, bits[k], out=u)
+                np.multiply(u, some[2 * k + 1][t, :active], out=ra)
+            # The exponent tells how many words are missing; up to 2 ** 53 it is exact, and above none is.
+            w = wider[t, :active]
+            _WIDER.take((ra.astype(np.float64).view(np.int64) >> 52), out=w, mode="clip")
+            ra <<= w
+        if n < _SPAN:
+            unit[:, n:] = wider[n:] = 0
+        added = unit[0, :n] * some[0]
+        added += unit[1, :n] * some[2]
+        added += unit[2, :n] * some[4]
+        moved = (wider[:n].T >> np.uint64(4)).astype(np.int64)
+        place = np.cumsum(moved, axis=1)
+        if int(used.max() + place[:, -1].max()) + 8 >= words.shape[1]:
+            words = np.concatenate([words, np.zeros_like(words)], 1)
+        # One sum for each place of a lane, below 2 ** 63.
+        new = np.empty((lanes, n), bool)
+        new[:, 0] = True
+        np.not_equal(moved[:, :-1], 0, out=new[:, 1:])
+        new = np.flatnonzero(new)
+        total = np.add.reduceat(np.ascontiguousarray(added.T).reshape(-1), new)
+        lane = new // n
+        at = lane * words.shape[1] + used[lane] + (place - moved).reshape(-1)[new]
+        flat = words.reshape(-1)
+        for k, part in enumerate((total >> np.uint64(46), total >> np.uint64(30) & _WORD, total >> np.uint64(14) & _WORD, total << np.uint64(2) & _WORD)):
+            flat[at + k] += part.astype(np.uint32)
+        used += place[:, -1]
+    used += 4
     # Words of 16 bits with all carries done.
     for k in range(int(used.max()) - 1, 0, -1):
         words[:, k - 1] += words[:, k] >> 16

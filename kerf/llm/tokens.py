@@ -2,7 +2,8 @@
 
 Equal stretches between single white-space characters are encoded once in a worker: the pre-tokenizer
 always cuts before a white-space character that stands alone, so ids of the stretches in order are the
-ids of the text.  A stretch that was met before is found by its hash and taken only if its bytes are the same.
+ids of the text.  A stretch that was met before is found by its hash and taken only if its bytes are the same; those of
+short ones are compared as two numbers.  No Python object is built for a stretch that is like others.
 
 The ranks are read on the driver; a ``Codec`` that is broadcast carries them to the executors.
 """
@@ -25,31 +26,63 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 #: Slots of the table of stretches that were met, which are at most half as many; bytes of the longest that is kept.
 _SLOTS, _LONGEST = 1 << 21, 1 << 12
+#: Bytes of a stretch that are compared as two numbers, and what such a number keeps of its first bytes.
+_HEAD = 16
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of stretches, one after another."""
+    begin = np.cumsum(lengths) - lengths
+    return raw[np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat((starts - begin).astype(np.int32), lengths)]
+
+
+def _heads(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first _HEAD bytes of each stretch as two numbers; ``raw`` has as many bytes behind the last stretch."""
+    view = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    out = np.zeros((2, len(starts)), np.uint64)
+    out[0] = view[starts] & _KEEP[np.minimum(lengths, 8)]
+    more = np.flatnonzero(lengths > 8)
+    out[1, more] = view[starts[more] + 8] & _KEEP[np.minimum(lengths[more] - 8, 8)]
+    return out
+
+
+def _hash(heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of at most _HEAD bytes."""
+    h = heads[0] * _M1
+    h += heads[1] * _M2
+    h += lengths.astype(np.uint64)
+    return vec.mix(h)
 
 
 class _Met:
-    """Stretches that were met: where their bytes and ids are. The first is the end of a text."""
+    """Stretches that were met: hash, head and length, where the bytes of long ones are, where ids are. The first is the end of a text."""
 
     def __init__(self, eot: int):
         self.slot = np.full(_SLOTS, -1, np.int32)
-        self.hash = np.zeros(1024, np.uint64)
-        self.at = np.zeros((1024, 4), np.int64)
+        self.known = np.zeros((1024, 4), np.uint64)
+        self.at = np.zeros((1024, 3), np.int64)
         self.bytes, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint16)
         self.n = self.n_bytes = self.n_ids = 0
-        self.add([0], [b""], np.array([eot], np.uint16), np.ones(1, np.int64))
+        none = np.zeros(1, np.int64)
+        self.add(np.zeros(1, np.uint64), np.zeros((2, 1), np.uint64), np.zeros(0, np.uint8), none, none, np.array([eot], np.uint16), none + 1)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros((max(len(a), n - len(a)), *a.shape[1:]), a.dtype)])
 
-    def add(self, hashes: list[int], parts: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Keeps the parts with ``counts`` of ``ids`` each; returns their numbers."""
-        data, k, lengths = b"".join(parts), self.n + np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
-        self.hash, self.at = self._room(self.hash, self.n + len(k)), self._room(self.at, self.n + len(k))
+    def add(self, hashes: np.ndarray, heads: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keeps stretches of ``raw`` with ``counts`` of ``ids`` each; returns their numbers."""
+        k, long = self.n + np.arange(len(starts)), lengths > _HEAD
+        data, held = _runs(raw, starts[long], lengths[long]), lengths * long
+        self.known, self.at = self._room(self.known, self.n + len(k)), self._room(self.at, self.n + len(k))
         self.bytes, self.ids = self._room(self.bytes, self.n_bytes + len(data)), self._room(self.ids, self.n_ids + len(ids))
-        self.hash[k] = hashes
-        self.at[k] = np.stack([self.n_bytes + np.cumsum(lengths) - lengths, lengths, self.n_ids + np.cumsum(counts) - counts, counts], 1)
-        self.bytes[self.n_bytes : self.n_bytes + len(data)] = np.frombuffer(data, np.uint8)
+        for column, x in enumerate((hashes, *heads, lengths)):
+            self.known[k, column] = x
+        for column, x in enumerate((self.n_bytes + np.cumsum(held) - held, self.n_ids + np.cumsum(counts) - counts, counts)):
+            self.at[k, column] = x
+        self.bytes[self.n_bytes : self.n_bytes + len(data)] = data
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.n, self.n_bytes, self.n_ids = self.n + len(k), self.n_bytes + len(data), self.n_ids + len(ids)
         return k
@@ -58,11 +91,11 @@ class _Met:
         """The number of the stretch of each hash, or -1."""
         place = (h & np.uint64(_SLOTS - 1)).astype(np.int32)
         found = self.slot[place]
-        open_ = np.flatnonzero((found >= 0) & (self.hash[found] != h))
+        open_ = np.flatnonzero((found >= 0) & (self.known[:, 0][found] != h))
         while len(open_):
             place[open_] = (place[open_] + 1) & (_SLOTS - 1)
             found[open_] = self.slot[place[open_]]
-            open_ = open_[(found[open_] >= 0) & (self.hash[found[open_]] != h[open_])]
+            open_ = open_[(found[open_] >= 0) & (self.known[:, 0][found[open_]] != h[open_])]
         return found
 
     def enter(self, h: np.ndarray, k: np.ndarray) -> None:
@@ -95,57 +128,71 @@ class Codec:
     def __reduce__(self):
         return _codec, self.made
 
+    @staticmethod
+    def _same(heads: np.ndarray, lengths: np.ndarray, raw: np.ndarray, starts: np.ndarray, other: tuple) -> np.ndarray:
+        """Whether stretches have the bytes of the other ones (heads, lengths, bytes, where each begins in them)."""
+        same = (heads[0] == other[0][0]) & (heads[1] == other[0][1]) & (lengths == other[1])
+        long = np.flatnonzero(same & (lengths > _HEAD))
+        if len(long):
+            n = lengths[long]
+            equal = _runs(raw, starts[long], n) == _runs(other[2], other[3][long], n)
+            same[long] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return same
+
     def _look(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The numbers of stretches in ``met``; what wasn't there is encoded."""
         if self.met.n > _SLOTS // 2:
             self.met = _Met(self.eot)
         met = self.met
-        h = vec.hash_runs(raw, lengths)
+        heads = _heads(raw, starts, lengths)
+        h = _hash(heads, lengths)
+        long = np.flatnonzero(lengths > _HEAD)
+        if len(long):
+            h[long] = vec.hash_runs(_runs(raw, starts[long], lengths[long]), lengths[long])
         found = met.find(h)
         # A hit counts if it has the same bytes; a stretch that shares its hash with another isn't entered.
-        size = met.at[:, 1][found]
-        same = (found >= 0) & (size == lengths)
-        hit = np.flatnonzero(same)
-        if len(hit):
-            n = lengths[hit]
-            begin = np.cumsum(n) - n
-            run = np.arange(int(n.sum()), dtype=np.int32)
-            equal = raw[run + np.repeat((starts[hit] - begin).astype(np.int32), n)] == met.bytes[run + np.repeat((met.at[:, 0][found[hit]] - begin).astype(np.int32), n)]
-            if not equal.all():
-                same[hit[~np.logical_and.reduceat(equal, begin)]] = False
+        known = met.known[found]
+        same = (found >= 0) & self._same(heads, lengths, raw, starts, ((known[:, 1], known[:, 2]), known[:, 3].view(np.int64), met.bytes, met.at[:, 0][found]))
         fresh = np.flatnonzero(~same)
         if len(fresh):
-            data, own, which, first = raw.tobytes(), {}, [], []
-            for i, s, n in zip(fresh.tolist(), starts[fresh].tolist(), lengths[fresh].tolist()):
-                which.append(own.setdefault(data[s : s + n], len(own)))
-                if len(own) > len(first):
-                    first.append(i)
-            k = met.add(h[first], list(own), *self._encode(list(own)))
-            free, at = np.unique(h[first], return_index=True)
-            fit = (met.find(free) < 0) & (lengths[np.array(first)[at]] <= _LONGEST)
-            met.enter(free[fit], k[at[fit]])
+            heads, h, at, n = heads[:, fresh], h[fresh], starts[fresh], lengths[fresh]
+            order = np.argsort(h)
+            new = np.ones(len(h), bool)
+            new[1:] = h[order[1:]] != h[order[:-1]]
+            which = np.empty(len(h), np.int64)
+            which[order] = np.cumsum(new) - 1
+            first = order[new]
+            of = first[which]
+            odd = np.flatnonzero(~self._same(heads, n, raw, at, (heads[:, of], n[of], raw, at[of])))
+            own: dict[bytes, int] = {}
+            for i in odd.tolist():
+                which[i] = len(first) + own.setdefault(raw[at[i] : at[i] + n[i]].tobytes(), len(own))
+            first = np.append(first, odd[np.unique(which[odd], return_index=True)[1]])
+            k = met.add(h[first], heads[:, first], raw, at[first], n[first], *self._encode(raw, at[first], n[first]))
+            fit = (found[fresh[first]] < 0) & (n[first] <= _LONGEST)
+            fit[len(first) - len(own) :] = False
+            met.enter(h[first[fit]], k[fit])
             found[fresh] = k[which]
         return found
 
-    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts, their number in each); those between which the pre-tokenizer always cuts are encoded as one text."""
-        sound = [len(x) > 1 and _SPACE[x[0]] and not _SPACE[x[1]] and not _SPACE[x[-1]] for x in parts]
-        joined = [x for x, ok in zip(parts, sound) if ok]
-        ids = np.array(self.encoding.encode_ordinary(b"".join(joined).decode()), np.uint16)
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1
-        counts, begin = np.zeros(len(parts), np.int64), 0
-        counts[np.flatnonzero(sound)] = np.diff(ends, prepend=0)
-        if all(sound):
-            return ids, counts
-        out = []
-        for i in np.flatnonzero(~np.array(sound)).tolist():
-            other = self.encoding.encode_ordinary(parts[i].decode())
-            to = int(counts[:i].sum()) if not out else to + int(counts[last + 1 : i].sum())
-            out += [ids[begin:to], np.array(other, np.uint16)]
-            begin, last = to, i
-            counts[i] = -len(other)
-        counts = np.abs(counts)
-        return np.concatenate([*out, ids[begin:]]), counts
+    def _encode(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches, their number in each); those between which the pre-tokenizer always cuts are encoded as one text."""
+        sound = (lengths > 1) & _SPACE[raw[starts]] & ~_SPACE[raw[starts + 1]] & ~_SPACE[raw[starts + lengths - 1]]
+        n = lengths[sound]
+        joined = np.array(self.encoding.encode_ordinary(_runs(raw, starts[sound], n).tobytes().decode()), np.uint16)
+        end = np.zeros(int(n.sum()) + 1, bool)
+        end[np.cumsum(n)] = True
+        counts = np.zeros(len(starts), np.int64)
+        counts[sound] = np.diff(np.flatnonzero(end[np.cumsum(self.size[joined])]) + 1, prepend=0)
+        if sound.all():
+            return joined, counts
+        rest = np.flatnonzero(~sound)
+        others = [self.encoding.encode_ordinary(raw[s : s + m].tobytes().decode()) for s, m in zip(starts[rest].tolist(), lengths[rest].tolist())]
+        counts[rest] = [len(x) for x in others]
+        ids, mine = np.empty(int(counts.sum()), np.uint16), np.repeat(sound, counts)
+        ids[mine] = joined
+        ids[~mine] = np.concatenate([np.array(x, np.uint16) for x in others])
+        return ids, counts
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint16, row offsets into them) of texts, each followed by the end-of-text id; nulls are empty texts."""
@@ -162,15 +209,15 @@ class Codec:
         cut[inner[inner > 0] - 1] = False
         cut[inner] = True
         starts = np.flatnonzero(cut)
-        found = self._look(raw, starts, np.diff(np.append(starts, len(raw))))
+        found = self._look(np.append(raw, np.zeros(_HEAD, np.uint8)), starts, np.diff(np.append(starts, len(raw))))
         # Each row's stretches and, behind them, its end.
         ends = np.searchsorted(starts, offsets[1:])
         which = np.insert(found, ends, 0)
         at = self.met.at
-        sizes = at[:, 3][which]
+        sizes = at[:, 2][which]
         to = np.cumsum(sizes)
         total = int(to[-1])
-        out = self.met.ids[np.arange(total, dtype=np.int32) + np.repeat((at[:, 2][which] - to + sizes).astype(np.int32), sizes)]
+        out = self.met.ids[np.arange(total, dtype=np.int32) + np.repeat((at[:, 1][which] - to + sizes).astype(np.int32), sizes)]
         return out, np.concatenate(([0], to[ends + np.arange(n)]))
 
     def decode(self, ids) -> str:

@@ -4,6 +4,7 @@ import difflib
 import hashlib
 import itertools
 import re
+import sys
 import unicodedata
 
 import duckdb
@@ -305,6 +306,46 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
             assert [codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])] == texts
 
 
+def test_equal_hashes_of_short_stretches_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_hash", lambda heads, lengths: lengths.astype(np.uint64))
+    codec = tokens.Codec(*tokens.codec().made)
+    texts = ["one two six one", "two one\x00 one ten", "ten eightletters sevenletters", "é ë é six", " a long stretch_of_over_16_bytes stretch_of_over_16_bytez"]
+    for _ in range(2):
+        ids, ends = codec.encode(pa.array(texts))
+        assert [codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])] == texts
+
+
+def test_new_stretches_take_no_python_calls_of_their_own():
+    codec = tokens.Codec(*tokens.codec().made)
+    text = pa.array([" ".join(f"{i:x}" for i in range(5000))])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids, _ = codec.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert codec.decode(ids) == text[0].as_py()
+    assert calls < 1000, "5000 stretches that weren't met before"
+
+
+def test_smaller_bytes_are_counted_in_groups_of_all_sizes():
+    rng = np.random.default_rng(8)
+    sizes = np.array([3, 0, 128, 1, 129, 65535, 256, 40_000, 2, 5000])
+    byte = (rng.zipf(1.2, sizes.sum()) % 256).astype(np.uint8)
+    got, to = rangecoder._below(byte, sizes), 0
+    for n in sizes:
+        part, to = byte[to : to + n], to + n
+        counts = np.cumsum(np.arange(256)[:, None] == part, axis=1, dtype=np.int32)
+        below = np.cumsum(counts, axis=0)
+        want = [below[b - 1, i] if b else 0 for i, b in enumerate(part.tolist())]
+        assert got[to - n : to].tolist() == want
+
+
 def _scalar_stream(ids):
     """The coder again, one id at a time, with dictionaries and one long integer."""
     import collections
