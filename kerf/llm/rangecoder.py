@@ -22,13 +22,16 @@ import numpy as np
 BLOCK = 8192
 #: Ids between two moves of the weights; blocks of which the statistics are computed together, and that are read together.
 STEP, TOGETHER, READ = 256, 16, 128
+#: Ids of blocks together are fewer, so a place is sorted in one number of 32 bits with what it is sorted by.
+_PLACES = TOGETHER << 16
 _BITS = 16
 #: Decisions are of 16 bits, bytes of 15; an id takes at most 46 bits of the range, which has 62 and is kept above 46.
 _TOTAL, _BYTES = 1 << 16, 1 << 15
 #: What an occurrence adds to a count of order 0, whose counts begin with 1.
 _GAIN = 40
 #: Ids that are compared with each other to count what is below them; at most 256.
-_PIECE = 128
+_PIECE_BITS = 7
+_PIECE = 1 << _PIECE_BITS
 #: Ids that are coded before what they add is summed; bits by which a range is widened, by its exponent as a double; 16 bits.
 _SPAN = 64
 _WIDER = np.array([16 * sum(e - 1023 < k for k in (46, 30, 14)) for e in range(2048)], np.uint64)
@@ -94,21 +97,22 @@ def _predictions(context: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.
     return np.where(out != 0, out & 0xFFFF, -1), out >> 19 & 7, out >> 16 & 7
 
 
-def _evidence(at: np.ndarray, row: np.ndarray, state: np.ndarray, hit: np.ndarray, states: int, out: np.ndarray) -> None:
-    """Writes to ``out[at]`` the log odds of the hits among what came before in the same state and row."""
-    key = row * np.uint16(states) + state
-    order = np.argsort(key, kind="stable")
-    n_key = np.bincount(key)
-    start = np.cumsum(n_key) - n_key
-    before = np.zeros(len(key) + 1, np.int64)
-    np.cumsum(hit[order], out=before[1:])
+def _evidence(at: np.ndarray, key: np.ndarray, hit: np.ndarray, out: np.ndarray) -> None:
+    """Writes to ``out[at]`` the log odds of the hits among what came before under the same key; at, key and hit (uint32) take 20, 11 and one bit."""
+    s = key << np.uint32(21) | at << np.uint32(1) | hit
+    s.sort()
+    of = s >> np.uint32(21)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), of[1:] != of[:-1]])).astype(np.int32)
+    n_key = np.diff(start, append=np.int32(len(s)))
+    before = np.zeros(len(s) + 1, np.int32)
+    np.cumsum((s & np.uint32(1)).view(np.int32), out=before[1:])
     hits = before[:-1] - np.repeat(before[start], n_key)
-    missed = np.arange(len(key)) - np.repeat(start, n_key)
+    missed = np.arange(len(s), dtype=np.int32) - np.repeat(start, n_key)
     missed -= hits
     odds = _ODD[hits]
     odds -= _ODD[missed]
     np.maximum(odds, -2047, out=odds)
-    out[at[order]] = np.minimum(odds, 2047, out=odds)
+    out[s >> np.uint32(1) & np.uint32(_PLACES - 1)] = np.minimum(odds, 2047, out=odds)
 
 
 def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,17 +132,18 @@ def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hit2 = guess2 == ids
     hit1 = there[1] & (guess1 == ids)
     kind = np.where(hit2, 0, np.where(hit1, 1, 2)).astype(np.int8)
-    joint = (sure2 * 16 + sure1 * 2 + equal).astype(np.uint16)
-    row = np.repeat(np.arange(rows, dtype=np.uint16), steps)
+    joint = (sure2 * 16 + sure1 * 2 + equal).astype(np.uint32)
+    row = np.repeat(np.arange(rows, dtype=np.uint32), steps)
     widths = []
     for sure, bucket, seen, hit, judged in ((sure2, bucket2, there[0], hit2, there[0]), (sure1, bucket1, there[1], hit1, there[1] & (kind != 0))):
         # Statistics are needed wherever there is a prediction, and gathered where it was judged.
         at = np.flatnonzero(judged)
-        h = hit.reshape(-1)[at]
+        h = hit.reshape(-1)[at].astype(np.uint32)
         r = row[at]
+        place = at.astype(np.uint32)
         s = np.zeros((2, rows * steps), np.int32)
-        for k, state in enumerate((joint, (bucket * 4 + np.minimum(sure, 3)).astype(np.uint16))):
-            _evidence(at, r, state.reshape(-1)[at], h, _STATES[k], s[k])
+        for k, state in enumerate((joint, (bucket * 4 + np.minimum(sure, 3)).astype(np.uint32))):
+            _evidence(place, r * np.uint32(_STATES[k]) + state.reshape(-1)[at], h, s[k])
         s = s.reshape(2, rows, steps)
         weight = np.full((2, rows), _WEIGHT, np.int32)
         width = np.empty((rows, steps), np.int32)
@@ -158,7 +163,7 @@ def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             error >>= 4
             # Below 2 ** 31: log odds have 11 bits, errors 12, and STEP is 256.
             move = np.einsum("krt,rt->kr", x, error) >> _RATE
-            weight = np.clip(weight + move, -_MOST, _MOST)
+            weight = np.minimum(np.maximum(weight + move, -_MOST), _MOST)
         width *= seen
         widths.append(width)
     return kind, widths[0], _second(widths[0], widths[1])
@@ -166,8 +171,8 @@ def _chances(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _second(width2: np.ndarray, p1: np.ndarray) -> np.ndarray:
     """Order 1's interval within what order 2 leaves."""
-    w = ((_TOTAL - width2).astype(np.int64) * p1) >> 16
-    return np.where(p1 > 0, np.maximum(w, 1), 0).astype(np.int32)
+    w = ((_TOTAL - width2).astype(np.uint32) * p1.astype(np.uint32)) >> np.uint32(16)
+    return np.maximum(w, p1 > 0).astype(np.int32)
 
 
 def _scaled(below: np.ndarray, total: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -181,11 +186,11 @@ def _below(byte: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     ahead = np.cumsum(pieces) - pieces
     at = np.arange(len(byte)) + np.repeat(ahead * _PIECE - begin, sizes)
-    piece = at // _PIECE
+    piece = at >> _PIECE_BITS
     n = int(pieces.sum())
     # Place in a piece by piece; what pads a group comes after all of it.
     x = np.zeros((_PIECE, n), np.uint8)
-    to = at % _PIECE * n + piece
+    to = (at & (_PIECE - 1)) * n + piece
     x.reshape(-1)[to] = byte
     count = np.zeros((_PIECE, n), np.uint8)
     less = np.empty((_PIECE, n), bool)
@@ -195,7 +200,7 @@ def _below(byte: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = count.reshape(-1)[to].astype(np.int32)
     wide = pieces > 1
     if wide.any():
-        many = np.flatnonzero(np.repeat(wide, sizes))
+        many = slice(None) if wide.all() else np.flatnonzero(np.repeat(wide, sizes))
         k = int(pieces[wide].sum()) + 1
         first = (np.cumsum(pieces * wide) - pieces * wide)[wide]
         line = byte[many] * np.int64(k)
@@ -211,41 +216,42 @@ def _below(byte: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _spelled(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(start, size) of both bytes of the ids that order 0 codes, which follow one another block by block."""
+    """(start, size) of both bytes of the ids that order 0 codes, which follow one another block by block: a row of four for each."""
     n = len(ids)
-    out = np.zeros((4, n), np.int32)
+    out = np.zeros((n, 4), np.uint16)
     if not n:
         return out
     row = np.repeat(np.arange(len(lengths)), lengths)
     high, low = (ids >> 8).astype(np.uint8), (ids & 255).astype(np.uint8)
-    total = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    total = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     under = _below(high, lengths)
     # In the order of blocks, high bytes and places.
-    key = (row * 256 + high).astype(np.uint16)
-    order = np.argsort(key, kind="stable")
+    key = row * 256 + high
+    order = key.astype(np.uint32) * np.uint32(_PLACES) + np.arange(n, dtype=np.uint32)
+    order.sort()
+    order = (order % np.uint32(_PLACES)).astype(np.int64)
     groups = np.bincount(key)
     groups = groups[groups > 0]
-    seen = np.empty(n, np.int64)
+    seen = np.empty(n, np.int32)
     seen[order] = np.arange(n) - np.repeat(np.cumsum(groups) - groups, groups)
     under_low = np.empty(n, np.int32)
     under_low[order] = _below(low[order], groups)
-    by_low = np.argsort(low, kind="stable")
-    by_id = by_low[np.argsort(key[by_low], kind="stable")]
-    whole = key[by_id].astype(np.int64) << 8 | low[by_id]
-    new = np.flatnonzero(np.diff(whole, prepend=-1))
-    same = np.empty(n, np.int64)
-    same[by_id] = np.arange(n) - np.repeat(new, np.diff(new, append=n))
+    # Rows of equal length; what pads them comes last.
+    rows = np.zeros((len(lengths), int(lengths.max())), np.uint32)
+    at = row * rows.shape[1] + total
+    rows.reshape(-1)[at] = ids
+    same = _seen(rows).reshape(-1)[at]
     for k, (byte, less, equal, all_) in enumerate(((high, under, seen, total), (low, under_low, same, seen))):
         byte = byte.astype(np.int32)
         of = (256 + _GAIN * all_).astype(np.float64)
         begin = _scaled(byte + _GAIN * less, of, byte)
-        out[2 * k] = begin
-        out[2 * k + 1] = _scaled(byte + 1 + _GAIN * (less + equal), of, byte + 1) - begin
+        out[:, 2 * k] = begin
+        out[:, 2 * k + 1] = _scaled(byte + 1 + _GAIN * (less + equal), of, byte + 1) - begin
     return out
 
 
 def _intervals(blocks: list[np.ndarray], out: list[np.ndarray], lane: int) -> None:
-    """Writes the three intervals of each id of each block to ``out``: starts and sizes, ids x blocks."""
+    """Writes the three intervals of each id of each block to ``out``, ids x blocks: start, size - 1 and, as one number, what ``_spelled`` gives."""
     lengths = np.array([len(b) for b in blocks])
     ids = np.zeros((len(blocks), max(1, int(lengths.max()))), np.uint16)
     for r, b in zip(ids, blocks):
@@ -258,14 +264,13 @@ def _intervals(blocks: list[np.ndarray], out: list[np.ndarray], lane: int) -> No
     spelled = _spelled(ids[plain], plain.sum(1))
     for k, x in enumerate((start, size - 1)):
         out[k][: ids.shape[1], lane : lane + len(blocks)] = x.T
-    for k in range(4):
-        x = np.full(ids.shape, 0 if k % 2 == 0 else _BYTES, np.uint16)
-        x[plain] = spelled[k]
-        out[2 + k][: ids.shape[1], lane : lane + len(blocks)] = x.T
+    x = np.full(ids.shape, np.array([0, _BYTES, 0, _BYTES], np.uint16).view(np.uint64)[0])
+    x[plain] = spelled.view(np.uint64)[:, 0]
+    out[2][: ids.shape[1], lane : lane + len(blocks)] = x.T
 
 
 def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
-    """The streams of blocks, all in lockstep, longest first; ``table`` has starts and sizes, ids x blocks.
+    """The streams of blocks, all in lockstep, longest first; ``table`` is what ``_intervals`` wrote.
 
     Only the range goes from id to id. What an id adds to the stream is its start in units of the range, so many words behind
     the begin as the range was widened before; such numbers are summed where they lie, and carries are done at the end.
@@ -273,10 +278,11 @@ def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
     steps, lanes = table[0].shape
     rng, used = np.full(lanes, 1 << 62, np.uint64), np.zeros(lanes, np.int64)
     words = np.zeros((lanes, 4096), np.uint32)
+    columns = (*table[:2], *np.moveaxis(table[2].view(np.uint16).reshape(steps, lanes, 4), 2, 0))
     bits, active = (np.uint64(16), np.uint64(15), np.uint64(15)), lanes
     unit, wider = np.zeros((3, _SPAN, lanes), np.uint64), np.zeros((_SPAN, lanes), np.uint64)
     for t0 in range(0, steps, _SPAN):
-        some = [x[t0 : t0 + _SPAN].astype(np.uint64) for x in table]
+        some = [x[t0 : t0 + _SPAN].astype(np.uint64, order="C") for x in columns]
         some[1] += np.uint64(1)
         n = len(some[0])
         # Blocks that have ended add nothing.
@@ -301,8 +307,8 @@ def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
         added = unit[0, :n] * some[0]
         added += unit[1, :n] * some[2]
         added += unit[2, :n] * some[4]
-        moved = (wider[:n].T >> np.uint64(4)).astype(np.int64)
-        place = np.cumsum(moved, axis=1)
+        moved = (wider[:n].T >> np.uint64(4)).astype(np.int32, order="C")
+        place = np.cumsum(moved, axis=1, dtype=np.int32)
         if int(used.max() + place[:, -1].max()) + 8 >= words.shape[1]:
             words = np.concatenate([words, np.zeros_like(words)], 1)
         # One sum for each place of a lane, below 2 ** 63.
@@ -319,9 +325,10 @@ def _code(table: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
         used += place[:, -1]
     used += 4
     # Words of 16 bits with all carries done.
-    for k in range(int(used.max()) - 1, 0, -1):
-        words[:, k - 1] += words[:, k] >> 16
-    out = (words & 0xFFFF).astype(">u2")
+    words = np.ascontiguousarray(words[:, : int(used.max())].T)
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += words[k] >> 16
+    out = words.astype(np.uint16).T.astype(">u2", order="C")
     return [out[i, :n].tobytes() for i, n in enumerate(used.tolist())]
 
 
@@ -337,7 +344,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         raise ValueError("a block has at most 65535 ids")
     order = np.argsort([-len(x) for x in blocks], kind="stable")
     lengths = np.array([len(blocks[i]) for i in order])
-    table = [np.zeros((int(lengths[0]), len(blocks)), np.uint16) for _ in range(6)]
+    table = [np.zeros((int(lengths[0]), len(blocks)), kind) for kind in (np.uint16, np.uint16, np.uint64)]
     for lo in range(0, len(blocks), TOGETHER):
         _intervals([blocks[i] for i in order[lo : lo + TOGETHER]], table, lo)
     out: list[bytes] = [b""] * len(blocks)
