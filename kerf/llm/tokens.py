@@ -21,8 +21,12 @@ from kerf.llm import vec
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space of the pattern: bytes that are (1) or may begin (2) one, and which of the characters below U+4000 are that have several bytes.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 1
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
+_WIDE = np.zeros(1 << 14, bool)
+_WIDE[[0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 #: Slots of the table of stretches that were met, which are at most half as many; bytes of the longest that is kept.
 _SLOTS, _LONGEST = 1 << 21, 1 << 12
@@ -32,6 +36,20 @@ _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space; ``raw`` has two bytes behind the last character."""
+    kind = _KIND[raw]
+    space = kind == 1
+    lead = np.flatnonzero(kind == 2)
+    if len(lead):
+        a, b, c = (raw[lead + k].astype(np.int32) for k in range(3))
+        wide = _WIDE[np.where(a == 0xC2, b, (a & 3) << 12 | (b & 63) << 6 | c & 63)]
+        lead, long = lead[wide], (a > 0xC2)[wide]
+        space[lead] = space[lead + 1] = True
+        space[lead[long] + 2] = True
+    return space
+
+
 def _runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of stretches, one after another."""
     begin = np.cumsum(lengths) - lengths
@@ -139,8 +157,8 @@ class Codec:
             same[long] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
         return same
 
-    def _look(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The numbers of stretches in ``met``; what wasn't there is encoded."""
+    def _look(self, raw: np.ndarray, space: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of stretches in ``met``; what wasn't there is encoded. ``space`` has the bytes of white space."""
         if self.met.n > _SLOTS // 2:
             self.met = _Met(self.eot)
         met = self.met
@@ -168,16 +186,16 @@ class Codec:
             for i in odd.tolist():
                 which[i] = len(first) + own.setdefault(raw[at[i] : at[i] + n[i]].tobytes(), len(own))
             first = np.append(first, odd[np.unique(which[odd], return_index=True)[1]])
-            k = met.add(h[first], heads[:, first], raw, at[first], n[first], *self._encode(raw, at[first], n[first]))
+            k = met.add(h[first], heads[:, first], raw, at[first], n[first], *self._encode(raw, space, at[first], n[first]))
             fit = (found[fresh[first]] < 0) & (n[first] <= _LONGEST)
             fit[len(first) - len(own) :] = False
             met.enter(h[first[fit]], k[fit])
             found[fresh] = k[which]
         return found
 
-    def _encode(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, raw: np.ndarray, space: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all stretches, their number in each); those between which the pre-tokenizer always cuts are encoded as one text."""
-        sound = (lengths > 1) & _SPACE[raw[starts]] & ~_SPACE[raw[starts + 1]] & ~_SPACE[raw[starts + lengths - 1]]
+        sound = (lengths > 1) & space[starts] & ~space[starts + 1] & ~space[starts + lengths - 1]
         n = lengths[sound]
         joined = np.array(self.encoding.encode_ordinary(_runs(raw, starts[sound], n).tobytes().decode()), np.uint16)
         end = np.zeros(int(n.sum()) + 1, bool)
@@ -200,7 +218,9 @@ class Codec:
         n = len(offsets) - 1
         if not len(raw):
             return np.full(n, self.eot, np.uint16), np.arange(n + 1)
-        space = _SPACE[raw]
+        padded = np.append(raw, np.zeros(_HEAD, np.uint8))
+        spaces = _spaces(padded)
+        space = spaces[: len(raw)]
         cut = space.copy()
         cut[1:] &= ~space[:-1]
         cut[:-1] &= ~space[1:]
@@ -209,7 +229,7 @@ class Codec:
         cut[inner[inner > 0] - 1] = False
         cut[inner] = True
         starts = np.flatnonzero(cut)
-        found = self._look(np.append(raw, np.zeros(_HEAD, np.uint8)), starts, np.diff(np.append(starts, len(raw))))
+        found = self._look(padded, spaces, starts, np.diff(np.append(starts, len(raw))))
         # Each row's stretches and, behind them, its end.
         ends = np.searchsorted(starts, offsets[1:])
         which = np.insert(found, ends, 0)

@@ -293,6 +293,19 @@ def test_ids_are_the_tokenizers_own():
             assert ids[a:b].tolist() == [*codec.encoding.encode_ordinary(t or ""), codec.eot]
 
 
+def test_ids_next_to_white_space_of_several_bytes_are_the_tokenizers_own():
+    # A white-space character beside one of several bytes doesn't stand alone; separators such as U+001C are none.
+    texts = ["a\u3000 \u3000b", "x\u3000 y", " \u3000y", "x \u00a0y z\u0085", "q\u2003 w", "!\x1c!", "!\x1f ?", "\u4e00\u3000\u4e01 \u00e9\u00a9"]
+    rng, parts = np.random.default_rng(6), [" ", "  ", "\n", "a", "bc", "12", "!", "\u3000", "\u2003", "\u00a0", "\u0085", "\x1c", "\u00e9", "\u6f22"]
+    texts += [" \u2003", " \u0085", *("".join(rng.choice(parts, 30)) for _ in range(400))]
+    codec = tokens.Codec(*tokens.codec().made)
+    for some in (texts, texts[::-1], [t + " " + u for t, u in zip(texts, texts[5:])]):
+        ids, ends = codec.encode(pa.array(some))
+        for t, a, b in zip(some, ends, ends[1:]):
+            assert ids[a:b].tolist() == [*codec.encoding.encode_ordinary(t), codec.eot], t
+            assert codec.decode(ids[a:b]) == t
+
+
 def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     # Two stretches that differ in bytes 4096 apart, as such and with a hash that knows lengths only.
     texts = ["p" + "x" * 4095 + "q" + "yz", "q" + "x" * 4095 + "p" + "yz", "one two", "six two", "two one"]
