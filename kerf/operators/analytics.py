@@ -6,9 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from kerf.functions import sizing
+from kerf.kernels import signatures
+from kerf.kernels import tfidf as tfidf_kernel
 from kerf.operators import sentences as sentence_ops
 
 # statistics and quality:
@@ -98,6 +103,11 @@ def adjacent_similarity(texts: DataFrame, group: list[str], pos: str, text: str
     return base.join(near, [*group, pos], "left").select(*group, pos, F.coalesce("s", F.lit(0.0)).alias("similarity"))
 
 
+_coherence = arrow_udf(tfidf_kernel.coherence, DoubleType())
+_first_similarity = arrow_udf(tfidf_kernel.first_similarity, DoubleType())
+_of_source = arrow_udf(tfidf_kernel.of_source, ArrayType(StructType([StructField("reconstruction", DoubleType()), StructField("coverage", DoubleType())])))
+
+
 def coherence(chunks: DataFrame, key: str = "stable_id") -> DataFrame:
     """(key, coherence): the mean similarity of a chunk's neighbouring sentences, 1 with fewer than two."""
     parts = chunks.select(key, F.posexplode(sentence_ops.split("text")).alias("pos", "text"))
@@ -105,14 +115,27 @@ def coherence(chunks: DataFrame, key: str = "stable_id") -> DataFrame:
     return chunks.select(key).join(mean, key, "left").select(key, F.coalesce("coherence", F.lit(1.0)).alias("coherence"))
 
 
+def _boundary(before: Column, own: Column) -> Column:
+    """1 less the similarity of a text's first two sentences and ``before``, null where that is; both are weighed as two texts."""
+    head = F.concat_ws("", F.slice(own, 1, 2))
+    return F.when(before.isNotNull(), 1 - _first_similarity(F.array(F.coalesce(before, F.lit("")), head)))
+
+
+def _last_two(pieces: Column) -> Column:
+    return F.when(pieces.isNotNull(), F.concat_ws("", F.slice(pieces, F.greatest(F.size(pieces) - 1, F.lit(1)), 2)))
+
+
 def boundary_quality(chunks: DataFrame, doc: str = "doc_id", key: str = "stable_id") -> DataFrame:
-    """(key, boundary_quality): 1 less the similarity of the two sentences on either side of a chunk's start; null for the first."""
-    parts = chunks.withColumn("s", sentence_ops.split("text"))
-    before = F.lag("s").over(Window.partitionBy(doc).orderBy("index"))
-    parts = parts.select(key, F.concat_ws("", F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2)).alias("a"), F.concat_ws("", F.slice("s", 1, 2)).alias("b"), before.isNull().alias("first"))
-    two = parts.where(~F.col("first")).select(key, F.posexplode(F.array("a", "b")).alias("pos", "text"))
-    near = adjacent_similarity(two, [key], "pos").select(key, "similarity")
-    return parts.join(near, key, "left").select(key, F.when(~F.col("first"), 1 - F.coalesce("similarity", F.lit(0.0))).alias("boundary_quality"))
+    """(key, boundary_quality): 1 less the similarity of the two sentences on either side of a chunk's start; null for the first.
+
+    Chunks that have the text ``before`` them stay where they are; of others the last two sentences are shuffled, never a term.
+    """
+    pieces = sentence_ops.split("text")
+    if "before" in chunks.columns:
+        return chunks.select(key, _boundary(_last_two(sentence_ops.split("before")), pieces).alias("boundary_quality"))
+    ends = chunks.select(key, doc, "index", pieces.alias("s")).select(key, doc, "index", F.slice("s", 1, 2).alias("head"), _last_two(F.col("s")).alias("tail"))
+    ends = ends.withColumn("before", F.lag("tail").over(Window.partitionBy(doc).orderBy("index")))
+    return ends.select(key, _boundary(F.col("before"), F.col("head")).alias("boundary_quality"))
 
 
 def evaluate(chunks: DataFrame, sources: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:

@@ -98,8 +98,8 @@ def pack(pieces: Column, max_size: int, unit: str = "chars", min_size: int = 0)
     return F.transform(windows, lambda w: w["t"])
 
 
-def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Chunk rows of an array of texts that joined are the document: ranges, counts and stable ids, with no shuffle."""
+def placed_windows(windows: Column) -> Column:
+    """Array of (t, bs, be, ls, le): texts that joined are the document, with their ranges of bytes and lines."""
     kind = "struct<t:string,bs:int,be:int,ls:int,le:int>"
     start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("l"), F.array().cast(f"array<{kind}>").alias("out"))
 
@@ -110,9 +110,16 @@ def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: C
         item = F.struct(t.alias("t"), acc["b"].alias("bs"), b.alias("be"), acc["l"].alias("ls"), F.greatest(last, acc["l"]).alias("le"))
         return F.struct(b.alias("b"), after.alias("l"), F.array_append(acc["out"], item).alias("out"))
 
-    placed = F.aggregate(windows, start, step, lambda acc: acc["out"])
+    return F.aggregate(windows, start, step, lambda acc: acc["out"])
+
+
+def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: Column | None = None, keep: tuple[str, ...] = (), before: bool = False) -> DataFrame:
+    """Chunk rows of an array of texts that joined are the document: ranges, counts and stable ids, with no shuffle.
+
+    With ``before`` each has the text of the chunk before, null for the first.
+    """
     path = F.col(id_col).cast("string") if path is None else path
-    rows = docs.select(id_col, *keep, path.alias("filepath"), placed.alias("__w"))
+    rows = docs.select(id_col, *keep, path.alias("filepath"), placed_windows(windows).alias("__w"))
     rows = rows_of(rows, F.col("__w"), "index", "x").withColumn("total_chunks", F.size("__w"))
     text = F.col("x.t")
     return rows.select(
@@ -120,4 +127,5 @@ def chunk_rows(docs: DataFrame, windows: Column, id_col: str = "doc_id", path: C
         *(F.col(f"x.{short}").alias(name) for short, name in (("ls", "line_start"), ("le", "line_end"), ("bs", "byte_start"), ("be", "byte_end"))),
         sizing.nws_bytes(text).alias("nws_count"), sizing.n_chars(text).alias("char_count"), sizing.n_words(text).alias("token_count"),
         sizing.stable_id("filepath", "index", "x.bs", "x.be").alias("stable_id"),
+        *([F.get("__w", F.col("index") - 1)["t"].alias("before")] if before else []),
     )

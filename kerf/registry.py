@@ -22,11 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
-def packed(docs: DataFrame, size: int = PACK) -> DataFrame:
+def packed(docs: DataFrame, size: int = PACK, before: bool = False) -> DataFrame:
     """Chunk rows of sentences packed to a number of characters; empty texts have none."""
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     docs = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    return sentences.chunk_rows(docs, sentences.pack(sentences.split("text"), size), path=path, keep=("lang",))
+    return sentences.chunk_rows(docs, sentences.pack(sentences.split("text"), size), path=path, keep=("lang",), before=before)
 
 
 def _chunks(spark: SparkSession, sf_dir: str, size: int = PACK) -> DataFrame:
@@ -131,7 +131,7 @@ def chunk_coherence(spark, d):
 
 
 def chunk_boundary_quality(spark, d):
-    return analytics.boundary_quality(_chunks(spark, d)).select("stable_id", (F.round("boundary_quality", 6) + F.lit(0.0)).alias("boundary_quality"))
+    return analytics.boundary_quality(packed(_table(spark, d, "documents"), before=True)).select("stable_id", (F.round("boundary_quality", 6) + F.lit(0.0)).alias("boundary_quality"))
 
 
 def sentence_tfidf(spark, d):
