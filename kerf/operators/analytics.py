@@ -110,9 +110,7 @@ _of_source = arrow_udf(tfidf_kernel.of_source, ArrayType(StructType([StructField
 
 def coherence(chunks: DataFrame, key: str = "stable_id") -> DataFrame:
     """(key, coherence): the mean similarity of a chunk's neighbouring sentences, 1 with fewer than two."""
-    parts = chunks.select(key, F.posexplode(sentence_ops.split("text")).alias("pos", "text"))
-    mean = adjacent_similarity(parts, [key], "pos").groupBy(key).agg(F.avg("similarity").alias("coherence"))
-    return chunks.select(key).join(mean, key, "left").select(key, F.coalesce("coherence", F.lit(1.0)).alias("coherence"))
+    return chunks.select(key, _coherence(sentence_ops.split("text")).alias("coherence"))
 
 
 def _boundary(before: Column, own: Column) -> Column:

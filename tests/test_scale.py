@@ -37,3 +37,21 @@ def test_boundary_quality_shuffles_no_terms(spark):
     near = {r.sid: 1 - r.similarity for r in analytics.adjacent_similarity(spark.createDataFrame(two, "sid string, pos int, text string"), ["sid"], "pos").collect()}
     assert len(near) > 5 and {k for k, v in got.items() if v is None} == {r[2] for r in rows} - set(near)
     assert all(got[k] == pytest.approx(v) for k, v in near.items())
+
+
+def test_coherence_shuffles_no_terms(spark):
+    assert shuffles(registry.QUERIES["chunk_coherence"](spark, SF)) == 0
+    rows = docs_of(spark, [(1, SAID), (2, "One."), (3, ""), (4, "One. Two.")]).withColumn("stable_id", F.col("doc_id"))
+    near = analytics.adjacent_similarity(sentences.sentences(rows).withColumnRenamed("sentence", "text"), ["doc_id"], "pos").groupBy("doc_id").agg(F.avg("similarity").alias("m"))
+    want = {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0} | {r.doc_id: r.m for r in near.collect()}
+    got = {r.stable_id: r.coherence for r in analytics.coherence(rows).collect()}
+    assert got == pytest.approx(want) and 0 < got[1] < 1 and got[4] == 0
+
+
+def test_vocabulary_is_the_most_frequent_terms_of_each_group():
+    lists = pa.array([["b a", "a c b", "zz a"], [], ["d", None]])
+    items, offsets = signatures.flat(lists)
+    groups = np.repeat(np.arange(3), np.diff(offsets))
+    item, term, w, names = tfidf.weights(items, groups, 2)
+    assert [(i, names[t].as_py()) for i, t in zip(item, term)] and {(int(i), names[int(t)].as_py()) for i, t in zip(item, term)} == {(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a"), (3, "d")}
+    assert np.bincount(item, w * w) == pytest.approx(np.ones(4))
