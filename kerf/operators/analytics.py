@@ -137,11 +137,26 @@ def boundary_quality(chunks: DataFrame, doc: str = "doc_id", key: str = "stable_
 
 
 def evaluate(chunks: DataFrame, sources: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
-    """Adds reconstruction, density, coherence, boundary_quality and coverage to chunks; ``sources`` has (doc, content)."""
-    rows = chunks.join(sources.select(doc, "content"), doc, "left") if sources is not None else chunks.withColumn("content", F.lit(None).cast("string"))
-    rows = rows.withColumn("reconstruction", reconstruction(F.col("content"), F.col("text"), F.col("byte_start"), F.col("byte_end")))
-    rows = rows.withColumn("density", density(F.col("text"))).withColumn("coverage", F.when(F.col("content").isNotNull(), coverage(F.col("text"), F.col("content")))).drop("content")
-    return rows.join(coherence(chunks), "stable_id").join(boundary_quality(chunks, doc), "stable_id")
+    """Adds reconstruction, density, coverage, coherence and boundary_quality to chunks; ``sources`` has (doc, content)."""
+    item = F.struct("index", *(c for c in chunks.columns if c not in (doc, "index")))
+    # Chunks may hold maps, which have no order: they are sorted by their index alone.
+    lists = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(item), lambda x, y: F.coalesce(x["index"] - y["index"], F.lit(0))).alias("chunks"))
+    lists = lists.join(sources.select(doc, "content"), doc, "left") if sources is not None else lists.withColumn("content", F.lit(None).cast("string"))
+    return evaluate_lists(lists, doc).select(*chunks.columns, "reconstruction", "density", "coverage", "coherence", "boundary_quality")
+
+
+def evaluate_lists(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, fields of chunks, scores) of (doc, content, chunks), the chunks of a document an array in their order: nothing is shuffled."""
+
+    def field(name: str) -> Column:
+        return F.transform("chunks", lambda c: c[name])
+
+    rows = docs.select(doc, "chunks", _of_source("content", field("text"), field("byte_start"), field("byte_end")).alias("__s"))
+    rows = sentence_ops.rows_of(rows, F.col("chunks"), "__i", "__c")
+    rows = rows.select(doc, "__c.*", F.get("__s", F.col("__i")).alias("__s"), F.get("chunks", F.col("__i") - 1)["text"].alias("__before"))
+    rows = rows.withColumn("__p", sentence_ops.split("text")).withColumn("__b", _last_two(sentence_ops.split("__before")))
+    rows = rows.withColumns({"reconstruction": F.col("__s.reconstruction"), "density": density(F.col("text")), "coverage": F.col("__s.coverage"), "coherence": _coherence("__p"), "boundary_quality": _boundary(F.col("__b"), F.col("__p"))})
+    return rows.drop("__s", "__before", "__p", "__b")
 
 
 def evaluation_report(scores: DataFrame) -> DataFrame:

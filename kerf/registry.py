@@ -244,7 +244,10 @@ def topic_shifts(spark, d):
 
 def evaluation(spark, d):
     """All scores of each chunk, with its document as source."""
-    rows = analytics.evaluate(_chunks(spark, d).drop("lang"), _table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
+    docs = _table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    chunks = F.transform(sentences.placed_windows(sentences.pack(sentences.split("content"), PACK)), lambda w, i: F.struct(i.alias("index"), w["bs"].alias("byte_start"), w["be"].alias("byte_end"), w["t"].alias("text")))
+    rows = analytics.evaluate_lists(docs.select("doc_id", "content", chunks.alias("chunks")))
+    rows = rows.withColumn("stable_id", sizing.stable_id(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), "index", "byte_start", "byte_end"))
     names = ("reconstruction", "density", "coverage", "coherence", "boundary_quality")
     return rows.select("stable_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in names))
 

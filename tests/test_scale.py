@@ -55,3 +55,16 @@ def test_vocabulary_is_the_most_frequent_terms_of_each_group():
     item, term, w, names = tfidf.weights(items, groups, 2)
     assert [(i, names[t].as_py()) for i, t in zip(item, term)] and {(int(i), names[int(t)].as_py()) for i, t in zip(item, term)} == {(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a"), (3, "d")}
     assert np.bincount(item, w * w) == pytest.approx(np.ones(4))
+
+
+def test_evaluation_joins_no_sources_to_chunks(spark):
+    assert shuffles(registry.QUERIES["evaluation"](spark, SF)) == 0
+    docs = docs_of(spark, [(1, SAID), (2, "Ärger. Öl."), (3, "x y")])
+    chunks = sentences.chunk_rows(docs, sentences.pack(sentences.split("text"), 60), keep=()).withColumn("more", F.create_map(F.lit("k"), F.col("index")))
+    sources = docs_of(spark, [(1, SAID), (2, "Ärger. XL.")]).withColumnRenamed("text", "content")
+    got = {(r.doc_id, r["index"]): r for r in analytics.evaluate(chunks, sources).collect()}
+    assert len(got) == chunks.count() and all(r.reconstruction == r.coverage == 1 for (d, _), r in got.items() if d == 1)
+    assert got[2, 0].reconstruction == 0 and got[2, 0].coverage == 0.5 and got[3, 0].coverage is None and got[3, 0].reconstruction is None
+    for scores, name in ((analytics.coherence(chunks), "coherence"), (analytics.boundary_quality(chunks), "boundary_quality")):
+        assert {r.stable_id: r[name] for r in scores.collect()} == {r.stable_id: r[name] for r in got.values()}
+    assert got[1, 1].more == {"k": 1}
