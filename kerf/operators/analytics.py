@@ -94,6 +94,26 @@ def tfidf(texts: DataFrame, group: list[str], item: str, text: str = "text", max
     return rows.select(*group, item, "term", (F.col("raw") / norm).alias("w"))
 
 
+def _pass(docs: DataFrame, key: str, pieces: Column, columns: str, found, positions: Column | None = None) -> DataFrame:
+    """Rows of (key, columns) that ``found`` makes of a run of lists: (list, *columns), without a shuffle; places become ``positions``."""
+    rows = docs.select(key, pieces.alias("l"), *([positions.alias("p")] if positions is not None else []))
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {columns}"
+    arrow, placed = to_arrow_schema(_parse_datatype_string(schema)), positions is not None
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            for a, b in tfidf_kernel.slices(lists):
+                which, place, *rest = found(lists.slice(a, b - a))
+                at = pa.array(place, pa.int32())
+                if placed:
+                    given, offsets = signatures.flat(batch.column(2).slice(a, b - a))
+                    at = given.take(pa.array(offsets[which] + place))
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([batch.column(0).take(pa.array(a + which)), at, *map(pa.array, rest)], arrow.types)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def adjacent_similarity(texts: DataFrame, group: list[str], pos: str, text: str = "text") -> DataFrame:
     """(group, pos, similarity) of each item with the next one of its group, by TF-IDF cosines."""
     w = tfidf(texts, group, pos, text)
@@ -473,16 +493,13 @@ def window_similarity(sentences: DataFrame, doc: str = "doc_id", window: int = 5
 
     With two texts a term's weight is known from its counts alone: its inverse frequency is 1 in both and ln(3/2) + 1 in one.
     """
-    order = Window.partitionBy(doc).orderBy("pos")
-    before, after = order.rowsBetween(1 - window, 0), order.rowsBetween(1, window)
-    rows = sentences.select(doc, "pos", F.count("*").over(before).alias("n"), F.count("*").over(after).alias("m"), F.array_join(F.collect_list(text).over(before), "").alias("a"), F.array_join(F.collect_list(text).over(after), "").alias("b"))
-    rows = rows.where((F.col("n") == window) & (F.col("m") == window)).select(doc, "pos", sizing.terms("a").alias("a"), sizing.terms("b").alias("b"))
-    terms = rows.select(doc, "pos", F.explode_outer(F.concat(F.transform("a", lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"))), F.transform("b", lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"))))).alias("i"))
-    counted = terms.groupBy(doc, "pos", F.col("i.t").alias("t")).agg(F.coalesce(F.sum("i.x"), F.lit(0)).alias("a"), F.coalesce(F.sum(1 - F.col("i.x")), F.lit(0)).alias("b"))
-    idf = F.when((F.col("a") > 0) & (F.col("b") > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1)
-    u, v = (F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(F.lit(0.0)) for c in ("a", "b"))
-    sums = counted.groupBy(doc, "pos").agg(F.sum(u * v).alias("uv"), F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"))
-    return sums.select(doc, "pos", F.when((F.col("uu") > 0) & (F.col("vv") > 0), F.col("uv") / F.sqrt(F.col("uu") * F.col("vv"))).otherwise(F.lit(0.0)).alias("similarity"))
+    lists = sentences.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("pos", F.col(text).alias("s")))).alias("l"))
+    return window_similarity_lists(lists, F.transform("l", lambda x: x["s"]), doc, window, F.transform("l", lambda x: x["pos"].cast("int")))
+
+
+def window_similarity_lists(docs: DataFrame, pieces: Column, doc: str = "doc_id", window: int = 5, positions: Column | None = None) -> DataFrame:
+    """``window_similarity`` of documents whose sentences are one list."""
+    return _pass(docs, doc, pieces, "pos int, similarity double", lambda lists: tfidf_kernel.windows(lists, window), positions)
 
 
 def topic_shifts(similarity: DataFrame, doc: str = "doc_id", threshold: float = 0.5, gap: int = 3) -> DataFrame:

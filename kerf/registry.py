@@ -238,7 +238,7 @@ def topic_similarity(spark, d):
 
 
 def topic_shifts(spark, d):
-    rows = analytics.window_similarity(sentences.sentences(_table(spark, d, "documents")))
+    rows = analytics.window_similarity_lists(_table(spark, d, "documents"), sentences.split("text"))
     return analytics.topic_shifts(rows.withColumn("similarity", F.round("similarity", 6)), threshold=0.2)
 
 

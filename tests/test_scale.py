@@ -68,3 +68,12 @@ def test_evaluation_joins_no_sources_to_chunks(spark):
     for scores, name in ((analytics.coherence(chunks), "coherence"), (analytics.boundary_quality(chunks), "boundary_quality")):
         assert {r.stable_id: r[name] for r in scores.collect()} == {r.stable_id: r[name] for r in got.values()}
     assert got[1, 1].more == {"k": 1}
+
+
+def test_topic_windows_shuffle_no_terms(spark):
+    assert shuffles(registry.QUERIES["topic_similarity"](spark, SF)) == 0
+    docs = docs_of(spark, [(1, SAID), (2, "One. Two."), (3, SAID * 3), (4, None)])
+    got = {(r.doc_id, r.pos): r.similarity for r in analytics.window_similarity_lists(docs, sentences.split("text")).collect()}
+    n = {r.doc_id: r.n for r in sentences.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {(d, p) for d in (1, 3) for p in range(4, n[d] - 5)}
+    assert got == {(r.doc_id, r.pos): r.similarity for r in analytics.window_similarity(sentences.sentences(docs)).collect()}
