@@ -77,3 +77,8 @@ def test_topic_windows_shuffle_no_terms(spark):
     n = {r.doc_id: r.n for r in sentences.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert set(got) == {(d, p) for d in (1, 3) for p in range(4, n[d] - 5)}
     assert got == {(r.doc_id, r.pos): r.similarity for r in analytics.window_similarity(sentences.sentences(docs)).collect()}
+
+
+def test_topic_shifts_shuffle_positions_only(spark):
+    plan = registry.QUERIES["topic_shifts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Window" not in plan and "explode" not in plan.split("MapInArrow")[1]
