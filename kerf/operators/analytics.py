@@ -114,6 +114,18 @@ def _pass(docs: DataFrame, key: str, pieces: Column, columns: str, found, positi
     return rows.mapInArrow(run, schema)
 
 
+def tfidf_lists(docs: DataFrame, pieces: Column, key: str = "doc_id", max_vocab: int = 4096) -> DataFrame:
+    """(key, pos, term, w): ``tfidf`` of groups that are lists of texts, one a row."""
+
+    def found(lists):
+        items, offsets = signatures.flat(lists)
+        groups = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        item, term, w, different = tfidf_kernel.weights(items, groups, max_vocab)
+        return groups[item], item - offsets[:-1][groups[item]], different.take(pa.array(term)), w
+
+    return _pass(docs, key, pieces, "pos int, term string, w double", found)
+
+
 def adjacent_similarity(texts: DataFrame, group: list[str], pos: str, text: str = "text") -> DataFrame:
     """(group, pos, similarity) of each item with the next one of its group, by TF-IDF cosines."""
     w = tfidf(texts, group, pos, text)

@@ -135,7 +135,7 @@ def chunk_boundary_quality(spark, d):
 
 
 def sentence_tfidf(spark, d):
-    rows = analytics.tfidf(sentences.sentences(_table(spark, d, "documents")), ["doc_id"], "pos", "sentence")
+    rows = analytics.tfidf_lists(_table(spark, d, "documents"), sentences.split("text"))
     return rows.select("doc_id", "pos", "term", F.round("w", 6).alias("w"))
 
 

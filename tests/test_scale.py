@@ -82,3 +82,12 @@ def test_topic_windows_shuffle_no_terms(spark):
 def test_topic_shifts_shuffle_positions_only(spark):
     plan = registry.QUERIES["topic_shifts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Window" not in plan and "explode" not in plan.split("MapInArrow")[1]
+
+
+def test_sentence_tfidf_shuffles_nothing(spark):
+    assert shuffles(registry.QUERIES["sentence_tfidf"](spark, SF)) == 0
+    docs = docs_of(spark, [(1, SAID), (2, "b a. A c b. Zz a."), (3, ""), (4, None), (5, "1. (2.")])
+    for vocab in (4096, 2):
+        want = {(r.doc_id, r.pos, r.term): r.w for r in analytics.tfidf(sentences.sentences(docs), ["doc_id"], "pos", "sentence", vocab).collect()}
+        got = {(r.doc_id, r.pos, r.term): r.w for r in analytics.tfidf_lists(docs, sentences.split("text"), max_vocab=vocab).collect()}
+        assert got == pytest.approx(want) and len(got) > 5
