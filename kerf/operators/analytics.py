@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from kerf.functions import sizing
 from kerf.kernels import signatures
 from kerf.kernels import tfidf as tfidf_kernel
 from kerf.operators import sentences as sentence_ops
+from kerf.plans.session import checkpoint
 
 # statistics and quality:
 
@@ -486,18 +488,42 @@ def semantic_boundaries(sentences: DataFrame, embed, doc: str = "doc_id", window
 
 
 def embedding_similarity(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, similarity) of each vector with the next, in order of keys.
+    """(key, similarity) of each vector with the next, in order of keys; a vector whose next one is null has no row.
 
-    The order runs through the whole table, so neighbours are joined by rank; ranks come from a range-partitioned
-    sort and offsets of its partitions, not from one window over everything.
+    The order runs through the whole table, so neighbours meet within partitions of a range sort; the first and the last row of each
+    partition are kept beside the similarities and meet afterwards.  The sort is run once, as a second run may part the keys otherwise.
     """
-    ordered = embeddings.select(key, vector).repartitionByRange(key).sortWithinPartitions(key).withColumn("p", F.spark_partition_id())
-    inner = ordered.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(key)))
-    counts = ordered.groupBy("p").agg(F.count("*").alias("n"))
-    starts = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ranked = inner.join(F.broadcast(starts), "p").select(key, vector, (F.col("start") + F.col("i")).alias("r"))
-    after = ranked.select((F.col("r") - 1).alias("r"), F.col(vector).alias("v"))
-    return ranked.join(after, "r").select(key, sizing.cosine(vector, "v").alias("similarity"))
+    rows = embeddings.select(key, vector).repartitionByRange(key).sortWithinPartitions(key, vector)
+    fields = [rows.schema[key], StructField("a", rows.schema[vector].dataType), StructField("b", rows.schema[vector].dataType), StructField("p", IntegerType()), StructField("edge", IntegerType())]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        p, held = TaskContext.get().partitionId(), None
+
+        def edge(row: pa.RecordBatch, which: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([row.column(0).cast(arrow.types[0]), row.column(1).cast(arrow.types[1]), pa.nulls(1, arrow.types[2]), pa.array([p], pa.int32()), pa.array([which], pa.int32())], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                yield edge(batch.slice(0, 1), 0)
+            else:
+                batch = pa.concat_batches([held, batch])
+            n = batch.num_rows - 1
+            own, after = batch.slice(0, n), batch.slice(1, n)
+            if n:
+                yield pa.RecordBatch.from_arrays([own.column(0).cast(arrow.types[0]), own.column(1).cast(arrow.types[1]), after.column(1).cast(arrow.types[2]), pa.array([p] * n, pa.int32()), pa.nulls(n, pa.int32())], schema=arrow)
+            held = batch.slice(n, 1)
+        if held is not None:
+            yield edge(held, 1)
+
+    found = rows.mapInArrow(run, schema)
+    inside = F.col("edge").isNull()
+    found = checkpoint(found.where(~inside | F.col("b").isNotNull()).select(key, "p", "edge", F.when(inside, sizing.cosine("a", "b")).alias("similarity"), F.when(~inside, F.col("a")).alias("a")))
+    edges = found.where(~inside).withColumn("b", F.lead("a").over(Window.orderBy("p", "edge"))).where("edge = 1 and b is not null")
+    return found.where(inside).select(key, "similarity").union(edges.select(key, sizing.cosine("a", "b").alias("similarity")))
 
 
 def window_similarity(sentences: DataFrame, doc: str = "doc_id", window: int = 5, text: str = "sentence") -> DataFrame:

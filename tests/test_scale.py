@@ -111,3 +111,30 @@ def test_simhash_hashes_each_word_once(spark, monkeypatch):
         assert signatures.simhash(words.slice(3, 5)).to_pylist() == [plain(t) for t in texts[3:8]]
     rows = docs_of(spark, list(enumerate(texts)))
     assert [r.simhash for r in dedup.simhash(rows).orderBy("doc_id").collect()] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 64])
+def test_embedding_similarity_has_every_neighbour(spark, partitions):
+    rng = np.random.default_rng(5)
+    vectors = {int(k): rng.normal(size=64).astype(np.float32) for k in rng.permutation(3000)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id bigint, embedding array<float>").repartition(8)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        # Small partitions are joined, by their sizes, when the plan runs.
+        for c, v in zip(before, (partitions, "60k", "false", "10k")):
+            spark.conf.set(c, v)
+        got = analytics.embedding_similarity(rows).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(r.vec_id for r in got) == list(range(2999))
+    for r in got:
+        a, b = vectors[r.vec_id].astype(float), vectors[r.vec_id + 1].astype(float)
+        assert r.similarity == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+
+def test_embedding_similarity_of_few_and_null_vectors(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "vec_id bigint, embedding array<float>")
+    assert analytics.embedding_similarity(rows()).count() == analytics.embedding_similarity(rows((1, [1.0]))).count() == 0
+    got = analytics.embedding_similarity(rows((1, [1.0, 0.0]), (2, None), (3, [2.0, 0.0]), (4, [0.0, 0.0]))).collect()
+    assert sorted((r.vec_id, r.similarity) for r in got if r.similarity is not None) == [(3, 0.0)] and {r.vec_id for r in got} == {2, 3}
