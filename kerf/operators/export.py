@@ -55,8 +55,17 @@ def flat(chunks: DataFrame) -> DataFrame:
     return rows.select("stable_id", *META, F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.size("entities").alias("entity_count"))
 
 
+#: Every text comes back as it was: white space at its ends, carriage returns and the character that Spark would take for an escape of quotes' escapes.
+_CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    flat(chunks).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    flat(chunks).write.mode(mode).options(**_CSV).csv(path)
+
+
+def read_csv(spark, path: str) -> DataFrame:
+    """The rows of ``write_csv``, all columns texts."""
+    return spark.read.options(**_CSV, multiLine=True).csv(path)
 
 
 def write_jsonl(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -183,7 +183,7 @@ def csv_round_trip(spark, d):
     """Chunks written as CSV and read again."""
     at = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     export.write_csv(_engine_rows(spark, d), at)
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(at)
+    rows = export.read_csv(spark, at)
     return rows.select("filepath", F.col("byte_end").cast("int").alias("byte_end"), F.col("entity_count").cast("int").alias("entity_count"), "section_type", F.md5(F.col("text").cast("binary")).alias("text"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kerf import registry
 from kerf.kernels import signatures, tfidf
-from kerf.operators import analytics, dedup, sentences
+from kerf.operators import analytics, chunking, dedup, export, sentences
 
 SF = "/root/testdata/sf0.001"
 SAID = "Cats purr here. Cats sleep. " * 9 + "Stocks fell. Markets crashed. Cats sold stocks. " * 4 + "1. (2. (3."
@@ -138,3 +138,16 @@ def test_embedding_similarity_of_few_and_null_vectors(spark):
     assert analytics.embedding_similarity(rows()).count() == analytics.embedding_similarity(rows((1, [1.0]))).count() == 0
     got = analytics.embedding_similarity(rows((1, [1.0, 0.0]), (2, None), (3, [2.0, 0.0]), (4, [0.0, 0.0]))).collect()
     assert sorted((r.vec_id, r.similarity) for r in got if r.similarity is not None) == [(3, 0.0)] and {r.vec_id for r in got} == {2, 3}
+
+
+def test_csv_keeps_every_character(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" a ", "\ta\n", "\r\na", "a\r\nb", "a\rb", '"', '""', 'x\0"y', "\x1fa\x1f", "\0", "a\\", "null", ",", '"' * 2_500_001, 'a\r\n"' * 700_000]
+    texts += ["".join(rng.choice(list('"\\,\n\r \t\0é') + ["ab", '"\n'], rng.choice([3, 30]))) + "." for _ in range(500)]
+    docs = spark.createDataFrame([(k, f"{k}.txt", t) for k, t in enumerate(texts)], "doc_id bigint, path string, content string").repartition(3)
+    rows = chunking.chunk(docs, max_chunk_size=10_000_000, size_unit="chars", context_mode="none")
+    export.write_csv(rows, f"{tmp_path}/csv")
+    got = {r.filepath: r for r in export.read_csv(spark, f"{tmp_path}/csv").collect()}
+    want = {r.filepath: r for r in rows.collect()}
+    assert len(want) == len(texts) and got.keys() == want.keys()
+    assert all(got[p].text == r.text and int(got[p].byte_end) == r.byte_end for p, r in want.items())
