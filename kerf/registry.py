@@ -84,7 +84,7 @@ def simhash_signature(spark, d):
 def simhash_pairs(spark, d):
     """Each document's class of equal signatures, and how many other classes it is linked with."""
     signed = checkpoint(dedup.simhash(_table(spark, d, "documents")))
-    return dedup.classes(signed, "simhash", dedup.simhash_edges(signed))
+    return dedup.linked_classes(signed, "simhash", dedup.simhash_links(signed))
 
 
 def simhash_dedup(spark, d):

@@ -179,3 +179,20 @@ def test_kept_signatures_without_a_list_of_links(spark, monkeypatch):
         assert {r["class"]: r.kept for r in dedup.simhash_kept(signed).collect()} == want
     assert registry.QUERIES["simhash_dedup"](spark, SF).count() == 200
     assert dedup.dedup(docs_of(spark, []), "simhash").count() == 0
+
+
+def test_links_of_signatures_are_counted_in_tiles(spark, monkeypatch):
+    signed = signed_of(spark)
+    want = {r.doc_id: (r["class"], r.n_links) for r in dedup.classes(signed, "simhash", dedup.simhash_edges(signed)).collect()}
+    assert sum(n for _, n in want.values()) > 5000
+    monkeypatch.setattr(dedup, "simhash_edges", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        # Tiles that go on in further batches, and parts of a band.
+        for most, batch in ((8192, 10_000), (7, 13), (1, 5)):
+            monkeypatch.setattr(dedup, "TILE", most)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {r.doc_id: (r["class"], r.n_links) for r in dedup.linked_classes(signed, "simhash", dedup.simhash_links(signed)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert registry.QUERIES["simhash_pairs"](spark, SF).count() == 200
