@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import bisect
 import re
+from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 Span = tuple[int, int]
 Size = Callable[[str], int]
 _NWS = re.compile(r"[\t\n\x0b\f\r ]")
@@ -30,12 +33,11 @@ class Index:
     """Lines and bytes of positions in a text."""
 
     def __init__(self, text: str):
-        self.newlines = [i for i, c in enumerate(text) if c == "\n"]
         self.ascii = text.isascii()
+        codes = np.frombuffer(text.encode(), np.uint8) if self.ascii else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.newlines = array("q", np.flatnonzero(codes == 10).tobytes())
         if not self.ascii:
-            self.bytes = [0]
-            for c in text:
-                self.bytes.append(self.bytes[-1] + len(c.encode("utf-8")))
+            self.bytes = array("q", np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)]).tobytes())
 
     def line(self, position: int) -> int:
         return bisect.bisect_left(self.newlines, position)

@@ -1,7 +1,9 @@
 """Steps that must not grow faster than their tables: nothing is shuffled or kept that needn't be, with the results of plain versions."""
 
+import gc
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerf import registry
-from kerf.kernels import near, signatures, tfidf
+from kerf.kernels import code, engine, markup, near, signatures, tfidf
 from kerf.operators import analytics, chunking, dedup, export, sentences
+from kerf.plans.options import Options
 
 SF = "/root/testdata/sf0.001"
 SAID = "Cats purr here. Cats sleep. " * 9 + "Stocks fell. Markets crashed. Cats sold stocks. " * 4 + "1. (2. (3."
@@ -196,3 +199,27 @@ def test_links_of_signatures_are_counted_in_tiles(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert registry.QUERIES["simhash_pairs"](spark, SF).count() == 200
+
+
+def test_entities_of_spans_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def plain(es, a, b, most):
+        meets = [k for k, e in enumerate(es) if e.end > a and e.start < b]
+        anchor = meets[0] if meets else min(range(len(es)), key=lambda k: abs(es[k].start - a), default=None)
+        group = [] if anchor is None else [k for k, e in enumerate(es) if e.parent == es[anchor].parent]
+        before, after = [k for k in group if es[k].end <= a][-most:], [k for k in group if es[k].start >= b][:most]
+        holds = sorted((e for e in es if e.start <= a and b <= e.end), key=lambda e: e.end - e.start)
+        return meets, holds, [es[k].name for k in before + after]
+
+    looked = 0
+    for n in [0, 1, 2, *range(3, 60)]:
+        starts = rng.integers(0, 60, n)
+        es = [code.Entity(str(k), "f", "", int(s), int(s + rng.integers(1, 30 if k % 7 else 80)), parent=rng.choice([None, "x", "y"])) for k, s in enumerate(starts)]
+        found = code.Found(es)
+        for a, b, most in zip(rng.integers(-5, 90, 30).tolist(), rng.integers(1, 20, 30).tolist(), rng.integers(1, 4, 30).tolist()):
+            meets, holds, near = plain(es, a, a + b, most)
+            assert found.meeting(a, a + b) == meets and code.scope(found, a, a + b) == holds
+            assert [s["name"] for s in code.siblings(found, a, a + b, most)] == near
+            looked += len(meets)
+    assert looked > 1000
