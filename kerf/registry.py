@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
+def _together(parts: DataFrame, by: str = "p_brand") -> DataFrame:
+    """Parts, those of a brand together: a brand is one document, so as many tasks as there are cores get some, however small the rows are."""
+    return parts.repartition(4 * parts.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def packed(docs: DataFrame, size: int = PACK, before: bool = False) -> DataFrame:
     """Chunk rows of sentences packed to a number of characters; empty texts have none."""
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
@@ -311,7 +316,7 @@ def chunk_pages(spark, d):
 
 def chunk_code(spark, d):
     """Python modules made of parts: one function for each part of a brand."""
-    p = _table(spark, d, "part")
+    p = _together(_table(spark, d, "part"))
     body = F.concat(F.lit("def part_"), "p_partkey", F.lit("(count):\n    size = "), "p_size", F.lit("\n    return size * count\n\n\n"))
     x = p.select("p_brand", F.struct("p_partkey", body.alias("b")).alias("x")).groupBy("p_brand").agg(F.array_sort(F.collect_list("x")).alias("l"))
     code = x.select(F.xxhash64("p_brand").alias("doc_id"), F.concat("p_brand", F.lit(".py")).alias("path"), F.array_join(F.transform("l", lambda i: i["b"]), "").alias("content"))
@@ -324,7 +329,7 @@ _HEADER = "import os\nfrom a.b import c as d\n\n\n"
 
 def code_windows(spark, d):
     """Chunks of Python modules, one for each brand with a function for each part, with their whole context."""
-    p = _table(spark, d, "part")
+    p = _together(_table(spark, d, "part"))
     body = F.concat(F.lit("def part_"), "p_partkey", F.lit("(count):\n    size = "), "p_size", F.lit("\n    return size * count\n\n\n"))
     x = p.select("p_brand", F.struct("p_partkey", body.alias("b")).alias("x")).groupBy("p_brand").agg(F.array_sort(F.collect_list("x")).alias("l"))
     code = x.select(F.xxhash64("p_brand").alias("doc_id"), F.concat(F.lit("parts/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.lit(_HEADER), F.array_join(F.transform("l", lambda i: i["b"]), "")).alias("content"))
@@ -354,7 +359,7 @@ def _by_brand(spark, d, piece, joint: str = "") -> DataFrame:
         number.cast("bigint").alias("doc"), F.concat(F.lit("brand "), number).alias("title"), F.col("p_partkey").alias("key"), F.concat(F.lit("part_"), "p_partkey").alias("name"),
         F.concat("p_name", F.lit(", of type "), F.lower("p_type"), F.lit(" and of size "), "p_size", F.lit(".")).alias("note"),
     )
-    x = p.groupBy("doc", "title").agg(F.array_sort(F.collect_list(F.struct("key", piece.alias("p")))).alias("l"))
+    x = _together(p, "doc").groupBy("doc", "title").agg(F.array_sort(F.collect_list(F.struct("key", piece.alias("p")))).alias("l"))
     return x.select("doc", "title", F.concat(F.lit("All parts of "), "title", F.lit(" in order.")).alias("intro"), F.array_join(F.transform("l", lambda i: i["p"]), joint).alias("text"))
 
 

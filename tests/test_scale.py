@@ -223,3 +223,18 @@ def test_entities_of_spans_are_looked_up(monkeypatch):
             assert [s["name"] for s in code.siblings(found, a, a + b, most)] == near
             looked += len(meets)
     assert looked > 1000
+
+
+def test_modules_are_parsed_in_pieces(monkeypatch):
+    odd = "import os\n\n@wraps\ndef deco(a):\n    '''é\ndef no(): pass\n'''\n    return a\n\n\nclass A:\n    def f(self):\n        return 1\n\nx = '''\ndef neither(): pass\n'''\n"
+    text = "".join(f"def part_{k}(count):\n    size = {k}\n    return size * count\n\n\n" for k in range(300)) + odd + "async def last(): pass\n" + "def after(): pass\n" * 9
+    whole = code.parse(text, "python")
+    parsed = []
+    real = code.ast.parse
+    monkeypatch.setattr(code.ast, "parse", lambda t, *a: parsed.append(len(t)) or real(t, *a))
+    monkeypatch.setattr(code, "PIECE", 1000)
+    assert code.parse(text[: text.index(odd)], "python")[0] == whole[0][:300] and max(parsed) < 2000 and len(parsed) > 10
+    for piece in (1, 7, 50, 1000):
+        monkeypatch.setattr(code, "PIECE", piece)
+        assert code.parse(text, "python") == whole
+        assert code.parse(text + "\n)(", "python")[3] == ["SyntaxError: unmatched ')' (<unknown>, line %d)" % (text.count("\n") + 2)]
