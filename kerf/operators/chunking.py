@@ -35,14 +35,17 @@ def chunk(docs: DataFrame, parsers: dict | None = None, **options) -> DataFrame:
             for k in range(batch.num_rows):
                 doc_id, path, content = (batch.column(i)[k].as_py() for i in range(3))
                 try:
-                    found = engine.chunk(path, content, o)
-                    rows += [{"doc_id": doc_id, "error": None, **r} for r in found]
-                    held += sum(2 * r["char_count"] for r in found)
+                    for r in engine.chunks(path, content, o):
+                        rows.append({"doc_id": doc_id, "error": None, **r})
+                        held += 2 * r["char_count"]
+                        if len(rows) >= ROWS or held >= CHARS:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows, held = [], 0
                 except Exception as e:
                     rows.append({"doc_id": doc_id, "filepath": path, "error": f"{type(e).__name__}: {e}", **_EMPTY})
-                if len(rows) >= ROWS or held >= CHARS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows, held = [], 0
+                    if len(rows) >= ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

@@ -238,3 +238,20 @@ def test_modules_are_parsed_in_pieces(monkeypatch):
         monkeypatch.setattr(code, "PIECE", piece)
         assert code.parse(text, "python") == whole
         assert code.parse(text + "\n)(", "python")[3] == ["SyntaxError: unmatched ')' (<unknown>, line %d)" % (text.count("\n") + 2)]
+
+
+def most_memory(path: str, text: str, limit: int) -> tuple[int, int]:
+    """Rows of a document and bytes that were held at most while they were read one by one."""
+    o = Options(max_chunk_size=limit, min_chunk_size=0, size_unit="chars")
+    assert sum(len(r["text"]) for r in engine.chunks(path, text[:4000], o)) > 0
+    gc.collect()
+    tracemalloc.start()
+    n = sum(1 for _ in engine.chunks(path, text, o))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return n, peak
+
+
+def test_cells_hold_spans_and_no_rows():
+    n, peak = most_memory("a.py", "".join(f"# %% [markdown]\nA note on part {k}, of a size.\n# %%\nkey = {k}\n" for k in range(3000)), 400)
+    assert n == 6000 and peak < 500 * n
