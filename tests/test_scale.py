@@ -255,3 +255,10 @@ def most_memory(path: str, text: str, limit: int) -> tuple[int, int]:
 def test_cells_hold_spans_and_no_rows():
     n, peak = most_memory("a.py", "".join(f"# %% [markdown]\nA note on part {k}, of a size.\n# %%\nkey = {k}\n" for k in range(3000)), 400)
     assert n == 6000 and peak < 500 * n
+
+
+def test_json_members_hold_spans_and_no_rows():
+    n, peak = most_memory("a.json", "{\n" + ",\n".join(f'  "part_{k}": {{"key": {k}, "part_{k}": []}}' for k in range(6000)) + "\n}\n", 60)
+    assert n == 6000 and peak < 1000 * n
+    for bad in ("[1]", "1", '{"a": }', "{"):
+        assert [s for s, _ in markup.json_sections(bad)] == [(0, len(bad))]
