@@ -262,3 +262,8 @@ def test_json_members_hold_spans_and_no_rows():
     assert n == 6000 and peak < 1000 * n
     for bad in ("[1]", "1", '{"a": }', "{"):
         assert [s for s, _ in markup.json_sections(bad)] == [(0, len(bad))]
+
+
+def test_toml_tables_hold_spans_and_no_rows():
+    n, peak = most_memory("a.toml", "".join(f'[parts.{k}]\nname = "part_{k}"\n' for k in range(6000)), 40)
+    assert n == 6000 and peak < 1100 * n
