@@ -267,3 +267,41 @@ def test_json_members_hold_spans_and_no_rows():
 def test_toml_tables_hold_spans_and_no_rows():
     n, peak = most_memory("a.toml", "".join(f'[parts.{k}]\nname = "part_{k}"\n' for k in range(6000)), 40)
     assert n == 6000 and peak < 1100 * n
+
+
+def near_sets(spark):
+    """Texts of 12 kinds with words left out, so that kinds have many pairs about the threshold."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"w{k}_{i}" for i in range(40 + 20 * k)] for k in range(12)]
+    texts = [" ".join(w for w in kinds[k % 12] if rng.random() > 0.06) for k in range(420)] + ["", "a", "a b"]
+    return docs_of(spark, list(enumerate(texts)))
+
+
+def plain_edges(signed):
+    rows = [(r.doc_id, set(r.tokens), r.signature, r.digest) for r in signed.orderBy("doc_id").collect()]
+    seen, least = set(), []
+    for r in rows:
+        if r[3] not in seen:
+            seen.add(r[3])
+            least.append(r)
+    out = set()
+    for i, (a, x, s, _) in enumerate(least):
+        for b, y, t, _ in least[i + 1 :]:
+            if any(s[k : k + 4] == t[k : k + 4] for k in range(0, 32, 4)) and len(x & y) * 10_000 >= len(x | y) * 8500:
+                out.add((a, b))
+    return out
+
+
+def test_minhash_keeps_what_plain_pairs_keep(spark):
+    rows = near_sets(spark)
+    signed = dedup.minhash(rows)
+    edges = plain_edges(signed)
+    kept, classes = {}, {}
+    for r in signed.orderBy("doc_id").collect():
+        k, least = r.doc_id, classes.setdefault(r.digest, r.doc_id)
+        before = [a for a in kept if kept[a] == a and (a, k) in edges]
+        kept[k] = kept[least] if least < k else min(before) if before else k
+    assert {r.doc_id: r.kept for r in dedup.dedup(rows, "minhash").collect()} == kept and 3 < len(set(kept.values())) < len(kept)
+    # Pairs that no set of words could be: ruled out where they meet, and what is left goes with a number and not with words.
+    found = dedup.minhash_candidates(signed)
+    assert found.columns == ["a", "b", "meet"] and edges <= {(r.a, r.b) for r in found.collect()}
