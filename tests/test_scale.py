@@ -305,3 +305,33 @@ def test_minhash_keeps_what_plain_pairs_keep(spark):
     # Pairs that no set of words could be: ruled out where they meet, and what is left goes with a number and not with words.
     found = dedup.minhash_candidates(signed)
     assert found.columns == ["a", "b", "meet"] and edges <= {(r.a, r.b) for r in found.collect()}
+
+
+def test_sketches_are_parities_and_never_over_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [sorted({f"w{x}" for x in rng.integers(0, 3000, n)}) for n in (0, 1, 5, 50, 400, 2000, 2000, 50, 49)] * 40
+    got = signatures.parity(pa.array(sets, pa.list_(pa.string()))).to_pylist()
+    for x, s in zip(sets, got):
+        want = 0
+        for w in x:
+            want ^= 1 << int.from_bytes(hashlib.md5(w.encode()).digest()[4:8]) % signatures.SKETCH
+        assert sum((v & (1 << 64) - 1).bit_count() for v in s) == want.bit_count() and len(s) == signatures.SKETCH // 64
+    for i in range(9):
+        for j in range(9):
+            assert sum(((u ^ v) & (1 << 64) - 1).bit_count() for u, v in zip(got[i], got[j])) <= len(set(sets[i]) ^ set(sets[j]))
+
+
+def test_pairs_of_sets_are_told_apart_where_they_meet(spark, monkeypatch):
+    rows = near_sets(spark)
+    signed = dedup.minhash(rows)
+    want = plain_edges(signed)
+    got = dedup.minhash_edges(signed)
+    # No join brings two sets to a pair.
+    assert "array_intersect" not in got._jdf.queryExecution().toString()
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 500
+    texts = [" ".join(r.tokens) for r in signed.orderBy("doc_id").collect()]
+    a, b = np.triu_indices(len(texts), 1)
+    both = [signatures.alike(texts, a, b, 8500)]
+    monkeypatch.setattr(signatures, "DENSE", 1 << 60)
+    both.append(signatures.alike(texts, a, b, 8500))
+    assert (both[0] == both[1]).all() and both[0].sum() >= len(want)
